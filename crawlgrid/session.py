@@ -37,7 +37,7 @@ def get_spark(master: str | None = None, app: str = "crawlgrid",
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    b = b.config("spark.ui.enabled", "false")
+    b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for k, v in SESSION_SQL_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
