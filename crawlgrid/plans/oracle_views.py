@@ -232,6 +232,16 @@ SELECT c_custkey AS req_id, CAST(c_custkey % 6 AS INTEGER) AS owner_id,
             ELSE '*/' || (c_custkey % 70) || ' * * * *' END AS cron
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"""
 
+VIEWS["v_figures"] = """
+SELECT c_custkey AS id, c_custkey AS spider_id,
+       CASE WHEN c_custkey % 27 = 0 THEN '{bad'
+            ELSE '{"spider_name": "fig_' || c_custkey || '", "project_name": "p' || c_nationkey
+                 || '", "extra_requirements": "a;b;;c", '
+                 || CASE WHEN c_custkey % 2 = 0 THEN '"settings": {"x": "' || c_custkey || '"}'
+                         ELSE '"spider_parameters": {"y": "1", "nation": "override"}' END
+                 || CASE WHEN c_custkey % 4 = 0 THEN ', "output": "s3://o"' ELSE '' END || '}' END AS text
+FROM customer WHERE c_custkey % 9 = 0"""
+
 VIEWS["v_job_status"] = """
 SELECT * FROM (VALUES (0, 'pending', 'job is not started'), (1, 'running', 'job is running'),
   (2, 'success', 'job is finished successfully'), (3, 'fail', 'job is finished with error'),

@@ -395,3 +395,16 @@ class DriverTables:
                     F.when(k % 19 == 0, F.lit("NOSUCH")).otherwise(F.col("n_name")).alias("project_name"),
                     F.when(k % 23 == 0, F.lit("nosuch")).otherwise(F.col("c_name")).alias("spider_name"),
                     cron.alias("cron")))
+
+    @cached_property
+    def figures(self) -> DataFrame:
+        """spider_figure: stored run figures (JSON text) for some spiders."""
+        c = self.raw("customer").where(F.col("c_custkey") % 9 == 0)
+        k = F.col("c_custkey")
+        params = F.when(k % 2 == 0, F.concat(F.lit('"settings": {"x": "'), _s(k), F.lit('"}'))).otherwise(
+            F.lit('"spider_parameters": {"y": "1", "nation": "override"}'))
+        good = F.concat(F.lit('{"spider_name": "fig_'), _s(k), F.lit('", "project_name": "p'), _s("c_nationkey"),
+                        F.lit('", "extra_requirements": "a;b;;c", '), params,
+                        F.when(k % 4 == 0, F.lit(', "output": "s3://o"')).otherwise(F.lit("")), F.lit("}"))
+        return c.select(k.alias("id"), k.alias("spider_id"),
+                        F.when(k % 27 == 0, F.lit("{bad")).otherwise(good).alias("text"))
