@@ -1 +1,247 @@
-"""Registered queries (filled in below)."""
+"""Registered queries: files (S2-S5, W1), log facts (I1-I3, A9), item batches (I4-I7), pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crawlgrid.functions.text import job_path, package_path
+from crawlgrid.operators import items as I
+from crawlgrid.operators import logs as L
+from crawlgrid.operators.aggregates import job_item_counts
+from crawlgrid.operators.lookup import status_code
+from crawlgrid.operators.sinks import write_job_data
+from crawlgrid.plans.registry import register
+from crawlgrid.session import scratch_dir
+from crawlgrid.sources import files as S
+from crawlgrid.sources.adapters import DriverTables
+
+
+def _t(spark, sf):
+    return DriverTables(spark, sf)
+
+
+# ---------------------------------------------------------------- files
+@register("S3_read_job_logs", "SELECT project, spider, job_id, line_no, line FROM v_logs")
+def q_s3(spark, sf):
+    t = _t(spark, sf)
+    root = scratch_dir(spark, "job-logs")
+    S.write_job_files(t.log_text, root, "text", "logs")
+    return S.read_job_logs(spark, root, glob="part-*").withColumn("line_no", F.col("line_no").cast("int"))
+
+
+@register("S2_read_job_items", """
+SELECT project, spider, job_id, line_no, raw,
+       NOT (CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' ELSE FALSE END) AS bad
+FROM v_items
+""")
+def q_s2(spark, sf):
+    t = _t(spark, sf)
+    # whole-table check through the W1 store; raw per-job .jl files share
+    # read_lines with S3 and are checked on fixtures in tests
+    root = write_job_data(t.items, scratch_dir(spark, "job-items"))
+    return (S.read_job_items(spark, root, fmt="store")
+            .select("project", "spider", "job_id", F.col("line_no").cast("int").alias("line_no"), "raw", "bad"))
+
+
+_PATHS_SQL = """
+paths AS (
+  SELECT 'logs/' || p.name || '/' || s.name || '/' || h.id || '.log' AS path, 'v1' AS layout, 'log' AS kind,
+         p.name AS project, s.name AS spider, h.id AS job_id, NULL AS version
+  FROM v_history h JOIN v_spiders s ON s.id = h.spider_id JOIN v_projects p ON p.id = s.project_id
+  UNION ALL
+  SELECT 'projects/' || p.id || '/spiders/' || s.name || '/jobs/' || h.id || '/items.jl', 'v2', 'items',
+         CAST(p.id AS VARCHAR), s.name, h.id, NULL
+  FROM v_history h JOIN v_spiders s ON s.id = h.spider_id JOIN v_projects p ON p.id = s.project_id
+  UNION ALL
+  SELECT CASE WHEN p.storage_version = 1 THEN 'eggs/' || p.name || '/' ELSE 'projects/' || p.id || '/eggs/' END
+         || regexp_replace(k.egg_version, '[^a-zA-Z0-9_-]', '_', 'g') || '.egg',
+         CASE WHEN p.storage_version = 1 THEN 'v1' ELSE 'v2' END, 'package',
+         CASE WHEN p.storage_version = 1 THEN p.name ELSE CAST(p.id AS VARCHAR) END, NULL, NULL,
+         regexp_replace(k.egg_version, '[^a-zA-Z0-9_-]', '_', 'g')
+  FROM v_packages k JOIN v_projects p ON p.id = k.project_id)"""
+
+
+def _paths(t):
+    s = t.spiders.select(F.col("id").alias("_sid"), F.col("project_id").alias("_pid"), F.col("name").alias("_sname"))
+    p = t.projects.select(F.col("id").alias("_ppid"), F.col("name").alias("_pname"), "storage_version")
+    j = t.history.join(s, F.col("spider_id") == F.col("_sid")).join(p, F.col("_pid") == F.col("_ppid"))
+    args = ("_pname", "_ppid", "_sname", "id")
+    logs = j.select(job_path(F.lit(1), *args, kind="log").alias("path"))
+    items = j.select(job_path(F.lit(2), *args, kind="items").alias("path"))
+    k = t.packages.join(p, F.col("project_id") == F.col("_ppid"))
+    pk = k.select(package_path("storage_version", "_pname", "_ppid", "egg_version").alias("path"))
+    return logs.unionByName(items).unionByName(pk)
+
+
+@register("S4_job_file_index", f"WITH {_PATHS_SQL} SELECT * FROM paths")
+def q_s4(spark, sf):
+    return S.job_file_index(_paths(_t(spark, sf)))
+
+
+@register("S5_package_versions", f"""
+WITH {_PATHS_SQL},
+pk AS (SELECT project, version, list_transform(string_split(version, '_'), lambda x: CAST(x AS BIGINT)) AS vk
+       FROM paths WHERE kind = 'package'),
+mx AS (SELECT project, max(vk) AS top FROM pk GROUP BY 1)
+SELECT pk.project, pk.version, pk.vk = mx.top AS is_latest FROM pk JOIN mx USING (project)
+""")
+def q_s5(spark, sf):
+    return S.package_versions(S.job_file_index(_paths(_t(spark, sf))))
+
+
+@register("W1_write_job_data", "SELECT project, spider, job_id, line_no, raw FROM v_items")
+def q_w1(spark, sf):
+    t = _t(spark, sf)
+    root = write_job_data(t.items, scratch_dir(spark, "job-data"))
+    return spark.read.parquet(root).select("project", "spider", "job_id", "line_no", "raw")
+
+
+# ---------------------------------------------------------------- logs
+_FACTS = """facts AS (
+  SELECT job_id,
+    arg_min(TRY_CAST(regexp_extract(line, '''item_scraped_count'': (\\d+),', 1) AS BIGINT), line_no)
+      FILTER (WHERE regexp_matches(line, '''item_scraped_count'': (\\d+),')) AS items_count,
+    arg_min(TRY_CAST(regexp_extract(line, '''log_count/ERROR'': (\\d+),', 1) AS BIGINT), line_no)
+      FILTER (WHERE regexp_matches(line, '''log_count/ERROR'': (\\d+),')) AS errors,
+    arg_min(TRY_CAST(regexp_extract(line, '''log_count/WARNING'': (\\d+),', 1) AS BIGINT), line_no)
+      FILTER (WHERE regexp_matches(line, '''log_count/WARNING'': (\\d+),')) AS warnings
+  FROM v_logs GROUP BY job_id)"""
+
+
+@register("I1_log_facts", f"WITH {_FACTS} SELECT * FROM facts")
+def q_i1(spark, sf):
+    return L.log_facts(_t(spark, sf).logs)
+
+
+@register("I2_final_status", f"""
+WITH {_FACTS}
+SELECT c.completion_id, c.job_id, CASE c.status WHEN 'success' THEN 2 WHEN 'fail' THEN 3 END AS reported,
+       CASE WHEN c.status NOT IN ('success', 'fail') THEN NULL
+            WHEN c.status = 'success' AND f.errors IS NOT NULL THEN 3
+            WHEN c.status = 'success' AND f.warnings IS NOT NULL THEN 4
+            WHEN c.status = 'success' THEN 2 ELSE 3 END AS final_status
+FROM v_completions c LEFT JOIN facts f ON f.job_id = c.job_id
+""")
+def q_i2(spark, sf):
+    t = _t(spark, sf)
+    f = L.log_facts(t.logs)
+    c = t.completions.join(f, "job_id", "left")
+    rep = status_code("status")
+    return c.select("completion_id", "job_id", rep.alias("reported"),
+                    L.final_status(rep, F.col("errors"), F.col("warnings")).alias("final_status"))
+
+
+@register("I3_decode_logs", """
+SELECT doc_id, CASE WHEN lang = 'fr' AND regexp_matches(text, '[^\\x00-\\x7F]') THEN 'ISO-8859-1'
+                    ELSE 'UTF-8' END AS charset, TRUE AS text_ok
+FROM documents
+""")
+def q_i3(spark, sf):
+    d = _t(spark, sf).raw("documents")
+    blob = d.select("doc_id", F.col("text").alias("orig"), F.when(F.col("lang") == "fr", F.encode("text", "ISO-8859-1"))
+                    .otherwise(F.encode("text", "UTF-8")).alias("content"))
+    out = L.decode_logs(blob, "content")
+    return out.select("doc_id", "charset", F.coalesce(F.col("text") == F.col("orig"), F.lit(False)).alias("text_ok"))
+
+
+@register("A9_job_item_counts", f"""
+WITH {_FACTS}, c AS (SELECT job_id, count(*) AS item_lines FROM v_items GROUP BY 1)
+SELECT c.job_id, c.item_lines, f.items_count AS logged_items, c.item_lines = f.items_count AS counts_agree
+FROM c LEFT JOIN facts f ON f.job_id = c.job_id
+""")
+def q_a9(spark, sf):
+    t = _t(spark, sf)
+    return job_item_counts(t.items, L.log_facts(t.logs))
+
+
+# ---------------------------------------------------------------- items
+def _sizes(t):
+    jobs = (t.queue.select(F.col("id").alias("job_id"), "spider_id")
+            .unionByName(t.history.select(F.col("id").alias("job_id"), "spider_id")))
+    return I.batch_sizes(jobs, t.settings)
+
+
+_SIZES_SQL = """
+jobs AS (SELECT id AS job_id, spider_id FROM v_queue UNION ALL SELECT id, spider_id FROM v_history),
+bs AS (SELECT spider_id, arg_min(value, id) AS value FROM v_settings WHERE setting_key = 'webhook_batch_size' GROUP BY 1),
+sz AS (SELECT j.job_id, CASE WHEN TRY_CAST(trim(bs.value) AS INTEGER) > 0 THEN TRY_CAST(trim(bs.value) AS INTEGER)
+                             ELSE 0 END AS size
+       FROM jobs j LEFT JOIN bs ON bs.spider_id = j.spider_id),
+d AS (SELECT i.job_id, i.line_no, i.raw,
+             CASE WHEN coalesce(sz.size, 0) > 0 THEN (i.line_no - 1) // sz.size ELSE 0 END AS batch_no,
+             NOT (CASE WHEN json_valid(i.raw) THEN json_type(i.raw) = 'OBJECT' ELSE FALSE END) AS bad
+      FROM v_items i LEFT JOIN sz ON sz.job_id = i.job_id)"""
+
+
+def _batches_sql(limit):
+    over = (f"sum(strlen(raw)) OVER (PARTITION BY job_id, batch_no ORDER BY line_no) > {limit}"
+            if limit is not None else "FALSE")
+    msg = f"'Webhook task memory usage over {limit}, ' || chr(10)" if limit is not None else "NULL"
+    return f"""{_SIZES_SQL},
+d2 AS (SELECT *, {over} AS over FROM d),
+f AS (SELECT job_id, arg_min(batch_no, line_no) AS fb, arg_min(bad, line_no) AS fbad
+      FROM d2 WHERE bad OR over GROUP BY 1),
+batches AS (
+  SELECT d2.job_id, batch_no, count(*) AS rows, min(line_no) AS first_line, max(line_no) AS last_line,
+         (f.fb IS NULL OR batch_no < f.fb) AS delivered,
+         CASE WHEN f.fb IS NULL THEN 'success' ELSE 'fail' END AS job_status,
+         CASE WHEN f.fb IS NULL THEN NULL WHEN f.fbad THEN 'Error when decoding jl file' ELSE {msg} END AS log
+  FROM d2 LEFT JOIN f USING (job_id) GROUP BY d2.job_id, batch_no, f.fb, f.fbad)"""
+
+
+@register("I4_item_batches", f"WITH {_batches_sql(None)} SELECT * FROM batches")
+def q_i4(spark, sf):
+    t = _t(spark, sf)
+    return I.item_batches(t.items, _sizes(t), memory_limit=None)
+
+
+@register("I7_batch_size_guard", f"WITH {_batches_sql(400)} SELECT * FROM batches")
+def q_i7(spark, sf):
+    t = _t(spark, sf)
+    return I.item_batches(t.items, _sizes(t), memory_limit=400)
+
+
+_PAYLOAD_SQL = f"""{_batches_sql(4096000)},
+rows_ AS (SELECT d.job_id, d.batch_no, d.line_no, d.raw FROM d
+          JOIN batches b ON b.job_id = d.job_id AND b.batch_no = d.batch_no AND b.delivered),
+keys AS (SELECT DISTINCT job_id, batch_no, unnest(json_keys(raw)) AS key FROM rows_),
+payload AS (
+  SELECT k.job_id, k.batch_no, k.key,
+         list(coalesce(json_extract_string(r.raw, '$."' || k.key || '"'), '') ORDER BY r.line_no) AS "values"
+  FROM keys k JOIN rows_ r ON r.job_id = k.job_id AND r.batch_no = k.batch_no
+  GROUP BY k.job_id, k.batch_no, k.key)"""
+
+
+@register("I5_batch_payload", f"WITH {_PAYLOAD_SQL} SELECT * FROM payload")
+def q_i5(spark, sf):
+    t = _t(spark, sf)
+    sizes = _sizes(t)
+    b = I.item_batches(t.items, sizes)
+    return I.batch_payload(t.items, b, sizes)
+
+
+@register("I6_form_encode", f"""
+WITH {_PAYLOAD_SQL},
+enc AS (SELECT job_id, batch_no, key,
+               array_to_string(list_transform("values", lambda v: replace(url_encode(key), '%20', '+') || '='
+                                              || replace(url_encode(v), '%20', '+')), '&') AS e
+        FROM payload)
+SELECT job_id, batch_no, string_agg(e, '&' ORDER BY key) AS body FROM enc GROUP BY 1, 2
+""")
+def q_i6(spark, sf):
+    t = _t(spark, sf)
+    sizes = _sizes(t)
+    b = I.item_batches(t.items, sizes)
+    return I.form_encode(I.batch_payload(t.items, b, sizes))
+
+
+@register("I10_page_items", """
+SELECT page_id, url,
+       CASE WHEN regexp_matches(html, '(?is)<title[^>]*>.*?</title>')
+            THEN replace(replace(replace(replace(replace(replace(
+                   regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
+                   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&') END AS title
+FROM pages
+""")
+def q_i10(spark, sf):
+    return I.page_items(_t(spark, sf).raw("pages"))
