@@ -13,8 +13,13 @@ from crawlgrid.operators.aggregates import dedupe_eav
 def write_job_data(items: DataFrame, root: str, mode: str = "overwrite") -> str:
     """Store item (or log) lines by project and spider, sorted by job and
     line inside each file; one directory per (project, spider), not per job.
-    Readers prune partitions on project / spider and skip row groups on job_id."""
-    (items.repartition("project", "spider", "job_id")
+    Readers prune partitions on project / spider and skip row groups on job_id.
+
+    Range partitioning on (project, spider, job_id) gives every task one
+    contiguous key range, so each task writes into few directories (files ≈
+    tasks + directories, not tasks × directories) and a spider holding a
+    third of all lines is still split over many tasks by job ranges."""
+    (items.repartitionByRange("project", "spider", "job_id")
      .sortWithinPartitions("project", "spider", "job_id", "line_no")
      .write.mode(mode).partitionBy("project", "spider").parquet(root))
     return root
@@ -57,11 +62,13 @@ def completion_feed(finished: DataFrame, spiders: DataFrame, projects: DataFrame
 
 def failed_job_alerts(finished: DataFrame, spiders: DataFrame, projects: DataFrame,
                       enabled: bool, receiver: str) -> DataFrame:
-    """One mail row per job that finished with status 3, when enabled."""
+    """One mail row per job that finished with status 3, when enabled.
+    The body names the job's project through its spider (jobs whose spider
+    is gone cannot be addressed and are skipped)."""
     s = spiders.select(F.col("id").alias("_sid"), F.col("project_id").alias("_spid"))
     p = projects.select(F.col("id").alias("_pid"), F.col("name").alias("_pname"))
-    j = (finished.where(F.col("status") == FAIL).join(s, finished.spider_id == s._sid, "left")
-         .join(p, F.col("_spid") == p._pid, "left"))
+    j = (finished.where(F.col("status") == FAIL).join(s, finished.spider_id == s._sid)
+         .join(p, F.col("_spid") == p._pid))
     if not enabled:
         j = j.where(F.lit(False))
     body = F.format_string("bot:%s \r\nspider:%s \r\n job_id:%s \r\n", F.col("_pname"), F.col("spider_name"), F.col("id"))
