@@ -100,7 +100,8 @@ SELECT {_jid('o_orderkey')} AS id,
        1 AS slot,
        CASE WHEN o_orderstatus = 'O' THEN NULL ELSE {ANCHOR} - to_seconds(o_orderkey % 7200) END AS start_time,
        CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderkey // 150 END AS node_id,
-       CASE WHEN o_orderstatus = 'O' THEN 0 WHEN o_orderkey % 5 = 0 THEN 5 ELSE 1 END AS status,
+       CASE WHEN o_orderstatus = 'O' THEN 0 WHEN o_orderkey % 23 = 0 THEN 2 WHEN o_orderkey % 29 = 0 THEN 3
+            WHEN o_orderkey % 5 = 0 THEN 5 ELSE 1 END AS status,
        CASE WHEN o_orderstatus = 'O' THEN o_orderdate + to_hours(o_orderkey % 7)
             ELSE {ANCHOR} - to_seconds((o_orderkey % 13) * 10) END AS update_time,
        CASE WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(o_orderkey % 30000 AS INTEGER) END AS pid,
@@ -242,6 +243,20 @@ SELECT c_custkey AS id, c_custkey AS spider_id,
                  || CASE WHEN c_custkey % 4 = 0 THEN ', "output": "s3://o"' ELSE '' END || '}' END AS text
 FROM customer WHERE c_custkey % 9 = 0"""
 
+VIEWS["v_forms"] = """
+SELECT c_custkey AS spider_id,
+       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 3 + 1 AS VARCHAR) END AS concurrency,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(60 * (c_custkey % 10) AS VARCHAR) END AS timeout,
+       CASE WHEN c_custkey % 2 = 0 THEN 'http://new.example/' || c_custkey END AS webhook_payload,
+       CASE WHEN c_custkey % 3 = 0 THEN '5' END AS webhook_batch_size,
+       CASE WHEN c_custkey % 4 = 0 THEN '  ' WHEN c_custkey % 4 = 1 THEN NULL
+            ELSE ' ' || lower(c_mktsegment) || ' ' END AS tag,
+       CASE WHEN c_custkey % 6 = 0 THEN '' ELSE 'lxml;requests' END AS extra_requirements,
+       [' nation ', '', 'segment', 'nation'] AS param_keys,
+       [CAST(c_nationkey AS VARCHAR), 'x', c_mktsegment, 'N' || c_nationkey] AS param_values,
+       CASE WHEN c_custkey % 5 = 0 THEN '{"spider": "f"}' WHEN c_custkey % 5 = 1 THEN '{bad' END AS figure_json
+FROM customer WHERE c_mktsegment = 'AUTOMOBILE'"""
+
 VIEWS["v_job_status"] = """
 SELECT * FROM (VALUES (0, 'pending', 'job is not started'), (1, 'running', 'job is running'),
   (2, 'success', 'job is finished successfully'), (3, 'fail', 'job is finished with error'),

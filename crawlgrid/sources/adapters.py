@@ -176,6 +176,7 @@ class DriverTables:
         o = self.raw("orders").where(F.col("o_orderstatus").isin("O", "P"))
         k = F.col("o_orderkey")
         status = (F.when(F.col("o_orderstatus") == "O", 0)
+                  .when(k % 23 == 0, 2).when(k % 29 == 0, 3)
                   .when(k % 5 == 0, 5).otherwise(1))
         pend = F.col("o_orderstatus") == "O"
         fire = F.timestamp_add("HOUR", k % 7, F.col("o_orderdate"))
@@ -408,3 +409,22 @@ class DriverTables:
                         F.when(k % 4 == 0, F.lit(', "output": "s3://o"')).otherwise(F.lit("")), F.lit("}"))
         return c.select(k.alias("id"), k.alias("spider_id"),
                         F.when(k % 27 == 0, F.lit("{bad")).otherwise(good).alias("text"))
+
+    @cached_property
+    def forms(self) -> DataFrame:
+        """Submitted spider settings forms (one per automobile-segment spider)."""
+        c = self.raw("customer").where(F.col("c_mktsegment") == "AUTOMOBILE")
+        k = F.col("c_custkey")
+        nk = _s("c_nationkey")
+        return c.select(
+            k.alias("spider_id"),
+            F.when(k % 5 == 0, F.lit(None)).otherwise(_s(k % 3 + 1)).alias("concurrency"),
+            F.when(k % 7 == 0, F.lit(None)).otherwise(_s(60 * (k % 10))).alias("timeout"),
+            F.when(k % 2 == 0, F.concat(F.lit("http://new.example/"), _s(k))).alias("webhook_payload"),
+            F.when(k % 3 == 0, F.lit("5")).alias("webhook_batch_size"),
+            F.when(k % 4 == 0, F.lit("  ")).when(k % 4 == 1, F.lit(None))
+             .otherwise(F.concat(F.lit(" "), F.lower("c_mktsegment"), F.lit(" "))).alias("tag"),
+            F.when(k % 6 == 0, F.lit("")).otherwise(F.lit("lxml;requests")).alias("extra_requirements"),
+            F.array(F.lit(" nation "), F.lit(""), F.lit("segment"), F.lit("nation")).alias("param_keys"),
+            F.array(nk, F.lit("x"), F.col("c_mktsegment"), F.concat(F.lit("N"), nk)).alias("param_values"),
+            F.when(k % 5 == 0, F.lit('{"spider": "f"}')).when(k % 5 == 1, F.lit("{bad")).alias("figure_json"))
