@@ -257,6 +257,38 @@ SELECT c_custkey AS spider_id,
        CASE WHEN c_custkey % 5 = 0 THEN '{"spider": "f"}' WHEN c_custkey % 5 = 1 THEN '{bad' END AS figure_json
 FROM customer WHERE c_mktsegment = 'AUTOMOBILE'"""
 
+VIEWS["v_plugin_descriptors"] = """
+SELECT p_partkey AS plugin_id,
+       '{"name": "plugin' || replace(p_brand, 'Brand#', '') || '", "parameters": {"ENABLED": {"type": "bool", '
+       || '"required": true, "default_value": '
+       || CASE WHEN p_size % 3 = 0 THEN 'true' WHEN p_size % 3 = 1 THEN 'false' ELSE 'null' END
+       || '}, "SIZE": {"type": "int", "required": ' || CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END
+       || ', "default_value": ' || CASE WHEN p_size % 4 = 0 THEN '0' ELSE CAST(p_size AS VARCHAR) END
+       || '}, "KIND": {"type": "string", "default_value": '
+       || CASE WHEN p_partkey % 5 = 0 THEN '""' ELSE '"' || lower(p_type) || '"' END || '}}}' AS descriptor
+FROM part"""
+
+VIEWS["v_plugin_values"] = """
+SELECT * FROM (
+  SELECT c_custkey AS spider_id, 'plugin' || (c_custkey % 25 + 1) AS plugin_name, 'ENABLED' AS key,
+         CASE WHEN c_custkey % 4 = 0 THEN 'True' WHEN c_custkey % 4 = 1 THEN 'foo'
+              WHEN c_custkey % 4 = 2 THEN NULL ELSE '0' END AS value FROM customer
+  UNION ALL
+  SELECT c_custkey, 'plugin' || (c_custkey % 25 + 1), 'SIZE',
+         CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE CAST(c_custkey % 50 AS VARCHAR) END FROM customer)
+WHERE value IS NOT NULL"""
+
+VIEWS["v_setting_ops"] = """
+SELECT p_partkey // 8 AS spider_id, CAST(p_partkey % 8 AS INTEGER) AS pos,
+       CASE WHEN p_size % 3 = 0 THEN 'set_var' WHEN p_size % 3 = 1 THEN 'set_dict' ELSE 'set_env' END AS op,
+       CASE WHEN p_size % 3 = 1 THEN 'DICT_' || (p_size % 2) ELSE 'VAR_' || (p_size % 4) END AS name,
+       lower(p_type) AS key,
+       CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR)
+            WHEN p_partkey % 3 = 1 THEN CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END
+            ELSE p_name END AS value,
+       CASE WHEN p_partkey % 3 = 0 THEN 'int' WHEN p_partkey % 3 = 1 THEN 'bool' ELSE 'str' END AS value_type
+FROM part"""
+
 VIEWS["v_job_status"] = """
 SELECT * FROM (VALUES (0, 'pending', 'job is not started'), (1, 'running', 'job is running'),
   (2, 'success', 'job is finished successfully'), (3, 'fail', 'job is finished with error'),

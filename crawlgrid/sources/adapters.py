@@ -428,3 +428,48 @@ class DriverTables:
             F.array(F.lit(" nation "), F.lit(""), F.lit("segment"), F.lit("nation")).alias("param_keys"),
             F.array(nk, F.lit("x"), F.col("c_mktsegment"), F.concat(F.lit("N"), nk)).alias("param_values"),
             F.when(k % 5 == 0, F.lit('{"spider": "f"}')).when(k % 5 == 1, F.lit("{bad")).alias("figure_json"))
+
+    @cached_property
+    def plugin_descriptors(self) -> DataFrame:
+        """Uploaded plugin descriptors; a brand is a plugin name, so names repeat
+        (a re-upload) and the latest plugin_id wins."""
+        p = self.raw("part")
+        k, sz = F.col("p_partkey"), F.col("p_size")
+        name = F.concat(F.lit("plugin"), F.regexp_replace("p_brand", "Brand#", ""))
+        enabled_default = F.when(sz % 3 == 0, F.lit("true")).when(sz % 3 == 1, F.lit("false")).otherwise(F.lit("null"))
+        size_default = F.when(sz % 4 == 0, F.lit("0")).otherwise(_s(sz))
+        kind_default = F.when(k % 5 == 0, F.lit('""')).otherwise(F.concat(F.lit('"'), F.lower("p_type"), F.lit('"')))
+        desc = F.concat(
+            F.lit('{"name": "'), name, F.lit('", "parameters": {"ENABLED": {"type": "bool", "required": true, '),
+            F.lit('"default_value": '), enabled_default, F.lit('}, "SIZE": {"type": "int", "required": '),
+            F.when(sz % 2 == 0, F.lit("true")).otherwise(F.lit("false")), F.lit(', "default_value": '), size_default,
+            F.lit('}, "KIND": {"type": "string", "default_value": '), kind_default, F.lit("}}}"))
+        return p.select(k.alias("plugin_id"), desc.alias("descriptor"))
+
+    @cached_property
+    def plugin_values(self) -> DataFrame:
+        """Per-spider plugin settings: (spider_id, plugin_name, key, value)."""
+        c = self.raw("customer")
+        k = F.col("c_custkey")
+        name = F.concat(F.lit("plugin"), _s(k % 25 + 1))
+        en = (F.when(k % 4 == 0, F.lit("True")).when(k % 4 == 1, F.lit("foo"))
+              .when(k % 4 == 2, F.lit(None)).otherwise(F.lit("0")))
+        size = F.when(k % 3 == 0, F.lit("x")).otherwise(_s(k % 50))
+        a = c.select(k.alias("spider_id"), name.alias("plugin_name"), F.lit("ENABLED").alias("key"), en.alias("value"))
+        b = c.select(k.alias("spider_id"), name.alias("plugin_name"), F.lit("SIZE").alias("key"), size.alias("value"))
+        return a.unionByName(b).where(F.col("value").isNotNull())
+
+    @cached_property
+    def setting_ops(self) -> DataFrame:
+        """Setting operations emitted by plugins, in order per spider."""
+        p = self.raw("part")
+        k, sz = F.col("p_partkey"), F.col("p_size")
+        op = F.when(sz % 3 == 0, F.lit("set_var")).when(sz % 3 == 1, F.lit("set_dict")).otherwise(F.lit("set_env"))
+        vt = F.when(k % 3 == 0, F.lit("int")).when(k % 3 == 1, F.lit("bool")).otherwise(F.lit("str"))
+        val = (F.when(k % 3 == 0, _s(sz)).when(k % 3 == 1, F.when(sz % 2 == 0, F.lit("true")).otherwise(F.lit("false")))
+               .otherwise(F.col("p_name")))
+        return p.select(F.floor(k / 8).cast("long").alias("spider_id"), (k % 8).cast("int").alias("pos"),
+                        op.alias("op"),
+                        F.when(sz % 3 == 1, F.concat(F.lit("DICT_"), _s(sz % 2)))
+                         .otherwise(F.concat(F.lit("VAR_"), _s(sz % 4))).alias("name"),
+                        F.lower("p_type").alias("key"), val.alias("value"), vt.alias("value_type"))

@@ -13,7 +13,7 @@ t = DriverTables(spark, sf)
 con = duck_connect(sf)
 names = ["users", "user_keys", "projects", "spiders", "settings", "parameters", "triggers", "queue",
          "history", "items", "log_text", "logs", "nodes", "node_keys", "sessions", "beats", "logins",
-         "reports", "completions", "packages", "webhook_jobs", "webhook_events", "requests", "figures", "forms"]
+         "reports", "completions", "packages", "webhook_jobs", "webhook_events", "requests", "figures", "forms", "plugin_descriptors", "plugin_values", "setting_ops"]
 for n in names:
     if only and n not in only:
         continue
