@@ -1 +1,143 @@
-"""Registered queries (filled in below)."""
+"""Registered queries for the Structured Streaming operators X1-X8.
+
+Each query runs its stream over the driver tables as a file source with
+``availableNow`` (all data, then stop) into a sink under the checkpoint
+folder, and returns the sink's contents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from crawlgrid.operators.sinks import write_job_data
+from crawlgrid.plans.q_functions import _d_field_match, _d_valid
+from crawlgrid.plans.registry import ORACLES, register
+from crawlgrid.plans.oracle_views import with_views
+from crawlgrid.session import scratch_dir
+from crawlgrid.sources.adapters import DriverTables
+from crawlgrid.streaming import feeds, jobs, liveness
+from crawlgrid.streaming.runner import latest_per_key, run_append, run_batches
+
+GAP = "6 hours"
+DELAY = "1 hour"
+
+
+def _static(spark, sf):
+    return DriverTables(spark, sf)
+
+
+def _stream(spark, sf, max_files=1):
+    return DriverTables(spark, sf, streaming=True, max_files_per_trigger=max_files)
+
+
+@register("X1_node_liveness_stream", f"""
+WITH g AS (SELECT node_id, ts,
+                  CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL {GAP} THEN 1 ELSE 0 END AS new
+           FROM v_beats WINDOW w AS (PARTITION BY node_id ORDER BY ts)),
+s AS (SELECT node_id, ts, sum(new) OVER (PARTITION BY node_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g),
+sess AS (SELECT node_id, min(ts) AS online_from, max(ts) + INTERVAL {GAP} AS offline_at, count(*) AS beats
+         FROM s GROUP BY node_id, sid)
+SELECT * FROM sess WHERE offline_at <= (SELECT max(ts) FROM v_beats) - INTERVAL {DELAY}
+""")
+def q_x1(spark, sf):
+    return run_append(liveness.node_liveness_stream(_stream(spark, sf).beats, GAP, DELAY), "x1")
+
+
+@register("X2_node_state_stream")
+def q_x2(spark, sf):
+    return run_append(liveness.node_state_stream(_stream(spark, sf).beats, 6 * 3600, DELAY), "x2")
+
+
+@register("X3_job_timeout_stream")
+def q_x3(spark, sf):
+    ev = jobs.job_events(_stream(spark, sf).queue)
+    return run_append(jobs.job_timeout_stream(ev, _static(spark, sf).settings, "10 minutes"), "x3")
+
+
+def _x4_sql():
+    return f"""
+WITH span AS (SELECT min(ts) AS a, max(ts) AS b FROM events),
+ok AS (SELECT t.id, t.spider_id, string_split(t.cron_pattern, ' ') AS p
+       FROM v_triggers t JOIN v_spiders s ON s.id = t.spider_id JOIN v_projects pr ON pr.id = s.project_id),
+okv AS (SELECT * FROM ok WHERE {_d_valid("p")}),
+days AS (SELECT CAST(unnest(generate_series(CAST((SELECT a FROM span) AS DATE), CAST((SELECT b FROM span) AS DATE),
+                                              INTERVAL 1 DAY)) AS DATE) AS d),
+dd AS (SELECT okv.*, d FROM okv, days
+       WHERE {_d_field_match("p[4]", "month", "month(d)")}
+         AND {_d_field_match("p[5]", "day_of_week", "isodow(d) - 1")}
+         AND {_d_field_match("p[3]", "day", "day(d)", "d")}),
+hh AS (SELECT dd.*, h FROM dd, range(0, 24) r(h) WHERE {_d_field_match("p[2]", "hour", "h")}),
+mm AS (SELECT hh.*, m FROM hh, range(0, 60) r(m) WHERE {_d_field_match("p[1]", "minute", "m")}),
+f AS (SELECT id, spider_id, CAST(d AS TIMESTAMP) + to_minutes(h * 60 + m) AS fire_time FROM mm)
+SELECT md5(CAST(id AS VARCHAR) || '@' || CAST(fire_time AS VARCHAR)) AS job_id, id AS trigger_id, spider_id,
+       fire_time, 0 AS status
+FROM f WHERE fire_time >= (SELECT a FROM span) AND fire_time < (SELECT b FROM span)
+"""
+
+
+@register("X4_cron_fire_stream", _x4_sql())
+def q_x4(spark, sf):
+    st = _static(spark, sf)
+    clock = _stream(spark, sf).raw("events").select("ts")
+    out = run_batches(clock, "x4", feeds.cron_fire_batches(st.triggers, st.spiders, st.projects))
+    return out.drop("batch_id")
+
+
+@register("X5_completion_stream")
+def q_x5(spark, sf):
+    return run_append(jobs.completion_stream(_stream(spark, sf).completions, _static(spark, sf).queue, DELAY), "x5")
+
+
+@register("X6_item_ingest_stream", "SELECT job_id, count(*) AS lines FROM v_items GROUP BY job_id")
+def q_x6(spark, sf):
+    st = _static(spark, sf)
+    store = write_job_data(st.items, scratch_dir(spark, "x6-store"))
+    schema = spark.read.parquet(store).schema
+    items = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(store)
+    out = run_batches(feeds.item_ingest_stream(items), "x6", lambda b, i: b, output_mode="update")
+    return latest_per_key(out, ["job_id"], ["lines"])
+
+
+@register("X7_completion_feed_stream")
+def q_x7(spark, sf):
+    st = _static(spark, sf)
+    feed = feeds.completion_feed_stream(_stream(spark, sf).history, st.spiders, st.projects, st.settings)
+    return run_batches(feed, "x7", feeds.observer_batches()).drop("batch_id")
+
+
+@register("X7_alert_stream")
+def q_x7b(spark, sf):
+    st = _static(spark, sf)
+    alerts = feeds.alert_stream(_stream(spark, sf).history, st.spiders, st.projects, True, "ops@example.com")
+    return run_append(alerts, "x7-alerts")
+
+
+@register("X8_running_report_stream")
+def q_x8(spark, sf):
+    st = _static(spark, sf)
+    return run_batches(_stream(spark, sf).reports, "x8", jobs.running_report_batches(st.queue)).drop("batch_id")
+
+
+def _reuse(target: str, source: str):
+    ORACLES[target] = ORACLES[source]
+
+
+# the streams reproduce batch operators; their oracles are the batch ones
+def _link_oracles():
+    from crawlgrid.plans import q_dispatch, q_reads, q_sinks  # noqa: F401  (fills ORACLES)
+    ORACLES["X5_completion_stream"] = with_views("""
+SELECT * FROM (
+  SELECT c.*, CASE c.status WHEN 'success' THEN 2 WHEN 'fail' THEN 3 END AS status_code,
+         r.reason IS NULL AS accepted, r.reason
+  FROM v_completions c
+  LEFT JOIN (SELECT id, node_id FROM v_queue WHERE status IN (1, 5)) q
+         ON q.id = c.job_id AND (c.node_id IS NULL OR c.node_id = q.node_id)
+  CROSS JOIN LATERAL (SELECT CASE WHEN c.status NOT IN ('success', 'fail') THEN 'invalid status'
+                                  WHEN q.id IS NULL THEN 'job not found' END AS reason) r)
+WHERE accepted""")
+    _reuse("X7_completion_feed_stream", "W4_completion_feed")
+    _reuse("X7_alert_stream", "W5_failed_job_alerts")
+    _reuse("X8_running_report_stream", "J5_kill_list")
+
+
+_link_oracles()

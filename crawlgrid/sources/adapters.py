@@ -44,12 +44,22 @@ def _s(c) -> Column:
 class DriverTables:
     """Lazy access to the driver's parquet tables and the adapter views."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, streaming: bool = False,
+                 max_files_per_trigger: int = 1):
         self.spark = prepare_session(spark)
         self.dir = sf_dir.rstrip("/")
+        self.streaming = streaming
+        self.max_files = max_files_per_trigger
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A driver table; with ``streaming=True`` a file-source stream of it
+        (row-wise views built on it are then streams too)."""
+        path = f"{self.dir}/{name}.parquet"
+        if not self.streaming:
+            return self.spark.read.parquet(path)
+        schema = self.spark.read.parquet(path).schema
+        return (self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+                .option("maxFilesPerTrigger", self.max_files).parquet(self.dir))
 
     # ---- dimension-like views -------------------------------------------
     @cached_property
