@@ -94,16 +94,13 @@ def cron_spec(pattern: Column) -> Column:
     return F.when(cron_valid(pattern), spec)
 
 
-def cron_fires(triggers: DataFrame, start: str, end: str, pattern_col: str = "cron_pattern") -> DataFrame:
-    """every fire time in [start, end) of every valid trigger.
-
-    Per trigger: explode the window's days, keep days whose month, weekday and
-    day-of-month match, then explode hours × minutes of the surviving days.
-    Work is (#triggers × #days + #fires); never triggers × all minutes.
-    """
+def pattern_fires(patterns: DataFrame, start: str, end: str, pattern_col: str = "cron_pattern") -> DataFrame:
+    """Fire times in [start, end) of each valid pattern: explode the window's
+    days, keep days whose month, weekday and day-of-month match, then
+    explode hours × minutes of the surviving days."""
     s = F.lit(start).cast("timestamp_ntz")
     e = F.lit(end).cast("timestamp_ntz")
-    t = triggers.withColumn("_spec", cron_spec(F.col(pattern_col))).where(F.col("_spec").isNotNull())
+    t = patterns.withColumn("_spec", cron_spec(F.col(pattern_col))).where(F.col("_spec").isNotNull())
     days = t.withColumn("_day", F.explode(F.sequence(F.to_date(s), F.to_date(e), F.expr("INTERVAL 1 DAY"))))
     d = F.col("_day")
     keep = (F.array_contains("_spec.month", F.month(d))
@@ -113,6 +110,17 @@ def cron_fires(triggers: DataFrame, start: str, end: str, pattern_col: str = "cr
     hours = days.where(keep).withColumn("_h", F.explode("_spec.hour"))
     mins = hours.withColumn("_m", F.explode("_spec.minute"))
     fire = F.timestamp_add("MINUTE", F.col("_h") * 60 + F.col("_m"), d.cast("timestamp_ntz"))
-    cols = [c for c in triggers.columns]
-    return (mins.select(*cols, fire.alias("fire_time"))
+    return (mins.select(pattern_col, fire.alias("fire_time"))
             .where((F.col("fire_time") >= s) & (F.col("fire_time") < e)))
+
+
+def cron_fires(triggers: DataFrame, start: str, end: str, pattern_col: str = "cron_pattern") -> DataFrame:
+    """every fire time in [start, end) of every valid trigger.
+
+    Fires depend only on the pattern text, so each *distinct* pattern is
+    parsed and expanded once (#patterns × #days + fires) and triggers are
+    equi-joined back on the pattern; never triggers × all minutes. A pattern
+    shared by very many triggers is a skewed join key, which AQE splits.
+    """
+    pats = triggers.select(pattern_col).distinct()
+    return triggers.join(pattern_fires(pats, start, end, pattern_col), pattern_col)

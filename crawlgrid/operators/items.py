@@ -36,6 +36,47 @@ def _running_bytes(lines: DataFrame) -> DataFrame:
             .drop("_bytes", "_blk", "_before"))
 
 
+def annotate_lines(items: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Item lines with their batch number and whether the line is bad (blank,
+    not JSON, or not a JSON object)."""
+    size = F.coalesce(F.col("batch_size"), F.lit(0))
+    return (items.join(sizes, "job_id", "left")
+            .withColumn("batch_no", F.when(size > 0, F.floor((F.col("line_no") - 1) / size)).otherwise(F.lit(0)))
+            .withColumn("_bad", F.from_json("raw", "map<string,string>").isNull()))
+
+
+def batch_stats(lines: DataFrame) -> DataFrame:
+    """One decomposable aggregate per (job, batch): rows, first / last line,
+    total bytes and the first malformed line."""
+    return lines.groupBy("job_id", "batch_no").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("line_no").alias("first_line"),
+        F.max("line_no").alias("last_line"), F.sum(F.octet_length("raw")).alias("_bytes"),
+        F.min(F.when(F.col("_bad"), F.col("line_no"))).alias("_first_bad"))
+
+
+def first_failures(lines: DataFrame, stats: DataFrame, memory_limit: int | None) -> DataFrame:
+    """Per failing job, the first failing line's (batch_no, _bad): a malformed
+    line, or the line where its batch's cumulative bytes pass ``memory_limit``.
+
+    Malformed lines come from the per-batch stats. Only batches whose *total*
+    exceeds the limit can hold an over-limit line, so the running byte count
+    (a two-level scan) touches those batches alone; when there are none, AQE
+    drops that branch at run time."""
+    bad = stats.where(F.col("_first_bad").isNotNull()).select(
+        "job_id", F.col("_first_bad").alias("line_no"), "batch_no", F.lit(True).alias("_bad"))
+    if memory_limit is not None:
+        heavy = stats.where(F.col("_bytes") > memory_limit).select("job_id", "batch_no")
+        over = (_running_bytes(lines.join(heavy, ["job_id", "batch_no"], "left_semi"))
+                .where(F.col("cum_bytes") > memory_limit)
+                .groupBy("job_id", "batch_no").agg(F.min("line_no").alias("line_no"))
+                .select("job_id", "line_no", "batch_no", F.lit(False).alias("_bad")))
+        bad = bad.unionByName(over)
+    # earliest line first; at the same line a malformed line wins (it fails
+    # before its size counts). A numeric key keeps this a hash aggregate.
+    order = F.col("line_no") * 2 + F.when(F.col("_bad"), 0).otherwise(1)
+    return bad.groupBy("job_id").agg(F.min_by(F.struct("batch_no", "_bad"), order).alias("_f"))
+
+
 def item_batches(items: DataFrame, sizes: DataFrame, memory_limit: int | None = WEBHOOK_MEMORY_LIMIT) -> DataFrame:
     """I4 (+ I7): split each job's item lines into delivery batches.
 
@@ -47,20 +88,11 @@ def item_batches(items: DataFrame, sizes: DataFrame, memory_limit: int | None =
     Output per (job_id, batch_no): rows, first_line, last_line, delivered,
     job_status ('success' / 'fail') and log.
     """
-    size = F.coalesce(F.col("batch_size"), F.lit(0))
-    d = (items.join(sizes, "job_id", "left")
-         .withColumn("batch_no", F.when(size > 0, F.floor((F.col("line_no") - 1) / size)).otherwise(F.lit(0)))
-         .withColumn("_bad", F.from_json("raw", "map<string,string>").isNull()))
-    if memory_limit is not None:
-        d = _running_bytes(d).withColumn("_over", F.col("cum_bytes") > memory_limit)
-    else:
-        d = d.withColumn("_over", F.lit(False))
-    fail = (d.where(F.col("_bad") | F.col("_over")).groupBy("job_id")
-            .agg(F.min_by(F.struct("batch_no", "_bad"), "line_no").alias("_f")))
-    batches = d.groupBy("job_id", "batch_no").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+    lines = annotate_lines(items, sizes)
+    stats = batch_stats(lines)
+    fail = first_failures(lines, stats, memory_limit)
     over_msg = F.lit(f"Webhook task memory usage over {memory_limit}, \n")
-    return (batches.join(fail, "job_id", "left").select(
+    return (stats.join(fail, "job_id", "left").select(
         "job_id", "batch_no", "rows", "first_line", "last_line",
         (F.col("_f").isNull() | (F.col("batch_no") < F.col("_f.batch_no"))).alias("delivered"),
         F.when(F.col("_f").isNull(), "success").otherwise("fail").alias("job_status"),
@@ -68,18 +100,18 @@ def item_batches(items: DataFrame, sizes: DataFrame, memory_limit: int | None =
          .when(F.col("_f._bad"), F.lit(BAD_ITEMS_LOG)).otherwise(over_msg).alias("log")))
 
 
-def batch_payload(items: DataFrame, batches: DataFrame, sizes: DataFrame) -> DataFrame:
+def batch_payload(items: DataFrame, sizes: DataFrame, memory_limit: int | None = WEBHOOK_MEMORY_LIMIT) -> DataFrame:
     """For every delivered batch, each key of the union of its rows' keys
     with the values of all rows in line order ('' where a row lacks the key;
     nested values as JSON text). Keys sorted (the reference used a set).
 
-    Only delivered batches are collected, and those are bounded by the batch
-    size or, for whole-file batches, by the memory guard of I7.
+    Only delivered lines are collected, and a delivered batch is bounded by
+    the batch size or, for whole-file batches, by the memory guard of I7.
     """
-    size = F.coalesce(F.col("batch_size"), F.lit(0))
-    d = (items.join(sizes, "job_id", "left")
-         .withColumn("batch_no", F.when(size > 0, F.floor((F.col("line_no") - 1) / size)).otherwise(F.lit(0)))
-         .join(batches.where("delivered").select("job_id", "batch_no"), ["job_id", "batch_no"], "left_semi"))
+    lines = annotate_lines(items, sizes)
+    fail = first_failures(lines, batch_stats(lines), memory_limit)
+    d = (lines.join(fail, "job_id", "left")
+         .where(F.col("_f").isNull() | (F.col("batch_no") < F.col("_f.batch_no"))))
     rows = d.groupBy("job_id", "batch_no").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("_rows"))
     rows = rows.withColumn("_rows", F.transform("_rows", lambda r: F.struct(

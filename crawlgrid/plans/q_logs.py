@@ -215,9 +215,7 @@ payload AS (
 @register("I5_batch_payload", f"WITH {_PAYLOAD_SQL} SELECT * FROM payload")
 def q_i5(spark, sf):
     t = _t(spark, sf)
-    sizes = _sizes(t)
-    b = I.item_batches(t.items, sizes)
-    return I.batch_payload(t.items, b, sizes)
+    return I.batch_payload(t.items, _sizes(t))
 
 
 @register("I6_form_encode", f"""
@@ -230,9 +228,7 @@ SELECT job_id, batch_no, string_agg(e, '&' ORDER BY key) AS body FROM enc GROUP
 """)
 def q_i6(spark, sf):
     t = _t(spark, sf)
-    sizes = _sizes(t)
-    b = I.item_batches(t.items, sizes)
-    return I.form_encode(I.batch_payload(t.items, b, sizes))
+    return I.form_encode(I.batch_payload(t.items, _sizes(t)))
 
 
 @register("I10_page_items", """
