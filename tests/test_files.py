@@ -66,3 +66,27 @@ def test_liveness_stream_equals_batch_sessions(spark):
     import datetime as dt
     s = s.where(F.col("offline_at") <= F.lit(wm - dt.timedelta(hours=1)))
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, s.select(*stream.columns).collect()))
+
+
+def test_node_state_events_agree_with_sessions(spark):
+    """X2's transitions: an 'online' at every session start, an 'offline' at
+    the end of every session the watermark has passed (and nowhere else)."""
+    import datetime as dt
+    from pyspark.sql.window import Window
+    sf = "/root/testdata/sf0.001"
+    ev = run_append(liveness.node_state_stream(DriverTables(spark, sf, streaming=True).beats, 6 * 3600, "1 hour"),
+                    "t-x2").collect()
+    beats = DriverTables(spark, sf).beats
+    w = Window.partitionBy("node_id").orderBy("ts")
+    s = (beats.withColumn("_new", F.coalesce(F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts")) >= 6 * 3600,
+                                             F.lit(True)).cast("int"))
+         .withColumn("_sid", F.sum("_new").over(w))
+         .groupBy("node_id", "_sid").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).collect())
+    wm = beats.agg(F.max("ts")).first()[0] - dt.timedelta(hours=1)
+    trunc = lambda t: t.replace(microsecond=t.microsecond // 1000 * 1000)  # noqa: E731  (timers are ms)
+    online = {(r.node_id, r.at) for r in ev if r.event == "online"}
+    offline = {(r.node_id, r.at) for r in ev if r.event == "offline"}
+    assert online == {(r.node_id, trunc(r.a)) for r in s}
+    ends = {(r.node_id, trunc(r.b) + dt.timedelta(hours=6)) for r in s}
+    assert offline <= ends
+    assert {e for e in ends if e[1] < wm - dt.timedelta(seconds=1)} <= offline
