@@ -64,34 +64,130 @@ def _element(e: Column, field: str):
     return valid, values
 
 
-def _field(f: Column, field: str):
-    elems = F.split(f, ",", -1)
-    valid = F.forall(elems, lambda e: _element(e, field)[0])
-    values = F.array_distinct(F.flatten(F.transform(elems, lambda e: _element(e, field)[1])))
-    return valid, values
+def _parsed_field(f: Column, field: str) -> Column:
+    """array<struct<valid, values>>: each comma element of the field parsed once."""
+    def one(e):
+        valid, values = _element(e, field)
+        return F.struct(valid.alias("valid"), values.alias("values"))
+    return F.transform(F.split(f, ",", -1), one)
 
 
 def cron_parts(pattern: Column) -> Column:
     return F.split(pattern, " ", -1)
 
 
+def parse_cron(pattern: Column) -> Column:
+    """struct(n_parts, minute, hour, day, month, day_of_week, day_last): every
+    field parsed once. Derive validity and value sets from this column."""
+    parts = cron_parts(pattern)
+    fields = [_parsed_field(F.get(parts, i), name).alias(name) for i, name in enumerate(CRON_FIELDS)]
+    day_last = F.exists(F.split(F.get(parts, 2), ",", -1), lambda e: F.lower(e) == "last")
+    return F.struct(F.size(parts).alias("n_parts"), *fields, day_last.alias("day_last"))
+
+
+def parsed_valid(parsed: Column) -> Column:
+    ok = parsed["n_parts"] == 5
+    for name in CRON_FIELDS:
+        ok = ok & F.forall(parsed[name], lambda x: x["valid"])
+    return F.coalesce(ok, F.lit(False))
+
+
+def parsed_spec(parsed: Column) -> Column:
+    return F.struct(*[F.array_distinct(F.flatten(F.transform(parsed[name], lambda x: x["values"]))).alias(name)
+                      for name in CRON_FIELDS], parsed["day_last"].alias("day_last"))
+
+
 def cron_valid(pattern: Column) -> Column:
     """exactly five single-space-separated fields, each parses."""
-    parts = cron_parts(pattern)
-    ok = F.size(parts) == 5
-    for i, name in enumerate(CRON_FIELDS):
-        ok = ok & _field(F.get(parts, i), name)[0]
-    return F.when(ok, F.lit(True)).otherwise(F.lit(False))
+    return parsed_valid(parse_cron(pattern))
 
 
 def cron_spec(pattern: Column) -> Column:
     """Parsed pattern: struct of allowed values per field (+ the 'last' day flag);
     NULL for an invalid pattern."""
-    parts = cron_parts(pattern)
-    fields = {name: _field(F.get(parts, i), name)[1] for i, name in enumerate(CRON_FIELDS)}
-    day_last = F.exists(F.split(F.get(parts, 2), ",", -1), lambda e: F.lower(e) == "last")
-    spec = F.struct(*[v.alias(k) for k, v in fields.items()], day_last.alias("day_last"))
-    return F.when(cron_valid(pattern), spec)
+    parsed = parse_cron(pattern)
+    return F.when(parsed_valid(parsed), parsed_spec(parsed))
+
+
+# --- relational parse: one element expression, column-valued field bounds ---
+def _field_table(spark) -> DataFrame:
+    """The five cron fields with their bounds and names (a fixed 5-row table)."""
+    rows = []
+    for i, name in enumerate(CRON_FIELDS):
+        lo, hi = CRON_RANGES[name]
+        names = MONTH_NAMES if name == "month" else WEEKDAY_NAMES if name == "day_of_week" else []
+        off = 0 if name == "month" else -1
+        rows.append((i, lo, hi, names, off, name == "day"))
+    return F.broadcast(spark.createDataFrame(
+        rows, "_fidx int, _lo int, _hi int, _names array<string>, _off int, _is_day boolean"))
+
+
+def _element_cols(e: Column):
+    """(valid, values) of one element, field bounds taken from the joined
+    field table (_lo, _hi, _names, _off, _is_day)."""
+    lo, hi, names, off = F.col("_lo"), F.col("_hi"), F.col("_names"), F.col("_off")
+    le = F.lower(e)
+    is_all = F.regexp_like(e, F.lit(r"^\*(/\d+)?$"))
+    all_step = _int(F.nullif(F.regexp_extract(e, r"^\*/(\d+)$", 1), F.lit("")))
+    all_ok = is_all & (all_step.isNull() | ((all_step > 0) & (all_step <= hi - lo)))
+    is_rng = F.regexp_like(e, F.lit(r"^\d+(-\d+)?(/\d+)?$"))
+    first = _int(F.regexp_extract(e, r"^(\d+)", 1))
+    last_s = F.regexp_extract(e, r"^\d+-(\d+)", 1)
+    step_s = F.regexp_extract(e, r"/(\d+)$", 1)
+    step = _int(F.nullif(step_s, F.lit("")))
+    last = F.when(last_s != "", _int(last_s)).when(step_s == "", first)
+    span_top = F.when(last.isNull() | (last == 0), hi).otherwise(last)
+    rng_ok = (is_rng & first.isNotNull() & (first >= lo)
+              & (last.isNull() | ((last <= hi) & (first <= last)))
+              & (step.isNull() | ((step > 0) & (step <= span_top - first))))
+    is_name = (F.size(names) > 0) & F.regexp_like(le, F.lit(r"^[a-z]+(-[a-z]+)?$"))
+    n1 = F.array_position(names, F.regexp_extract(le, r"^([a-z]+)", 1))
+    n2s = F.regexp_extract(le, r"^[a-z]+-([a-z]+)$", 1)
+    n2 = F.when(n2s == "", n1).otherwise(F.array_position(names, n2s))
+    name_ok = is_name & (n1 > 0) & (n2 > 0) & (n1 <= n2)
+    last_ok = F.col("_is_day") & (le == "last")
+    valid = all_ok | rng_ok | name_ok | last_ok
+    values = (F.when(all_ok, F.sequence(lo, hi, F.coalesce(all_step, F.lit(1)).cast("int")))
+              .when(rng_ok, F.sequence(first.cast("int"), F.coalesce(last, hi).cast("int"),
+                                       F.coalesce(step, F.lit(1)).cast("int")))
+              .when(name_ok, F.sequence((n1 + off).cast("int"), (n2 + off).cast("int")))
+              .otherwise(F.array().cast("array<int>")))
+    return F.coalesce(valid, F.lit(False)), values, last_ok
+
+
+def parse_patterns(patterns: DataFrame, pattern_col: str = "cron_pattern") -> DataFrame:
+    """(pattern, valid, spec) for each distinct pattern: fields and comma
+    elements exploded to rows, one element expression evaluated against the
+    field table, then folded back per pattern. Work and compiled code stay
+    small no matter how many triggers share a pattern."""
+    p = patterns.select(F.col(pattern_col).alias("_pattern")).distinct()
+    parts = p.select("_pattern", F.size(cron_parts(F.col("_pattern"))).alias("_n"),
+                     F.posexplode(cron_parts(F.col("_pattern"))).alias("_fidx", "_fexpr"))
+    elems = (parts.where(F.col("_fidx") < 5)
+             .select("_pattern", "_n", "_fidx", F.explode(F.split("_fexpr", ",", -1)).alias("_e"))
+             .join(_field_table(patterns.sparkSession), "_fidx"))
+    valid, values, last = _element_cols(F.col("_e"))
+    per_field = (elems.select("_pattern", "_n", "_fidx", valid.alias("_v"), values.alias("_vals"), last.alias("_last"))
+                 .groupBy("_pattern", "_n", "_fidx")
+                 .agg(F.bool_and("_v").alias("_v"), F.array_distinct(F.flatten(F.collect_list("_vals"))).alias("_vals"),
+                      F.bool_or("_last").alias("_last")))
+    pick = {name: F.max(F.when(F.col("_fidx") == i, F.col("_vals"))).alias(name) for i, name in enumerate(CRON_FIELDS)}
+    per_pattern = per_field.groupBy("_pattern", "_n").agg(
+        F.bool_and("_v").alias("_allv"), F.count(F.lit(1)).alias("_nf"), *pick.values(),
+        F.bool_or(F.when(F.col("_fidx") == 2, F.col("_last"))).alias("day_last"))
+    return per_pattern.select(
+        F.col("_pattern").alias(pattern_col),
+        ((F.col("_n") == 5) & (F.col("_nf") == 5) & F.col("_allv")).alias("valid"),
+        F.struct(*[F.col(n).alias(n) for n in CRON_FIELDS], F.coalesce("day_last", F.lit(False)).alias("day_last"))
+        .alias("_spec"))
+
+
+def valid_patterns(df: DataFrame, pattern_col: str, out: str = "valid") -> DataFrame:
+    """``df`` with a column telling whether its pattern is valid (F1), via the
+    relational parse of the distinct patterns."""
+    v = parse_patterns(df, pattern_col).select(F.col(pattern_col).alias("_vp"), F.col("valid").alias(out))
+    return df.join(v, df[pattern_col].eqNullSafe(v["_vp"]), "left").drop("_vp").withColumn(
+        out, F.coalesce(F.col(out), F.lit(False)))
 
 
 def pattern_fires(patterns: DataFrame, start: str, end: str, pattern_col: str = "cron_pattern") -> DataFrame:
@@ -100,7 +196,7 @@ def pattern_fires(patterns: DataFrame, start: str, end: str, pattern_col: str =
     explode hours × minutes of the surviving days."""
     s = F.lit(start).cast("timestamp_ntz")
     e = F.lit(end).cast("timestamp_ntz")
-    t = patterns.withColumn("_spec", cron_spec(F.col(pattern_col))).where(F.col("_spec").isNotNull())
+    t = parse_patterns(patterns, pattern_col).where("valid")
     days = t.withColumn("_day", F.explode(F.sequence(F.to_date(s), F.to_date(e), F.expr("INTERVAL 1 DAY"))))
     d = F.col("_day")
     keep = (F.array_contains("_spec.month", F.month(d))
@@ -122,5 +218,4 @@ def cron_fires(triggers: DataFrame, start: str, end: str, pattern_col: str = "cr
     equi-joined back on the pattern; never triggers × all minutes. A pattern
     shared by very many triggers is a skewed join key, which AQE splits.
     """
-    pats = triggers.select(pattern_col).distinct()
-    return triggers.join(pattern_fires(pats, start, end, pattern_col), pattern_col)
+    return triggers.join(pattern_fires(triggers, start, end, pattern_col), pattern_col)

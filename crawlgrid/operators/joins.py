@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlgrid.functions.cron import cron_valid
+from crawlgrid.functions.cron import valid_patterns
 from crawlgrid.functions.text import split_clean
 from crawlgrid.operators.aggregates import dedupe_eav
 
@@ -131,7 +131,7 @@ def new_triggers(requests: DataFrame, triggers: DataFrame) -> DataFrame:
     'invalid'. Requests without a spider keep their resolution reason."""
     have = triggers.select(F.col("spider_id").alias("_tsid"), F.col("cron_pattern").alias("_tcron")).distinct()
     r = requests.join(have, (requests.spider_id == have._tsid) & (requests.cron == have._tcron), "left")
-    r = r.withColumn("_valid", cron_valid(F.col("cron")))
+    r = valid_patterns(r, "cron", "_valid")
     # within the batch the first valid request of a new (spider, cron) adds it;
     # a decomposable min per key instead of a window over each key's rows
     first = (r.where(F.col("_valid") & F.col("_tsid").isNull() & F.col("spider_id").isNotNull())
