@@ -114,16 +114,15 @@ class DriverTables:
         seg_lower = F.lower("c_mktsegment")
 
         def row(n, key, value, keep):
-            return c.where(keep).select(
-                (k * 8 + n).alias("id"), k.alias("spider_id"),
-                F.lit(key).alias("setting_key"), value.cast("string").alias("value"))
+            return F.struct(F.lit(n).alias("n"), F.lit(key).alias("setting_key"),
+                            value.cast("string").alias("value"), keep.alias("keep"))
 
         tag = (F.when(k % 4 == 1, F.lit(None))
                .when(k % 4 == 2, seg_lower)
                .otherwise(F.concat(seg_lower, F.lit(","), seg(F.col("c_nationkey") % 5))))
         timeout = F.when(k % 29 == 0, F.lit("abc")).otherwise(_s(30 + 900 * (k % 5)))
         batch = F.when(k % 11 == 0, F.lit("x")).otherwise(_s(k % 6))
-        parts = [
+        rows = F.array(
             row(0, "tag", tag, k % 4 != 0),
             row(1, "timeout", timeout, k % 3 != 0),
             row(2, "webhook_payload", F.concat(F.lit("http://hook.example/"), _s(k)), k % 2 == 0),
@@ -131,22 +130,23 @@ class DriverTables:
             row(4, "concurrency", F.when(k % 5 == 0, F.lit("2")).otherwise(F.lit("1")), k % 5 <= 1),
             row(5, "extra_requirements", F.lit("requests;lxml"), k % 7 == 0),
             row(6, "timeout", F.lit("600"), k % 13 == 0),
-            row(7, "color", F.lit("blue"), k % 17 == 0),
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+            row(7, "color", F.lit("blue"), k % 17 == 0))
+        # one scan of customer: every spider's rows as an exploded array
+        return (c.select(k.alias("spider_id"), F.explode(rows).alias("r")).where("r.keep")
+                .select((F.col("spider_id") * 8 + F.col("r.n")).alias("id"), "spider_id",
+                        "r.setting_key", "r.value"))
 
     @cached_property
     def parameters(self) -> DataFrame:
         c = self.raw("customer")
         k = F.col("c_custkey")
-        a = c.select((k * 2).alias("id"), k.alias("spider_id"),
-                     F.lit("nation").alias("parameter_key"), _s("c_nationkey").alias("value"))
-        b = c.select((k * 2 + 1).alias("id"), k.alias("spider_id"),
-                     F.lit("segment").alias("parameter_key"), F.col("c_mktsegment").alias("value"))
-        return a.unionByName(b)
+        rows = F.array(F.struct(F.lit(0).alias("n"), F.lit("nation").alias("parameter_key"),
+                                _s("c_nationkey").alias("value")),
+                       F.struct(F.lit(1).alias("n"), F.lit("segment").alias("parameter_key"),
+                                F.col("c_mktsegment").alias("value")))
+        return (c.select(k.alias("spider_id"), F.explode(rows).alias("r"))
+                .select((F.col("spider_id") * 2 + F.col("r.n")).alias("id"), "spider_id",
+                        "r.parameter_key", "r.value"))
 
     @cached_property
     def triggers(self) -> DataFrame:
