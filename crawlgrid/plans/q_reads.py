@@ -335,3 +335,47 @@ SELECT * FROM (
 def q_i9(spark, sf):
     t = _t(spark, sf)
     return board.jobs_board(t.queue, t.history)
+
+
+# ---------------------------------------------------------------- S1, F3
+_CATALOG = {"projects": "projects", "spiders": "spiders", "spider_settings": "settings",
+            "spider_parameters": "parameters", "triggers": "triggers",
+            "spider_execution_queue": "queue", "job_history": "history", "packages": "packages",
+            "webhook_jobs": "webhook_jobs", "node_keys": "node_keys", "nodesessions": "sessions",
+            "spider_figure": "figures"}
+
+
+@register("S1_read_catalog", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"table\", count(*) AS rows, count(id) AS ids FROM v_{v}" for c, v in _CATALOG.items()))
+def q_s1(spark, sf):
+    from crawlgrid.session import scratch_dir
+    from crawlgrid.sources.catalog import read_catalog, write_catalog
+    t = _t(spark, sf)
+    root = scratch_dir(spark, "catalog")
+    write_catalog({c: getattr(t, v) for c, v in _CATALOG.items()}, root)
+    cat = read_catalog(spark, root, list(_CATALOG))
+    parts = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.count("id").alias("ids"))
+             for name, df in cat.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("F3_tag_match", """
+SELECT q.id AS job_id, q.node_id,
+       CASE WHEN len(st) = 0 AND len(nt) = 0 THEN TRUE WHEN len(st) = 0 OR len(nt) = 0 THEN FALSE
+            ELSE list_has_all(nt, st) END AS tags_match
+FROM (SELECT id, node_id, list_filter(string_split(coalesce(tag, ''), ','), lambda x: x <> '') AS st
+      FROM v_queue WHERE status = 1) q
+JOIN (SELECT id, coalesce(tags, CAST([] AS VARCHAR[])) AS nt FROM v_nodes) n ON n.id = q.node_id
+""")
+def q_f3(spark, sf):
+    from crawlgrid.functions.tags import tag_match
+    from crawlgrid.functions.text import split_clean
+    t = _t(spark, sf)
+    q = t.queue.where(F.col("status") == 1).select(F.col("id").alias("job_id"), "node_id",
+                                                     split_clean("tag", ",").alias("_st"))
+    n = t.nodes.select(F.col("id").alias("_nid"), F.col("tags").alias("_nt"))
+    return (q.join(n, q.node_id == n._nid)
+            .select("job_id", "node_id", tag_match(F.col("_st"), F.col("_nt")).alias("tags_match")))

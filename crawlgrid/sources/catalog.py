@@ -76,3 +76,16 @@ def read_catalog(spark: SparkSession, root: str, tables: list[str] | None = None
             df = spark.read.schema(SCHEMAS[name]).format(fmt).load(f"{root.rstrip('/')}/{name}")
         out[name] = df
     return out
+
+
+def write_catalog(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
+    """Write operations tables under their catalog names, conformed to the
+    fixed schemas (missing columns NULL, types cast), one directory each."""
+    out = {}
+    for name, df in tables.items():
+        cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in SCHEMAS[name].fields]
+        path = f"{root.rstrip('/')}/{name}"
+        df.select(*cols).write.mode("overwrite").parquet(path)
+        out[name] = path
+    return out
