@@ -7,7 +7,6 @@ folder, and returns the sink's contents.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from crawlgrid.operators.sinks import write_job_data
 from crawlgrid.plans.q_functions import _d_field_match, _d_valid

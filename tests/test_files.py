@@ -1,6 +1,5 @@
 """Job files: exact line numbers across splits, both server layouts, invariants."""
 
-import os
 
 from pyspark.sql import functions as F
 
