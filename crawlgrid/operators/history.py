@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crawlgrid.operators.ranking import row_number_within
 from crawlgrid.constants import HISTORY_KEEP, HISTORY_SCAN, NODE_KEY_LIFETIME, RECENT_FINISHED
 
 
@@ -78,8 +79,9 @@ def recent_jobs_per_spider(history: DataFrame, queue: DataFrame, k: int = 100) -
            .withColumn("rank", F.row_number().over(wh)).where(F.col("rank") <= k)
            .select("spider_id", F.col("id").alias("job_id"), F.lit("finished").alias("section"),
                    "status", "rank"))
-    wq = Window.partitionBy("spider_id").orderBy(F.col("update_time").desc_nulls_last(), F.col("id").desc())
-    run = (queue.withColumn("rank", F.row_number().over(wq))
+    # every queued job is listed, so no limit applies: number them without
+    # sending a spider's whole queue to one task
+    run = (row_number_within(queue, ["spider_id"], [F.col("update_time").desc_nulls_last(), F.col("id").desc()])
            .select("spider_id", F.col("id").alias("job_id"), F.lit("queue").alias("section"),
                    "status", "rank"))
     return fin.unionByName(run)
@@ -122,9 +124,9 @@ def job_order_listing(settings: DataFrame, parameters: DataFrame, triggers: Data
     """A spider page's listings in display order: settings and parameters
     by key, triggers by id. ``pos`` is the 1-based place in the listing."""
     def ranked(df, kind, key, value, order):
-        w = Window.partitionBy("spider_id").orderBy(*order)
-        return df.select("spider_id", F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"),
-                         F.col(value).alias("value"), F.row_number().over(w).alias("pos"))
+        r = row_number_within(df, ["spider_id"], order, out="pos")
+        return r.select("spider_id", F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"),
+                        F.col(value).alias("value"), "pos")
     return (ranked(settings, "setting", "setting_key", "value", ["setting_key", "id"])
             .unionByName(ranked(parameters, "parameter", "parameter_key", "value", ["parameter_key", "id"]))
             .unionByName(ranked(triggers, "trigger", "id", "cron_pattern", ["id"])))

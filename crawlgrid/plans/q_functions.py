@@ -162,10 +162,9 @@ SELECT project_id, id, egg_version,
 FROM v_packages
 """)
 def q_f7(spark, sf):
-    from pyspark.sql.window import Window
-    p = _t(spark, sf).packages
-    w = Window.partitionBy("project_id").orderBy(text.version_key("egg_version"), "id")
-    return p.select("project_id", "id", "egg_version", F.row_number().over(w).alias("rank"))
+    from crawlgrid.operators.ranking import row_number_within
+    p = _t(spark, sf).packages.select("project_id", "id", "egg_version")
+    return row_number_within(p, ["project_id"], [text.version_key("egg_version"), "id"])
 
 
 @register("F8_sanitize_version", """

@@ -49,6 +49,18 @@ def get_spark(master: str | None = None, app: str = "crawlgrid",
     return prepare_session(spark)
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder (``spark.checkpoint.dir``), registered
+    with the SparkContext; a /tmp folder only when the session has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = os.path.join("/tmp", "crawlgrid-ckpt-" + uuid.uuid4().hex[:8])
+        spark.conf.set("spark.checkpoint.dir", base)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh directory under the cluster's shared checkpoint folder.
 
@@ -56,9 +68,5 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     none (local tests) is a directory under /tmp chosen and recorded, so the
     same code on a cluster always writes to the shared store.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join("/tmp", "crawlgrid-ckpt-" + uuid.uuid4().hex[:8])
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+    base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name + "-" + uuid.uuid4().hex[:12]
