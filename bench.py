@@ -36,14 +36,13 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    import tempfile
-
     from crawlgrid import get_spark
     from crawlgrid.plans.registry import QUERIES, load_all
 
-    ckpt = tempfile.mkdtemp(prefix="bench-ckpt-", dir="/tmp")
+    # spark.checkpoint.dir is taken from the session; the library sets a
+    # local one only when none is configured (as here, on one machine)
     spark = get_spark(f"local[{cpus}]", app="crawlgrid-bench", shuffle_partitions=int(cpus) * 2,
-                      extra={"spark.driver.memory": "16g", "spark.checkpoint.dir": ckpt})
+                      extra={"spark.driver.memory": "16g"})
     load_all()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
 

@@ -16,7 +16,7 @@ WORKER_SHIFT = SEQ
 DC_SHIFT = SEQ + SNOWFLAKE_WORKER_BITS
 TS_SHIFT = SEQ + SNOWFLAKE_WORKER_BITS + SNOWFLAKE_DATACENTER_BITS
 PER_MS = 1 << SEQ
-BUCKET_MS = 86_400_000
+BUCKET_MS = 3_600_000      # hour buckets for the two-level spill scan
 
 
 def snowflake_parts(id_col) -> Column:
@@ -40,8 +40,8 @@ def snowflake_assign(df: DataFrame, ts_col: str, order_col: str, worker: int = 1
     The spill is a prefix computation. start(ms) = max over earlier-or-equal
     ms' of (ms' * 4096 - rows before ms') + rows before ms. It is evaluated as a
     two-level scan so no window runs over the whole table in one task: scans
-    inside day buckets (windows partitioned by bucket), then one scan over the
-    per-bucket summaries (one row per day), then both are combined.
+    inside hour buckets (windows partitioned by bucket), then one scan over the
+    per-bucket summaries (one row per hour), then both are combined.
     """
     ms = F.unix_millis(F.col(ts_col).cast("timestamp"))
     d = df.withColumn("_ms", ms)
