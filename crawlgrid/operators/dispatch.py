@@ -45,6 +45,17 @@ def under_concurrency(candidates: DataFrame, queue: DataFrame, limit: int = RUNN
     return candidates.join(running, "spider_id", "left_anti")
 
 
+def dispatchable(queue: DataFrame, limit: int = RUNNING_LIMIT) -> DataFrame:
+    """J1 ∘ J2 in one pass: one conditional aggregate per spider gives both
+    the earliest pending fire_time and the running count, then one semi join."""
+    stats = (queue.groupBy("spider_id")
+             .agg(F.min(F.when(F.col("status") == 0, F.col("fire_time"))).alias("_first_fire"),
+                  F.count_if(F.col("status") == 1).alias("_running"))
+             .where(F.col("_first_fire").isNotNull() & (F.col("_running") < limit)))
+    return queue.join(stats, (queue.spider_id == stats.spider_id)
+                      & (queue.fire_time == stats._first_fire), "left_semi")
+
+
 def spider_tags(settings: DataFrame) -> DataFrame:
     """(spider_id, tags) from the spider's current 'tag' setting (lowest id
     wins on duplicates); blank parts dropped. Spiders without a row are absent
@@ -106,7 +117,7 @@ def next_job_per_node(queue: DataFrame, settings: DataFrame, nodes: DataFrame,
 
     Output: node_id, job_id (NULL when none), has_job, error.
     """
-    cand = under_concurrency(earliest_pending(queue), queue, limit)
+    cand = dispatchable(queue, limit)
     st = spider_tags(settings)
     cand = (cand.join(st, "spider_id", "left")
             .select("id", "fire_time", set_key(F.col("tags")).alias("spider_set")))
