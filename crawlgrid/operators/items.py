@@ -42,7 +42,8 @@ def annotate_lines(items: DataFrame, sizes: DataFrame) -> DataFrame:
     size = F.coalesce(F.col("batch_size"), F.lit(0))
     return (items.join(sizes, "job_id", "left")
             .withColumn("batch_no", F.when(size > 0, F.floor((F.col("line_no") - 1) / size)).otherwise(F.lit(0)))
-            .withColumn("_bad", F.from_json("raw", "map<string,string>").isNull()))
+            .withColumn("_item", F.from_json("raw", "map<string,string>"))
+            .withColumn("_bad", F.col("_item").isNull()))
 
 
 def batch_stats(lines: DataFrame) -> DataFrame:
@@ -112,10 +113,12 @@ def batch_payload(items: DataFrame, sizes: DataFrame, memory_limit: int | None =
     fail = first_failures(lines, batch_stats(lines), memory_limit)
     d = (lines.join(fail, "job_id", "left")
          .where(F.col("_f").isNull() | (F.col("batch_no") < F.col("_f.batch_no"))))
-    rows = d.groupBy("job_id", "batch_no").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("_rows"))
-    rows = rows.withColumn("_rows", F.transform("_rows", lambda r: F.struct(
-        r["line_no"].alias("line_no"), F.from_json(r["raw"], "map<string,string>").alias("item"))))
+    # the map parsed once in annotate_lines travels with the row; rows are put
+    # in line order by a comparator on line_no (maps themselves are not orderable)
+    rows = d.groupBy("job_id", "batch_no").agg(F.array_sort(
+        F.collect_list(F.struct("line_no", F.col("_item").alias("item"))),
+        lambda a, b: F.when(a["line_no"] < b["line_no"], -1).when(a["line_no"] > b["line_no"], 1).otherwise(0)
+    ).alias("_rows"))
     keys = F.array_sort(F.array_distinct(F.flatten(F.transform("_rows", lambda r: F.map_keys(r["item"])))))
     return (rows.select("job_id", "batch_no", "_rows", F.explode(keys).alias("key"))
             .select("job_id", "batch_no", "key",
