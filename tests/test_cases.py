@@ -332,3 +332,16 @@ def test_parse_resource(spark):
     got = [r.p for r in df.select(text.parse_resource("n").alias("p")).collect()]
     assert (got[0].session_id, got[0].job_id, got[0].egg) == (5, "abc", True)
     assert (got[1].session_id, got[1].job_id, got[1].egg) == (5, None, False) and got[2] is None
+
+
+# ---------------------------------------------------------------- skew-safe numbering
+def test_row_numbers_for_a_hot_key(spark):
+    from pyspark.sql.window import Window
+    from crawlgrid.operators.ranking import row_number_within
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 100).alias("g"),
+        (F.col("id") * 7919 % 10007).alias("o"), F.col("id").alias("pk"))
+    a = row_number_within(df, ["g"], [F.col("o").desc(), "pk"], partitions=8)
+    b = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.col("o").desc(), "pk")))
+    assert a.count() == b.count()
+    assert a.select("pk", "rank").exceptAll(b.select("pk", "rank")).count() == 0
