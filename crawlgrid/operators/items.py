@@ -101,10 +101,9 @@ def item_batches(items: DataFrame, sizes: DataFrame, memory_limit: int | None =
          .when(F.col("_f._bad"), F.lit(BAD_ITEMS_LOG)).otherwise(over_msg).alias("log")))
 
 
-def batch_payload(items: DataFrame, sizes: DataFrame, memory_limit: int | None = WEBHOOK_MEMORY_LIMIT) -> DataFrame:
-    """For every delivered batch, each key of the union of its rows' keys
-    with the values of all rows in line order ('' where a row lacks the key;
-    nested values as JSON text). Keys sorted (the reference used a set).
+def delivered_rows(items: DataFrame, sizes: DataFrame, memory_limit: int | None = WEBHOOK_MEMORY_LIMIT) -> DataFrame:
+    """(job_id, batch_no, _rows, _keys) for every delivered batch: its parsed
+    rows in line order and the sorted union of their keys.
 
     Only delivered lines are collected, and a delivered batch is bounded by
     the batch size or, for whole-file batches, by the memory guard of I7.
@@ -113,18 +112,36 @@ def batch_payload(items: DataFrame, sizes: DataFrame, memory_limit: int | None =
     fail = first_failures(lines, batch_stats(lines), memory_limit)
     d = (lines.join(fail, "job_id", "left")
          .where(F.col("_f").isNull() | (F.col("batch_no") < F.col("_f.batch_no"))))
-    # the map parsed once in annotate_lines travels with the row; rows are put
-    # in line order by a comparator on line_no (maps themselves are not orderable)
-    rows = d.groupBy("job_id", "batch_no").agg(F.array_sort(
-        F.collect_list(F.struct("line_no", F.col("_item").alias("item"))),
-        lambda a, b: F.when(a["line_no"] < b["line_no"], -1).when(a["line_no"] > b["line_no"], 1).otherwise(0)
-    ).alias("_rows"))
+    # (line_no, raw) structs sort natively (codegen); maps are not orderable,
+    # so each collected line is parsed after the sort
+    rows = d.groupBy("job_id", "batch_no").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("_rows"))
+    rows = rows.withColumn("_rows", F.transform("_rows", lambda r: F.struct(
+        r["line_no"].alias("line_no"), F.from_json(r["raw"], "map<string,string>").alias("item"))))
     keys = F.array_sort(F.array_distinct(F.flatten(F.transform("_rows", lambda r: F.map_keys(r["item"])))))
-    return (rows.select("job_id", "batch_no", "_rows", F.explode(keys).alias("key"))
+    return rows.withColumn("_keys", keys)
+
+
+def batch_payload(items: DataFrame, sizes: DataFrame, memory_limit: int | None = WEBHOOK_MEMORY_LIMIT) -> DataFrame:
+    """For every delivered batch, each key of the union of its rows' keys
+    with the values of all rows in line order ('' where a row lacks the key;
+    nested values as JSON text). Keys sorted (the reference used a set)."""
+    rows = delivered_rows(items, sizes, memory_limit)
+    return (rows.select("job_id", "batch_no", "_rows", F.explode("_keys").alias("key"))
             .select("job_id", "batch_no", "key",
                     F.transform("_rows", lambda r: F.coalesce(r["item"][F.col("key")], F.lit(""))).alias("values")))
 
 
+def form_bodies(items: DataFrame, sizes: DataFrame, memory_limit: int | None = WEBHOOK_MEMORY_LIMIT) -> DataFrame:
+    """I6 directly from the delivered batches: ``key=v1&key=v2&...`` per key
+    (sorted), percent-encoded, in one projection per batch (no regrouping)."""
+    rows = delivered_rows(items, sizes, memory_limit)
+    body = F.array_join(F.transform("_keys", lambda k: F.array_join(F.transform(
+        "_rows", lambda r: F.concat(quote_plus(k), F.lit("="), quote_plus(F.coalesce(r["item"][k], F.lit(""))))),
+        "&")), "&")
+    return rows.select("job_id", "batch_no", body.alias("body"))
+
+
 def quote_plus(s: Column) -> Column:
     """Form encoding as Python's ``quote_plus`` (Java leaves '*', encodes '~')."""
     e = F.url_encode(s)

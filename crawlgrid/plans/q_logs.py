@@ -228,7 +228,7 @@ SELECT job_id, batch_no, string_agg(e, '&' ORDER BY key) AS body FROM enc GROUP
 """)
 def q_i6(spark, sf):
     t = _t(spark, sf)
-    return I.form_encode(I.batch_payload(t.items, _sizes(t)))
+    return I.form_bodies(t.items, _sizes(t))
 
 
 @register("I10_page_items", """
