@@ -18,10 +18,6 @@ from crawlgrid.operators.aggregates import dedupe_eav
 
 NTZ = "timestamp_ntz"
 
-HISTORY_COLS = ["id", "spider_id", "project_name", "spider_name", "fire_time", "start_time",
-                "complete_time", "status", "items_count"]
-
-
 def ts(as_of) -> Column:
     return as_of.cast(NTZ) if isinstance(as_of, Column) else F.lit(as_of).cast(NTZ)
 
