@@ -17,17 +17,22 @@ def resolve_spiders(requests: DataFrame, projects: DataFrame, spiders: DataFrame
                     by: str = "name") -> DataFrame:
     """(owner, project, spider name) requests → spider id or a reason.
 
-    The project is looked up among the owner's projects, by id (``by='id'``)
-    or by name; 'project not found' is reported before 'spider not found'.
-    Duplicate spider names inside one project resolve to the lowest id.
+    ``by='id'``: the project is one of the requesting owner's projects, by id
+    (the web pages). ``by='name'``: the project is looked up by name alone,
+    without an owner check, the lowest id winning on duplicate names (the
+    REST API). 'project not found' is reported before 'spider not found';
+    duplicate spider names inside one project resolve to the lowest id.
     """
-    key = "project_id" if by == "id" else "project_name"
-    pcol = "id" if by == "id" else "name"
-    p = projects.select(F.col(pcol).alias("_pkey"), F.col("owner_id").alias("_owner"),
-                        F.col("id").alias("resolved_project_id"))
+    if by == "id":
+        p = projects.select(F.col("id").alias("_pkey"), F.col("owner_id").alias("_owner"),
+                            F.col("id").alias("resolved_project_id"))
+        cond = (requests.project_id == p._pkey) & (requests.owner_id == p._owner)
+    else:
+        p = projects.groupBy(F.col("name").alias("_pkey")).agg(F.min("id").alias("resolved_project_id"))
+        cond = requests.project_name == p._pkey
     s = (spiders.groupBy(F.col("project_id").alias("_sp_project"), F.col("name").alias("_sp_name"))
          .agg(F.min("id").alias("spider_id")))
-    r = requests.join(p, (requests[key] == p._pkey) & (requests.owner_id == p._owner), "left")
+    r = requests.join(p, cond, "left")
     r = r.join(s, (r.resolved_project_id == s._sp_project) & (r.spider_name == s._sp_name), "left")
     reason = (F.when(F.col("resolved_project_id").isNull(), F.lit("project not found"))
               .when(F.col("spider_id").isNull(), F.lit("spider not found")))

@@ -166,7 +166,7 @@ WITH res AS (
   SELECT r.req_id, s.spider_id, r.cron,
          CASE WHEN p.id IS NULL THEN 'project not found' WHEN s.spider_id IS NULL THEN 'spider not found' END AS reason
   FROM v_requests r
-  LEFT JOIN v_projects p ON p.name = r.project_name AND p.owner_id = r.owner_id
+  LEFT JOIN (SELECT name, min(id) AS id FROM v_projects GROUP BY name) p ON p.name = r.project_name
   LEFT JOIN (SELECT project_id, name, min(id) AS spider_id FROM v_spiders GROUP BY 1, 2) s
          ON s.project_id = p.id AND s.name = r.spider_name),
 x AS (SELECT res.*, EXISTS (SELECT 1 FROM v_triggers t WHERE t.spider_id = res.spider_id

@@ -32,7 +32,7 @@ def _requests(t):
 @register("L1_enqueue", f"""
 WITH res AS (
   SELECT r.req_id, s.spider_id FROM v_requests r
-  JOIN v_projects p ON p.name = r.project_name AND p.owner_id = r.owner_id
+  JOIN (SELECT name, min(id) AS id FROM v_projects GROUP BY name) p ON p.name = r.project_name
   JOIN (SELECT project_id, name, min(id) AS spider_id FROM v_spiders GROUP BY 1, 2) s
     ON s.project_id = p.id AND s.name = r.spider_name),
 tag AS (SELECT spider_id, arg_min(value, id) AS tag FROM v_settings WHERE setting_key = 'tag' GROUP BY 1)
