@@ -41,7 +41,8 @@ def main() -> None:
 
     # spark.checkpoint.dir is taken from the session; the library sets a
     # local one only when none is configured (as here, on one machine)
-    spark = get_spark(f"local[{cpus}]", app="crawlgrid-bench", shuffle_partitions=int(cpus) * 2,
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(cpus) * 2))  # AQE coalesces further
+    spark = get_spark(f"local[{cpus}]", app="crawlgrid-bench", shuffle_partitions=partitions,
                       extra={"spark.driver.memory": "16g"})
     load_all()
     names = [n for n in (sys.argv[1:] or HEADLINE) if n in QUERIES]
