@@ -65,7 +65,8 @@ SNOWFLAKE_DATACENTER_BITS = 5
 TRUE_WORDS = ["yes", "true", "t", "1", "on"]
 
 # --- fixed values: failed-job mail --------------------------------------
-FAIL_MAIL_SUBJECT = "scrapydd job failed"
+# the server puts its own product name before " job failed"; ours is a parameter
+FAIL_MAIL_SUBJECT = "crawl job failed"
 FAIL_MAIL_BODY = "bot:%s \r\nspider:%s \r\n job_id:%s \r\n"
 
 # --- fixed values: storage layouts --------------------------------------

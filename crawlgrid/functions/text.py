@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crawlgrid.constants import TRUE_WORDS
+from crawlgrid.constants import (TRUE_WORDS, V1_ITEMS_PATH, V1_LOG_PATH, V1_PACKAGE_PATH, V2_ITEMS_PATH,
+                                 V2_LOG_PATH, V2_PACKAGE_PATH)
 
 
 def _c(x) -> Column:
@@ -46,11 +47,11 @@ def job_path(storage_version, project_name, project_id, spider_name, job_id, kin
     an unknown layout."""
     sv = _c(storage_version)
     if kind == "log":
-        v1 = F.format_string("logs/%s/%s/%s.log", _c(project_name), _c(spider_name), _c(job_id))
-        v2 = F.format_string("projects/%s/spiders/%s/jobs/%s/job.log", _c(project_id), _c(spider_name), _c(job_id))
+        v1 = F.format_string(V1_LOG_PATH, _c(project_name), _c(spider_name), _c(job_id))
+        v2 = F.format_string(V2_LOG_PATH, _c(project_id), _c(spider_name), _c(job_id))
     elif kind == "items":
-        v1 = F.format_string("items/%s/%s/%s.jl", _c(project_name), _c(spider_name), _c(job_id))
-        v2 = F.format_string("projects/%s/spiders/%s/jobs/%s/items.jl", _c(project_id), _c(spider_name), _c(job_id))
+        v1 = F.format_string(V1_ITEMS_PATH, _c(project_name), _c(spider_name), _c(job_id))
+        v2 = F.format_string(V2_ITEMS_PATH, _c(project_id), _c(spider_name), _c(job_id))
     else:
         raise ValueError(kind)
     return F.when(sv == 1, v1).when(sv == 2, v2)
@@ -60,8 +61,8 @@ def package_path(storage_version, project_name, project_id, version) -> Column:
     """package file of a project version (version sanitized as F8)."""
     sv = _c(storage_version)
     v = sanitize_version(_c(version).cast("string"))
-    return (F.when(sv == 1, F.format_string("eggs/%s/%s.egg", _c(project_name), v))
-            .when(sv == 2, F.format_string("projects/%s/eggs/%s.egg", _c(project_id), v)))
+    return (F.when(sv == 1, F.format_string(V1_PACKAGE_PATH, _c(project_name), v))
+            .when(sv == 2, F.format_string(V2_PACKAGE_PATH, _c(project_id), v)))
 
 
 def iso_json_ts(ts) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from crawlgrid.constants import FAIL, FAIL_MAIL_SUBJECT
+from crawlgrid.constants import FAIL, FAIL_MAIL_BODY, FAIL_MAIL_SUBJECT
 from crawlgrid.functions.text import job_path, package_path
 from crawlgrid.operators.aggregates import dedupe_eav
 
@@ -61,7 +61,7 @@ def completion_feed(finished: DataFrame, spiders: DataFrame, projects: DataFrame
 
 
 def failed_job_alerts(finished: DataFrame, spiders: DataFrame, projects: DataFrame,
-                      enabled: bool, receiver: str) -> DataFrame:
+                      enabled: bool, receiver: str, subject: str = FAIL_MAIL_SUBJECT) -> DataFrame:
     """One mail row per job that finished with status 3, when enabled.
     The body names the job's project through its spider (jobs whose spider
     is gone cannot be addressed and are skipped)."""
@@ -71,8 +71,8 @@ def failed_job_alerts(finished: DataFrame, spiders: DataFrame, projects: DataFra
          .join(p, F.col("_spid") == p._pid))
     if not enabled:
         j = j.where(F.lit(False))
-    body = F.format_string("bot:%s \r\nspider:%s \r\n job_id:%s \r\n", F.col("_pname"), F.col("spider_name"), F.col("id"))
-    return j.select(F.col("id").alias("job_id"), F.lit(FAIL_MAIL_SUBJECT).alias("subject"), body.alias("body"),
+    body = F.format_string(FAIL_MAIL_BODY, F.col("_pname"), F.col("spider_name"), F.col("id"))
+    return j.select(F.col("id").alias("job_id"), F.lit(subject).alias("subject"), body.alias("body"),
                     F.lit(receiver).alias("receiver"))
 
 

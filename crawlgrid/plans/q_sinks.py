@@ -63,7 +63,7 @@ def q_w4(spark, sf):
 
 
 @register("W5_failed_job_alerts", """
-SELECT h.id AS job_id, 'scrapydd job failed' AS subject,
+SELECT h.id AS job_id, 'crawl job failed' AS subject,
        'bot:' || p.name || ' ' || chr(13) || chr(10) || 'spider:' || h.spider_name || ' ' || chr(13) || chr(10)
        || ' job_id:' || h.id || ' ' || chr(13) || chr(10) AS body,
        'ops@example.com' AS receiver
