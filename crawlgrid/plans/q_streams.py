@@ -47,7 +47,26 @@ def q_x2(spark, sf):
     return run_append(liveness.node_state_stream(_stream(spark, sf).beats, 6 * 3600, DELAY), "x2")
 
 
-@register("X3_job_timeout_stream")
+# With availableNow the stream runs one data batch, then one no-data batch at
+# watermark = max event time - 10 min; a job's timer (its earliest deadline)
+# fires iff it lies below that watermark. A fail timer set in that last batch
+# fires only if the watermark has already passed it.
+@register("X3_job_timeout_stream", """
+WITH to_ AS (SELECT spider_id, TRY_CAST(trim(arg_min(value, id)) AS BIGINT) AS t FROM v_settings
+             WHERE setting_key = 'timeout' GROUP BY 1),
+j AS (SELECT q.id, q.start_time AS s, greatest(q.start_time, q.update_time) AS l, coalesce(to_.t, 3600) AS t
+      FROM v_queue q LEFT JOIN to_ ON to_.spider_id = q.spider_id WHERE q.status = 1),
+wm AS (SELECT max(greatest(start_time, update_time)) - INTERVAL 10 MINUTE AS w FROM v_queue WHERE status = 1),
+x AS (SELECT id, s, s + to_seconds(t) AS stop_at, l + INTERVAL 60 SECOND AS req_at FROM j),
+due AS (SELECT x.* FROM x, wm WHERE least(stop_at, req_at) < w)
+SELECT id AS job_id, 'stop' AS action, stop_at AS at FROM due WHERE stop_at <= req_at
+UNION ALL
+SELECT id, 'fail', stop_at FROM due, wm
+WHERE stop_at <= req_at AND (greatest(stop_at, s + INTERVAL 120 SECOND) = stop_at
+                             OR greatest(stop_at, s + INTERVAL 120 SECOND) <= w)
+UNION ALL
+SELECT id, 'requeue', req_at FROM due WHERE stop_at > req_at
+""")
 def q_x3(spark, sf):
     ev = jobs.job_events(_stream(spark, sf).queue)
     return run_append(jobs.job_timeout_stream(ev, _static(spark, sf).settings, "10 minutes"), "x3")
