@@ -42,7 +42,21 @@ def q_x1(spark, sf):
     return run_append(liveness.node_liveness_stream(_stream(spark, sf).beats, GAP, DELAY), "x1")
 
 
-@register("X2_node_state_stream")
+# Transitions in the data batch: 'online' at each session start and 'offline'
+# where a later beat opens a new session; a node's last session goes offline
+# only if its timer (last beat + gap, in ms) lies below the final watermark.
+@register("X2_node_state_stream", f"""
+WITH b AS (SELECT node_id, date_trunc('millisecond', ts) AS t FROM v_beats),
+g AS (SELECT node_id, t, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w >= INTERVAL {GAP} THEN 1 ELSE 0 END AS new
+      FROM b WINDOW w AS (PARTITION BY node_id ORDER BY t)),
+s AS (SELECT node_id, sum(new) OVER (PARTITION BY node_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid, t FROM g),
+sess AS (SELECT node_id, sid, min(t) AS a, max(t) AS z, max(sid) OVER (PARTITION BY node_id) AS last_sid
+         FROM s GROUP BY node_id, sid),
+wm AS (SELECT date_trunc('millisecond', max(ts) - INTERVAL {DELAY}) AS w FROM v_beats)
+SELECT node_id, 'online' AS event, a AS at FROM sess
+UNION ALL
+SELECT node_id, 'offline', z + INTERVAL {GAP} FROM sess, wm WHERE sid < last_sid OR z + INTERVAL {GAP} < w
+""")
 def q_x2(spark, sf):
     return run_append(liveness.node_state_stream(_stream(spark, sf).beats, 6 * 3600, DELAY), "x2")
 
