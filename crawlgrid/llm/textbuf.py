@@ -151,3 +151,40 @@ def binary_array(buf: np.ndarray, offs: np.ndarray) -> pa.Array:
     """An Arrow binary array from bytes and offsets."""
     return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs, np.int64)),
                                                                      pa.py_buffer(np.ascontiguousarray(buf))]).cast(pa.binary())
+
+
+def leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least value of each window of ``width`` (by the upper 40
+    bits; the leftmost of equals). Needs fewer than 2**24 values."""
+    low = U64((1 << 24) - 1)
+    m = (values & ~low) | np.arange(len(values), dtype=U64)
+    span = 1
+    while 2 * span <= width:
+        m = np.minimum(m[:-span], m[span:])
+        span *= 2
+    if span < width:
+        m = np.minimum(m[:span - width], m[width - span:])
+    return (m & low).astype(np.int64)
+
+
+def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of n places lie in [start, start + width) of any start."""
+    mark = np.zeros(n + 1, np.int32)
+    mark[:-1][starts] = 1
+    total = np.cumsum(mark[:-1], dtype=np.int32)
+    out = total.copy()
+    out[width:] -= total[:-width] if n > width else total[:0]
+    return out > 0
+
+
+def span_lists(flags: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """For each row, its maximal runs of True as (start, end) within the row."""
+    n = len(offs) - 1
+    at = np.arange(len(flags)) + np.repeat(np.arange(n), np.diff(offs)) if len(flags) else np.zeros(0, np.int64)
+    fence = np.zeros(len(flags) + n, bool)  # a gap after each row ends its runs
+    fence[at] = flags
+    s, e = runs(fence)
+    row = np.searchsorted(offs[1:] + np.arange(n), s, "right") if len(s) else np.zeros(0, np.int64)
+    s, e = s - row - offs[row], e - row - offs[row]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(s), pa.array(e)], ["start", "end"]))
