@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from crawlgrid.session import scratch_dir
 
-from . import bpe, fm_decontam, quality, suffix_refine, warc
+from . import bpe, ctw, fm_decontam, quality, substring_doubling, suffix_refine, warc
 from .registry import register
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,3 +61,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = suffix_refine.dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), sha(F.col("kept")).alias("kept_sha256"))
+
+
+@register("op7_substring_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_doubling.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return got.select("doc_id", "n_words", removed.alias("n_removed"), sha(F.col("kept")).alias("kept_sha256"))
+
+
+@register("op1_context_tree_weighting")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ctw.score(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -155,7 +155,10 @@ def binary_array(buf: np.ndarray, offs: np.ndarray) -> pa.Array:
 
 def leftmost_min(values: np.ndarray, width: int) -> np.ndarray:
     """Place of the least value of each window of ``width`` (by the upper 40
-    bits; the leftmost of equals). Needs fewer than 2**24 values."""
+    bits; the leftmost of equals)."""
+    step = 1 << 23
+    if len(values) > step + width:  # places must fit 24 bits
+        return np.concatenate([leftmost_min(values[a:a + step + width - 1], width) + a for a in range(0, len(values) - width + 1, step)])
     low = U64((1 << 24) - 1)
     m = (values & ~low) | np.arange(len(values), dtype=U64)
     span = 1
