@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from crawlgrid.session import scratch_dir
 
-from . import bpe, ctw, fm_decontam, quality, substring_doubling, suffix_refine, warc
+from . import bpe, chosen_path, ctw, fm_decontam, quality, substring_doubling, suffix_refine, warc
 from .registry import register
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -74,3 +74,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = ctw.score(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@register("op8_ngram_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = chosen_path.join(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "class_id", "copies", "n_links", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
