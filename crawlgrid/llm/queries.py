@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from crawlgrid.session import scratch_dir
 
-from . import bpe, chosen_path, ctw, fm_decontam, quality, subspace_join, substring_doubling, suffix_refine, warc
+from . import bpe, chosen_path, ctw, fm_decontam, license_scan, quality, subspace_join, substring_doubling, suffix_refine, warc
 from .registry import register
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -86,3 +86,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = subspace_join.join(table(spark, sf_dir, "embeddings"))
     return got.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+@register("op6_license_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
