@@ -27,6 +27,7 @@ rows count as copies.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -93,7 +94,16 @@ def fraction(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-SKETCH = "doc_id long, s1 long, s2 long, size long, signature binary, paths array<long>"
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """Tells rows apart that share an id but not a text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+
+
+SKETCH = "doc_id long, key long, s1 long, s2 long, size long, signature binary, paths array<long>"
 
 
 def sketch(docs: DataFrame, n: int, threshold: float, runs: int, id_col: str, text_col: str) -> DataFrame:
@@ -103,7 +113,7 @@ def sketch(docs: DataFrame, n: int, threshold: float, runs: int, id_col: str, te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot_seeds, run_seeds = seeds(SLOTS), seeds(SLOTS + runs)[SLOTS:]
         for batch in batches:
-            whole, ends = buffer_of(batch.column(1))
+            whole, ends = buffer_of(batch.column(2))
             for i, j in slices(ends):
                 h, cut = shingle_sets(whole[ends[i]:ends[j]], ends[i:j + 1] - ends[i], n)
                 size = np.diff(cut)
@@ -124,11 +134,11 @@ def sketch(docs: DataFrame, n: int, threshold: float, runs: int, id_col: str, te
                 order = np.argsort(owner, kind="stable")
                 path_cut = np.searchsorted(owner[order], np.append(on, len(size)))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, j - i).take(pa.array(on)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(size[on]),
+                    *(c.slice(i, j - i).take(pa.array(on)) for c in batch.columns[:2]), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(size[on]),
                     pa.array([x.tobytes() for x in signature], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(path_cut.astype(np.int32)), pa.array(picked[order].view(np.int64)))], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
+    return keyed(docs, id_col, text_col).select("doc_id", "key", "text").mapInArrow(run, SKETCH)
 
 
 def split_further(rows: DataFrame, threshold: float) -> DataFrame:
@@ -298,9 +308,9 @@ def _compare(a: int, b: int, cols: list[pa.Array], num: int, den: int, names: li
 
 def join(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, copies, n_links, component_id) of each row: the least
-    id with an equal set, the rows with that set, the other rows linked
-    directly, and the least id reachable by links."""
+    """(doc_id, key, class_id, copies, n_links, component_id) of each row: its
+    ``row_key``, the least id with an equal set, the rows with that set, the
+    other rows linked directly, and the least id reachable by links."""
     spark = docs.sparkSession
     num, den = threshold
     share = num / den
@@ -318,10 +328,21 @@ def join(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[int, int] = T
     known = (classes.join(links, "node", "left").join(roots, "node", "left")
              .select("s1", "s2", F.col("rep").alias("class_id"), "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
                      F.coalesce(F.col("root.rep"), F.col("rep")).alias("component_id")))
-    has = rows.where("doc_id is not null").select("doc_id", "s1", "s2").join(known, ["s1", "s2"]).select("doc_id", "class_id", "copies", "n_links", "component_id", "s1")
+    has = rows.where("doc_id is not null").select("doc_id", "key", "s1", "s2").join(known, ["s1", "s2"]).select("doc_id", "key", "class_id", "copies", "n_links", "component_id")
     one = F.lit(1).cast("long")
-    lone = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    lone = keyed(docs, id_col, text_col)
     lone = lone.where(F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    lone = lone.select("doc_id", F.col("doc_id").alias("class_id"), one.alias("copies"), F.lit(0).cast("long").alias("n_links"),
-                       F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("s1"))
+    lone = lone.select("doc_id", "key", F.col("doc_id").alias("class_id"), one.alias("copies"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return has.unionByName(lone)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the least of their group; of repeated
+    rows (id and text) with shingles one stays."""
+    got = join(docs, id_col=id_col, text_col=text_col, **options)
+    stay = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("key").agg(F.count("*").alias("rows"), F.max("copies").alias("copies")).checkpoint()
+    name = "_row_key_" + uuid.uuid4().hex
+    kept = docs.withColumn(name, row_key(id_col, text_col)).join(stay.select(F.col("key").alias(name)), name, "left_semi")
+    if not stay.where("rows > 1 and copies > 1").isEmpty():
+        kept = kept.dropDuplicates([name])
+    return kept.select(*docs.columns)
