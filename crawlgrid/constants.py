@@ -29,7 +29,6 @@ KILL_GRACE = 120
 NODE_TIMEOUT = 60
 SESSION_GUARD = 60
 HISTORY_KEEP = 100
-HISTORY_SCAN = 1000
 RUNNING_LIMIT = 1
 RECENT_FINISHED = 100
 KEY_QUOTA = 10

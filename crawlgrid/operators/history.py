@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crawlgrid.operators.ranking import row_number_within
-from crawlgrid.constants import HISTORY_KEEP, HISTORY_SCAN, NODE_KEY_LIFETIME, RECENT_FINISHED
+from crawlgrid.constants import HISTORY_KEEP, NODE_KEY_LIFETIME, RECENT_FINISHED
 
 
 def _purge_rank(history: DataFrame) -> DataFrame:
@@ -16,22 +16,29 @@ def _purge_rank(history: DataFrame) -> DataFrame:
     return history.withColumn("rank", F.row_number().over(w))
 
 
-def history_to_purge(history: DataFrame, keep: int = HISTORY_KEEP,
-                     scan: int = HISTORY_SCAN) -> DataFrame:
-    """Per spider, the jobs ranked keep+1 .. scan by complete_time desc.
+def history_to_purge(history: DataFrame, keep: int = HISTORY_KEEP, scan: int | None = None) -> DataFrame:
+    """Per spider, the jobs ranked beyond ``keep`` by complete_time desc.
 
-    The ``rank <= scan`` bound lets Catalyst insert a WindowGroupLimit below
-    the shuffle, so even a spider holding a third of all rows ships at most
-    ``scan`` rows per map task.
+    They are the history without what stays (T2), an anti join on the job id
+    (a uniform key), so no spider's whole history is sorted in one task. With
+    ``scan`` only the slice keep+1 .. scan is taken, as one sweep of a
+    repeated purge does; the bound becomes a WindowGroupLimit below the
+    shuffle.
     """
-    r = _purge_rank(history)
-    return r.where((F.col("rank") > keep) & (F.col("rank") <= scan))
-
-
-def history_after_purge(history: DataFrame, keep: int = HISTORY_KEEP,
-                        scan: int = HISTORY_SCAN) -> DataFrame:
-    """History minus T1. An anti join on the job id (uniform key) instead of
-    a full window over each spider's whole history."""
+    if scan is not None:
+        r = _purge_rank(history)
+        return r.where((F.col("rank") > keep) & (F.col("rank") <= scan)).drop("rank")
+    stay = history_after_purge(history, keep).select(F.col("id").alias("_stay"))
+    return history.join(stay, history.id == stay._stay, "left_anti")
+
+
+def history_after_purge(history: DataFrame, keep: int = HISTORY_KEEP, scan: int | None = None) -> DataFrame:
+    """What stays: each spider's first ``keep`` jobs. The rank bound becomes
+    a WindowGroupLimit below the shuffle: a spider holding a third of all rows
+    ships at most ``keep`` of them per map task. With ``scan`` (one slice of a
+    repeated purge) the jobs beyond it stay, too."""
+    if scan is None:
+        return _purge_rank(history).where(F.col("rank") <= keep).drop("rank")
     gone = history_to_purge(history, keep, scan).select(F.col("id").alias("_gone"))
     return history.join(gone, history.id == gone._gone, "left_anti")
 

@@ -322,8 +322,10 @@ def settings_upsert(settings: DataFrame, parameters: DataFrame, figures: DataFra
     kv = kv.groupBy("spider_id", "parameter_key").agg(F.max_by("value", "pos").alias("value"),
                                                       F.min("pos").alias("_pos"))
     max_pid = parameters.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    # a spider's new ids lie in a range of its own, as long as the longest form
+    width = forms.select(F.coalesce(F.max(F.size("param_keys")), F.lit(0)).cast("long") + 1).scalar()
     new_params = (parameters.join(forms.select("spider_id"), "spider_id", "left_anti")
-                  .unionByName(kv.select((max_pid + 1 + F.col("spider_id") * 64 + F.col("_pos")).alias("id"),
+                  .unionByName(kv.select((max_pid + 1 + F.col("spider_id") * width + F.col("_pos")).alias("id"),
                                          "spider_id", "parameter_key", "value")))
     # figure: only valid JSON is stored
     fj = forms.where(F.col("figure_json").isNotNull() & (F.col("figure_json") != "")

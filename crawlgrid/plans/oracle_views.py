@@ -13,7 +13,7 @@ SEG = "['automobile','building','furniture','household','machinery']"
 
 
 def _jid(expr: str) -> str:
-    return f"('j' || lpad(CAST({expr} AS VARCHAR), 10, '0'))"
+    return f"('j' || CAST({expr} AS VARCHAR))"
 
 
 VIEWS: dict[str, str] = {}
@@ -191,9 +191,9 @@ SELECT user_id AS node_id, {_jid('event_id * 3')} AS job_id, ts
 FROM events WHERE event_type = 'error'"""
 
 VIEWS["v_completions"] = f"""
-SELECT event_id AS completion_id, {_jid('event_id * 3')} AS job_id,
+SELECT event_id AS completion_id, {_jid('(event_id - event_id % 2) * 3')} AS job_id,
        CASE WHEN event_id % 4 = 0 THEN NULL
-            ELSE (event_id * 3) // 150 + CASE WHEN event_id % 10 = 1 THEN 1 ELSE 0 END END AS node_id,
+            ELSE ((event_id - event_id % 2) * 3) // 150 + CASE WHEN event_id % 10 = 1 THEN 1 ELSE 0 END END AS node_id,
        CASE WHEN event_type IN ('purchase', 'view') THEN 'success'
             WHEN event_type IN ('error', 'click') THEN 'fail' ELSE 'bogus' END AS status,
        ts

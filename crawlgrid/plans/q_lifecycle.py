@@ -369,7 +369,7 @@ last AS (SELECT spider_id, parameter_key, arg_max(value, pos) AS value, min(pos)
          WHERE parameter_key <> '' GROUP BY 1, 2)
 SELECT * FROM v_parameters WHERE spider_id NOT IN (SELECT spider_id FROM v_forms)
 UNION ALL
-SELECT (SELECT coalesce(max(id), 0) FROM v_parameters) + 1 + spider_id * 64 + p0, spider_id, parameter_key, value
+SELECT (SELECT coalesce(max(id), 0) FROM v_parameters) + 1 + spider_id * (SELECT coalesce(max(len(param_keys)), 0) + 1 FROM v_forms) + p0, spider_id, parameter_key, value
 FROM last
 """)
 def q_l15p(spark, sf):

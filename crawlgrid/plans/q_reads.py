@@ -155,15 +155,15 @@ _PURGE_RANK = """ranked AS (SELECT *, row_number() OVER (PARTITION BY spider_id
                    ORDER BY complete_time DESC NULLS LAST, id) AS rank FROM v_history)"""
 
 
-@register("T1_history_to_purge", f"WITH {_PURGE_RANK} SELECT * FROM ranked WHERE rank > 2 AND rank <= 5")
+@register("T1_history_to_purge", f"WITH {_PURGE_RANK} SELECT * EXCLUDE (rank) FROM ranked WHERE rank > 2")
 def q_t1(spark, sf):
-    return T.history_to_purge(_t(spark, sf).history, keep=2, scan=5)
+    return T.history_to_purge(_t(spark, sf).history, keep=2)
 
 
 @register("T2_history_after_purge",
-          f"WITH {_PURGE_RANK} SELECT * EXCLUDE (rank) FROM ranked WHERE NOT (rank > 2 AND rank <= 5)")
+          f"WITH {_PURGE_RANK} SELECT * EXCLUDE (rank) FROM ranked WHERE rank <= 2")
 def q_t2(spark, sf):
-    return T.history_after_purge(_t(spark, sf).history, keep=2, scan=5)
+    return T.history_after_purge(_t(spark, sf).history, keep=2)
 
 
 @register("T4_recent_finished",

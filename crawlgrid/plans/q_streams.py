@@ -1,8 +1,9 @@
 """Registered queries for the Structured Streaming operators X1-X8.
 
-Each query runs its stream over the driver tables as a file source with
-``availableNow`` (all data, then stop) into a sink under the checkpoint
-folder, and returns the sink's contents.
+Each query feeds its table to the stream in several parts (``replay``), so it
+takes several micro-batches, out of order where the operator allows it, into a
+sink under the checkpoint folder, and returns the sink's contents. The oracles
+don't depend on where the feed is cut.
 """
 
 from __future__ import annotations
@@ -15,20 +16,17 @@ from crawlgrid.plans.oracle_views import with_views
 from crawlgrid.session import scratch_dir
 from crawlgrid.sources.adapters import DriverTables
 from crawlgrid.streaming import feeds, jobs, liveness
-from crawlgrid.streaming.runner import latest_per_key, run_append, run_batches
+from crawlgrid.streaming.runner import latest_per_key, replay, run_append, run_batches
 
 GAP = "6 hours"
 DELAY = "1 hour"
+JITTER = 1800      # seconds out of order, within the delay
 
 
 def _static(spark, sf):
     return DriverTables(spark, sf)
 
 
-def _stream(spark, sf, max_files=1):
-    return DriverTables(spark, sf, streaming=True, max_files_per_trigger=max_files)
-
-
 @register("X1_node_liveness_stream", f"""
 WITH g AS (SELECT node_id, ts,
                   CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL {GAP} THEN 1 ELSE 0 END AS new
@@ -39,51 +37,49 @@ sess AS (SELECT node_id, min(ts) AS online_from, max(ts) + INTERVAL {GAP} AS off
 SELECT * FROM sess WHERE offline_at <= (SELECT max(ts) FROM v_beats) - INTERVAL {DELAY}
 """)
 def q_x1(spark, sf):
-    return run_append(liveness.node_liveness_stream(_stream(spark, sf).beats, GAP, DELAY), "x1")
+    return run_append(liveness.node_liveness_stream(replay(_static(spark, sf).beats, "ts", jitter_seconds=JITTER), GAP, DELAY), "x1")
 
 
-# Transitions in the data batch: 'online' at each session start and 'offline'
-# where a later beat opens a new session; a node's last session goes offline
-# only if its timer (last beat + gap, in ms) lies below the final watermark.
+# Beats below the final watermark, in order of time: 'online' where a period
+# starts, 'offline' at its last beat + gap if that lies below the watermark.
 @register("X2_node_state_stream", f"""
-WITH b AS (SELECT node_id, date_trunc('millisecond', ts) AS t FROM v_beats),
+WITH wm AS (SELECT date_trunc('millisecond', max(ts) - INTERVAL {DELAY}) AS w FROM v_beats),
+b AS (SELECT node_id, date_trunc('millisecond', ts) AS t FROM v_beats, wm WHERE date_trunc('millisecond', ts) < wm.w),
 g AS (SELECT node_id, t, CASE WHEN lag(t) OVER w IS NULL OR t - lag(t) OVER w >= INTERVAL {GAP} THEN 1 ELSE 0 END AS new
       FROM b WINDOW w AS (PARTITION BY node_id ORDER BY t)),
 s AS (SELECT node_id, sum(new) OVER (PARTITION BY node_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid, t FROM g),
 sess AS (SELECT node_id, sid, min(t) AS a, max(t) AS z, max(sid) OVER (PARTITION BY node_id) AS last_sid
-         FROM s GROUP BY node_id, sid),
-wm AS (SELECT date_trunc('millisecond', max(ts) - INTERVAL {DELAY}) AS w FROM v_beats)
+         FROM s GROUP BY node_id, sid)
 SELECT node_id, 'online' AS event, a AS at FROM sess
 UNION ALL
 SELECT node_id, 'offline', z + INTERVAL {GAP} FROM sess, wm WHERE sid < last_sid OR z + INTERVAL {GAP} < w
 """)
 def q_x2(spark, sf):
-    return run_append(liveness.node_state_stream(_stream(spark, sf).beats, 6 * 3600, DELAY), "x2")
+    return run_append(liveness.node_state_stream(replay(_static(spark, sf).beats, "ts", jitter_seconds=JITTER), 6 * 3600, DELAY), "x2")
 
 
-# With availableNow the stream runs one data batch, then one no-data batch at
-# watermark = max event time - 10 min; a job's timer (its earliest deadline)
-# fires iff it lies below that watermark. A fail timer set in that last batch
-# fires only if the watermark has already passed it.
+# Events and deadlines below the final watermark (max event time - 10 min), in
+# order of time. An update within 60 s of the start moves the requeue deadline;
+# one that comes later finds the job requeued already.
 @register("X3_job_timeout_stream", """
 WITH to_ AS (SELECT spider_id, TRY_CAST(trim(arg_min(value, id)) AS BIGINT) AS t FROM v_settings
              WHERE setting_key = 'timeout' GROUP BY 1),
-j AS (SELECT q.id, q.start_time AS s, greatest(q.start_time, q.update_time) AS l, coalesce(to_.t, 3600) AS t
+j AS (SELECT q.id, q.start_time AS s, q.update_time AS u, coalesce(to_.t, 3600) AS t
       FROM v_queue q LEFT JOIN to_ ON to_.spider_id = q.spider_id WHERE q.status = 1),
 wm AS (SELECT max(greatest(start_time, update_time)) - INTERVAL 10 MINUTE AS w FROM v_queue WHERE status = 1),
-x AS (SELECT id, s, s + to_seconds(t) AS stop_at, l + INTERVAL 60 SECOND AS req_at FROM j),
-due AS (SELECT x.* FROM x, wm WHERE least(stop_at, req_at) < w)
-SELECT id AS job_id, 'stop' AS action, stop_at AS at FROM due WHERE stop_at <= req_at
+x AS (SELECT id, s, s + to_seconds(t) AS stop_at,
+             CASE WHEN u > s AND u <= s + INTERVAL 60 SECOND THEN u ELSE s END + INTERVAL 60 SECOND AS req_at FROM j)
+SELECT id AS job_id, 'stop' AS action, stop_at AS at FROM x, wm WHERE stop_at <= req_at AND stop_at < w
 UNION ALL
-SELECT id, 'fail', stop_at FROM due, wm
-WHERE stop_at <= req_at AND (greatest(stop_at, s + INTERVAL 120 SECOND) = stop_at
-                             OR greatest(stop_at, s + INTERVAL 120 SECOND) <= w)
+SELECT id, 'fail', greatest(stop_at, s + INTERVAL 120 SECOND) FROM x, wm
+WHERE stop_at <= req_at AND greatest(stop_at, s + INTERVAL 120 SECOND) < w
 UNION ALL
-SELECT id, 'requeue', req_at FROM due WHERE stop_at > req_at
+SELECT id, 'requeue', req_at FROM x, wm WHERE stop_at > req_at AND req_at < w
 """)
 def q_x3(spark, sf):
-    ev = jobs.job_events(_stream(spark, sf).queue)
-    return run_append(jobs.job_timeout_stream(ev, _static(spark, sf).settings, "10 minutes"), "x3")
+    st = _static(spark, sf)
+    ev = replay(jobs.job_events(st.queue), "ts", jitter_seconds=300)
+    return run_append(jobs.job_timeout_stream(ev, st.settings, "10 minutes"), "x3")
 
 
 def _x4_sql():
@@ -110,14 +106,15 @@ FROM f WHERE fire_time >= (SELECT a FROM span) AND fire_time < (SELECT b FROM sp
 @register("X4_cron_fire_stream", _x4_sql())
 def q_x4(spark, sf):
     st = _static(spark, sf)
-    clock = _stream(spark, sf).raw("events").select("ts")
-    out = run_batches(clock, "x4", feeds.cron_fire_batches(st.triggers, st.spiders, st.projects))
+    clock = replay(st.raw("events").select("ts"), "ts")
+    out = run_batches(clock, "x4", feeds.cron_fire_batches(st.triggers, st.spiders, st.projects, scratch_dir(spark, "x4-ends")))
     return out.drop("batch_id")
 
 
 @register("X5_completion_stream")
 def q_x5(spark, sf):
-    return run_append(jobs.completion_stream(_stream(spark, sf).completions, _static(spark, sf).queue, DELAY), "x5")
+    st = _static(spark, sf)
+    return run_append(jobs.completion_stream(replay(st.completions, "ts"), st.queue), "x5")
 
 
 @register("X6_item_ingest_stream", "SELECT job_id, count(*) AS lines FROM v_items GROUP BY job_id")
@@ -133,21 +130,21 @@ def q_x6(spark, sf):
 @register("X7_completion_feed_stream")
 def q_x7(spark, sf):
     st = _static(spark, sf)
-    feed = feeds.completion_feed_stream(_stream(spark, sf).history, st.spiders, st.projects, st.settings)
+    feed = feeds.completion_feed_stream(replay(st.history, "complete_time"), st.spiders, st.projects, st.settings)
     return run_batches(feed, "x7", feeds.observer_batches()).drop("batch_id")
 
 
 @register("X7_alert_stream")
 def q_x7b(spark, sf):
     st = _static(spark, sf)
-    alerts = feeds.alert_stream(_stream(spark, sf).history, st.spiders, st.projects, True, "ops@example.com")
+    alerts = feeds.alert_stream(replay(st.history, "complete_time"), st.spiders, st.projects, True, "ops@example.com")
     return run_append(alerts, "x7-alerts")
 
 
 @register("X8_running_report_stream")
 def q_x8(spark, sf):
     st = _static(spark, sf)
-    return run_batches(_stream(spark, sf).reports, "x8", jobs.running_report_batches(st.queue)).drop("batch_id")
+    return run_append(jobs.running_report_stream(replay(st.reports, "ts"), st.queue), "x8")
 
 
 def _reuse(target: str, source: str):
@@ -166,7 +163,7 @@ SELECT * FROM (
          ON q.id = c.job_id AND (c.node_id IS NULL OR c.node_id = q.node_id)
   CROSS JOIN LATERAL (SELECT CASE WHEN c.status NOT IN ('success', 'fail') THEN 'invalid status'
                                   WHEN q.id IS NULL THEN 'job not found' END AS reason) r)
-WHERE accepted""")
+WHERE accepted QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, completion_id) = 1""")
     _reuse("X7_completion_feed_stream", "W4_completion_feed")
     _reuse("X7_alert_stream", "W5_failed_job_alerts")
     _reuse("X8_running_report_stream", "J5_kill_list")

@@ -12,20 +12,29 @@ from crawlgrid.operators.joins import fireable_triggers
 from crawlgrid.operators.sinks import completion_feed, failed_job_alerts
 
 
-def cron_fire_batches(triggers: DataFrame, spiders: DataFrame, projects: DataFrame,
+def cron_fire_batches(triggers: DataFrame, spiders: DataFrame, projects: DataFrame, ends: str,
                       clock_col: str = "ts") -> Callable[[DataFrame, int], DataFrame]:
     """For each micro-batch of a clock stream, the fires of every fireable
-    trigger in the batch's time span [min, max) (F2), as pending-job rows
-    whose id is md5(trigger, fire minute), so a replayed batch enqueues the
-    same ids. The span is two scalars of the batch; triggers stay a table."""
+    trigger (F2) from the end of the batch before to this batch's last tick,
+    as pending-job rows whose id is md5(trigger, fire minute), so a replayed
+    batch enqueues the same ids. The first batch begins at its first tick. A
+    batch's end is kept durably in the folder ``ends`` by batch id; ticks
+    older than the last end fire nothing. Spans are scalars; triggers stay a
+    table."""
     ok = fireable_triggers(triggers, spiders, projects).where(F.col("reason").isNull()).select(
         F.col("trigger_id").alias("id"), "spider_id", "cron_pattern")
 
     def fn(batch: DataFrame, batch_id: int) -> DataFrame:
-        span = batch.agg(F.min(clock_col).alias("a"), F.max(clock_col).alias("b")).first()
-        if span is None or span["a"] is None:
+        first, last = batch.agg(F.min(clock_col), F.max(clock_col)).first()
+        spark = batch.sparkSession
+        before = spark.read.parquet(ends).where(F.col("batch_id") < batch_id).agg(F.max("end")).first()[0] if batch_id else None
+        begin = before or first
+        end = max(x for x in (before, last) if x is not None) if before or last else None
+        (spark.range(1).select(F.lit(end).cast("timestamp_ntz").alias("end"))
+         .write.mode("overwrite").parquet(f"{ends}/batch_id={batch_id}"))
+        if begin is None:
             return None
-        fires = cron_fires(ok, str(span["a"]), str(span["b"]))
+        fires = cron_fires(ok, str(begin), str(end))
         return fires.select(
             F.md5(F.concat_ws("@", F.col("id").cast("string"), F.col("fire_time").cast("string"))).alias("job_id"),
             F.col("id").alias("trigger_id"), "spider_id", "fire_time", F.lit(0).alias("status"))

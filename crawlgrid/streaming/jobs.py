@@ -10,12 +10,13 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from crawlgrid.constants import DEFAULT_JOB_TIMEOUT, KILL_GRACE, UPDATE_GRACE
 from crawlgrid.operators.aggregates import dedupe_eav
-from crawlgrid.operators.joins import kill_list
 from crawlgrid.operators.lookup import completable
 from crawlgrid.streaming.runner import EVENT_TIME, event_time
 
 ACTIONS_OUT = "job_id string, action string, at timestamp"
-JOB_STATE = "start_ms long, update_ms long, timeout_s long, stopped_ms long"
+JOB_STATE = ("phase int, start_ms long, update_ms long, timeout_s long, stopped_ms long, "
+             "pending array<long>, pending_start array<int>")
+IDLE, RUNNING, STOPPING = 0, 1, 2
 
 
 def job_events(queue: DataFrame) -> DataFrame:
@@ -30,11 +31,14 @@ def job_events(queue: DataFrame) -> DataFrame:
 def job_timeout_stream(events: DataFrame, settings: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The L7 sweep driven by event-time timers instead of polling.
 
-    Per job the state is (start, last update, timeout). A timer is set at the
-    earlier of start + timeout (→ 'stop') and last update + 60 s (→
-    'requeue'). A stopped job is failed once 120 s have passed since its
-    start (→ 'fail'; at the stop itself when the timeout is ≥ 120 s).
-    ``settings`` is static (stream-static join for the timeout setting).
+    A running job is stopped at start + timeout, or requeued once more than
+    60 s have passed since its last update, whichever is first; a stopped job
+    is failed 120 s after its start (at the stop, if that is later). Events
+    wait in the state until the watermark passes them and are then taken in
+    order of time, deadlines between them, so the actions don't depend on how
+    the feed is cut into micro-batches. Updates of a job that isn't running
+    (stopping, requeued, not started) change nothing. ``settings`` is static
+    (stream-static join for the timeout setting).
     """
     to = (dedupe_eav(settings.where(F.col("setting_key") == "timeout"), "spider_id", "setting_key")
           .select("spider_id", F.trim("value").try_cast("long").alias("timeout_s")))
@@ -42,74 +46,94 @@ def job_timeout_stream(events: DataFrame, settings: DataFrame, delay: str = "10
          .select("job_id", "kind", EVENT_TIME,
                  F.coalesce("timeout_s", F.lit(DEFAULT_JOB_TIMEOUT)).alias("timeout_s")))
 
-    def ms_of(series):
-        return series.astype("datetime64[ns]").astype("int64").to_numpy() // 1_000_000
-
-    def emit(job_id, rows):
-        return pd.DataFrame({"job_id": [job_id] * len(rows), "action": [a for a, _ in rows],
-                             "at": pd.to_datetime([t for _, t in rows], unit="ms")})
-
     def step(key, frames, state):
-        job_id = key[0]
-        if state.hasTimedOut:
-            start_ms, update_ms, timeout_s, stopped_ms = state.get
-            out = []
-            if stopped_ms is None or stopped_ms < 0:
-                stop_at, requeue_at = start_ms + timeout_s * 1000, update_ms + UPDATE_GRACE * 1000
-                if stop_at <= requeue_at:
-                    out.append(("stop", stop_at))
-                    fail_at = max(stop_at, start_ms + KILL_GRACE * 1000)
-                    if fail_at == stop_at or fail_at <= state.getCurrentWatermarkMs():
-                        out.append(("fail", stop_at))
-                        state.remove()
-                    else:
-                        state.update((start_ms, update_ms, timeout_s, stop_at))
-                        state.setTimeoutTimestamp(fail_at)
-                else:
-                    out.append(("requeue", requeue_at))
-                    state.remove()
+        job_id, mark = key[0], state.getCurrentWatermarkMs()
+        phase, start, last, timeout_s, stopped, times, starts = state.get if state.exists else (IDLE, 0, 0, 0, 0, [], [])
+        pending = list(zip(times or [], starts or []))
+        if not state.hasTimedOut:
+            pdf = pd.concat(list(frames))
+            ms = pdf[EVENT_TIME].astype("datetime64[ns]").astype("int64").to_numpy() // 1_000_000
+            pending = sorted(pending + [(int(t), int(k == "start")) for t, k in zip(ms, pdf["kind"])], key=lambda x: (x[0], -x[1]))
+            timeout_s = int(pdf["timeout_s"].iloc[0])
+
+        def deadline():
+            if phase == RUNNING:
+                stop_at, requeue_at = start + timeout_s * 1000, last + UPDATE_GRACE * 1000
+                return (stop_at, "stop") if stop_at <= requeue_at else (requeue_at, "requeue")
+            return (max(stopped, start + KILL_GRACE * 1000), "fail") if phase == STOPPING else None
+
+        rows, k = [], 0
+        while True:
+            due = deadline()
+            if k < len(pending) and pending[k][0] < mark and (due is None or pending[k][0] <= due[0]):
+                at, is_start = pending[k]
+                k += 1
+                if phase == RUNNING:
+                    last = at
+                elif phase == IDLE and is_start:
+                    phase, start, last = RUNNING, at, at
+            elif due is not None and due[0] < mark:
+                rows.append((due[1], due[0]))
+                phase, stopped = (STOPPING, due[0]) if due[1] == "stop" else (IDLE, 0)
             else:
-                out.append(("fail", max(stopped_ms, start_ms + KILL_GRACE * 1000)))
+                break
+        pending = pending[k:]
+        if phase == IDLE and not pending:
+            if state.exists:
                 state.remove()
-            yield emit(job_id, out)
-            return
-        pdf = pd.concat(list(frames))
-        ms = ms_of(pdf[EVENT_TIME])
-        kinds = pdf["kind"].to_numpy()
-        start = ms[kinds == "start"].min() if (kinds == "start").any() else None
-        last = ms.max()
-        timeout_s = int(pdf["timeout_s"].iloc[0])
-        if state.exists:
-            s0, u0, timeout_s, stopped = state.get
-            start = s0 if start is None else min(s0, start)
-            last = max(u0, last)
         else:
-            stopped = -1
-        if start is None:
-            start = int(np.min(ms))
-        state.update((int(start), int(last), int(timeout_s), stopped))
-        if stopped < 0:
-            due = int(min(start + timeout_s * 1000, last + UPDATE_GRACE * 1000))
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        return
-        yield  # generator
+            state.update((phase, start, last, timeout_s, stopped, [t for t, _ in pending], [s for _, s in pending]))
+            state.setTimeoutTimestamp(max(mark, min([t for t, _ in pending[:1]] + ([due[0]] if due else []))))
+        if rows:
+            yield pd.DataFrame({"job_id": [job_id] * len(rows), "action": [a for a, _ in rows],
+                                "at": pd.to_datetime([t for _, t in rows], unit="ms")})
 
     return (e.groupBy("job_id")
             .applyInPandasWithState(step, ACTIONS_OUT, JOB_STATE, "append", GroupStateTimeout.EventTimeTimeout)
             .select("job_id", "action", F.col("at").cast("timestamp_ntz").alias("at")))
 
 
-def completion_stream(completions: DataFrame, queue: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Accept each job's first completion only (a finished job has left
-    the queue; a later report would be 'job not found'), checked against the
-    static queue (P5)."""
-    first = event_time(completions, "ts", delay).dropDuplicatesWithinWatermark(["job_id"]).drop(EVENT_TIME)
-    return completable(first, queue).where("accepted")
+def completion_stream(completions: DataFrame, queue: DataFrame) -> DataFrame:
+    """Accept each job's first valid completion. Reports are checked
+    against the static queue first (P5), so one from a wrong node or with an
+    invalid status doesn't use up the job; then the first accepted one of a
+    job wins (by time, then id, within a micro-batch), and later ones find
+    the job gone. The state is one mark for each finished job."""
+    ok = completable(completions, queue).where("accepted")
+    schema = ok.schema
+
+    def step(key, frames, state):
+        rows = pd.concat(list(frames))
+        if not state.exists:
+            state.update((True,))
+            yield rows.sort_values(["ts", "completion_id"]).head(1)
 
+    return ok.groupBy("job_id").applyInPandasWithState(step, schema, "done boolean", "append", GroupStateTimeout.NoTimeout)
 
-def running_report_batches(queue: DataFrame):
-    """Per micro-batch of running-job reports, the J5 kill list against
-    the (static) queue. Use with ``runner.run_batches``."""
-    def fn(batch: DataFrame, batch_id: int) -> DataFrame:
-        return kill_list(batch, queue)
-    return fn
+
+def running_report_stream(reports: DataFrame, queue: DataFrame) -> DataFrame:
+    """The J5 kill list of running-job reports as they arrive. A job of the
+    queue without an owner is adopted by its first reporter (by time, then
+    node, within a micro-batch); the adoption is kept in the state, so later
+    batches see it. Reports of owned or unknown jobs need no state."""
+    q = queue.select(F.col("id").alias("job_id"), F.col("node_id").alias("_owner"), F.col("status").alias("_status"))
+    j = reports.join(q, "job_id", "left")
+    out = "node_id long, job_id string, reason string"
+
+    def step(key, frames, state):
+        rows = pd.concat(list(frames)).sort_values(["ts", "node_id"])
+        if not state.exists:
+            state.update((int(rows["node_id"].iloc[0]),))
+        other = rows["node_id"].to_numpy() != state.get[0]
+        idle = rows["_status"].to_numpy() != 1
+        reason = np.where(other, "other node", np.where(idle, "not running", ""))
+        yield pd.DataFrame({"node_id": rows["node_id"], "job_id": rows["job_id"], "reason": reason})[reason != ""]
+
+    adopted = (j.where(F.col("_status").isNotNull() & F.col("_owner").isNull()).groupBy("job_id")
+               .applyInPandasWithState(step, out, "owner long", "append", GroupStateTimeout.NoTimeout))
+    reason = (F.when(F.col("_status").isNull(), F.lit("job unknown"))
+              .when(F.col("_owner") != F.col("node_id"), F.lit("other node"))
+              .when(F.col("_status") != 1, F.lit("not running")))
+    known = (j.where(F.col("_status").isNull() | F.col("_owner").isNotNull())
+             .select(F.col("node_id").cast("long").alias("node_id"), "job_id", reason.alias("reason")).where(F.col("reason").isNotNull()))
+    return known.unionByName(adopted)

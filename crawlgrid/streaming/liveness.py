@@ -24,41 +24,48 @@ def node_liveness_stream(beats: DataFrame, gap: str = "60 seconds", delay: str =
 
 
 STATE_OUT = "node_id long, event string, at timestamp"
-STATE_SCHEMA = "last_ms long"
+STATE_SCHEMA = "last_ms long, pending array<long>"
 
 
 def node_state_stream(beats: DataFrame, gap_seconds: int = 60, delay: str = "1 hour") -> DataFrame:
-    """Online / offline transition events as they happen, from a small
-    per-node state (last beat) and an event-time timer at last beat + gap.
-    Each node's beats in a micro-batch are handled as one pandas frame."""
+    """Online / offline transition events per node.
+
+    The state holds the last beat and the beats that the watermark hasn't
+    passed yet. Beats are taken in order of time once it has (no earlier one
+    can arrive then), so the result doesn't depend on how the feed is cut
+    into micro-batches. A node goes offline at last beat + gap; a beat at
+    that very time or later opens a new period."""
     gap_ms = gap_seconds * 1000
 
     def step(key, frames, state):
-        node_id = key[0]
-        if state.hasTimedOut:
-            (last_ms,) = state.get
-            state.remove()
-            yield pd.DataFrame({"node_id": [node_id], "event": ["offline"],
-                                "at": [pd.to_datetime(last_ms + gap_ms, unit="ms")]})
-            return
-        t = pd.concat(list(frames))[EVENT_TIME]
-        ms = (t.astype("int64") // 1_000_000 if str(t.dtype).startswith("datetime64[ns")
-              else t.astype("datetime64[ns]").astype("int64") // 1_000_000).sort_values().to_numpy()
-        prev = state.get[0] if state.exists else None
-        before = np.concatenate([[prev if prev is not None else np.iinfo("int64").min // 2], ms[:-1]])
-        new = (ms - before) >= gap_ms
-        if prev is None:
-            new[0] = True
-        has_prev = np.ones(len(ms), dtype=bool)
-        if prev is None:
-            has_prev[0] = False
-        offline = before[new & has_prev] + gap_ms
-        online = ms[new]
-        state.update((int(ms[-1]),))
-        state.setTimeoutTimestamp(max(int(ms[-1]) + gap_ms, state.getCurrentWatermarkMs() + 1))
+        node_id, mark = key[0], state.getCurrentWatermarkMs()
+        last, held = state.get if state.exists else (None, [])
+        beats_ms = np.array(held or [], dtype="int64")
+        if not state.hasTimedOut:
+            t = pd.concat(list(frames))[EVENT_TIME]
+            beats_ms = np.sort(np.concatenate([beats_ms, t.astype("datetime64[ns]").astype("int64").to_numpy() // 1_000_000]))
+        now, later = beats_ms[beats_ms < mark], beats_ms[beats_ms >= mark]
+        online, offline = now[:0], now[:0]
+        if len(now):
+            first = last is None
+            before = np.concatenate([[now[0] if first else last], now[:-1]])
+            new = now - before >= gap_ms
+            offline = before[new] + gap_ms
+            new[0] |= first
+            online = now[new]
+            last = int(now[-1])
+        if last is not None and last + gap_ms < mark:
+            offline = np.append(offline, last + gap_ms)
+            last = None
+        if last is None and not len(later):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, [int(x) for x in later]))
+            due = [int(later[0])] if len(later) else []
+            state.setTimeoutTimestamp(max(mark, min(due + ([last + gap_ms] if last is not None else []))))
         if len(online) or len(offline):
-            yield pd.DataFrame({"node_id": node_id,
-                                "event": ["offline"] * len(offline) + ["online"] * len(online),
+            yield pd.DataFrame({"node_id": node_id, "event": ["offline"] * len(offline) + ["online"] * len(online),
                                 "at": pd.to_datetime(np.concatenate([offline, online]), unit="ms")})
 
     b = event_time(beats, "ts", delay).select("node_id", EVENT_TIME)
