@@ -19,6 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# A bucket or key partition is handled in one piece: so many to a shuffle
+# partition keep its arrays small.
+BUCKETS = 4
+KEY_PARTS = 2
 LAST = np.iinfo(np.int64).max  # stands for a null id: never smaller than another
 BLOB = "b int, part int, kind int, data binary"
 BLOB_ARROW = pa.schema([("b", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -26,13 +30,13 @@ BLOB_ARROW = pa.schema([("b", pa.int32()), ("part", pa.int32()), ("kind", pa.int
 
 def bucketed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
     """(b, id, text, r) with ``carry`` columns in the struct r."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(F.col(id_col), *carry).alias("r"))
     return df.withColumn("b", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
 
 
 def key_parts(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * KEY_PARTS
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:

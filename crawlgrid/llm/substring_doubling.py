@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import exchange as X
-from .textbuf import SPACED, binary_array, buffer_of, covered, leftmost_min, prefix, ragged, slices, span_lists, window_hash, word_hashes, words
+from .textbuf import SPACED, binary_array, buffer_of, covered, leftmost_min, mix64, prefix, ragged, slices, span_lists, window_hash, word_hashes, words
 
 WINDOW_WORDS = 13
 FIRST_LEVEL = 4
@@ -57,7 +57,8 @@ class Shard:
         """Hash of the least-hashed window of ``length`` words inside each window at ``at``."""
         grams = np.arange(len(self.rows) - length + 1)
         h = window_hash(self.pre, grams, grams + length)
-        return h[leftmost_min(h, self.n - length + 1)[at]]
+        # least hashes are small: mixed again, so that key partitions are even
+        return mix64(h[leftmost_min(h, self.n - length + 1)[at]])
 
     def exact(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96 bits of each window's words."""

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import exchange as X
-from .textbuf import BYTE_VALUES, binary_array, buffer_of, covered, leftmost_min, prefix, ragged, span_lists, window_hash
+from .textbuf import BYTE_VALUES, binary_array, buffer_of, covered, leftmost_min, mix64, prefix, ragged, span_lists, window_hash
 
 STRING_BYTES = 50
 GRAM = 20
 FIRST_GRAM = 8
 SLICE = 1 << 20
-REFINE = 1 << 20
+REFINE = 1 << 18
 CODEC = "zstd"
 
 
@@ -64,7 +64,8 @@ def anchored(buf: np.ndarray, offs: np.ndarray, n: int, whole: bool = False) ->
         stop = ok.copy()
         stop[:-1] &= ~(ok[1:] & (spot[1:] == spot[:-1]))
         end = np.flatnonzero(stop) + 1
-        out = (begin + a, end + a, h[spot[begin]])
+        # least hashes are small: mixed again, so that key partitions are even
+        out = (begin + a, end + a, mix64(h[spot[begin]]))
         if whole:
             out += (window_hash(prefix(values, 1), begin, end + n - 1, 1),)
         yield out
@@ -171,50 +172,55 @@ def settle(table: pa.Table, n: int) -> pa.Table:
     another bucket with a smaller id than the sender's least has it."""
     part, bs = table.column("part")[0].as_py(), table.column("b").to_pylist()
     got = [unpack(x.as_py()) for x in table.column("data")]
-    h, f, least, counts, text = (np.concatenate([g[k] for g in got]) for k in range(5))
-    sender = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
+    h, f, least, counts = (np.concatenate([g[k] for g in got]) for k in range(4))
+    senders = np.cumsum([0] + [len(g[0]) for g in got])
     lens = counts + n - 1
-    begin = np.cumsum(lens) - lens
+    begin = np.concatenate([np.cumsum(g[3] + n - 1) - (g[3] + n - 1) for g in got])  # within the sender's text
     order = np.lexsort((counts, f, h))  # equal fragments side by side
-    h, f, c, who = h[order], f[order], counts[order], least[order]
-    new_h = np.concatenate(([True], h[1:] != h[:-1]))
-    new = new_h | np.concatenate(([True], (f[1:] != f[:-1]) | (c[1:] != c[:-1])))
+    new_h = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    new = new_h | np.concatenate(([True], (f[order][1:] != f[order][:-1]) | (counts[order][1:] != counts[order][:-1])))
     first = np.flatnonzero(new)
-    lowest = np.minimum.reduceat(who, first)  # of each distinct fragment
-    entry = np.cumsum(new) - 1
+    lowest = np.minimum.reduceat(least[order], first)  # of each distinct fragment
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.cumsum(new) - 1
     group = np.cumsum(new_h)[first] - 1  # anchor of each distinct fragment
-    per = np.bincount(group)
-    windows = c[first]
-    wbegin = np.cumsum(windows) - windows
-    best = np.repeat(lowest, windows)  # least document of each window; so far of its own fragment
-    todo = np.flatnonzero(per[group] > 1)  # an anchor with one fragment has no other bucket to refine against
-    sizes = lens[order[first]]
-    i = 0
-    while i < len(todo):
-        j = i + max(1, int(np.searchsorted(np.cumsum(sizes[todo[i:]]), REFINE, "right")))
-        while j < len(todo) and group[todo[j]] == group[todo[j - 1]]:
-            j += 1  # an anchor's fragments stay together
-        part_of = todo[i:j]
-        size = sizes[part_of]
-        src = text[np.repeat(begin[order[first[part_of]]], size) + ragged(size)]
-        stop = np.repeat(np.cumsum(size), size)
-        pointer = refine(src, stop, n)
-        at = np.flatnonzero(stop - np.arange(len(src)) >= n)
-        out = np.repeat(wbegin[part_of], windows[part_of]) + ragged(windows[part_of])
-        by = np.argsort(pointer[at], kind="stable")
-        cls = pointer[at][by]
-        head = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1])))
-        low = np.minimum.reduceat(best[out[by]], head)
-        best[out[by]] = np.repeat(low, np.diff(np.append(head, len(cls))))
+    sent = order[first]  # who sent it first
+    flags = np.repeat(lowest[entry] < least, counts)  # one after the other, as sent
+    flag_at = np.cumsum(counts) - counts
+    # an anchor of one distinct fragment has nothing to refine; others in pieces
+    todo = np.flatnonzero(np.bincount(group)[group] > 1)
+    by_group = np.flatnonzero(np.concatenate(([True], group[todo][1:] != group[todo][:-1]))) if len(todo) else todo
+    fill = np.concatenate(([0], np.cumsum(lens[sent[todo]])))
+    members = np.argsort(entry, kind="stable")
+    member_cut = np.searchsorted(entry[members], np.arange(len(first) + 1))
+    edges, i = np.append(by_group, len(todo)), 0
+    while i < len(edges) - 1:
+        j = max(i + 1, int(np.searchsorted(fill[edges], fill[edges[i]] + REFINE, "right")) - 1)
+        piece = todo[edges[i]:edges[j]]
+        src = sent[piece]
+        text = np.concatenate([got[k][4][begin[x]:begin[x] + lens[x]] for k, x in zip(np.searchsorted(senders, src, "right") - 1, src)])
+        best = _least_documents(text, lens[src], counts[src], lowest[piece], n)
+        # to all who sent one of these fragments
+        copies = member_cut[piece + 1] - member_cut[piece]
+        who = members[np.repeat(member_cut[piece], copies) + ragged(copies)]
+        at = np.repeat(np.cumsum(counts[src]) - counts[src], copies)
+        size = counts[who]
+        flags[np.repeat(flag_at[who], size) + ragged(size)] = best[np.repeat(at, size) + ragged(size)] < np.repeat(least[who], size)
         i = j
-    where = np.empty(len(order), np.int64)
-    where[order] = entry
-    cut = np.searchsorted(sender, np.arange(len(got) + 1))
-    rows = []
-    for k, (s, e) in enumerate(zip(cut[:-1], cut[1:])):
-        at = np.repeat(wbegin[where[s:e]], counts[s:e]) + ragged(counts[s:e])
-        rows.append((bs[k], part, 2, np.packbits(best[at] < np.repeat(least[s:e], counts[s:e])).tobytes()))
-    return X.blobs(rows)
+    ends = np.append(flag_at, len(flags))[senders]
+    return X.blobs([(b, part, 2, np.packbits(flags[s:e]).tobytes()) for b, s, e in zip(bs, ends[:-1], ends[1:])])
+
+
+def _least_documents(text: np.ndarray, size: np.ndarray, windows: np.ndarray, lowest: np.ndarray, n: int) -> np.ndarray:
+    """Least document of each window of some fragments (end to end in ``text``)."""
+    stop = np.repeat(np.cumsum(size), size)
+    pointer = refine(text, stop, n)
+    cls = pointer[stop - np.arange(len(text)) >= n]  # the windows of one fragment after the other
+    best = np.repeat(lowest, windows)
+    by = np.argsort(cls, kind="stable")
+    head = np.flatnonzero(np.concatenate(([True], cls[by][1:] != cls[by][:-1])))
+    best[by] = np.repeat(np.minimum.reduceat(best[by], head), np.diff(np.append(head, len(cls))))
+    return best
 
 
 def kept(table: pa.Table, answer: pa.Table, n: int, parts: int, whole_characters: bool) -> list:
