@@ -88,7 +88,7 @@ CRON_RANGES = {
 MONTH_NAMES = ["jan", "feb", "mar", "apr", "may", "jun",
                "jul", "aug", "sep", "oct", "nov", "dec"]
 WEEKDAY_NAMES = ["mon", "tue", "wed", "thu", "fri", "sat", "sun"]
-WEEKDAY_POSITIONS = ["1st", "2nd", "3rd", "4th", "5th", "last"]
 
 # --- fixed values: webhook batch error ----------------------------------
 BAD_ITEMS_LOG = "Error when decoding jl file"
+MEMORY_LIMIT_LOG = "Webhook task memory usage over %s, \n"

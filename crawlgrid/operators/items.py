@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crawlgrid.constants import BAD_ITEMS_LOG, WEBHOOK_MEMORY_LIMIT
+from crawlgrid.constants import BAD_ITEMS_LOG, MEMORY_LIMIT_LOG, WEBHOOK_MEMORY_LIMIT
 from crawlgrid.operators.aggregates import dedupe_eav
+from crawlgrid.sources.files import item_object
 
 BLOCK_LINES = 1024     # lines per block of the two-level running byte count
 
@@ -37,36 +38,26 @@ def _running_bytes(lines: DataFrame) -> DataFrame:
 
 
 def annotate_lines(items: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Item lines with their batch number and whether the line is bad (blank,
-    not JSON, or not a JSON object)."""
+    """Item lines with their batch number and parsed object (NULL for a bad
+    line: blank, not strict JSON, or not a JSON object)."""
     size = F.coalesce(F.col("batch_size"), F.lit(0))
     return (items.join(sizes, "job_id", "left")
             .withColumn("batch_no", F.when(size > 0, F.floor((F.col("line_no") - 1) / size)).otherwise(F.lit(0)))
-            .withColumn("_item", F.from_json("raw", "map<string,string>"))
-            .withColumn("_bad", F.col("_item").isNull()))
+            .withColumn("_item", item_object(F.col("raw"))))
 
 
-def batch_stats(lines: DataFrame) -> DataFrame:
-    """One decomposable aggregate per (job, batch): rows, first / last line,
-    total bytes and the first malformed line."""
-    return lines.groupBy("job_id", "batch_no").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("line_no").alias("first_line"),
-        F.max("line_no").alias("last_line"), F.sum(F.octet_length("raw")).alias("_bytes"),
-        F.min(F.when(F.col("_bad"), F.col("line_no"))).alias("_first_bad"))
-
-
-def first_failures(lines: DataFrame, stats: DataFrame, memory_limit: int | None) -> DataFrame:
+def first_failures(lines: DataFrame, memory_limit: int | None) -> DataFrame:
     """Per failing job, the first failing line's (batch_no, _bad): a malformed
     line, or the line where its batch's cumulative bytes pass ``memory_limit``.
 
-    Malformed lines come from the per-batch stats. Only batches whose *total*
-    exceeds the limit can hold an over-limit line, so the running byte count
-    (a two-level scan) touches those batches alone; when there are none, AQE
-    drops that branch at run time."""
-    bad = stats.where(F.col("_first_bad").isNotNull()).select(
-        "job_id", F.col("_first_bad").alias("line_no"), "batch_no", F.lit(True).alias("_bad"))
+    Malformed lines are few and combine before the shuffle. Only batches whose
+    *total* exceeds the limit can hold an over-limit line, so the running byte
+    count (a two-level scan) touches those batches alone; when there are none,
+    AQE drops that branch at run time."""
+    bad = lines.where(F.col("_item").isNull()).select("job_id", "line_no", "batch_no", F.lit(True).alias("_bad"))
     if memory_limit is not None:
-        heavy = stats.where(F.col("_bytes") > memory_limit).select("job_id", "batch_no")
+        heavy = (lines.groupBy("job_id", "batch_no").agg(F.sum(F.octet_length("raw")).alias("_bytes"))
+                 .where(F.col("_bytes") > memory_limit).select("job_id", "batch_no"))
         over = (_running_bytes(lines.join(heavy, ["job_id", "batch_no"], "left_semi"))
                 .where(F.col("cum_bytes") > memory_limit)
                 .groupBy("job_id", "batch_no").agg(F.min("line_no").alias("line_no"))
@@ -78,7 +69,7 @@ def first_failures(lines: DataFrame, stats: DataFrame, memory_limit: int | None)
     return bad.groupBy("job_id").agg(F.min_by(F.struct("batch_no", "_bad"), order).alias("_f"))
 
 
-def item_batches(items: DataFrame, sizes: DataFrame, memory_limit: int | None = WEBHOOK_MEMORY_LIMIT) -> DataFrame:
+def item_batches(items: DataFrame, sizes: DataFrame, memory_limit: int | None = None) -> DataFrame:
     """I4 (+ I7): split each job's item lines into delivery batches.
 
     A line that is not a JSON object (blank lines included) fails the job;
@@ -90,9 +81,10 @@ def item_batches(items: DataFrame, sizes: DataFrame, memory_limit: int | None =
     job_status ('success' / 'fail') and log.
     """
     lines = annotate_lines(items, sizes)
-    stats = batch_stats(lines)
-    fail = first_failures(lines, stats, memory_limit)
-    over_msg = F.lit(f"Webhook task memory usage over {memory_limit}, \n")
+    stats = lines.groupBy("job_id", "batch_no").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
+    fail = first_failures(lines, memory_limit)
+    over_msg = F.lit(MEMORY_LIMIT_LOG % memory_limit if memory_limit is not None else "")
     return (stats.join(fail, "job_id", "left").select(
         "job_id", "batch_no", "rows", "first_line", "last_line",
         (F.col("_f").isNull() | (F.col("batch_no") < F.col("_f.batch_no"))).alias("delivered"),
@@ -101,43 +93,47 @@ def item_batches(items: DataFrame, sizes: DataFrame, memory_limit: int | None =
          .when(F.col("_f._bad"), F.lit(BAD_ITEMS_LOG)).otherwise(over_msg).alias("log")))
 
 
-def delivered_rows(items: DataFrame, sizes: DataFrame, memory_limit: int | None = WEBHOOK_MEMORY_LIMIT) -> DataFrame:
+def guarded_batches(items: DataFrame, sizes: DataFrame, memory_limit: int = WEBHOOK_MEMORY_LIMIT) -> DataFrame:
+    """The batches with the size guard on."""
+    return item_batches(items, sizes, memory_limit)
+
+
+def delivered_rows(items: DataFrame, sizes: DataFrame, memory_limit: int | None = None) -> DataFrame:
     """(job_id, batch_no, _rows, _keys) for every delivered batch: its parsed
     rows in line order and the sorted union of their keys.
 
-    Only delivered lines are collected, and a delivered batch is bounded by
-    the batch size or, for whole-file batches, by the memory guard of I7.
+    Lines of batches that aren't delivered are dropped before they are
+    collected. A batch is one POST body, so its lines make one row: as many
+    as the batch size, or the whole file where none is set (I7's limit
+    bounds that; it applies only when given).
     """
     lines = annotate_lines(items, sizes)
-    fail = first_failures(lines, batch_stats(lines), memory_limit)
+    fail = first_failures(lines, memory_limit)
     d = (lines.join(fail, "job_id", "left")
          .where(F.col("_f").isNull() | (F.col("batch_no") < F.col("_f.batch_no"))))
-    # (line_no, raw) structs sort natively (codegen); maps are not orderable,
-    # so each collected line is parsed after the sort
+    # maps are not orderable, their entries are
     rows = d.groupBy("job_id", "batch_no").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "raw"))).alias("_rows"))
-    rows = rows.withColumn("_rows", F.transform("_rows", lambda r: F.struct(
-        r["line_no"].alias("line_no"), F.from_json(r["raw"], "map<string,string>").alias("item"))))
-    keys = F.array_sort(F.array_distinct(F.flatten(F.transform("_rows", lambda r: F.map_keys(r["item"])))))
-    return rows.withColumn("_keys", keys)
+        F.array_sort(F.collect_list(F.struct("line_no", F.map_entries("_item").alias("entries")))).alias("_rows"))
+    keys = F.array_sort(F.array_distinct(F.flatten(F.transform("_rows", lambda r: F.transform(r["entries"], lambda e: e["key"])))))
+    return rows.select("job_id", "batch_no", F.transform("_rows", lambda r: F.map_from_entries(r["entries"])).alias("_rows"), keys.alias("_keys"))
 
 
-def batch_payload(items: DataFrame, sizes: DataFrame, memory_limit: int | None = WEBHOOK_MEMORY_LIMIT) -> DataFrame:
+def batch_payload(items: DataFrame, sizes: DataFrame, memory_limit: int | None = None) -> DataFrame:
     """For every delivered batch, each key of the union of its rows' keys
     with the values of all rows in line order ('' where a row lacks the key;
     nested values as JSON text). Keys sorted (the reference used a set)."""
     rows = delivered_rows(items, sizes, memory_limit)
-    return (rows.select("job_id", "batch_no", "_rows", F.explode("_keys").alias("key"))
-            .select("job_id", "batch_no", "key",
-                    F.transform("_rows", lambda r: F.coalesce(r["item"][F.col("key")], F.lit(""))).alias("values")))
+    columns = F.transform("_keys", lambda k: F.struct(
+        k.alias("key"), F.transform("_rows", lambda r: F.coalesce(r[k], F.lit(""))).alias("values")))
+    return rows.select("job_id", "batch_no", F.inline(columns))
 
 
-def form_bodies(items: DataFrame, sizes: DataFrame, memory_limit: int | None = WEBHOOK_MEMORY_LIMIT) -> DataFrame:
+def form_bodies(items: DataFrame, sizes: DataFrame, memory_limit: int | None = None) -> DataFrame:
     """I6 directly from the delivered batches: ``key=v1&key=v2&...`` per key
     (sorted), percent-encoded, in one projection per batch (no regrouping)."""
     rows = delivered_rows(items, sizes, memory_limit)
     body = F.array_join(F.transform("_keys", lambda k: F.array_join(F.transform(
-        "_rows", lambda r: F.concat(quote_plus(k), F.lit("="), quote_plus(F.coalesce(r["item"][k], F.lit(""))))),
+        "_rows", lambda r: F.concat(quote_plus(k), F.lit("="), quote_plus(F.coalesce(r[k], F.lit(""))))),
         "&")), "&")
     return rows.select("job_id", "batch_no", body.alias("body"))
 

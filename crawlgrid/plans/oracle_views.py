@@ -128,7 +128,9 @@ VIEWS["v_items"] = f"""
 SELECT 'project_' || (l_orderkey % 7) AS project, 'spider_' || (l_orderkey % 97) AS spider,
        {_jid('l_orderkey')} AS job_id, line_no,
        CASE WHEN l_orderkey % 17 = 0 AND line_no = 3 THEN
-              CASE WHEN l_orderkey % 2 = 0 THEN '' ELSE '{{"partkey": ' || l_partkey END
+              CASE l_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '{{"partkey": ' || l_partkey
+                   WHEN 2 THEN '{{''partkey'': ' || l_partkey || '}}' WHEN 3 THEN '{{"partkey": ' || l_partkey || '}} x'
+                   ELSE '{{"partkey": ' || l_partkey || '}}{{"partkey": ' || l_partkey || '}}' END
             WHEN line_no % 2 = 1 THEN
               '{{"partkey": ' || l_partkey || ', "quantity": ' || CAST(round(l_quantity) AS BIGINT)
               || ', "price": ' || CAST(round(l_extendedprice * 100) AS BIGINT) || '}}'

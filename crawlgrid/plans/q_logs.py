@@ -36,10 +36,9 @@ FROM v_items
 """)
 def q_s2(spark, sf):
     t = _t(spark, sf)
-    # whole-table check through the W1 store; raw per-job .jl files share
-    # read_lines with S3 and are checked on fixtures in tests
-    root = write_job_data(t.items, scratch_dir(spark, "job-items"))
-    return (S.read_job_items(spark, root, fmt="store")
+    root = scratch_dir(spark, "job-items")
+    S.write_job_files(t.items, root, "raw", "items", order_col="line_no")
+    return (S.read_job_items(spark, root, glob="part-*")
             .select("project", "spider", "job_id", F.col("line_no").cast("int").alias("line_no"), "raw", "bad"))
 
 
@@ -192,16 +191,16 @@ batches AS (
 @register("I4_item_batches", f"WITH {_batches_sql(None)} SELECT * FROM batches")
 def q_i4(spark, sf):
     t = _t(spark, sf)
-    return I.item_batches(t.items, _sizes(t), memory_limit=None)
+    return I.item_batches(t.items, _sizes(t))
 
 
 @register("I7_batch_size_guard", f"WITH {_batches_sql(400)} SELECT * FROM batches")
 def q_i7(spark, sf):
     t = _t(spark, sf)
-    return I.item_batches(t.items, _sizes(t), memory_limit=400)
+    return I.guarded_batches(t.items, _sizes(t), memory_limit=400)
 
 
-_PAYLOAD_SQL = f"""{_batches_sql(4096000)},
+_PAYLOAD_SQL = f"""{_batches_sql(None)},
 rows_ AS (SELECT d.job_id, d.batch_no, d.line_no, d.raw FROM d
           JOIN batches b ON b.job_id = d.job_id AND b.batch_no = d.batch_no AND b.delivered),
 keys AS (SELECT DISTINCT job_id, batch_no, unnest(json_keys(raw)) AS key FROM rows_),

@@ -9,12 +9,12 @@ don't depend on where the feed is cut.
 from __future__ import annotations
 
 
-from crawlgrid.operators.sinks import write_job_data
 from crawlgrid.plans.q_functions import _d_field_match, _d_valid
 from crawlgrid.plans.registry import ORACLES, register
 from crawlgrid.plans.oracle_views import with_views
 from crawlgrid.session import scratch_dir
 from crawlgrid.sources.adapters import DriverTables
+from crawlgrid.sources.files import write_job_files
 from crawlgrid.streaming import feeds, jobs, liveness
 from crawlgrid.streaming.runner import latest_per_key, replay, run_append, run_batches
 
@@ -120,9 +120,9 @@ def q_x5(spark, sf):
 @register("X6_item_ingest_stream", "SELECT job_id, count(*) AS lines FROM v_items GROUP BY job_id")
 def q_x6(spark, sf):
     st = _static(spark, sf)
-    store = write_job_data(st.items, scratch_dir(spark, "x6-store"))
-    schema = spark.read.parquet(store).schema
-    items = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(store)
+    store = scratch_dir(spark, "x6-store")
+    write_job_files(st.items, store, "raw", "items", order_col="line_no")
+    items = feeds.item_file_stream(spark, store, max_files=5000, glob="part-*")
     out = run_batches(feeds.item_ingest_stream(items), "x6", lambda b, i: b, output_mode="update")
     return latest_per_key(out, ["job_id"], ["lines"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -50,10 +51,14 @@ def get_spark(master: str | None = None, app: str = "crawlgrid",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder (``spark.checkpoint.dir``), registered
-    with the SparkContext; a /tmp folder only when the session has none."""
+    """The shared checkpoint folder (``spark.checkpoint.dir``), registered with
+    the SparkContext. Only a local session may go without the setting: it gets
+    a folder under /tmp. On a cluster a machine's own folder would scatter the
+    files, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join("/tmp", "crawlgrid-ckpt-" + uuid.uuid4().hex[:8])
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -62,11 +67,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh directory under the cluster's shared checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``. Only when the session has
-    none (local tests) is a directory under /tmp chosen and recorded, so the
-    same code on a cluster always writes to the shared store.
-    """
+    """A fresh directory name under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return base.rstrip("/") + "/" + name + "-" + uuid.uuid4().hex[:12]

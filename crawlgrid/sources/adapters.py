@@ -237,7 +237,10 @@ class DriverTables:
         even = F.concat(F.lit('{"partkey": '), _s("l_partkey"),
                         F.lit(', "suppkey": '), _s("l_suppkey"),
                         F.lit(', "ship": {"flag": "'), F.col("l_returnflag"), F.lit('"}}'))
-        bad = F.when(k % 2 == 0, F.lit("")).otherwise(F.concat(F.lit('{"partkey": '), _s("l_partkey")))
+        whole = F.concat(F.lit('{"partkey": '), _s("l_partkey"), F.lit("}"))
+        bad = (F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.concat(F.lit('{"partkey": '), _s("l_partkey")))
+               .when(k % 5 == 2, F.replace(whole, F.lit('"'), F.lit("'"))).when(k % 5 == 3, F.concat(whole, F.lit(" x")))
+               .otherwise(F.concat(whole, whole)))
         return (li.withColumn("line_no", F.row_number().over(w))
                 .select(
                     F.concat(F.lit("project_"), _s(k % 7)).alias("project"),

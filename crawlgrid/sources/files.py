@@ -11,7 +11,7 @@ split. A 1 GB log of one job is numbered by all the tasks that scan it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,10 +71,24 @@ def read_lines(spark: SparkSession, paths, glob: str | None = None) -> DataFrame
                     "line"))
 
 
+LINE_END = "__line_end__"
+
+
+def item_object(raw: Column) -> Column:
+    """The object on an item line as a map (nested values as JSON text); NULL
+    unless the whole line is one strict JSON object. The parser stops at the
+    end of the first value it reads, so the line is put inside an object
+    whose last field it must leave in place: text or a second object behind
+    the first breaks it. Single quotes are no JSON."""
+    whole = F.from_json(F.concat(F.lit('{"v":'), raw, F.lit(f',"{LINE_END}":1}}')),
+                        f"v map<string,string>, {LINE_END} int", {"allowSingleQuotes": "false"})
+    return F.when(whole[LINE_END] == 1, whole["v"])
+
+
 def parse_items(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """Parse item lines: ``item`` map (nested values as JSON text) and ``bad``
-    for lines that are blank, not JSON, or not a JSON object."""
-    item = F.from_json(F.col(raw_col), "map<string,string>")
+    """Parse item lines: ``item`` map and ``bad`` for lines that are blank, not
+    strict JSON, or not a JSON object."""
+    item = item_object(F.col(raw_col))
     return lines.withColumn("item", item).withColumn("bad", item.isNull())
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgrid.functions.cron import cron_fires
 from crawlgrid.operators.joins import fireable_triggers
 from crawlgrid.operators.sinks import completion_feed, failed_job_alerts
+from crawlgrid.sources.files import job_file_index
 
 
 def cron_fire_batches(triggers: DataFrame, spiders: DataFrame, projects: DataFrame, ends: str,
@@ -41,6 +42,15 @@ def cron_fire_batches(triggers: DataFrame, spiders: DataFrame, projects: DataFra
     return fn
 
 
+def item_file_stream(spark: SparkSession, root: str, max_files: int, glob: str = "*.jl") -> DataFrame:
+    """X6 source: arriving item files under ``root`` as (job_id, raw), the job
+    taken from the file's path."""
+    lines = (spark.readStream.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+             .option("maxFilesPerTrigger", max_files).text(root)
+             .select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path")))
+    return job_file_index(lines).where(F.col("kind") == "items").select("job_id", "raw")
+
+
 def item_ingest_stream(items: DataFrame) -> DataFrame:
     """Arriving item files → lines per job, kept up to date (update mode)."""
     return items.groupBy("job_id").agg(F.count(F.lit(1)).alias("lines"))

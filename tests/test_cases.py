@@ -1,6 +1,8 @@
 """The crawl server's own test cases, rebuilt as small DataFrames."""
 
 import datetime as dt
+
+import pytest
 import hashlib
 import hmac
 from urllib.parse import parse_qs, quote
@@ -345,3 +347,45 @@ def test_row_numbers_for_a_hot_key(spark):
     b = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.col("o").desc(), "pk")))
     assert a.count() == b.count()
     assert a.select("pk", "rank").exceptAll(b.select("pk", "rank")).count() == 0
+
+
+# ---------------------------------------------------------------- no caps, strict lines
+def test_long_keys_stay_distinct(spark):
+    from crawlgrid.sources.adapters import job_id
+    ids = spark.range(12345678901, 12345678911).select(job_id(F.col("id")).alias("j"))
+    assert ids.distinct().count() == 10
+
+
+def test_seventy_parameters_get_their_own_ids(spark):
+    forms = spark.createDataFrame([(s, None, None, None, None, None, None, [f"k{i}" for i in range(70)], ["v"] * 70, None) for s in (1, 2)],
+                                  "spider_id long, concurrency string, timeout string, webhook_payload string, webhook_batch_size string, "
+                                  "tag string, extra_requirements string, param_keys array<string>, param_values array<string>, figure_json string")
+    empty = lambda s: spark.createDataFrame([], s)
+    got = L.settings_upsert(empty(SETTINGS), empty("id long, spider_id long, parameter_key string, value string"),
+                            empty("id long, spider_id long, text string"), forms)["parameters"]
+    assert got.count() == got.select("id").distinct().count() == 140
+
+
+def test_purge_drains_a_long_history(spark):
+    h = spark.range(1200).select(F.col("id"), F.lit(1).alias("spider_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("complete_time"))
+    gone = T.history_to_purge(h)
+    assert gone.count() == 1100 and gone.agg(F.max("id")).first()[0] == 1099
+    assert T.history_after_purge(h).count() == 100
+    assert T.history_to_purge(h, scan=1000).count() == 900
+
+
+def test_item_lines_are_strict_json(spark):
+    from crawlgrid.sources.files import parse_items
+    lines = ["{'a': 1}", '{"a":1} x', '{"a":1}{"b":2}', '{"a":1}]', '{"a":1}}', '{"a":1},{"b":2}', "", "  ", "[1]", "null", '"a"', "{bad",
+             '{"a": 1}', ' {"a": {"b": [1, 2]}}\t', "{}"]
+    got = parse_items(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, raw string")).orderBy("k").collect()
+    assert [r.bad for r in got] == [True] * 12 + [False] * 3
+    assert got[13].item == {"a": '{"b":[1,2]}'}
+
+
+def test_session_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+    from crawlgrid.session import ensure_checkpoint_dir
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(bare)
