@@ -23,92 +23,10 @@ def _int(c: Column) -> Column:
     return c.try_cast("long")
 
 
-def _element(e: Column, field: str):
-    """(valid, values) of one comma element of a field."""
-    lo, hi = CRON_RANGES[field]
-    le = F.lower(e)
-    # '*' and '*/n'
-    is_all = F.regexp_like(e, F.lit(r"^\*(/\d+)?$"))
-    all_step = _int(F.nullif(F.regexp_extract(e, r"^\*/(\d+)$", 1), F.lit("")))
-    all_ok = is_all & (all_step.isNull() | ((all_step > 0) & (all_step <= hi - lo)))
-    # 'a', 'a-b', 'a/n', 'a-b/n'
-    is_rng = F.regexp_like(e, F.lit(r"^\d+(-\d+)?(/\d+)?$"))
-    first = _int(F.regexp_extract(e, r"^(\d+)", 1))
-    last_s = F.regexp_extract(e, r"^\d+-(\d+)", 1)
-    step_s = F.regexp_extract(e, r"/(\d+)$", 1)
-    step = _int(F.nullif(step_s, F.lit("")))
-    last = (F.when(last_s != "", _int(last_s))
-            .when(step_s == "", first))
-    span_top = F.when(last.isNull() | (last == 0), F.lit(hi)).otherwise(last)
-    rng_ok = (is_rng & first.isNotNull() & (first >= lo)
-              & (last.isNull() | ((last <= hi) & (first <= last)))
-              & (step.isNull() | ((step > 0) & (step <= span_top - first))))
-    valid = all_ok | rng_ok
-    values = (F.when(all_ok, F.sequence(F.lit(lo), F.lit(hi), F.coalesce(all_step, F.lit(1)).cast("int")))
-              .when(rng_ok, F.sequence(first.cast("int"), F.coalesce(last, F.lit(hi)).cast("int"),
-                                       F.coalesce(step, F.lit(1)).cast("int"))))
-    names = {"month": (MONTH_NAMES, 0), "day_of_week": (WEEKDAY_NAMES, -1)}.get(field)
-    if names:
-        lst, off = names
-        arr = F.array(*[F.lit(n) for n in lst])
-        is_name = F.regexp_like(le, F.lit(r"^[a-z]+(-[a-z]+)?$"))
-        n1 = F.array_position(arr, F.regexp_extract(le, r"^([a-z]+)", 1))
-        n2s = F.regexp_extract(le, r"^[a-z]+-([a-z]+)$", 1)
-        n2 = F.when(n2s == "", n1).otherwise(F.array_position(arr, n2s))
-        name_ok = is_name & (n1 > 0) & (n2 > 0) & (n1 <= n2)
-        valid = valid | name_ok
-        values = values.when(name_ok, F.sequence((n1 + off).cast("int"), (n2 + off).cast("int")))
-    if field == "day":
-        valid = valid | (le == "last")
-    values = values.otherwise(F.array().cast("array<int>"))
-    return valid, values
-
-
-def _parsed_field(f: Column, field: str) -> Column:
-    """array<struct<valid, values>>: each comma element of the field parsed once."""
-    def one(e):
-        valid, values = _element(e, field)
-        return F.struct(valid.alias("valid"), values.alias("values"))
-    return F.transform(F.split(f, ",", -1), one)
-
-
 def cron_parts(pattern: Column) -> Column:
     return F.split(pattern, " ", -1)
 
 
-def parse_cron(pattern: Column) -> Column:
-    """struct(n_parts, minute, hour, day, month, day_of_week, day_last): every
-    field parsed once. Derive validity and value sets from this column."""
-    parts = cron_parts(pattern)
-    fields = [_parsed_field(F.get(parts, i), name).alias(name) for i, name in enumerate(CRON_FIELDS)]
-    day_last = F.exists(F.split(F.get(parts, 2), ",", -1), lambda e: F.lower(e) == "last")
-    return F.struct(F.size(parts).alias("n_parts"), *fields, day_last.alias("day_last"))
-
-
-def parsed_valid(parsed: Column) -> Column:
-    ok = parsed["n_parts"] == 5
-    for name in CRON_FIELDS:
-        ok = ok & F.forall(parsed[name], lambda x: x["valid"])
-    return F.coalesce(ok, F.lit(False))
-
-
-def parsed_spec(parsed: Column) -> Column:
-    return F.struct(*[F.array_distinct(F.flatten(F.transform(parsed[name], lambda x: x["values"]))).alias(name)
-                      for name in CRON_FIELDS], parsed["day_last"].alias("day_last"))
-
-
-def cron_valid(pattern: Column) -> Column:
-    """exactly five single-space-separated fields, each parses."""
-    return parsed_valid(parse_cron(pattern))
-
-
-def cron_spec(pattern: Column) -> Column:
-    """Parsed pattern: struct of allowed values per field (+ the 'last' day flag);
-    NULL for an invalid pattern."""
-    parsed = parse_cron(pattern)
-    return F.when(parsed_valid(parsed), parsed_spec(parsed))
-
-
 # --- relational parse: one element expression, column-valued field bounds ---
 def _field_table(spark) -> DataFrame:
     """The five cron fields with their bounds and names (a fixed 5-row table)."""

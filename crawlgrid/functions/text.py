@@ -65,8 +65,11 @@ def package_path(storage_version, project_name, project_id, version) -> Column:
             .when(sv == 2, F.format_string(V2_PACKAGE_PATH, _c(project_id), v)))
 
 
-def iso_json_ts(ts) -> Column:
-    """ISO-8601 text; milliseconds appear only when micros are non-zero."""
+def iso_json_ts(ts, zone_aware: bool = False) -> Column:
+    """ISO-8601 text; milliseconds appear only when micros are non-zero. A
+    zone-aware time (TIMESTAMP, an instant) is written in UTC with a ``Z``."""
+    if zone_aware:
+        return F.concat(iso_json_ts(F.to_utc_timestamp(_c(ts), F.current_timezone())), F.lit("Z"))
     t = _c(ts)
     base = F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.unix_micros(t.cast("timestamp")) % 1000000

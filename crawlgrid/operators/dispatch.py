@@ -79,12 +79,15 @@ def match_tag_sets(spider_sets: DataFrame, node_sets: DataFrame) -> DataFrame:
     non-empty; or both empty. Inputs are *distinct* set keys."""
     s = spider_sets.select(F.col("spider_set")).distinct()
     n = node_sets.select(F.col("node_set")).distinct()
-    sizes = s.where(F.col("spider_set") != EMPTY_SET).select(
-        "spider_set", F.size(F.split("spider_set", SEP, -1)).alias("_size"))
-    hits = (_set_members(s, "spider_set").join(_set_members(n, "node_set"), "tag")
-            .groupBy("spider_set", "node_set").agg(F.count(F.lit(1)).alias("_hits")))
-    subset = (hits.join(sizes, "spider_set").where(F.col("_hits") == F.col("_size"))
-              .select("spider_set", "node_set"))
+    members = _set_members(n, "node_set")
+    spread = members.groupBy("tag").agg(F.count(F.lit(1)).alias("_sets"))
+    # a spider set can only match node sets that have its rarest tag; a tag
+    # that no node has leaves its sets without a match
+    rarest = (_set_members(s, "spider_set").join(spread, "tag", "left").groupBy("spider_set")
+              .agg(F.min(F.struct(F.coalesce("_sets", F.lit(0)).alias("_sets"), "tag")).alias("_r"))
+              .where(F.col("_r._sets") > 0).select("spider_set", F.col("_r.tag").alias("tag")))
+    inside = F.size(F.array_except(F.split("spider_set", SEP, -1), F.split("node_set", SEP, -1))) == 0
+    subset = rarest.join(members, "tag").where(inside).select("spider_set", "node_set")
     both_empty = (s.where(F.col("spider_set") == EMPTY_SET)
                   .join(n.where(F.col("node_set") == EMPTY_SET),
                         F.col("spider_set") == F.col("node_set"))
@@ -96,17 +99,24 @@ def node_sets(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.col("id").alias("node_id"), set_key(split_list("tags")).alias("node_set"))
 
 
-def tag_match(spiders: DataFrame, settings: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every (spider_id, node_id) pair whose tags match: both empty, or
-    all spider tags present on the node."""
+def tag_match(spiders: DataFrame, settings: DataFrame, nodes: DataFrame) -> dict[str, DataFrame]:
+    """Which spiders' tags match which nodes': both empty, or all spider
+    tags present on the node. Said by tag sets, of which there are few:
+    ``sets`` has the matching (spider_set, node_set) pairs, ``spiders`` and
+    ``nodes`` each one's set. A popular set costs one pair, not a row for
+    each of its spiders and nodes."""
     st = spider_tags(settings)
     sp = (spiders.select(F.col("id").alias("spider_id"))
           .join(st, "spider_id", "left")
           .select("spider_id", set_key(F.col("tags")).alias("spider_set")))
     ns = node_sets(nodes)
-    pairs = match_tag_sets(sp, ns)
-    return (sp.join(pairs, "spider_set").join(ns, "node_set")
-            .select("spider_id", "node_id"))
+    return {"sets": match_tag_sets(sp, ns), "spiders": sp, "nodes": ns}
+
+
+def nodes_for_spiders(match: dict[str, DataFrame], spider_ids: DataFrame) -> DataFrame:
+    """(spider_id, node_id) for the asked spiders of a J3 match."""
+    return (match["spiders"].join(spider_ids.select("spider_id"), "spider_id", "left_semi")
+            .join(match["sets"], "spider_set").join(match["nodes"], "node_set").select("spider_id", "node_id"))
 
 
 def next_job_per_node(queue: DataFrame, settings: DataFrame, nodes: DataFrame,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -155,18 +157,36 @@ def form_encode(payload: DataFrame) -> DataFrame:
         .alias("body"))
 
 
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+def _named_entities() -> dict[str, str]:
+    """HTML's named references, as the standard library lists them."""
+    from html.entities import html5
+
+    return {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+
+
+def unescape(s: Column) -> Column:
+    """Character references (named, decimal, hexadecimal) as their characters;
+    what is none stays."""
+    names = F.from_json(F.lit(json.dumps(_named_entities())), "map<string,string>")
 
+    def one(part: Column) -> Column:
+        ref = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = (F.when(F.regexp_like(ref, F.lit("^#[xX]")), F.conv(F.substring(ref, 3, 8), 16, 10))
+                .when(F.startswith(ref, F.lit("#")), F.substring(ref, 2, 8))).try_cast("int")
+        code = F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), code)
+        char = F.when(code.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.element_at(names, ref))
+        return F.when(char.isNotNull(), F.concat(char, F.substr(part, F.length(ref) + 2))).otherwise(F.concat(F.lit("&"), part))
 
-def unescape_basic(s: Column) -> Column:
-    for a, b in _ENTITIES:
-        s = F.replace(s, F.lit(a), F.lit(b))
-    return s
+    parts = F.split(s, "&", -1)
+    whole = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+    return F.when(F.contains(s, F.lit("&")), whole).otherwise(s)
 
 
 def page_items(pages: DataFrame) -> DataFrame:
-    """(url, title) per page: the first <title> text, named entities
-    decoded (what ``/html/head/title/text()`` yields); NULL without a title."""
-    raw = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
-    has = F.regexp_like(F.col("html"), F.lit(r"(?is)<title[^>]*>.*?</title>"))
-    return pages.select("page_id", "url", F.when(has, unescape_basic(raw)).alias("title"))
+    """(url, title) per page: the text of the head's first <title> (what
+    ``/html/head/title/text()`` yields), character references decoded; NULL
+    without one. A <title> in the body (of a drawing, say) doesn't count."""
+    head = F.regexp_replace("html", r"(?is)(</head\s*>|<body[\s>]).*", "")
+    found = r"(?is)<title[^>]*>(.*?)</title\s*>"
+    title = F.when(F.regexp_like(head, F.lit(found)), unescape(F.regexp_extract(head, found, 1)))
+    return pages.select("page_id", "url", title.alias("title"))

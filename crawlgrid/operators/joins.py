@@ -145,14 +145,21 @@ def new_triggers(requests: DataFrame, triggers: DataFrame) -> DataFrame:
 
 FIGURE_SCHEMA = ("spider_name string, spider string, project_name string, extra_requirements string, "
                  "settings map<string,string>, spider_parameters map<string,string>, "
-                 "base_settings_module string, output string")
+                 "base_settings_module string, output string, plugin_settings string, plugins string, package string")
+
+
+def requirements(value: Column) -> Column:
+    """A figure's requirements: a JSON list as it is, a string split on ';'."""
+    is_list = F.startswith(F.ltrim(value), F.lit("["))
+    return F.when(is_list, F.coalesce(F.from_json(value, "array<string>"), F.array().cast("array<string>"))).otherwise(split_clean(value, ";"))
 
 
 def figure(text: Column, job_spider_name: Column, parameters: Column) -> Column:
     """the job's run figure: stored JSON (or empty), spider := the job's
     spider name, parameters (``settings`` first if non-empty, else
     ``spider_parameters``) overlaid by the spider's parameter rows,
-    requirements split on ';'. Unparseable JSON counts as empty."""
+    requirements as a list, or split on ';'. Plugin settings and plugins are
+    JSON text ('{}' and '[]' when missing). Unparseable JSON counts as empty."""
     f = F.from_json(text, FIGURE_SCHEMA)
     empty = F.create_map().cast("map<string,string>")
     stored = F.when(F.size(f["settings"]) > 0, f["settings"]).otherwise(F.coalesce(f["spider_parameters"], empty))
@@ -160,13 +167,24 @@ def figure(text: Column, job_spider_name: Column, parameters: Column) -> Column:
     return F.struct(
         job_spider_name.alias("spider"),
         f["project_name"].alias("project_name"),
-        split_clean(f["extra_requirements"], ";").alias("extra_requirements"),
+        requirements(f["extra_requirements"]).alias("extra_requirements"),
         params.alias("spider_parameters"),
         params.alias("settings"),
         f["base_settings_module"].alias("base_settings_module"),
+        F.coalesce(f["plugin_settings"], F.lit("{}")).alias("plugin_settings"),
+        F.coalesce(f["plugins"], F.lit("[]")).alias("plugins"),
+        f["package"].alias("package"),
         f["output"].alias("output"))
 
 
+def spider_figures(spiders: DataFrame, parameters: DataFrame, figures: DataFrame) -> DataFrame:
+    """F11 for every stored figure: the run figure of its spider."""
+    s = spiders.select(F.col("id").alias("_sid"), F.col("name").alias("_sname"))
+    fg = dedupe_eav(figures.withColumn("_k", F.lit("figure")), "spider_id", "_k", "text").select("spider_id", "text")
+    j = fg.join(params_map(parameters), "spider_id", "left").join(s, F.col("spider_id") == F.col("_sid"))
+    return j.select("spider_id", figure(F.col("text"), F.col("_sname"), F.col("params")).alias("figure"))
+
+
 def params_map(parameters: DataFrame) -> DataFrame:
     """spider_parameters EAV → (spider_id, map); lowest id wins on duplicates."""
     d = dedupe_eav(parameters, "spider_id", "parameter_key")
@@ -185,16 +203,19 @@ def job_payload(jobs: DataFrame, spiders: DataFrame, projects: DataFrame, settin
     req = (dedupe_eav(settings.where(F.col("setting_key") == "extra_requirements"), "spider_id", "setting_key")
            .select(F.col("spider_id").alias("_rsid"), split_clean("value", ";").alias("extra_requirements")))
     pm = params_map(parameters).withColumnRenamed("spider_id", "_psid")
-    j = (jobs.join(s, jobs.spider_id == s._sid).join(p, F.col("_spid") == p._pid)
-         .join(req, F.col("spider_id") == F.col("_rsid"), "left")
-         .join(pm, F.col("spider_id") == F.col("_psid"), "left"))
+    # one row per spider first (the project join last, so that both sides of
+    # the join with the jobs are shuffled for it and a hot spider can be split);
+    # the jobs are shuffled once
+    sp = s.join(req, F.col("_sid") == F.col("_rsid"), "left").join(pm, F.col("_sid") == F.col("_psid"), "left")
     if figures is not None:
         fg = dedupe_eav(figures.withColumn("_k", F.lit("figure")), "spider_id", "_k", "text").select(
             F.col("spider_id").alias("_fsid"), "text")
-        j = j.join(fg, F.col("spider_id") == F.col("_fsid"), "left")
+        sp = sp.join(fg, F.col("_sid") == F.col("_fsid"), "left")
         ftext = F.col("text")
     else:
         ftext = F.lit(None).cast("string")
+    sp = sp.join(p, F.col("_spid") == p._pid)
+    j = jobs.join(sp, jobs.spider_id == F.col("_sid"))
     empty = F.create_map().cast("map<string,string>")
     job_params = F.from_json(F.col("settings"), "spider_parameters map<string,string>")["spider_parameters"]
     return j.select(

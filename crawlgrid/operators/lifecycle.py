@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from crawlgrid.constants import (CANCEL, DEFAULT_JOB_TIMEOUT, FAIL, KILL_GRACE, NODE_TIMEOUT, PENDING,
                                  RUNNING, SESSION_GUARD, STOPPING, UPDATE_GRACE)
 from crawlgrid.operators.aggregates import dedupe_eav
+from crawlgrid.operators.ranking import row_number_within
 
 NTZ = "timestamp_ntz"
 
@@ -49,8 +50,9 @@ def enqueue(requests: DataFrame, spiders: DataFrame, projects: DataFrame, settin
     s = spiders.select(F.col("id").alias("_sid"), F.col("project_id").alias("_spid"), F.col("name").alias("spider_name"))
     p = projects.select(F.col("id").alias("_pid"), F.col("name").alias("project_name"))
     now = ts(as_of)
-    j = (requests.join(s, requests.spider_id == s._sid).join(p, F.col("_spid") == p._pid)
-         .join(tag, F.col("spider_id") == F.col("_tsid"), "left"))
+    # one row per spider first; the requests are shuffled once
+    sp = s.join(tag, F.col("_sid") == F.col("_tsid"), "left").join(p, F.col("_spid") == p._pid)
+    j = requests.join(sp, requests.spider_id == sp._sid)
     return j.select(
         F.md5(F.col("req_key").cast("string")).alias("id"), "spider_id", F.lit(1).alias("slot"),
         "project_name", "spider_name", now.alias("fire_time"), F.lit(None).cast(NTZ).alias("start_time"),
@@ -197,25 +199,47 @@ def session_sweep(sessions: DataFrame, as_of, timeout: int = NODE_TIMEOUT) -> Da
     return sessions.where(~(F.col("last_heartbeat") < _plus(ts(as_of), -timeout)))
 
 
-def login_decisions(attempts: DataFrame, nodes: DataFrame, sessions: DataFrame, as_of,
+def login_decisions(attempts: DataFrame, nodes: DataFrame, sessions: DataFrame,
                     auth_enabled: bool = True, guard: int = SESSION_GUARD) -> DataFrame:
-    """What each login attempt (attempt_id, node_id or NULL) does:
+    """What each login attempt (attempt_id, node_id or NULL, ts) does:
     anonymous_disabled / create_node / not_found / conflict (the node's
-    session was created less than ``guard`` seconds ago) / replace (an older
-    session is dropped) / new_session. A node's existing session is taken as
-    its latest one (decomposable max)."""
+    session was created less than ``guard`` seconds before) / replace (an
+    older session is dropped) / new_session. A node's attempts are taken in
+    order of time, then id, so a login sees the session of the one before it
+    in the same batch. ``sessions`` are those before the batch; a node's
+    existing one is its latest.
+
+    Whether a login succeeds depends on the last one that did, so a node's
+    attempts are read one after the other, sorted within a partition; the
+    reader keeps one time per node, whatever their number."""
     last = sessions.groupBy("node_id").agg(F.max("create_at").alias("_last_session"))
     n = nodes.select(F.col("id").alias("_nid"))
     j = (attempts.join(n, attempts.node_id == n._nid, "left")
          .join(last.withColumnRenamed("node_id", "_snid"), F.col("node_id") == F.col("_snid"), "left"))
     anon = F.col("node_id").isNull()
-    decision = (F.when(anon & F.lit(auth_enabled), "anonymous_disabled")
-                .when(anon, "create_node")
-                .when(F.col("_nid").isNull(), "not_found")
-                .when(F.col("_last_session") > _plus(ts(as_of), -guard), "conflict")
-                .when(F.col("_last_session").isNotNull(), "replace")
-                .otherwise("new_session"))
-    return j.select("attempt_id", "node_id", decision.alias("decision"))
+    other = j.where(anon | F.col("_nid").isNull()).select("attempt_id", "node_id", (
+        F.when(anon & F.lit(auth_enabled), "anonymous_disabled").when(anon, "create_node").otherwise("not_found")).alias("decision"))
+    known = j.where(~anon & F.col("_nid").isNotNull()).select(
+        "attempt_id", "node_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"),
+        F.unix_micros(F.col("_last_session").cast("timestamp")).alias("s"))
+
+    def run(frames):
+        node, created = None, None
+        for f in frames:
+            out = []
+            for node_id, t, s in zip(f["node_id"], f["t"], f["s"]):
+                if node_id != node:
+                    node, created = node_id, None if s != s or s is None else int(s)
+                if created is not None and created > t - guard * 1_000_000:
+                    out.append("conflict")
+                else:
+                    out.append("new_session" if created is None else "replace")
+                    created = int(t)
+            yield f[["attempt_id", "node_id"]].assign(decision=out)
+
+    parts = int(attempts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (known.repartition(parts, "node_id").sortWithinPartitions("node_id", "t", "attempt_id")
+            .mapInPandas(run, other.schema).unionByName(other))
 
 
 def apply_heartbeats(nodes: DataFrame, beats: DataFrame) -> dict[str, DataFrame]:
@@ -237,6 +261,22 @@ def apply_heartbeats(nodes: DataFrame, beats: DataFrame) -> dict[str, DataFrame]
     return {"outcome": outcome, "nodes": new_nodes}
 
 
+def apply_session_heartbeats(nodes: DataFrame, sessions: DataFrame, beats: DataFrame) -> dict[str, DataFrame]:
+    """L12, session side: each session's latest beat in the batch. A session
+    that is unknown, whose node is unknown, or whose node is dead and
+    unregistered is told it expired; the others get it as last_heartbeat."""
+    last = beats.groupBy("session_id").agg(F.max("ts").alias("last_beat"))
+    s = sessions.select(F.col("id").alias("_sid"), F.col("node_id").alias("_snode"))
+    n = nodes.select(F.col("id").alias("_nid"), F.col("isalive").alias("_alive"), F.col("node_key_id").alias("_key"))
+    j = last.join(s, last.session_id == s._sid, "left").join(n, F.col("_snode") == F.col("_nid"), "left")
+    reason = (F.when(F.col("_sid").isNull(), "unknown session").when(F.col("_nid").isNull(), "unknown node")
+              .when((F.col("_alive") == 0) & _unregistered("_key"), "dead unregistered"))
+    outcome = j.select("session_id", "last_beat", reason.isNull().alias("accepted"), reason.alias("reason"))
+    ok = outcome.where("accepted").select(F.col("session_id").alias("_ok"), "last_beat")
+    new = _replace(sessions.join(ok, sessions.id == ok._ok, "left"), last_heartbeat=F.coalesce("last_beat", "last_heartbeat"))
+    return {"outcome": outcome, "sessions": new.drop("_ok", "last_beat")}
+
+
 def resolve_node_keys(tokens: DataFrame, node_keys: DataFrame, nodes: DataFrame) -> DataFrame:
     """Node token → node: unknown key is an error; an unused key and a
     key whose node is deleted give no node. ``can_register`` tells whether
@@ -276,6 +316,16 @@ def webhook_job_transitions(webhook_jobs: DataFrame, events: DataFrame) -> DataF
     return _replace(j, status=status.cast("int"), log=log).drop("webhook_job_id", "_last", "_last_at", "_restart_at")
 
 
+def add_webhook_jobs(webhook_jobs: DataFrame, finished: DataFrame) -> DataFrame:
+    """A pending webhook job for each finished job to deliver (job_id,
+    spider_id, payload_url), numbered after the existing ones by job id."""
+    top = webhook_jobs.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    numbered = row_number_within(finished.withColumn("_all", F.lit(0)), ["_all"], ["job_id"])
+    new = numbered.select((top + F.col("rank")).cast("long").alias("id"), "job_id", "spider_id", "payload_url",
+                          F.lit(PENDING).cast("int").alias("status"), F.lit(None).cast("string").alias("log"))
+    return webhook_jobs.unionByName(new)
+
+
 # ---------------------------------------------------------------- L15 settings form
 FORM_KEYS = ["concurrency", "timeout", "webhook_payload", "webhook_batch_size", "tag", "extra_requirements"]
 
@@ -337,3 +387,27 @@ def settings_upsert(settings: DataFrame, parameters: DataFrame, figures: DataFra
     new_figs = (figures.join(fj.select("id"), "id", "left_anti")
                 .unionByName(fj.select("id", "spider_id", F.col("_text").alias("text"))))
     return {"settings": new_settings, "parameters": new_params, "figures": new_figs}
+
+
+# ---------------------------------------------------------------- L15 webhook address
+def webhook_urls(settings: DataFrame, spider_ids: DataFrame) -> DataFrame:
+    """L15 get: the webhook address of each asked spider that has one set."""
+    url = dedupe_eav(settings.where(F.col("setting_key") == "webhook_payload"), "spider_id", "setting_key")
+    return url.join(spider_ids.select("spider_id"), "spider_id", "left_semi").select("spider_id", F.col("value").alias("payload_url"))
+
+
+def put_webhook_urls(settings: DataFrame, urls: DataFrame) -> DataFrame:
+    """L15 put: (spider_id, payload_url) into the spider's first webhook row,
+    or a new one (id: the highest + 1 + spider id)."""
+    first = settings.where(F.col("setting_key") == "webhook_payload").groupBy("spider_id").agg(F.min("id").alias("_first"))
+    top = settings.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    u = urls.join(first, "spider_id", "left").select(
+        F.coalesce("_first", top + 1 + F.col("spider_id")).alias("id"), "spider_id",
+        F.lit("webhook_payload").alias("setting_key"), F.col("payload_url").alias("value"))
+    return settings.join(u.select("id"), "id", "left_anti").select(*settings.columns).unionByName(u)
+
+
+def delete_webhook_urls(settings: DataFrame, spider_ids: DataFrame) -> DataFrame:
+    """L15 delete: no webhook rows are left of the given spiders."""
+    gone = settings.where(F.col("setting_key") == "webhook_payload").join(spider_ids.select("spider_id"), "spider_id", "left_semi")
+    return settings.join(gone.select("id"), "id", "left_anti")

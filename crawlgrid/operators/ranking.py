@@ -40,5 +40,5 @@ def row_number_within(df: DataFrame, group: list[str], order: list[Column | str]
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     j = s.join(counts.select(*[F.col(c).alias(f"_c_{c}") for c in ["_pid", *group, "_first", "_before"]]),
                [s["_pid"] == F.col("_c__pid")] + [s[g].eqNullSafe(F.col(f"_c_{g}")) for g in group])
-    return (j.withColumn(out, (F.col("_c__before") + F.col("_mid") - F.col("_c__first") + 1).cast("int"))
+    return (j.withColumn(out, (F.col("_c__before") + F.col("_mid") - F.col("_c__first") + 1).cast("long"))
             .drop("_pid", "_mid", *[f"_c_{c}" for c in ["_pid", *group, "_first", "_before"]]))

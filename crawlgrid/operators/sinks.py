@@ -52,8 +52,9 @@ def completion_feed(finished: DataFrame, spiders: DataFrame, projects: DataFrame
             .select(F.col("spider_id").alias("_hsid"), F.col("value").alias("url")))
     s = spiders.select(F.col("id").alias("_sid"), F.col("project_id").alias("_spid"), F.col("name").alias("_sname"))
     p = projects.select(F.col("id").alias("_pid"), F.col("name").alias("_pname"))
-    j = (finished.join(hook, finished.spider_id == hook._hsid).join(s, finished.spider_id == s._sid)
-         .join(p, F.col("_spid") == p._pid))
+    # one row per hooked spider first; the jobs are shuffled once
+    sp = s.join(hook, F.col("_sid") == hook._hsid).join(p, F.col("_spid") == p._pid)
+    j = finished.join(sp, finished.spider_id == sp._sid)
     body = F.to_json(F.struct(F.lit("job").alias("type"), F.lit("complete").alias("event"),
                               F.col("_pname").alias("project_name"), F.col("_sname").alias("spider_name"),
                               F.col("id").alias("job_id")))
@@ -67,8 +68,8 @@ def failed_job_alerts(finished: DataFrame, spiders: DataFrame, projects: DataFra
     is gone cannot be addressed and are skipped)."""
     s = spiders.select(F.col("id").alias("_sid"), F.col("project_id").alias("_spid"))
     p = projects.select(F.col("id").alias("_pid"), F.col("name").alias("_pname"))
-    j = (finished.where(F.col("status") == FAIL).join(s, finished.spider_id == s._sid)
-         .join(p, F.col("_spid") == p._pid))
+    sp = s.join(p, F.col("_spid") == p._pid)
+    j = finished.where(F.col("status") == FAIL).join(sp, finished.spider_id == sp._sid)
     if not enabled:
         j = j.where(F.lit(False))
     body = F.format_string(FAIL_MAIL_BODY, F.col("_pname"), F.col("spider_name"), F.col("id"))

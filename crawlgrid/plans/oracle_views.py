@@ -239,11 +239,12 @@ VIEWS["v_figures"] = """
 SELECT c_custkey AS id, c_custkey AS spider_id,
        CASE WHEN c_custkey % 27 = 0 THEN '{bad'
             ELSE '{"spider_name": "fig_' || c_custkey || '", "project_name": "p' || c_nationkey
-                 || '", "extra_requirements": "a;b;;c", '
+                 || '", "extra_requirements": ' || CASE WHEN c_custkey % 5 = 0 THEN '["a","b;c"]' ELSE '"a;b;;c"' END || ', '
                  || CASE WHEN c_custkey % 2 = 0 THEN '"settings": {"x": "' || c_custkey || '"}'
                          ELSE '"spider_parameters": {"y": "1", "nation": "override"}' END
+                 || CASE WHEN c_custkey % 3 = 0 THEN ', "plugin_settings": {"p":{"x":1}}, "plugins": ["p"], "package": "pk"' ELSE '' END
                  || CASE WHEN c_custkey % 4 = 0 THEN ', "output": "s3://o"' ELSE '' END || '}' END AS text
-FROM customer WHERE c_custkey % 9 = 0"""
+FROM customer"""
 
 VIEWS["v_forms"] = """
 SELECT c_custkey AS spider_id,
@@ -257,7 +258,7 @@ SELECT c_custkey AS spider_id,
        [' nation ', '', 'segment', 'nation'] AS param_keys,
        [CAST(c_nationkey AS VARCHAR), 'x', c_mktsegment, 'N' || c_nationkey] AS param_values,
        CASE WHEN c_custkey % 5 = 0 THEN '{"spider": "f"}' WHEN c_custkey % 5 = 1 THEN '{bad' END AS figure_json
-FROM customer WHERE c_mktsegment = 'AUTOMOBILE'"""
+FROM customer"""
 
 VIEWS["v_plugin_descriptors"] = """
 SELECT p_partkey AS plugin_id,
@@ -319,6 +320,8 @@ def with_views(query: str) -> str:
         return query
     ctes = ",\n".join(f"{v} AS ({VIEWS[v]}\n)" for v in need)
     q = query.strip()
+    if q.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{q[15:]}"
     if q.upper().startswith("WITH "):
         return f"WITH {ctes},\n{q[5:]}"
     return f"WITH {ctes}\n{q}"

@@ -41,15 +41,37 @@ def q_j2(spark, sf):
     return D.under_concurrency(D.earliest_pending(q), q, 1)
 
 
+def _set_sql(c):
+    return f"array_to_string(list_sort(list_distinct({c})), '{D.SEP}')"
+
+
+_J3_SP = """sp AS (SELECT s.id AS spider_id, coalesce(t.st, CAST([] AS VARCHAR[])) AS st
+       FROM v_spiders s LEFT JOIN stags t ON t.spider_id = s.id)"""
+
+
+def _match(spark, sf):
+    t = _t(spark, sf)
+    return D.tag_match(t.spiders, t.settings, t.nodes)
+
+
 @register("J3_tag_match", f"""
-WITH {_STAGS}, {_NTAGS},
-sp AS (SELECT s.id AS spider_id, coalesce(t.st, CAST([] AS VARCHAR[])) AS st
-       FROM v_spiders s LEFT JOIN stags t ON t.spider_id = s.id)
-SELECT spider_id, n.id AS node_id FROM sp, ntags n WHERE {_MATCH}
+WITH {_STAGS}, {_NTAGS}, {_J3_SP},
+ss AS (SELECT DISTINCT list_sort(list_distinct(st)) AS st FROM sp),
+ns AS (SELECT DISTINCT list_sort(list_distinct(nt)) AS nt FROM ntags)
+SELECT {_set_sql("st")} AS spider_set, {_set_sql("nt")} AS node_set FROM ss, ns WHERE {_MATCH}
 """)
 def q_j3(spark, sf):
-    t = _t(spark, sf)
-    return D.tag_match(t.spiders, t.settings, t.nodes)
+    return _match(spark, sf)["sets"]
+
+
+@register("J3_spider_sets", f"WITH {_STAGS}, {_J3_SP} SELECT spider_id, {_set_sql('st')} AS spider_set FROM sp")
+def q_j3s(spark, sf):
+    return _match(spark, sf)["spiders"]
+
+
+@register("J3_node_sets", f"WITH {_NTAGS} SELECT id AS node_id, {_set_sql('nt')} AS node_set FROM ntags")
+def q_j3n(spark, sf):
+    return _match(spark, sf)["nodes"]
 
 
 @register("J4_next_job_per_node", f"""
@@ -217,7 +239,8 @@ SELECT id AS task_id, j.spider_id, spider_name, project_name, version, extra_req
        list_sort(list_transform(map_entries(map_concat(coalesce(params, MAP {}), coalesce(job_params, MAP {}))),
                                 lambda e: e.key || '=' || e.value)) AS spider_parameters,
        spider_name AS figure_spider, f_project AS figure_project,
-       list_filter(string_split(coalesce(f_req, ''), ';'), lambda x: x <> '') AS figure_requirements,
+       CASE WHEN f_req LIKE '[%' THEN CAST(CAST(f_req AS JSON) AS VARCHAR[])
+            ELSE list_filter(string_split(coalesce(f_req, ''), ';'), lambda x: x <> '') END AS figure_requirements,
        list_sort(list_transform(map_entries(map_concat(coalesce(f_params, MAP {}), coalesce(params, MAP {}))),
                                 lambda e: e.key || '=' || e.value)) AS figure_parameters,
        f_output AS figure_output
@@ -243,3 +266,32 @@ FROM v_history h LEFT JOIN v_webhook_jobs w ON w.job_id = h.id LEFT JOIN v_job_s
 def q_j12(spark, sf):
     t = _t(spark, sf)
     return J.spider_jobs_with_webhook(t.history, t.webhook_jobs, job_status(spark))
+
+
+@register("F11_run_figure", """
+WITH pm AS (SELECT spider_id, map_from_entries(list((parameter_key, value))) AS params FROM
+         (SELECT spider_id, parameter_key, arg_min(value, id) AS value FROM v_parameters GROUP BY 1, 2) GROUP BY 1),
+fg AS (SELECT spider_id, arg_min(text, id) AS text FROM v_figures GROUP BY 1),
+fj AS (SELECT spider_id, CASE WHEN json_valid(text) THEN text ELSE '{}' END AS j FROM fg),
+p AS (SELECT spider_id, j, CASE WHEN coalesce(CAST(json_extract(j, '$.settings') AS VARCHAR), '{}') <> '{}'
+                                THEN CAST(json_extract(j, '$.settings') AS MAP(VARCHAR, VARCHAR))
+                                WHEN json_extract(j, '$.spider_parameters') IS NOT NULL
+                                THEN CAST(json_extract(j, '$.spider_parameters') AS MAP(VARCHAR, VARCHAR)) END AS own FROM fj)
+SELECT p.spider_id, s.name AS spider, json_extract_string(j, '$.project_name') AS project_name,
+       CASE WHEN json_type(j, '$.extra_requirements') = 'ARRAY' THEN CAST(json_extract(j, '$.extra_requirements') AS VARCHAR[])
+            ELSE list_filter(string_split(coalesce(json_extract_string(j, '$.extra_requirements'), ''), ';'), lambda x: x <> '')
+       END AS extra_requirements,
+       list_sort(list_transform(map_entries(map_concat(coalesce(own, MAP {}), coalesce(params, MAP {}))),
+                                lambda e: e.key || '=' || e.value)) AS spider_parameters,
+       coalesce(CAST(json_extract(j, '$.plugin_settings') AS VARCHAR), '{}') AS plugin_settings,
+       coalesce(CAST(json_extract(j, '$.plugins') AS VARCHAR), '[]') AS plugins,
+       json_extract_string(j, '$.package') AS package, json_extract_string(j, '$.output') AS output
+FROM p JOIN v_spiders s ON s.id = p.spider_id LEFT JOIN pm ON pm.spider_id = p.spider_id
+""")
+def q_f11(spark, sf):
+    t = _t(spark, sf)
+    f = F.col("figure")
+    return J.spider_figures(t.spiders, t.parameters, t.figures).select(
+        "spider_id", f["spider"].alias("spider"), f["project_name"].alias("project_name"), f["extra_requirements"].alias("extra_requirements"),
+        _kv_sorted(f["spider_parameters"]).alias("spider_parameters"), f["plugin_settings"].alias("plugin_settings"),
+        f["plugins"].alias("plugins"), f["package"].alias("package"), f["output"].alias("output"))

@@ -260,20 +260,48 @@ def q_l10(spark, sf):
 
 
 # ---------------------------------------------------------------- L11-L13
+# the sessions before the batch: each node's first one
 @register("L11_login_decisions", """
-WITH as_of_t AS (SELECT max(ts) + INTERVAL 30 SECOND AS a FROM events),
-last AS (SELECT node_id, max(create_at) AS ls FROM v_sessions GROUP BY 1)
+WITH RECURSIVE st AS (SELECT node_id, min(create_at) AS c FROM v_sessions GROUP BY 1),
+att AS (SELECT l.*, st.c FROM v_logins l JOIN v_nodes n ON n.id = l.node_id LEFT JOIN st ON st.node_id = l.node_id),
+acc AS (SELECT node_id, min(ts) AS ts FROM att WHERE c IS NULL OR c <= ts - INTERVAL 60 SECOND GROUP BY 1
+        UNION ALL
+        SELECT a.node_id, min(x.ts) FROM acc a JOIN att x ON x.node_id = a.node_id AND x.ts >= a.ts + INTERVAL 60 SECOND
+        GROUP BY a.node_id, a.ts),
+ok AS (SELECT min(att.attempt_id) AS attempt_id, (min(att.c) IS NOT NULL OR acc.ts > (SELECT min(z.ts) FROM acc z WHERE z.node_id = acc.node_id)) AS again
+       FROM acc JOIN att ON att.node_id = acc.node_id AND att.ts = acc.ts GROUP BY acc.node_id, acc.ts)
 SELECT l.attempt_id, l.node_id,
-       CASE WHEN l.node_id IS NULL THEN 'anonymous_disabled'
-            WHEN n.id IS NULL THEN 'not_found'
-            WHEN last.ls > (SELECT a FROM as_of_t) - INTERVAL 60 SECOND THEN 'conflict'
-            WHEN last.ls IS NOT NULL THEN 'replace' ELSE 'new_session' END AS decision
-FROM v_logins l LEFT JOIN v_nodes n ON n.id = l.node_id LEFT JOIN last ON last.node_id = l.node_id
+       CASE WHEN l.node_id IS NULL THEN 'anonymous_disabled' WHEN n.id IS NULL THEN 'not_found'
+            WHEN ok.attempt_id IS NULL THEN 'conflict' WHEN ok.again THEN 'replace' ELSE 'new_session' END AS decision
+FROM v_logins l LEFT JOIN v_nodes n ON n.id = l.node_id LEFT JOIN ok ON ok.attempt_id = l.attempt_id
 """)
 def q_l11(spark, sf):
     t = _t(spark, sf)
-    as_of = t.raw("events").select(F.timestamp_add("SECOND", F.lit(30), F.max("ts"))).scalar()
-    return L.login_decisions(t.logins, t.nodes, t.sessions, as_of, auth_enabled=True)
+    before = t.sessions.groupBy("node_id").agg(F.min("create_at").alias("create_at"))
+    return L.login_decisions(t.logins, t.nodes, before, auth_enabled=True)
+
+
+_SESSION_BEATS = """last AS (SELECT session_id, max(ts) AS last_beat FROM v_beats GROUP BY 1),
+outcome AS (SELECT last.session_id, last.last_beat,
+                   CASE WHEN s.id IS NULL THEN 'unknown session' WHEN n.id IS NULL THEN 'unknown node'
+                        WHEN n.isalive = 0 AND coalesce(n.node_key_id, 0) = 0 THEN 'dead unregistered' END AS reason
+            FROM last LEFT JOIN v_sessions s ON s.id = last.session_id LEFT JOIN v_nodes n ON n.id = s.node_id)"""
+
+
+@register("L12_session_outcome", f"WITH {_SESSION_BEATS} SELECT session_id, last_beat, reason IS NULL AS accepted, reason FROM outcome")
+def q_l12s(spark, sf):
+    t = _t(spark, sf)
+    return L.apply_session_heartbeats(t.nodes, t.sessions, t.beats)["outcome"]
+
+
+@register("L12_session_heartbeats", f"""
+WITH {_SESSION_BEATS}
+SELECT s.* REPLACE (coalesce(o.last_beat, s.last_heartbeat) AS last_heartbeat)
+FROM v_sessions s LEFT JOIN (SELECT * FROM outcome WHERE reason IS NULL) o ON o.session_id = s.id
+""")
+def q_l12t(spark, sf):
+    t = _t(spark, sf)
+    return L.apply_session_heartbeats(t.nodes, t.sessions, t.beats)["sessions"]
 
 
 _BEATS = """last AS (SELECT node_id, max(ts) AS last_beat FROM v_beats GROUP BY 1),
@@ -336,6 +364,24 @@ def q_l14(spark, sf):
     return L.webhook_job_transitions(t.webhook_jobs, t.webhook_events)
 
 
+_HOOK_URL = """hook AS (SELECT * FROM (SELECT spider_id, arg_min(value, id) AS url FROM v_settings
+      WHERE setting_key = 'webhook_payload' GROUP BY 1) WHERE url <> '')"""
+
+
+@register("L14_add_webhook_jobs", f"""
+WITH {_HOOK_URL}
+SELECT * FROM v_webhook_jobs
+UNION ALL
+SELECT (SELECT coalesce(max(id), 0) FROM v_webhook_jobs) + row_number() OVER (ORDER BY h.id), h.id, h.spider_id, hook.url, 0, NULL
+FROM v_history h JOIN hook ON hook.spider_id = h.spider_id
+""")
+def q_l14a(spark, sf):
+    t = _t(spark, sf)
+    hook = L.webhook_urls(t.settings, t.settings).where(F.col("payload_url") != "")
+    todo = t.history.select(F.col("id").alias("job_id"), "spider_id").join(hook, "spider_id")
+    return L.add_webhook_jobs(t.webhook_jobs, todo)
+
+
 # ---------------------------------------------------------------- L15
 _FORM_SQL = """
 vals AS (
@@ -390,3 +436,34 @@ UNION ALL SELECT * FROM up
 def q_l15f(spark, sf):
     t = _t(spark, sf)
     return L.settings_upsert(t.settings, t.parameters, t.figures, t.forms)["figures"]
+
+
+@register("L15_webhook_get", """
+SELECT spider_id, arg_min(value, id) AS payload_url FROM v_settings
+WHERE setting_key = 'webhook_payload' AND spider_id IN (SELECT spider_id FROM v_forms) GROUP BY 1
+""")
+def q_l15g(spark, sf):
+    t = _t(spark, sf)
+    return L.webhook_urls(t.settings, t.forms)
+
+
+@register("L15_webhook_put", """
+WITH u AS (SELECT spider_id, webhook_payload AS url FROM v_forms WHERE webhook_payload IS NOT NULL),
+f AS (SELECT spider_id, min(id) AS fid FROM v_settings WHERE setting_key = 'webhook_payload' GROUP BY 1),
+n AS (SELECT coalesce(f.fid, (SELECT coalesce(max(id), 0) FROM v_settings) + 1 + u.spider_id) AS id, u.spider_id,
+             'webhook_payload' AS setting_key, u.url AS value FROM u LEFT JOIN f ON f.spider_id = u.spider_id)
+SELECT * FROM v_settings WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n
+""")
+def q_l15u(spark, sf):
+    t = _t(spark, sf)
+    urls = t.forms.where(F.col("webhook_payload").isNotNull()).select("spider_id", F.col("webhook_payload").alias("payload_url"))
+    return L.put_webhook_urls(t.settings, urls)
+
+
+@register("L15_webhook_delete", """
+SELECT * FROM v_settings WHERE NOT (setting_key = 'webhook_payload'
+  AND spider_id IN (SELECT spider_id FROM v_forms WHERE webhook_batch_size IS NULL))
+""")
+def q_l15d(spark, sf):
+    t = _t(spark, sf)
+    return L.delete_webhook_urls(t.settings, t.forms.where(F.col("webhook_batch_size").isNull()))

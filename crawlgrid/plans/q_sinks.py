@@ -113,12 +113,12 @@ def q_w6(spark, sf):
 
 
 def _legacy_webhooks(t):
-    c = t.raw("customer").where(F.col("c_mktsegment") == "BUILDING")
+    c = t.raw("customer")
     return c.select(F.col("c_custkey").alias("id"),
                     F.concat(F.lit("http://legacy.example/"), F.col("c_custkey").cast("string")).alias("payload_url"))
 
 
-_W7_HOOKS = "SELECT c_custkey AS id, 'http://legacy.example/' || c_custkey AS payload_url FROM customer WHERE c_mktsegment = 'BUILDING'"
+_W7_HOOKS = "SELECT c_custkey AS id, 'http://legacy.example/' || c_custkey AS payload_url FROM customer"
 
 
 @register("W7_upgrade_settings", f"""

@@ -414,21 +414,22 @@ class DriverTables:
 
     @cached_property
     def figures(self) -> DataFrame:
-        """spider_figure: stored run figures (JSON text) for some spiders."""
-        c = self.raw("customer").where(F.col("c_custkey") % 9 == 0)
+        """spider_figure: stored run figures (JSON text)."""
+        c = self.raw("customer")
         k = F.col("c_custkey")
         params = F.when(k % 2 == 0, F.concat(F.lit('"settings": {"x": "'), _s(k), F.lit('"}'))).otherwise(
             F.lit('"spider_parameters": {"y": "1", "nation": "override"}'))
         good = F.concat(F.lit('{"spider_name": "fig_'), _s(k), F.lit('", "project_name": "p'), _s("c_nationkey"),
-                        F.lit('", "extra_requirements": "a;b;;c", '), params,
+                        F.lit('", "extra_requirements": '), F.when(k % 5 == 0, F.lit('["a","b;c"]')).otherwise(F.lit('"a;b;;c"')), F.lit(", "), params,
+                        F.when(k % 3 == 0, F.lit(', "plugin_settings": {"p":{"x":1}}, "plugins": ["p"], "package": "pk"')).otherwise(F.lit("")),
                         F.when(k % 4 == 0, F.lit(', "output": "s3://o"')).otherwise(F.lit("")), F.lit("}"))
         return c.select(k.alias("id"), k.alias("spider_id"),
                         F.when(k % 27 == 0, F.lit("{bad")).otherwise(good).alias("text"))
 
     @cached_property
     def forms(self) -> DataFrame:
-        """Submitted spider settings forms (one per automobile-segment spider)."""
-        c = self.raw("customer").where(F.col("c_mktsegment") == "AUTOMOBILE")
+        """Submitted spider settings forms, one per spider."""
+        c = self.raw("customer")
         k = F.col("c_custkey")
         nk = _s("c_nationkey")
         return c.select(

@@ -47,7 +47,8 @@ def test_tag_matrix(spark):
     got = set()
     for i, (_, ntags, _) in enumerate(cases):
         nodes = spark.createDataFrame([node(100 + i, ntags)], NODES)
-        pairs = D.tag_match(spiders.where(F.col("id") == i), settings, nodes)
+        match = D.tag_match(spiders.where(F.col("id") == i), settings, nodes)
+        pairs = D.nodes_for_spiders(match, match["spiders"])
         got.add((i, pairs.count() == 1))
     assert got == {(i, c[2]) for i, c in enumerate(cases)}
 
@@ -56,7 +57,8 @@ def test_single_string_node_tags_are_split(spark):
     spiders = spark.createDataFrame([(1, 1, "s")], "id long, project_id long, name string")
     settings = spark.createDataFrame([(1, 1, "tag", "a,b")], SETTINGS)
     nodes = spark.createDataFrame([node(5, ["a,b"])], NODES)
-    assert rows(D.tag_match(spiders, settings, nodes)) == [(1, 5)]
+    match = D.tag_match(spiders, settings, nodes)
+    assert rows(D.nodes_for_spiders(match, match["spiders"])) == [(1, 5)]
 
 
 # ---------------------------------------------------------------- dispatch
@@ -239,16 +241,18 @@ def test_key_expiry(spark):
 
 
 def test_anonymous_login_refused(spark):
-    att = spark.createDataFrame([(1, None)], "attempt_id long, node_id long")
+    att = spark.createDataFrame([(1, None, T0)], "attempt_id long, node_id long, ts timestamp_ntz")
     out = L.login_decisions(att, spark.createDataFrame([node(1)], NODES),
-                            spark.createDataFrame([], "id long, node_id long, create_at timestamp_ntz"), T0)
+                            spark.createDataFrame([], "id long, node_id long, create_at timestamp_ntz"))
     assert out.first().decision == "anonymous_disabled"
 
 
 # ---------------------------------------------------------------- cron
 def test_cron_validation(spark):
-    df = spark.createDataFrame([("* * * * *",), ("* * * * * *",), ("0 0 31 feb *",), ("*/60 * * * *",)], "p string")
-    assert [r.v for r in df.select(cron.cron_valid(F.col("p")).alias("v")).collect()] == [True, False, True, False]
+    df = spark.createDataFrame([("* * * * *",), ("* * * * * *",), ("0 0 31 feb *",), ("*/60 * * * *",), ("0 0 last * mon-fri",), ("0 0 * * fri-mon",), (None,)], "p string")
+    got = {r.p: r.valid for r in cron.valid_patterns(df, "p").collect()}
+    assert got == {"* * * * *": True, "* * * * * *": False, "0 0 31 feb *": True, "*/60 * * * *": False, "0 0 last * mon-fri": True, "0 0 * * fri-mon": False, None: got[None]}
+    assert not got[None]
 
 
 def test_cron_weekday_zero_is_monday_and_fields_and(spark):
@@ -389,3 +393,38 @@ def test_session_needs_a_shared_folder_on_a_cluster():
     bare = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(master="yarn"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(bare)
+
+
+def test_logins_of_one_batch_see_each_other(spark):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    att = spark.createDataFrame([(1, 1, at(0)), (2, 1, at(59)), (3, 1, at(60)), (4, 1, at(100)), (5, 2, at(0)), (6, 2, at(30)), (7, 2, at(30)), (8, 9, at(0))],
+                                "attempt_id long, node_id long, ts timestamp_ntz")
+    sessions = spark.createDataFrame([(1, 2, at(-30)), (2, 2, at(-100))], "id long, node_id long, create_at timestamp_ntz")
+    out = L.login_decisions(att, spark.createDataFrame([node(1), node(2)], NODES), sessions)
+    assert dict(rows(out, "attempt_id", "decision")) == {
+        1: "new_session", 2: "conflict", 3: "replace", 4: "conflict", 5: "conflict", 6: "replace", 7: "conflict", 8: "not_found"}
+
+
+def test_figure_requirements_as_list_or_text(spark):
+    from crawlgrid.operators.joins import spider_figures
+    figs = spark.createDataFrame([(1, 1, '{"extra_requirements": ["scrapy", "b;c"], "plugins": ["x"]}'), (2, 2, '{"extra_requirements": "a;;b", "package": "p"}'), (3, 3, "{bad")],
+                                 "id long, spider_id long, text string")
+    spiders = spark.createDataFrame([(i, 1, f"s{i}") for i in (1, 2, 3)], "id long, project_id long, name string")
+    got = {r.spider_id: r.figure for r in spider_figures(spiders, spark.createDataFrame([], "id long, spider_id long, parameter_key string, value string"), figs).collect()}
+    assert [got[i].extra_requirements for i in (1, 2, 3)] == [["scrapy", "b;c"], ["a", "b"], []]
+    assert (got[1].plugins, got[2].plugins, got[2].package, got[3].spider) == ('["x"]', "[]", "p", "s3")
+
+
+def test_page_titles_of_the_head(spark):
+    from crawlgrid.operators.items import page_items
+    cases = [("<html><head><title>A &amp; B &#8211; C&nbsp;D &#x1F600; &bogus; R&D</title></head>", "A & B – C\u00a0D 😀 &bogus; R&D"),
+             ("<html><head></head><body><svg><title>no</title></svg></body>", None),
+             ("<html><body><title>no</title>", None), ("<TITLE lang='x'>top</TITLE><p>", "top"), (None, None), ("<title></title>", "")]
+    df = spark.createDataFrame([(i, None, h) for i, (h, _) in enumerate(cases)], "page_id long, url string, html string")
+    assert {r.page_id: r.title for r in page_items(df).collect()} == {i: t for i, (_, t) in enumerate(cases)}
+
+
+def test_zone_aware_times_end_in_z(spark):
+    df = spark.sql("SELECT timestamp '2024-01-02 03:04:05 UTC' AS a, timestamp '2024-01-02 03:04:05.25+02:00' AS b")
+    r = df.select(text.iso_json_ts("a", True).alias("a"), text.iso_json_ts("b", True).alias("b")).first()
+    assert (r.a, r.b) == ("2024-01-02T03:04:05Z", "2024-01-02T01:04:05.250Z")
