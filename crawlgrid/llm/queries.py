@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from crawlgrid.session import scratch_dir
 
 from . import bpe, chosen_path, ctw, fm_decontam, license_scan, quality, subspace_join, substring_doubling, suffix_refine, warc
+from . import oracles as sql
 from .registry import register
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,7 +23,7 @@ def sha(col) -> F.Column:
     return F.sha2(col, 256)
 
 
-@register("op2_decontamination")
+@register("op2_decontamination", sql.OP2)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.col("item_ids").cast("array<string>"))
@@ -47,7 +48,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@register("op5_warc")
+@register("op5_warc", sql.OP5)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("uri"), F.encode("html", "UTF-8").alias("payload"))
     manifest = warc.write(warc.with_types(pages), scratch_dir(spark, "warc"))
@@ -63,7 +64,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), sha(F.col("kept")).alias("kept_sha256"))
 
 
-@register("op7_substring_dedup")
+@register("op7_substring_dedup", sql.OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_doubling.dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -76,13 +77,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
-@register("op8_ngram_jaccard_join")
+@register("op8_ngram_jaccard_join", sql.OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = chosen_path.join(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "class_id", "copies", "n_links", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-@register("op4_embedding_near_dedup")
+@register("op4_embedding_near_dedup", sql.OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = subspace_join.join(table(spark, sf_dir, "embeddings"))
     return got.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
