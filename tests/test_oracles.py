@@ -5,9 +5,13 @@ import pytest
 
 import __spark_entry__ as E
 from crawlgrid.plans.compare import compare, duck_connect, spark_rows
+from crawlgrid.plans.registry import QUERIES as CRAWL, load_all
+
+load_all()
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
+# the training-data operators have their own tests in tests/llm
+QUERIES = {n: q for n, q in E.queries().items() if n in CRAWL}
 ORACLES = E.oracle_sql()
 
 
