@@ -8,9 +8,11 @@ from crawlgrid.operators import aggregates as A
 from crawlgrid.operators import history as T
 from crawlgrid.operators import lookup as P
 from crawlgrid.operators import board
+from crawlgrid.plans import catalog_tables as C
 from crawlgrid.plans.registry import register
+from crawlgrid.session import scratch_dir
+from crawlgrid.sources.catalog import SCHEMAS, job_status, read_catalog, write_catalog
 from crawlgrid.sources.adapters import ANCHOR, DriverTables
-from crawlgrid.sources.catalog import job_status
 
 
 def _t(spark, sf):
@@ -338,24 +340,28 @@ def q_i9(spark, sf):
 
 
 # ---------------------------------------------------------------- S1, F3
-_CATALOG = {"projects": "projects", "spiders": "spiders", "spider_settings": "settings",
-            "spider_parameters": "parameters", "triggers": "triggers",
-            "spider_execution_queue": "queue", "job_history": "history", "packages": "packages",
-            "webhook_jobs": "webhook_jobs", "node_keys": "node_keys", "nodesessions": "sessions",
-            "spider_figure": "figures"}
-
-
-@register("S1_read_catalog", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"table\", count(*) AS rows, count(id) AS ids FROM v_{v}" for c, v in _CATALOG.items()))
+# columns of the views that fill catalog tables
+_VIEW_COLUMNS = {
+    "user": ["id", "username", "is_admin", "is_active"], "user_keys": ["id", "user_id", "app_key", "app_secret", "enabled"],
+    "projects": ["id", "name", "version", "storage_version", "owner_id"], "spiders": ["id", "project_id", "name"],
+    "spider_settings": ["id", "spider_id", "setting_key", "value"], "spider_parameters": ["id", "spider_id", "parameter_key", "value"],
+    "triggers": ["id", "spider_id", "cron_pattern"],
+    "spider_execution_queue": ["id", "spider_id", "slot", "project_name", "spider_name", "fire_time", "start_time", "node_id", "status",
+                               "update_time", "pid", "tag", "settings"],
+    "job_history": ["id", "spider_id", "project_name", "spider_name", "fire_time", "start_time", "complete_time", "status", "items_count"],
+    "packages": ["id", "project_id", "spider_list", "version", "egg_version", "checksum", "file_path", "create_date"],
+    "webhook_jobs": ["id", "job_id", "spider_id", "payload_url", "status", "log"],
+    "nodes": ["id", "name", "client_ip", "create_time", "last_heartbeat", "isalive", "is_deleted", "node_key_id"],
+    "node_keys": ["id", "key", "secret_key", "is_deleted", "used_node_id", "create_at"],
+    "nodesessions": ["id", "node_id", "create_at", "last_heartbeat"], "spider_figure": ["id", "spider_id", "text"],
+}
+
+
+@register("S1_read_catalog", " UNION ALL ".join(C.digest_sql(n, C.columns(_VIEW_COLUMNS, n)) for n in SCHEMAS))
 def q_s1(spark, sf):
-    from crawlgrid.session import scratch_dir
-    from crawlgrid.sources.catalog import read_catalog, write_catalog
-    t = _t(spark, sf)
     root = scratch_dir(spark, "catalog")
-    write_catalog({c: getattr(t, v) for c, v in _CATALOG.items()}, root)
-    cat = read_catalog(spark, root, list(_CATALOG))
-    parts = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows"), F.count("id").alias("ids"))
-             for name, df in cat.items()]
+    write_catalog(C.tables(_t(spark, sf)), root)
+    parts = [C.digest(df, n, C.columns(_VIEW_COLUMNS, n)) for n, df in read_catalog(spark, root).items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

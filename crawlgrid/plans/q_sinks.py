@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from crawlgrid.functions.text import job_path
 from crawlgrid.operators import sinks as W
 from crawlgrid.operators.history import latest_package
+from crawlgrid.plans import catalog_tables as C
 from crawlgrid.plans.registry import register
 from crawlgrid.session import scratch_dir
 from crawlgrid.sources.adapters import DriverTables
+from crawlgrid.sources.catalog import SCHEMAS
 
-SNAPSHOT_TABLES = ["users", "projects", "spiders", "settings", "triggers", "queue", "history", "nodes"]
+SNAPSHOT_TABLES = [n for n in SCHEMAS if n not in C.NOT_IN_BACKUP]
 
 
 def _t(spark, sf):
@@ -19,10 +21,10 @@ def _t(spark, sf):
 
 
 @register("W2_snapshot_catalog", " UNION ALL ".join(
-    f"SELECT '{n}' AS \"table\", count(*) AS rows FROM v_{n}" for n in SNAPSHOT_TABLES))
+    C.count_sql(n) for n in SNAPSHOT_TABLES))
 def q_w2(spark, sf):
-    t = _t(spark, sf)
-    return W.snapshot_catalog({n: getattr(t, n) for n in SNAPSHOT_TABLES}, scratch_dir(spark, "snapshot"))
+    all_tables = C.tables(_t(spark, sf))
+    return W.snapshot_catalog({n: all_tables[n] for n in SNAPSHOT_TABLES}, scratch_dir(spark, "snapshot"))
 
 
 def _node_snapshot(t):
