@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from crawlgrid.session import scratch_dir
 
-from .components import components, local_roots
+from .components import components, local_roots, saved
 from .textbuf import SPACED, buffer_of, mix64, prefix, slices, window_hash, word_hashes, words
 
 SHINGLE_WORDS = 5
@@ -211,18 +211,22 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     level = classes.select(F.explode("paths").alias("path"), "node").distinct()
     found = None
     for depth in range(DEPTH + 1):
-        sizes = level.groupBy("path").agg(F.count("*").alias("sets"), F.min("node").alias("least")).where("sets > 1")
+        # saved, so that the join has a shuffle on both sides and a hot path can be split
+        sizes = saved(level.groupBy("path").agg(F.count("*").alias("sets"), F.min("node").alias("least")).where("sets > 1"))
         met = level.join(sizes, "path")
-        small = met.where(F.col("sets") <= LEAF)
-        links = leaf_links(small.join(signatures, "node"))
-        large = met.where(F.col("sets") > LEAF)
-        if depth == DEPTH:
-            links = links.unionByName(large.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+        if depth < DEPTH:
+            met = met.join(signatures, "node")
+            large_rows = sizes.where(F.col("sets") > LEAF).agg(F.coalesce(F.sum("sets"), F.lit(0))).first()[0]
+            met = saved(met, sizes.agg(F.coalesce(F.sum("sets"), F.lit(0))).first()[0])
+            links = leaf_links(met.where(F.col("sets") <= LEAF))
         else:
-            level = split_further(large.join(signatures, "node"), threshold).distinct().checkpoint()
+            links = leaf_links(met.where(F.col("sets") <= LEAF).join(signatures, "node"))
+            large = met.where((F.col("sets") > LEAF) & (F.col("node") != F.col("least")))
+            links = links.unionByName(large.select(F.col("node").alias("u"), F.col("least").alias("v")))
         found = links if found is None else found.unionByName(links)
-        if depth < DEPTH and level.isEmpty():
+        if depth == DEPTH or not large_rows:
             break
+        level = saved(split_further(met.where(F.col("sets") > LEAF), threshold).distinct(), large_rows)
     return found.distinct()
 
 
@@ -237,7 +241,8 @@ def settle(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, id_c
     tiled = (members.join(sizes, "root")
              .withColumn("tiles", F.ceil(F.col("sets") / TILE).cast("int"))
              .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-             .select(F.col("node.rep").alias("id"), F.col("node.s1").alias("s1"), F.xxhash64("root").alias("group"), "tiles", "tile", "copies").checkpoint())
+             .select(F.col("node.rep").alias("id"), F.col("node.s1").alias("s1"), F.xxhash64("root").alias("group"), "tiles", "tile", "copies"))
+    tiled = saved(tiled)
     if tiled.count() <= BROADCAST_ROWS:  # 48 bytes a row
         tiled = F.broadcast(tiled)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(tiled, "id")
@@ -319,10 +324,11 @@ def join(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[int, int] = T
     rows = spark.read.parquet(path)
     classes = (rows.where("doc_id is not null").groupBy("s1", "s2")
                .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"), F.first("paths").alias("paths"))
-               .withColumn("node", F.struct("rep", "s1")).checkpoint())
+               .withColumn("node", F.struct("rep", "s1")))
+    classes = saved(classes)
     groups = components(candidates(classes, share))
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "copies"), "node")
-    exact = settle(docs, members, n, num, den, id_col, text_col).checkpoint()
+    exact = saved(settle(docs, members, n, num, den, id_col, text_col), members.count() * 2)
     links = exact.where("links is not null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(exact.where("links is null").select("u", "v"))
     known = (classes.join(links, "node", "left").join(roots, "node", "left")
@@ -340,7 +346,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` whose id is the least of their group; of repeated
     rows (id and text) with shingles one stays."""
     got = join(docs, id_col=id_col, text_col=text_col, **options)
-    stay = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("key").agg(F.count("*").alias("rows"), F.max("copies").alias("copies")).checkpoint()
+    stay = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("key").agg(F.count("*").alias("rows"), F.max("copies").alias("copies"))
+    stay = saved(stay)
     name = "_row_key_" + uuid.uuid4().hex
     kept = docs.withColumn(name, row_key(id_col, text_col)).join(stay.select(F.col("key").alias(name)), name, "left_semi")
     if not stay.where("rows > 1 and copies > 1").isEmpty():

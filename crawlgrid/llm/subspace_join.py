@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chosen_path import grouped
-from .components import components, local_roots
+from .components import components, local_roots, saved
 
 COSINE = 0.9
 BLOCKS = 4
@@ -164,8 +164,8 @@ def join(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec
     classes = (sound_rows.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
                .withColumn("dim", F.size("vec")))
     # a repeated id with several vectors: one point for each vector, told apart by their keys
-    classes = classes.withColumn("node", F.xxhash64("k1", "k2")).checkpoint()
-    points = with_coordinates(classes.select(F.col("node").alias("rep"), "copies", "dim", "vec")).checkpoint()
+    classes = saved(classes.withColumn("node", F.xxhash64("k1", "k2")))
+    points = saved(with_coordinates(classes.select(F.col("node").alias("rep"), "copies", "dim", "vec")))
     spread = tile_pairs(points, cosine)
     if spread is None:  # no sound vector
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -178,7 +178,7 @@ def join(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vec
             yield compare(int(block), int(a), int(b), dim, cols, cosine, turns.setdefault(dim, rotation(dim)))
 
     keys = ("dim", "block", "a", "b")
-    exact = spread.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, RESULT).checkpoint()
+    exact = saved(spread.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, RESULT))
     links = exact.where("links is not null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(exact.where("links is null").select("u", "v"))
     known = (classes.select("node", "k1", "k2", "rep", "copies").join(links, "node", "left").join(roots, "node", "left")
