@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A bucket or key partition is handled in one piece: so many to a shuffle
-# partition keep its arrays small.
-BUCKETS = 4
-KEY_PARTS = 2
+# To each shuffle partition. A bucket or key partition is handled in one piece,
+# and each bucket sends each key partition one row, so there are neither too
+# few of them for memory nor so many that the packed rows become small.
+BUCKETS = 2
+KEY_PARTS = 1
 LAST = np.iinfo(np.int64).max  # stands for a null id: never smaller than another
 BLOB = "b int, part int, kind int, data binary"
 BLOB_ARROW = pa.schema([("b", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])

@@ -194,7 +194,8 @@ def kept(table: pa.Table, answer: pa.Table, n: int, parts: int) -> list:
 def dedup(docs: DataFrame, n: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """(id, carry..., n_words, kept, spans) for each row: the words that stay,
     joined by one blank, and the maximal removed runs of words."""
-    spread, parts = X.bucketed(docs, id_col, text_col, carry), X.key_parts(docs)
+    # keys are short and come in several rounds: fewer, fuller packed rows
+    spread, parts = X.bucketed(docs, id_col, text_col, carry), max(1, X.key_parts(docs) // 2)
     answer, before = None, None
     for level in levels(n):
         if answer is None:
