@@ -10,8 +10,9 @@ follows every token whose hash, for the path so far, is small enough that sets
 similar enough share a next token about once a level. First the tokens are the
 shingles themselves, deeper they are entries of the set's minhash signature.
 Sets that are alone on a path drop out; a path with at most ``LEAF`` sets is
-compared by brute force on signatures; larger ones are split again, and what
-is still together after ``DEPTH`` splits is kept together. Runs are repeated until a pair
+compared by brute force on signatures; larger ones are split again, unless
+nearly all sets agree with one of them already, and what is still together
+after ``DEPTH`` splits is kept together. Runs are repeated until a pair
 at the threshold is met with probability ``recall`` at the deepest level.
 
 Candidate groups (connected candidates) are then settled exactly on whole
@@ -46,6 +47,7 @@ RECALL = 0.999
 DEPTH = 4
 LEAF = 64
 SLOTS = 32
+ALIKE = 0.9  # share of a path's sets that agree with its least, to keep it together
 LOOSE = 0.5  # least share of equal signature slots for a candidate (0.8 has 0.07 of deviation)
 TILE = 256
 BROADCAST_ROWS = 500_000
@@ -205,6 +207,20 @@ def _joined(held: list[pa.RecordBatch], keys: int) -> list[pa.Array]:
     return [table.column(k).chunk(0) for k in range(keys, table.num_columns)]
 
 
+def to_least(rows: DataFrame) -> DataFrame:
+    """All sets of a path as candidates of its least."""
+    return rows.where(F.col("node") != F.col("least")).select(F.col("node").alias("u"), F.col("least").alias("v"))
+
+
+def alike_paths(large: DataFrame, sizes: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Paths nearly all of whose sets agree with the least one's signature:
+    splitting these (a group of near copies) would only carry them on."""
+    leaders = sizes.select("path", F.col("least").alias("node")).join(signatures, "node").select("path", F.col("signature").alias("leader"))
+    same = sum((F.substring("signature", 4 * k + 1, 4) == F.substring("leader", 4 * k + 1, 4)).cast("int") for k in range(SLOTS))
+    judged = large.join(leaders, "path").select("path", (same >= LOOSE * SLOTS).cast("int").alias("near"))
+    return judged.groupBy("path").agg(F.avg("near").alias("near")).where(F.col("near") >= ALIKE).select("path")
+
+
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """Candidate links (u, v) between class nodes."""
     signatures = classes.select("node", "signature")
@@ -215,18 +231,20 @@ def candidates(classes: DataFrame, threshold: float) -> DataFrame:
         sizes = saved(level.groupBy("path").agg(F.count("*").alias("sets"), F.min("node").alias("least")).where("sets > 1"))
         met = level.join(sizes, "path")
         if depth < DEPTH:
-            met = met.join(signatures, "node")
-            large_rows = sizes.where(F.col("sets") > LEAF).agg(F.coalesce(F.sum("sets"), F.lit(0))).first()[0]
-            met = saved(met, sizes.agg(F.coalesce(F.sum("sets"), F.lit(0))).first()[0])
+            rows, large_rows = sizes.agg(F.coalesce(F.sum("sets"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("sets") > LEAF, F.col("sets"))), F.lit(0))).first()
+            met = saved(met.join(signatures, "node"), rows)
             links = leaf_links(met.where(F.col("sets") <= LEAF))
+            if large_rows:
+                large = met.where(F.col("sets") > LEAF)
+                alike = saved(alike_paths(large, sizes.where(F.col("sets") > LEAF), signatures))
+                links = links.unionByName(to_least(large.join(alike, "path", "left_semi")))
+                level = saved(split_further(large.join(alike, "path", "left_anti"), threshold).distinct(), large_rows)
         else:
             links = leaf_links(met.where(F.col("sets") <= LEAF).join(signatures, "node"))
-            large = met.where((F.col("sets") > LEAF) & (F.col("node") != F.col("least")))
-            links = links.unionByName(large.select(F.col("node").alias("u"), F.col("least").alias("v")))
+            links = links.unionByName(to_least(met.where(F.col("sets") > LEAF)))
         found = links if found is None else found.unionByName(links)
-        if depth == DEPTH or not large_rows:
+        if depth == DEPTH or not large_rows or level.isEmpty():
             break
-        level = saved(split_further(met.where(F.col("sets") > LEAF), threshold).distinct(), large_rows)
     return found.distinct()
 
 
@@ -328,7 +346,7 @@ def join(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[int, int] = T
     classes = saved(classes)
     groups = components(candidates(classes, share))
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "copies"), "node")
-    exact = saved(settle(docs, members, n, num, den, id_col, text_col), members.count() * 2)
+    exact = saved(settle(docs, members, n, num, den, id_col, text_col))
     links = exact.where("links is not null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(exact.where("links is null").select("u", "v"))
     known = (classes.join(links, "node", "left").join(roots, "node", "left")
