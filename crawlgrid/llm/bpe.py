@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .textbuf import ragged
 
 MATRIX_BYTES = 128
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000
 LONG_TEXT = 1 << 20
 NO_RANK = np.iinfo(np.int32).max
 
@@ -96,8 +96,7 @@ class Codec:
         self.sizes = np.array([len(t) for t in by_id], np.int64)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.blob = np.frombuffer(b"".join(by_id), np.uint8)
-        self.index, self.used = Index(), 0
-        self.pool, self.begin, self.size = np.empty(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.forget()
 
     # -- encoding ---------------------------------------------------------
     def _matrix(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -209,10 +208,15 @@ class Codec:
             while part := list(islice(found, 100_000)):
                 yield part
 
+    def forget(self) -> None:
+        """Drop the pieces met so far, so that an idle worker doesn't hold them."""
+        self.index, self.used = Index(), 0
+        self.pool, self.begin, self.size = np.empty(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, ids of each text)."""
         if len(self.index) > CACHE_PIECES:
-            self.index, self.used = Index(), 0
+            self.forget()
         at, count = [], np.zeros(len(texts), np.int64)
         rows, get = [], self.index.__getitem__
         for k, text in enumerate(texts):
@@ -271,6 +275,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
                 flat, count = tool.encode(texts.slice(i, j - i).to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in batch.columns[:-1]] + [ids], names=[*carry, out_col])
+        tool.forget()
 
     return df.mapInArrow(run, schema)
 
