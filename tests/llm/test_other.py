@@ -288,3 +288,19 @@ def test_whole_characters_go(spark):
     rows = corpus.frame(spark, [(1, "ü" * 60 + "a"), (2, "é" + "ü" * 60)])
     got = suffix_refine.dedup(rows, whole_characters=True).where("doc_id = 2").first()
     assert bytes(got.kept).decode() == "é"
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_queries_match_their_sql(spark):
+    import __spark_entry__ as E
+    from crawlgrid.llm.registry import ORACLES, QUERIES
+    from crawlgrid.plans.compare import compare, duck_connect
+
+    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
+    assert QUERIES.items() <= E.queries().items()
+    con = duck_connect(SMALL)
+    for name, sql in ORACLES.items():
+        got = compare(QUERIES[name](spark, SMALL), con, sql)
+        assert got["match"], (name, got)
