@@ -1,14 +1,16 @@
 """License notices found by conditional compression.
 
-Lines that hold a cue, and lines next to them made mostly of template words,
-are notable; a window starts at each notable line and goes on through the run
-of them for as many words as the longest template may need. Every window that
-holds a cue is compressed by zstandard, alone and with each template as raw
-dictionary: the nearer the wording, the smaller the second size. Templates are
-ranked by this reduction, and in that order the window is compared word by
-word with the template; the first whose missing and extra words are within
-``TOLERANCE`` of its length is the finding. Windows don't start inside a
-finding; no number of findings, templates or lines is capped.
+A text that holds a cue is searched whole, as one sequence of words. A block
+starts at a template word and is as long as the template may need; where
+enough of its words are the template's, it is compared word by word, and the
+wording is near if the missing and extra words are within ``TOLERANCE`` of the
+template's length. The longest stretch of near wording at a start, and nothing
+else of its line, is compressed by zstandard, alone and with each template as
+raw dictionary: the nearer the wording, the smaller the second size. The near
+template with the greatest reduction is the finding. Both sides are compressed
+as lower-case words, so that line breaks and comment marks don't matter.
+Blocks don't start inside a finding; no number of findings, templates or lines
+is capped.
 
 One row for each finding. Null and empty texts have none; repeated rows are
 searched each by itself.
@@ -17,9 +19,13 @@ searched each by itself.
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +52,7 @@ TEMPLATES = {
 }
 CUE = r"(?i)licen[sc]e|permission|redistribution|copyright|public domain|SPDX"
 LEVEL = 3
-LEAST_REDUCTION = 0.2
 TOLERANCE = 0.1
-TEMPLATE_WORDS = 0.6  # share of a line's words that makes it notable next to a cue
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -61,67 +65,77 @@ class Scanner:
         import zstandard as z
 
         options = dict(level=LEVEL, write_content_size=False, write_dict_id=False)
-        self.alone = z.ZstdCompressor(**options)
-        self.with_template = {k: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT), **options) for k, t in templates.items()}
         self.wording = {k: word_list(t) for k, t in templates.items()}
-        self.longest = max(map(len, self.wording.values()), default=0) * (1 + TOLERANCE)
-        self.vocabulary = {w for ws in self.wording.values() for w in ws}
+        self.alone = z.ZstdCompressor(**options)
+        self.with_template = {k: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(" ".join(w).encode(), dict_type=z.DICT_TYPE_RAWCONTENT), **options) for k, w in self.wording.items()}
+        self.counts = {k: Counter(w) for k, w in self.wording.items()}
+        self.room = {k: int(len(w) * (1 + 2 * TOLERANCE)) + 1 for k, w in self.wording.items()}
+        self.least = {k: math.ceil(len(w) * (1 - TOLERANCE) - 1e-9) for k, w in self.wording.items()}
+        self.number = {w: i for i, w in enumerate(sorted({w for ws in self.wording.values() for w in ws}))}
+        self.member = {k: np.array([*(w in c for w in self.number), False]) for k, c in self.counts.items()}
         self.cue = re.compile(CUE)
 
     def reductions(self, window: str) -> list[tuple[float, str]]:
         """Share of the window's compressed size that each template saves, the most first."""
-        raw = window.encode()
+        raw = " ".join(word_list(window)).encode()
         size = len(self.alone.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / size, k) for k, c in self.with_template.items()), key=lambda x: (-x[0], -len(self.wording[x[1]]), x[1]))
 
     def wording_gap(self, words: list[str], name: str) -> tuple[int, int, int] | None:
         """(missing, extra, end) of the template in the words from their start on."""
         template = self.wording[name]
-        room = int(len(template) * (1 + 2 * TOLERANCE)) + 1
-        blocks = [m for m in difflib.SequenceMatcher(None, template, words[:room], autojunk=False).get_matching_blocks() if m.size]
+        blocks = [m for m in difflib.SequenceMatcher(None, template, words[:self.room[name]], autojunk=False).get_matching_blocks() if m.size]
         if not blocks:
             return None
         same, end = sum(m.size for m in blocks), blocks[-1].b + blocks[-1].size
         return len(template) - same, end - blocks[0].b - same, end
 
+    def starts(self, words: list[str]) -> dict[int, list[str]]:
+        """Templates that enough words of the block from a place on belong to, by place."""
+        n, out = len(words), {}
+        number = np.fromiter((self.number.get(w, -1) for w in words), np.int64, n)
+        for name, member in self.member.items():
+            own = member[number]
+            total = np.concatenate(([0], np.cumsum(own)))
+            stop = np.minimum(np.arange(n) + self.room[name], n)
+            for s in np.flatnonzero(own & (total[stop] - total[:-1] >= self.least[name])).tolist():
+                out.setdefault(s, []).append(name)
+        return out
+
     def scan(self, text: str) -> Iterator[tuple[int, int, str, float, int, int]]:
         """(first line, last line, template, reduction, missing, extra) of each finding."""
-        lines = text.split("\n")
-        words = [word_list(x) if x.strip() else [] for x in lines]
-        cue = [bool(self.cue.search(x)) for x in lines]
-        notable = [c or len(w) > 2 and sum(x in self.vocabulary for x in w) >= TEMPLATE_WORDS * len(w) for c, w in zip(cue, words)]
-        i = 0
-        while i < len(lines):
-            found = self._at(i, lines, words, cue, notable) if notable[i] and words[i] else None
-            if found:
-                yield found
-                i = found[1]
-            i += 1
-
-    def _at(self, i: int, lines: list[str], words: list[list[str]], cue: list[bool], notable: list[bool]) -> tuple | None:
-        j, got = i, 0
-        while j < len(lines) and notable[j] and got < self.longest:
-            got += len(words[j])
-            j += 1
-        if not any(cue[i:j]):
-            return None
-        # a notice on one line is judged without what follows; longer ones with the run
-        for stop in sorted({i + 1, j}):
-            flat = [w for x in words[i:stop] for w in x]
-            for saved, name in self.reductions("\n".join(lines[i:stop])):
-                if saved < LEAST_REDUCTION:
-                    break
-                for skip in range(max(1, len(flat) - len(self.wording[name]) + 2) if stop == i + 1 else 1):
-                    if flat[skip] not in self.wording[name]:
-                        continue
-                    gap = self.wording_gap(flat[skip:], name)
-                    if gap and gap[0] + gap[1] <= TOLERANCE * len(self.wording[name]):
-                        left, last = skip + gap[2], i
-                        while left > len(words[last]):
-                            left -= len(words[last])
-                            last += 1
-                        return i, last, name, saved, gap[0], gap[1]
-        return None
+        if not self.cue.search(text):
+            return
+        words = word_list(text)
+        starts = self.starts(words)
+        if not starts:
+            return
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        line = [bisect_left(breaks, m.start()) for m in WORD.finditer(text)]
+        free, later = 0, {}
+        for s in sorted(starts):
+            if s < free:
+                continue
+            near = later.pop(s, {})
+            for name in starts[s]:
+                block = words[s:s + self.room[name]]
+                if (self.counts[name] & Counter(block)).total() < self.least[name]:
+                    continue
+                gap = self.wording_gap(block, name)
+                if not gap or gap[0] + gap[1] > TOLERANCE * len(self.wording[name]):
+                    continue
+                missing, extra, end = gap
+                lead = end - extra - (len(self.wording[name]) - missing)
+                if lead:  # begins at a later start, which is tried by itself
+                    later.setdefault(s + lead, {}).setdefault(name, (missing, extra, end - lead))
+                else:
+                    near[name] = gap
+            near = {k: g for k, g in near.items() if line[s + g[2] - 1] == line[s] or s == 0 or line[s - 1] < line[s]}
+            if near:
+                saved, name = next(x for x in self.reductions(" ".join(words[s:s + max(g[2] for g in near.values())])) if x[1] in near)
+                missing, extra, end = near[name]
+                yield line[s], line[s + end - 1], name, saved, missing, extra
+                free = bisect_left(line, line[s + end - 1] + 1)
 
 
 FOUND = "first_line long, last_line long, license string, size_reduction double, missing_words long, extra_words long"

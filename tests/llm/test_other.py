@@ -158,6 +158,22 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def found_in(text):
+    return [(a, b, name) for a, b, name, *_ in license_scan.Scanner(license_scan.TEMPLATES).scan(text)]
+
+
+@pytest.mark.parametrize("around", [0, 20, 100, 5000])
+def test_license_reduction_does_not_depend_on_the_line(around):
+    r = random.Random(around)
+    prose = [" ".join(r.choice(["river", "of", "the", "stone", "a", "License", "bird", "software"]) for _ in range(around)) for _ in range(2)]
+    tool = license_scan.Scanner(license_scan.TEMPLATES)
+    for name, text in license_scan.TEMPLATES.items():
+        alone, = tool.scan(text)
+        assert list(tool.scan(f"{prose[0]} {text} {prose[1]}")) == [alone] and alone[2] == name and alone[3] > 0.4
+        assert [x[2] for x in tool.scan(text.upper())] == [name]
+    assert found_in(license_scan.TEMPLATES["MIT"] + " See the LICENSE file at the top of this repository for the full text.") == [(0, 0, "MIT")]
+
+
 def test_license_reduction_ranks_the_own_template_first():
     tool = license_scan.Scanner(license_scan.TEMPLATES)
     for name, text in license_scan.TEMPLATES.items():
