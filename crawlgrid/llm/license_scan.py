@@ -9,8 +9,8 @@ else of its line, is compressed by zstandard, alone and with each template as
 raw dictionary: the nearer the wording, the smaller the second size. The near
 template with the greatest reduction is the finding. Both sides are compressed
 as lower-case words, so that line breaks and comment marks don't matter.
-Blocks don't start inside a finding; no number of findings, templates or lines
-is capped.
+The search goes on at the word behind a finding; no number of findings,
+templates or lines is capped.
 
 One row for each finding. Null and empty texts have none; repeated rows are
 searched each by itself.
@@ -135,7 +135,7 @@ class Scanner:
                 saved, name = next(x for x in self.reductions(" ".join(words[s:s + max(g[2] for g in near.values())])) if x[1] in near)
                 missing, extra, end = near[name]
                 yield line[s], line[s + end - 1], name, saved, missing, extra
-                free = bisect_left(line, line[s + end - 1] + 1)
+                free = s + end
 
 
 FOUND = "first_line long, last_line long, license string, size_reduction double, missing_words long, extra_words long"

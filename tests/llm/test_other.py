@@ -174,6 +174,15 @@ def test_license_reduction_does_not_depend_on_the_line(around):
     assert found_in(license_scan.TEMPLATES["MIT"] + " See the LICENSE file at the top of this repository for the full text.") == [(0, 0, "MIT")]
 
 
+def test_license_scan_goes_on_behind_a_finding():
+    every = list(license_scan.TEMPLATES)
+    assert found_in(" ".join(license_scan.TEMPLATES.values())) == [(0, 0, name) for name in every]
+    mit, cc = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["CC-BY-4.0"]
+    assert found_in(f"x\n{mit} {cc} Or: {mit}\n{cc}") == [(1, 1, "MIT"), (1, 1, "CC-BY-4.0"), (1, 1, "MIT"), (2, 2, "CC-BY-4.0")]
+    header = license_scan.TEMPLATES["MIT-permission"].replace("any person ", "any person\n")
+    assert found_in(f"{header}. {mit}") == [(0, 1, "MIT-permission"), (1, 1, "MIT")]
+
+
 def test_license_reduction_ranks_the_own_template_first():
     tool = license_scan.Scanner(license_scan.TEMPLATES)
     for name, text in license_scan.TEMPLATES.items():
