@@ -1,16 +1,16 @@
 """License notices found by conditional compression.
 
 A text that holds a cue is searched whole, as one sequence of words. A block
-starts at a template word and is as long as the template may need; where
-enough of its words are the template's, it is compared word by word, and the
-wording is near if the missing and extra words are within ``TOLERANCE`` of the
-template's length. The longest stretch of near wording at a start, and nothing
-else of its line, is compressed by zstandard, alone and with each template as
-raw dictionary: the nearer the wording, the smaller the second size. The near
-template with the greatest reduction is the finding. Both sides are compressed
-as lower-case words, so that line breaks and comment marks don't matter.
-The search goes on at the word behind a finding; no number of findings,
-templates or lines is capped.
+starts at any template word, wherever its line began or ends, and is as long
+as the template may need; where enough of its words are the template's, it is
+compared word by word, and the wording is near if the missing and extra words
+are within ``TOLERANCE`` of the template's length. The longest stretch of near
+wording at a start, and nothing else of its line, is compressed by zstandard,
+alone and with each template as raw dictionary: the nearer the wording, the
+smaller the second size. The near template with the greatest reduction is the
+finding. Both sides are compressed as lower-case words, so that line breaks
+and comment marks don't matter. The search goes on at the word behind a
+finding; no number of findings, templates or lines is capped.
 
 One row for each finding. Null and empty texts have none; repeated rows are
 searched each by itself.
@@ -50,7 +50,7 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-CUE = r"(?i)licen[sc]e|permission|redistribution|copyright|public domain|SPDX"
+CUE = r"(?i)licen[sc]e|permission|redistribution|copyright|public\W+domain|SPDX"
 LEVEL = 3
 TOLERANCE = 0.1
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -130,7 +130,6 @@ class Scanner:
                     later.setdefault(s + lead, {}).setdefault(name, (missing, extra, end - lead))
                 else:
                     near[name] = gap
-            near = {k: g for k, g in near.items() if line[s + g[2] - 1] == line[s] or s == 0 or line[s - 1] < line[s]}
             if near:
                 saved, name = next(x for x in self.reductions(" ".join(words[s:s + max(g[2] for g in near.values())])) if x[1] in near)
                 missing, extra, end = near[name]

@@ -183,6 +183,18 @@ def test_license_scan_goes_on_behind_a_finding():
     assert found_in(f"{header}. {mit}") == [(0, 1, "MIT-permission"), (1, 1, "MIT")]
 
 
+@pytest.mark.parametrize("mark", ["\n", "\n\n", "\r\n * ", "\n# "])
+def test_license_notices_wrapped_anywhere(spark, mark):
+    for name, text in license_scan.TEMPLATES.items():
+        words = text.split()
+        for k in range(1, len(words)):
+            wrapped = " ".join(words[:k]) + mark + " ".join(words[k:])
+            assert found_in(f"Foo 2020, Bar. {wrapped} Baz") == [(0, mark.count("\n"), name)]
+        assert found_in("Copyright 2020 Foo. " + mark.join(words)) == [(0, mark.count("\n") * (len(words) - 1), name)]
+    last = license_scan.TEMPLATES["Unlicense"].replace("public ", "public" + mark)
+    assert [r.license for r in license_scan.scan(corpus.frame(spark, [(1, last)])).collect()] == ["Unlicense"]
+
+
 def test_license_reduction_ranks_the_own_template_first():
     tool = license_scan.Scanner(license_scan.TEMPLATES)
     for name, text in license_scan.TEMPLATES.items():
