@@ -55,11 +55,23 @@ COLUMNS = 4096
 
 
 def runs_needed(threshold: float, recall: float) -> int:
-    """Runs after which a pair at the threshold has met with this probability."""
-    meet = 1.0
-    for _ in range(DEPTH):  # children shared: about Poisson with mean 1
-        meet = 1 - math.exp(-meet)
-    return math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    """Runs after which a pair at the threshold has met with this probability,
+    should its paths be split to the end. All runs share the signature: how
+    many of its slots are equal is binomial, and the miss is averaged over it."""
+    meet, share = [], []
+    for same in range(SLOTS + 1):
+        m = 1.0
+        for _ in range(DEPTH):  # of the equal slots, each is followed with probability 1 / (threshold * SLOTS)
+            m = 1 - (1 - m / (threshold * SLOTS)) ** same
+        # the shingles of the first path: about Poisson with mean 1
+        meet.append(1 - math.exp(-m) if same >= LOOSE * SLOTS else 0.0)
+        share.append(math.comb(SLOTS, same) * threshold ** same * (1 - threshold) ** (SLOTS - same))
+    if sum(p for p, m in zip(share, meet) if not m) >= 1 - recall:
+        raise ValueError(f"LOOSE = {LOOSE} loses more than {1 - recall:.2g} of the pairs at {threshold}, whatever the runs")
+    runs = 1
+    while sum(p * (1 - m) ** runs for p, m in zip(share, meet)) >= 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

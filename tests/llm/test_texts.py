@@ -200,6 +200,20 @@ def test_jaccard_join_large_groups(spark, monkeypatch):
     assert ordered(got) == ordered(brute.jaccard_links(rows))
 
 
+def test_jaccard_recall_at_the_deepest_level(spark, monkeypatch):
+    """Pairs of 40 and 50 words, the first within the second, on paths that are
+    all split to the end."""
+    monkeypatch.setattr(chosen_path, "LEAF", 1)
+    monkeypatch.setattr(chosen_path, "ALIKE", 1.1)
+    pairs = 10_000
+    rows = [(2 * k + more, " ".join(f"{k}.{w}" for w in range(50 if more else 40))) for k in range(pairs) for more in (0, 1)]
+    share, runs = 0.8, chosen_path.runs_needed(0.8, chosen_path.RECALL)
+    sets = chosen_path.sketch(corpus.frame(spark, rows).repartition(4), 1, share, runs, "doc_id", "text")
+    sets = components.saved(sets.select(F.struct(F.col("doc_id").alias("rep"), "s1").alias("node"), "signature", "paths"))
+    met = chosen_path.candidates(sets, share).where("u.rep div 2 = v.rep div 2").count()
+    assert pairs - met <= 0.0015 * pairs
+
+
 def test_one_of_each(docs):
     stay = chosen_path.one_of_each(docs)
     assert stay.columns == docs.columns
