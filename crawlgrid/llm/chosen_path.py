@@ -113,6 +113,11 @@ def row_key(id_col: str, text_col: str) -> F.Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
+def without_set(id_col: str, text_col: str) -> F.Column:
+    """Rows with no id or no shingles."""
+    return F.col(id_col).isNull() | ~F.coalesce(text_col, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
 
@@ -346,6 +351,13 @@ def join(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[int, int] = T
     """(doc_id, key, class_id, copies, n_links, component_id) of each row: its
     ``row_key``, the least id with an equal set, the rows with that set, the
     other rows linked directly, and the least id reachable by links."""
+    return linked(docs, n, threshold, recall, id_col, text_col).drop("component_key")
+
+
+def linked(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL,
+           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``join``, with what tells components of the same least id apart (ids
+    may recur); null for rows without a set."""
     spark = docs.sparkSession
     num, den = threshold
     share = num / den
@@ -363,23 +375,24 @@ def join(docs: DataFrame, n: int = SHINGLE_WORDS, threshold: tuple[int, int] = T
     roots = components(exact.where("links is null").select("u", "v"))
     known = (classes.join(links, "node", "left").join(roots, "node", "left")
              .select("s1", "s2", F.col("rep").alias("class_id"), "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                     F.coalesce(F.col("root.rep"), F.col("rep")).alias("component_id")))
-    has = rows.where("doc_id is not null").select("doc_id", "key", "s1", "s2").join(known, ["s1", "s2"]).select("doc_id", "key", "class_id", "copies", "n_links", "component_id")
+                     F.coalesce(F.col("root.rep"), F.col("rep")).alias("component_id"), F.coalesce(F.col("root.s1"), F.col("s1")).alias("component_key")))
+    has = rows.where("doc_id is not null").select("doc_id", "key", "s1", "s2").join(known, ["s1", "s2"]).select("doc_id", "key", "class_id", "copies", "n_links", "component_id", "component_key")
     one = F.lit(1).cast("long")
-    lone = keyed(docs, id_col, text_col)
-    lone = lone.where(F.col("doc_id").isNull() | ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    lone = lone.select("doc_id", "key", F.col("doc_id").alias("class_id"), one.alias("copies"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
+    lone = keyed(docs, id_col, text_col).where(without_set("doc_id", "text"))
+    lone = lone.select("doc_id", "key", F.col("doc_id").alias("class_id"), one.alias("copies"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component_key"))
     return has.unionByName(lone)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their group; of repeated
-    rows (id and text) with shingles one stays."""
-    got = join(docs, id_col=id_col, text_col=text_col, **options)
-    stay = got.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("key").agg(F.count("*").alias("rows"), F.max("copies").alias("copies"))
-    stay = saved(stay)
+    """One row of each group: that of the least id, of several with this id the
+    one of least key. Rows without an id or without shingles all stay."""
+    got = linked(docs, id_col=id_col, text_col=text_col, **options)
+    own = got.where("component_key is not null and doc_id = component_id").groupBy("component_id", "component_key", "key").agg(F.count("*").alias("rows"))
+    least = own.groupBy("component_id", "component_key").agg(F.min(F.struct("key", "rows")).alias("least")).select("least.*")
+    stay = saved(least.unionByName(got.where("component_key is null").select("key", F.lit(0).cast("long").alias("rows")).distinct()))
     name = "_row_key_" + uuid.uuid4().hex
     kept = docs.withColumn(name, row_key(id_col, text_col)).join(stay.select(F.col("key").alias(name)), name, "left_semi")
-    if not stay.where("rows > 1 and copies > 1").isEmpty():
-        kept = kept.dropDuplicates([name])
+    if not stay.where("rows > 1").isEmpty():
+        lone = without_set(id_col, text_col)
+        kept = kept.where(lone).unionByName(kept.where(~lone).dropDuplicates([name]))
     return kept.select(*docs.columns)

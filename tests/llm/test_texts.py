@@ -227,6 +227,18 @@ def test_one_of_each(docs):
     assert ordered([(r.doc_id, r.text) for r in stay.collect()]) == ordered(kept)
 
 
+def test_one_of_each_goes_by_row(spark):
+    body = [f"w{k}" for k in range(60)]
+    near, other = " ".join(body), " ".join(body[:-1])
+    single = [(None, near), (None, near), (3, ""), (3, ""), (4, None), (4, None), (1, "no copy of the other rows with this id")]
+    group = [(1, near), (1, other), (1, near.replace(" ", "  ")), (2, near)]
+    for repeated in ([], [(1, near)] * 2 + [(1, other)]):
+        stay = [(r.doc_id, r.text) for r in chosen_path.one_of_each(corpus.frame(spark, single + group + repeated)).collect()]
+        kept = [x for x in stay if x in group and x[0] is not None]
+        assert len(kept) == 1 and kept[0][0] == 1
+        assert ordered([x for x in stay if x not in group]) == ordered(single)
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 460)] + [(7, 7)]
