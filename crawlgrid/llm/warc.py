@@ -4,8 +4,8 @@ Every record is a gzip member of its own. Of records with equal payloads of
 at least ``min_bytes``, the one with the largest id is written as response,
 the others as revisits that refer to it and hold the HTTP header alone. Equal
 payloads are found by a grouped maximum over payload hashes (combined before
-the shuffle) and a join, which adaptive execution splits where one payload
-holds many rows.
+the shuffle and saved) and a join, which adaptive execution splits where one
+payload holds many rows.
 
 The reader takes byte ranges of files. A task looks for the gzip magic in its
 range, validates a candidate by decoding its header (it must begin a WARC
@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import saved
+
 FILE_BYTES = 256 << 20
 SPLIT_BYTES = 16 << 20
 READ_BYTES = 1 << 20
@@ -56,7 +58,8 @@ def with_types(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(id, uri, payload, record_type, refers_to) from (id, uri, payload)."""
     rows = records.select("id", "uri", F.coalesce(F.col("payload"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("hash", F.sha2("payload", 256))
-    most = rows.groupBy("hash").agg(F.max("id").alias("response_id"))
+    # saved, so that the join has a shuffle on both sides and a hot payload can be split
+    most = saved(rows.groupBy("hash").agg(F.max("id").alias("response_id")))
     again = F.col("response_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("response_id")) & (F.octet_length("payload") >= min_bytes)
     return rows.join(most, "hash").select(
         "id", "uri", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"),

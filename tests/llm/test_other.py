@@ -111,6 +111,23 @@ def test_warc_empty(spark):
     assert warc.read(spark, warc.write(warc.with_types(pages), scratch_dir(spark, "warc-test"))).count() == 0
 
 
+def test_warc_hot_payload_is_split(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    kept = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        hot = "".join(random.Random(0).choices("abcdefghijklmnop", k=40_000))  # no run that block compression would shorten
+        pages = spark.range(900, numPartitions=16).selectExpr("id", "'u' AS uri", f"encode(IF(id % 3 = 0, '{hot}', sha2(string(id), 512)), 'UTF-8') AS payload")
+        typed = warc.with_types(pages)
+        assert len(typed.collect()) == 900
+        assert "skew=true" in typed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_warc_magic_that_is_no_member(tmp_path):
     """Ranges own the records that start in them, whatever lies between."""
     member = [gzip.compress(warc.record(f"<urn:page:{k}>", "u", b"x" * k, "response", None, "d")) for k in range(5)]
