@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from crawlgrid.session import scratch_dir
 
-from . import bpe, chosen_path, ctw, fm_decontam, license_scan, quality, subspace_join, substring_doubling, suffix_refine, warc
+from . import (bpe, chosen_path, ctw, fm_decontam, license_scan, merkle, quality, resample, secret_grammar, subspace_join, substring_doubling,
+               suffix_refine, warc)
 from . import oracles as sql
 from .registry import register
 
@@ -92,3 +93,30 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_license_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op11_merkle_manifest", sql.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed = [F.col("n_chars").cast("decimal(38,0)") + 1 if c == "n_chars" else F.col(c) for c in merkle.COLUMNS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, merkle.leaf_digest(changed))
+    got = merkle.manifest(docs, carry=("doc_id", tampered.alias("tampered")))
+    folded = merkle.fold(F.col("path"), F.coalesce("tampered", "leaf"))
+    return (got.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+@register("op12_importance_resampling", sql.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register("op13_secret_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = secret_grammar.scan(docs, secret_grammar.fit(docs))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_grammar.KINDS))
+    return got.select("doc_id", *map(count, secret_grammar.KINDS), sha(joined(base)).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

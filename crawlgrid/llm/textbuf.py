@@ -104,6 +104,28 @@ def slices(offs: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def pieces(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray, size: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, row of each piece): rows longer than ``size`` are cut at the
+    next place behind every ``size`` bytes that lies in no word."""
+    long = np.flatnonzero(np.diff(offs) > size)
+    if not len(long):
+        return offs, np.arange(len(offs) - 1)
+    cuts = []
+    for r in long.tolist():
+        at, end = int(offs[r]) + size, int(offs[r + 1])
+        while at < end:
+            free = np.flatnonzero(~is_word[buf[at:min(end, at + size)]])
+            if len(free):
+                cuts.append(at + int(free[0]))
+                at = cuts[-1] + size
+            else:
+                at += size
+    both = np.concatenate((offs, np.array(cuts, np.int64)))
+    order = np.argsort(both, kind="stable")  # a cut never equals an offset
+    at, row = both[order], np.cumsum(order < len(offs))[:-1] - 1
+    return at, row
+
+
 def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of every word; a word never crosses rows."""
     if not len(buf):
