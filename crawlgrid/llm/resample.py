@@ -77,7 +77,7 @@ def advance(state: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.nda
 
 def features(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of each word, row of each feature, bucket of each feature) of a slice."""
-    at, row_of = pieces(buf, offs, ALNUM, SLICE)
+    at, row_of = pieces(buf, offs, ALNUM[LOWER], SLICE)
     last_row, last_state = -1, START
     for i, j in slices(at, SLICE):
         part = LOWER[buf[at[i]:at[j]]]

@@ -8,9 +8,9 @@ Hoeffding bounds, all the way down (state merging of red and blue states). The
 result is a deterministic probabilistic automaton. Every other run of
 credential characters is a candidate: its log likelihood under each kind's
 automaton is set against that under ordinary runs' byte pairs. Where the
-difference makes up for ``LEAST_ODDS`` and a character's share of it reaches
-what all but 1 % of the labelled values have, the run is reported as
-``like_<kind>``. Spans found by rule always stay; candidates that touch one
+difference makes up for ``LEAST_ODDS`` and a character's share of it is half of
+what all but 1 % of the labelled values have (short runs spend more on their
+ends), the run is reported as ``like_<kind>``. Spans found by rule always stay; candidates that touch one
 are left out.
 
 Grammars are fitted on at most ``max_train`` distinct values a kind and
@@ -56,6 +56,8 @@ LEAST_VALUES = 30
 LEAST_RUN = 8
 LEAST_ODDS = math.log(1e6)
 QUANTILE = 0.01
+MARGIN = 0.5
+BACK_OFF = 20
 ALPHA = 0.05
 SLICE = 512 << 10
 LONG_RUN = 512
@@ -240,14 +242,14 @@ class Automaton:
         who = who[np.argsort(size[who], kind="stable")]  # the shortest leave at the front
         state, total, pos = np.zeros(len(who), np.int32), np.zeros(len(who)), 0
         while len(who):
-            b = buf[starts[who] + pos]
-            total += self.cost[state, b]
-            state = self.to[state, b]
-            pos += 1
             done = int(np.searchsorted(size[who], pos, "right"))
             out[who[:done]] = total[:done] + self.end[state[:done]]
             live = done + np.flatnonzero(total[done:] > -np.inf)
             who, state, total = who[live], state[live], total[live]
+            b = buf[starts[who] + pos]
+            total += self.cost[state, b]
+            state = self.to[state, b]
+            pos += 1
         return out
 
     def _one(self, run: np.ndarray) -> float:
@@ -261,17 +263,18 @@ class Automaton:
 
 
 def byte_pairs(values: Sequence[bytes]) -> Automaton:
-    """Ordinary runs: which byte follows which, every one possible. State 0 is the
+    """Ordinary runs: which byte follows which, backed off to single bytes. State 0 is the
     begin, state 1 + k follows the alphabet's k-th byte."""
     symbols = np.array(list(ALPHABET))
     index = np.zeros(256, np.int64)
     index[symbols] = np.arange(len(symbols))
     n = len(symbols)
-    count = np.full((n + 1, n + 1), 0.05)  # the last column: the end
+    count = np.zeros((n + 1, n + 1))  # the last column: the end
     for value in values:
         row = index[np.frombuffer(value, np.uint8)]
         np.add.at(count, (np.concatenate(([0], row + 1)), np.append(row, n)), 1)
-    p = np.log(count / count.sum(1, keepdims=True))
+    single = (count.sum(0) + 0.5) / (count.sum() + 0.5 * (n + 1))
+    p = np.log((count + BACK_OFF * single) / (count.sum(1, keepdims=True) + BACK_OFF))
     dead = n + 1
     to, cost = np.full((n + 2, 256), dead, np.int32), np.full((n + 2, 256), -np.inf, np.float32)
     to[:dead, symbols], cost[:dead, symbols] = np.arange(1, n + 1), p[:, :n]
@@ -364,7 +367,7 @@ def fit_values(values: dict[str, list[bytes]]) -> Grammar:
         share = (automaton.score(buf, s, e) - ordinary.score(buf, s, e)) / (e - s)
         share = share[np.isfinite(share)]
         if len(share):
-            automaton.least = max(float(np.quantile(share, QUANTILE)), 0.0)
+            automaton.least = MARGIN * max(float(np.quantile(share, QUANTILE)), 0.0)
             kinds[kind] = automaton
     return Grammar(kinds, ordinary)
 
