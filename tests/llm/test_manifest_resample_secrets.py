@@ -290,7 +290,7 @@ def test_automaton_is_a_distribution():
     for w, score in zip(words, got):  # a byte at a time
         state, total = 0, 0.0
         for b in w:
-            total, state = total + automaton.cost[state, b], automaton.to[state, b]
+            total, state = total + float(automaton.cost[state, b]), automaton.to[state, b]
         assert score == pytest.approx(total + automaton.end[state], rel=1e-6)
     assert got[5] == got[7] == -math.inf and got[3] > got[2]
 
