@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textbuf import ragged
+from .textbuf import ragged, returning
 
 MATRIX_BYTES = 128
 CACHE_PIECES = 300_000
@@ -277,7 +277,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in batch.columns[:-1]] + [ids], names=[*carry, out_col])
         tool.forget()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(returning(run), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids",
@@ -298,4 +298,26 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_i
                 raw = [tool.decode(np.asarray(x.values, np.int64)).tobytes() if x.is_valid else b"" for x in part]
                 yield pa.RecordBatch.from_arrays([c.slice(i, 256) for c in batch.columns[:-1]] + [pa.array(raw, pa.binary())], names=[*carry, out_col])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(returning(run), schema)
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``carry`` columns, token_ids (array of int) and decoded (binary, the ids'
+    bytes): encode and decode in one worker."""
+    df = df.select(*carry, text_col)
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False),
+                           T.StructField("decoded", T.BinaryType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = codec(ranks_path, pattern)
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            for i, j in _groups(texts, LONG_TEXT):
+                flat, count = tool.encode(texts.slice(i, j - i).to_pylist())
+                cut = np.concatenate(([0], np.cumsum(count)))
+                ids = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(flat))
+                raw = [tool.decode(flat[s:e].astype(np.int64)).tobytes() for s, e in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in batch.columns[:-1]] + [ids, pa.array(raw, pa.binary())], names=schema.names)
+        tool.forget()
+
+    return df.mapInArrow(returning(run), schema)

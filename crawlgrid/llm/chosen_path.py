@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from crawlgrid.session import scratch_dir
 
 from .components import components, local_roots, saved
-from .textbuf import SPACED, buffer_of, mix64, prefix, slices, window_hash, word_hashes, words
+from .textbuf import SPACED, buffer_of, hashed_words, mix64, prefix, returning, slices, window_hash
 
 SHINGLE_WORDS = 5
 THRESHOLD = (4, 5)
@@ -76,7 +76,7 @@ def runs_needed(threshold: float, recall: float) -> int:
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes end to end, ascending in each row; row offsets)."""
-    starts, ends, rows = words(buf, offs, SPACED)
+    rows, hashes = hashed_words(buf, offs, SPACED)[2:]
     m = len(offs) - 1
     if not len(rows):
         return np.zeros(0, np.uint64), np.zeros(m + 1, np.int64)
@@ -85,8 +85,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray,
     first = stop - count
     at = np.arange(len(rows))
     at = at[(at + n <= stop[rows]) | (at == first[rows])]
-    pre = prefix(word_hashes(buf, starts, ends))
-    h = window_hash(pre, at, np.minimum(at + n, stop[rows[at]]))
+    h = window_hash(prefix(hashes), at, np.minimum(at + n, stop[rows[at]]))
     row = rows[at]
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
@@ -157,7 +156,7 @@ def sketch(docs: DataFrame, n: int, threshold: float, runs: int, id_col: str, te
                     pa.array([x.tobytes() for x in signature], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(path_cut.astype(np.int32)), pa.array(picked[order].view(np.int64)))], names=names)
 
-    return keyed(docs, id_col, text_col).select("doc_id", "key", "text").mapInArrow(run, SKETCH)
+    return keyed(docs, id_col, text_col).select("doc_id", "key", "text").mapInArrow(returning(run), SKETCH)
 
 
 def split_further(rows: DataFrame, threshold: float) -> DataFrame:
@@ -173,7 +172,7 @@ def split_further(rows: DataFrame, threshold: float) -> DataFrame:
             row, slot = np.nonzero(fraction(x) < 1 / (threshold * SLOTS))
             yield pa.RecordBatch.from_arrays([pa.array(mix64(x[row, slot] + np.uint64(1)).view(np.int64)), batch.column(1).take(pa.array(row))], names=["path", "node"])
 
-    return rows.select("path", "node", "signature").mapInArrow(run, rows.select("path", "node").schema)
+    return rows.select("path", "node", "signature").mapInArrow(returning(run), rows.select("path", "node").schema)
 
 
 def leaf_links(rows: DataFrame) -> DataFrame:
@@ -192,7 +191,7 @@ def leaf_links(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([blobs[0].take(pa.array(far)), blobs[0].take(pa.array(root[far]))], names=["u", "v"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("path", "node", "signature").repartition(parts, "path").sortWithinPartitions("path").mapInArrow(run, out)
+    return rows.select("path", "node", "signature").repartition(parts, "path").sortWithinPartitions("path").mapInArrow(returning(run), out)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.Array]]]:
@@ -303,7 +302,7 @@ def settle(docs: DataFrame, members: DataFrame, n: int, num: int, den: int, id_c
         for (_, a, b), cols in grouped(batches, 3):
             yield from _compare(int(a), int(b), cols, num, den, names)
 
-    return spread.repartition(parts, "group", "a", "b").sortWithinPartitions("group", "a", "b").mapInArrow(exact, EXACT)
+    return spread.repartition(parts, "group", "a", "b").sortWithinPartitions("group", "a", "b").mapInArrow(returning(exact), EXACT)
 
 
 def _compare(a: int, b: int, cols: list[pa.Array], num: int, den: int, names: list[str]) -> Iterator[pa.RecordBatch]:

@@ -47,7 +47,7 @@ def components(links: DataFrame) -> DataFrame:
     rows = links.count()
     for _ in range(MAX_ROUNDS):
         if _settled(links):
-            break
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         # large star: a node's larger neighbours go to its least neighbour (or itself)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _star(both, rows).select("u", F.least("u", "m").alias("m"))
@@ -56,7 +56,7 @@ def components(links: DataFrame) -> DataFrame:
         least = _star(large, rows)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), rows)
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

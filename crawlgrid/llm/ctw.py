@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .textbuf import LOWER, SPACED, buffer_of, mix64, slices, word_hashes, words
+from .textbuf import LOWER, SPACED, buffer_of, hashed_words, mix64, slices
 
 DEPTH = 5
 END = 0xFF  # no UTF-8 text has this byte: end of text, and what lies before its start
@@ -129,8 +129,8 @@ class Shelf:
     def slices(self) -> Iterator[tuple[np.ndarray, ...]]:
         for i, j in slices(self.offs):
             low, offs = LOWER[self.buf[self.offs[i]:self.offs[j]]], self.offs[i:j + 1] - self.offs[i]
-            starts, ends, rows = words(low, offs, SPACED)
-            hashes = np.append(word_hashes(low, starts, ends), np.full(j - i, END_TOKEN)) if len(starts) else np.full(j - i, END_TOKEN)
+            _, _, rows, hashes = hashed_words(low, offs, SPACED)
+            hashes = np.append(hashes, np.full(j - i, END_TOKEN, hashes.dtype))
             yield low, offs, np.append(rows, np.arange(j - i)), hashes, self.train[i:j]
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textbuf import give_back
+
 # To each shuffle partition. A bucket or key partition is handled in one piece,
 # and each bucket sends each key partition one row, so there are neither too
 # few of them for memory nor so many that the packed rows become small.
@@ -123,20 +125,26 @@ def member(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, short), len(known) - 1)] == short
 
 
+def _given_back(result: pa.Table) -> pa.Table:
+    """What a bucket took is free by now; idle workers shouldn't hold it."""
+    give_back()
+    return result
+
+
 def to_parts(docs: DataFrame, fn: Callable, answer: DataFrame | None = None) -> DataFrame:
     """``fn(b, table[, answers])`` over each bucket; it returns blob rows."""
     if answer is None:
-        return docs.groupBy("b").applyInArrow(lambda t: blobs(fn(t.column("b")[0].as_py(), t)), BLOB)
+        return docs.groupBy("b").applyInArrow(lambda t: _given_back(blobs(fn(t.column("b")[0].as_py(), t))), BLOB)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return blobs(fn(left.column("b")[0].as_py(), left, right) if left.num_rows else [])
+        return _given_back(blobs(fn(left.column("b")[0].as_py(), left, right) if left.num_rows else []))
 
     return docs.groupBy("b").cogroup(answer.groupBy("b")).applyInArrow(both, BLOB)
 
 
 def to_buckets(sent: DataFrame, fn: Callable) -> DataFrame:
     """``fn(table)`` over all blobs of each key partition; it returns blob rows."""
-    return sent.groupBy("part").applyInArrow(fn, BLOB)
+    return sent.groupBy("part").applyInArrow(lambda t: _given_back(fn(t)), BLOB)
 
 
 def finish(docs: DataFrame, answer: DataFrame, fn: Callable, extra: str) -> DataFrame:
@@ -147,6 +155,6 @@ def finish(docs: DataFrame, answer: DataFrame, fn: Callable, extra: str) -> Data
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         cols = fn(left, right) if left.num_rows else [[] for _ in out.fields[1:]]
         arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in cols]
-        return pa.Table.from_arrays([left.column("r"), *arrays], names=out.names)
+        return _given_back(pa.Table.from_arrays([left.column("r"), *arrays], names=out.names))
 
     return docs.groupBy("b").cogroup(answer.groupBy("b")).applyInArrow(both, out).select("r.*", *out.names[1:])

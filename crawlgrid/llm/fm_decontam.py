@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbuf import ALNUM, LOWER, buffer_of, ragged, runs, slices, word_hashes, words
+from .textbuf import ALNUM, LOWER, buffer_of, hashed_words, ragged, returning, runs, slices
 
 WINDOW_WORDS = 13
 BLOCK_BYTES = 8 << 20
@@ -122,9 +122,7 @@ class Phrases:
 
     def __init__(self, texts: list[str | None], n: int):
         buf, offs = buffer_of(pa.array(texts, pa.large_string()))
-        low = LOWER[buf]
-        starts, ends, rows = words(low, offs, ALNUM)
-        hashes = word_hashes(low, starts, ends)
+        _, _, rows, hashes = hashed_words(buf, offs, ALNUM, fold=LOWER)
         self.vocab, symbols = np.unique(hashes, return_inverse=True)
         symbols = symbols + 2
         found: dict[tuple[int, ...], set[int]] = {}
@@ -142,15 +140,13 @@ class Phrases:
 
     def scan(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]], set[int]]]:
         """(row, words, merged word spans, items) of the rows; words only where nothing occurs."""
-        low = LOWER[buf]
-        starts, ends, rows = words(low, offs, ALNUM)
+        starts, _, rows, hashes = hashed_words(buf, offs, ALNUM, fold=LOWER)
         n_rows = len(offs) - 1
         count = np.bincount(rows, minlength=n_rows)
         base = np.cumsum(count) - count
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[int]] = {}
         if len(starts) and len(self.windows):
-            hashes = word_hashes(low, starts, ends)
             at = np.minimum(np.searchsorted(self.vocab, hashes), len(self.vocab) - 1)
             symbol = np.where(self.vocab[at] == hashes, at + 2, 0)
             known = np.zeros(len(symbol) + n_rows, bool)  # a gap after each row ends its runs
@@ -232,7 +228,7 @@ def _scan_block(df: DataFrame, inner: T.StructType, phrases: Phrases, ids: list[
                 keep = [batch.column(c).slice(i, j - i) for c in range(1 if last else 2)]
                 yield pa.RecordBatch.from_arrays(keep + [pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(returning(run), schema)
 
 
 def verdicts(found: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbuf import BYTE_VALUES, SPACED, buffer_of, prefix, slices, window_hash, words
+from .textbuf import BYTE_VALUES, PIECE_BYTES, SPACED, buffer_of, pieces, prefix, returning, slices, window_hash, words
 
 BUCKETS = 1 << 18
 DIM = 16
@@ -58,15 +58,22 @@ class Model:
     bias: float
 
     def scores(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Of each row. Texts are cut at blanks, which changes no feature: the
+        rest begins with the blank that its first word's n-grams include."""
         n = len(offs) - 1
         total, count = np.zeros(n), np.zeros(n)
-        if len(buf):
-            sums, ones = np.zeros(len(buf)), np.zeros(len(buf), np.int64)
-            for at, bucket in features(buf, offs):
-                sums[at] += self.weights[bucket]
-                ones[at] += 1
-            csum, cone = (np.concatenate(([0], np.cumsum(x))) for x in (sums, ones))
-            total, count = csum[offs[1:]] - csum[offs[:-1]], cone[offs[1:]] - cone[offs[:-1]]
+        at, row_of = pieces(buf, offs, SPACED, PIECE_BYTES)
+        for i, j in slices(at, PIECE_BYTES):
+            part, cut, rows = buf[at[i]:at[j]], at[i:j + 1] - at[i], row_of[i:j]
+            if not len(part):
+                continue
+            sums, ones = np.zeros(len(part)), np.zeros(len(part), np.int32)
+            for place, bucket in features(part, cut):
+                sums[place] += self.weights[bucket]
+                ones[place] += 1
+            csum, cone = np.concatenate(([0], np.cumsum(sums))), np.concatenate(([0], np.cumsum(ones)))
+            total += np.bincount(rows, csum[cut[1:]] - csum[cut[:-1]], n)
+            count += np.bincount(rows, cone[cut[1:]] - cone[cut[:-1]], n)
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
 
 
@@ -126,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, hold_out
             weights, bias = train(texts, np.array(marks))
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], names=["weights", "bias"])
 
-    got = sample.coalesce(1).mapInArrow(run, "weights binary, bias double").collect()
+    got = sample.coalesce(1).mapInArrow(returning(run), "weights binary, bias double").collect()
     return Model(np.frombuffer(got[0].weights, np.float32), got[0].bias) if got else Model(np.zeros(BUCKETS, np.float32), 0.0)
 
 
@@ -139,7 +146,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", carry: Sequence
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = buffer_of(batch.column(1))
-            got = [shared.value.scores(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]) for i, j in slices(offs)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(got) if got else np.zeros(0))], names=["r", out_col])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(buf, offs))], names=["r", out_col])
 
-    return df.mapInArrow(run, schema).select("r.*", out_col)
+    return df.mapInArrow(returning(run), schema).select("r.*", out_col)

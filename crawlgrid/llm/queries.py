@@ -35,10 +35,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_byte_bpe")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    ids = ids.select(F.struct("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
-                              sha(F.concat_ws(" ", F.col("token_ids").cast("array<string>"))).alias("ids_sha256")).alias("r"), "token_ids")
-    return bpe.decode(ids, RANKS, public_tokenizers.PATTERN, carry=("r",)).select("r.*", sha(F.col("decoded")).alias("decoded_sha256"))
+    return bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN).select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+        sha(F.concat_ws(" ", F.col("token_ids").cast("array<string>"))).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
 
 
 @register("op9_quality_classifier")

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from crawlgrid.operators.ranking import row_number_within
 from crawlgrid.session import scratch_dir
 
-from .textbuf import ALNUM, LOWER, buffer_of, pieces, slices, words
+from .textbuf import ALNUM, LOWER, buffer_of, pieces, returning, slices, words
 
 BUCKETS = 10_000
 SEED = 7
@@ -104,7 +104,7 @@ def bucket_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], names=["bucket", "n"])
 
-    got = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    got = docs.select(F.col(text_col).alias("t")).mapInArrow(returning(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS, np.int64)
     for r in got.collect():  # BUCKETS rows at most
         out[r["bucket"]] = r["n"]
@@ -140,7 +140,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_words), pa.array(n_features),
                                               pa.array(total // np.maximum(n_features, 1))], names=schema.names)
 
-    scored = df.mapInArrow(run, schema)
+    scored = df.mapInArrow(returning(run), schema)
     return scored.withColumn("score", F.col("weight") + gumbel(F.col("id").cast("string"), seed)).withColumn("id", F.coalesce("id", F.lit(NO_ID)))
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbuf import BYTE_VALUES, buffer_of, pieces, prefix, slices, window_hash, words
+from .textbuf import BYTE_VALUES, buffer_of, pieces, prefix, returning, slices, window_hash, words
 
 # fixed values: what the rules look for; their classes and letters are ASCII
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -323,7 +323,7 @@ def labelled(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(got)), pa.array([h for h, _ in got], pa.int64()),
                                                   pa.array([v for _, v in got], pa.binary())], names=["kind", "h", "value"])
 
-    values = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "kind string, h long, value binary").dropDuplicates(["kind", "h"])
+    values = docs.select(F.col(text_col).alias("t")).mapInArrow(returning(run), "kind string, h long, value binary").dropDuplicates(["kind", "h"])
     out = None
     for kind in (*KINDS, ORDINARY):
         part = values.where(F.col("kind") == kind).orderBy("h").limit(most[kind])
@@ -383,7 +383,7 @@ def fit(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN, max
                 values.setdefault(kind, []).append(value)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_values(values))], pa.binary())], names=["grammar"])
 
-    got = labelled(docs, text_col, max_train, max_ordinary).coalesce(1).mapInArrow(run, "grammar binary").collect()  # one row
+    got = labelled(docs, text_col, max_train, max_ordinary).coalesce(1).mapInArrow(returning(run), "grammar binary").collect()  # one row
     return pickle.loads(got[0].grammar) if got else fit_values({})
 
 
@@ -420,7 +420,7 @@ def scan(docs: DataFrame, grammar: Grammar, text_col: str = "text", carry: Seque
                 [pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["kind", "start", "end"]))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["r", "spans"])
 
-    return df.mapInArrow(run, schema).select("r.*", "spans")
+    return df.mapInArrow(returning(run), schema).select("r.*", "spans")
 
 
 def code_points(buf: np.ndarray, begin: int, places: Sequence[int]) -> dict[int, int]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import exchange as X
-from .textbuf import SPACED, binary_array, buffer_of, covered, leftmost_min, mix64, prefix, ragged, slices, span_lists, window_hash, word_hashes, words
+from .textbuf import SPACED, binary_array, buffer_of, covered, hashed_words, leftmost_min, mix64, prefix, ragged, slices, span_lists, window_hash
 
 WINDOW_WORDS = 13
 FIRST_LEVEL = 4
@@ -46,12 +46,12 @@ class Shard:
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, ids: np.ndarray, n: int):
         self.buf, self.offs, self.n = buf, offs, n
-        self.starts, self.ends, self.rows = words(buf, offs, SPACED)
+        self.starts, self.ends, self.rows, hashes = hashed_words(buf, offs, SPACED)
         self.count = np.bincount(self.rows, minlength=len(offs) - 1)
         self.stop = np.cumsum(self.count)
         self.windows = np.flatnonzero(np.arange(len(self.rows)) + n <= self.stop[self.rows]) if len(self.rows) else np.zeros(0, np.int64)
         self.owner = ids[self.rows[self.windows]] if len(self.windows) else self.windows
-        self.pre = prefix(word_hashes(buf, self.starts, self.ends)) if len(self.windows) else None
+        self.pre = prefix(hashes) if len(self.windows) else None
 
     def least(self, length: int, at: np.ndarray) -> np.ndarray:
         """Hash of the least-hashed window of ``length`` words inside each window at ``at``."""
@@ -62,7 +62,7 @@ class Shard:
 
     def exact(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96 bits of each window's words."""
-        second = prefix(word_hashes(self.buf, self.starts, self.ends, 1), 1)
+        second = prefix(hashed_words(self.buf, self.offs, SPACED, 1)[3], 1)
         return window_hash(self.pre, at, at + self.n), (window_hash(second, at, at + self.n, 1) >> np.uint64(32)).astype(np.uint32)
 
 

@@ -8,13 +8,15 @@ that any window costs the same whatever its length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20  # bytes handled at once; bounds a task's scratch arrays
+SLICE_BYTES = 2 << 20  # rows handled at once; bounds a task's scratch arrays
+PIECE_BYTES = 256 << 10  # bytes hashed at once, also within a row
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -44,34 +46,50 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, hence invertible
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+POWER_STEP = 1 << 16
 
 
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**k and P**-k modulo 2**64 for k < n."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        out = []
-        for p in (MULTIPLIERS[which], pow(MULTIPLIERS[which], -1, 1 << 64)):
-            a = np.full(size, p, dtype=U64)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        _powers[which] = have = (out[0], out[1])
-    return have[0][:n], have[1][:n]
+def _powers(p: int) -> tuple[np.ndarray, int]:
+    """p**k modulo 2**64 for k < POWER_STEP, and p**POWER_STEP."""
+    a = np.full(POWER_STEP, p, dtype=U64)
+    a[0] = 1
+    return np.multiply.accumulate(a), pow(p, POWER_STEP, 1 << 64)
+
+
+POWERS = [_powers(p) for p in MULTIPLIERS]
+INVERSES = [_powers(pow(p, -1, 1 << 64)) for p in MULTIPLIERS]
+
+
+def inverse_powers(which: int, places: np.ndarray) -> np.ndarray:
+    """P**-k for each place k; tables of POWER_STEP entries, however long the text."""
+    low, step = INVERSES[which]
+    out = low[places & (POWER_STEP - 1)]
+    high = places // POWER_STEP
+    most = int(high.max()) if len(high) else 0
+    if most:
+        far = np.full(most + 1, step, dtype=U64)
+        far[0] = 1
+        out = out * np.multiply.accumulate(far)[high]
+    return out
 
 
 def prefix(values: np.ndarray, which: int = 0) -> np.ndarray:
     """Prefix sums that window_hash reads; one longer than ``values``."""
     out = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(values * powers(which, len(values))[0], out=out[1:])
+    low, step = POWERS[which]
+    scale = 1
+    for at in range(0, len(values), POWER_STEP):
+        part = values[at:at + POWER_STEP]
+        np.cumsum(part * (low[:len(part)] * U64(scale)), out=out[at + 1:at + 1 + len(part)])
+        out[at + 1:at + 1 + len(part)] += out[at]
+        scale = scale * step % (1 << 64)
     return out
 
 
 def window_hash(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of values[start:end] for each window, whatever its place."""
     h = pre[ends] - pre[starts]
-    return mix64(h * powers(which, len(pre))[1][starts] + (ends - starts).astype(U64))
+    return mix64(h * inverse_powers(which, starts) + (ends - starts).astype(U64))
 
 
 def buffer_of(col) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +168,40 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
     return window_hash(prefix(BYTE_VALUES[buf], which), starts, ends, which)
 
 
+def hashed_words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray, which: int = 0, fold: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(starts, ends, row, hash) of every word, PIECE_BYTES at once, so that a
+    long text costs little more than its words. ``fold`` maps bytes first."""
+    at, row_of = pieces(buf, offs, is_word if fold is None else is_word[fold], PIECE_BYTES)
+    z = np.zeros(0, np.int64)
+    got = [(z, z, z, z.astype(U64))]
+    for i, j in slices(at, PIECE_BYTES):
+        base = at[i]
+        part = buf[base:at[j]] if fold is None else fold[buf[base:at[j]]]
+        s, e, piece = words(part, at[i:j + 1] - base, is_word)
+        got.append((s + base, e + base, row_of[i + piece], word_hashes(part, s, e, which)))
+    return tuple(np.concatenate(x) for x in zip(*got))
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def returning(run: Callable) -> Callable:
+    """A mapInArrow function that hands memory back when its task ends."""
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def row_counts(rows: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(rows, minlength=n).astype(np.int64)
 
