@@ -69,10 +69,9 @@ def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """(doc_id, lang, source, n_tokens, token_ids, round_trip): the ids of each
     text, and whether they decode to its bytes."""
     rows = docs.select(F.struct("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).alias("_row"), "text")
-    ids = bpe.encode(rows, RANKS, public_tokenizers.PATTERN, carry=("_row",))
-    ids = ids.select(F.struct("_row.*", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids").alias("_row"), "token_ids")
-    back = bpe.decode(ids, RANKS, public_tokenizers.PATTERN, carry=("_row",))
-    return back.select("_row.doc_id", "_row.lang", "_row.source", "_row.n_tokens", "_row.token_ids", (F.sha2("decoded", 256) == F.col("_row.sha")).alias("round_trip"))
+    got = bpe.round_trip(rows, RANKS, public_tokenizers.PATTERN, carry=("_row",))
+    return got.select("_row.doc_id", "_row.lang", "_row.source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
+                      (F.sha2("decoded", 256) == F.col("_row.sha")).alias("round_trip"))
 
 
 STAGES = [
