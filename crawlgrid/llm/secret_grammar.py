@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .components import saved
 from .textbuf import BYTE_VALUES, buffer_of, pieces, prefix, returning, slices, window_hash, words
 
 # fixed values: what the rules look for; their classes and letters are ASCII
@@ -324,6 +325,7 @@ def labelled(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN
                                                   pa.array([v for _, v in got], pa.binary())], names=["kind", "h", "value"])
 
     values = docs.select(F.col(text_col).alias("t")).mapInArrow(returning(run), "kind string, h long, value binary").dropDuplicates(["kind", "h"])
+    values = saved(values)  # read once for each kind
     out = None
     for kind in (*KINDS, ORDINARY):
         part = values.where(F.col("kind") == kind).orderBy("h").limit(most[kind])
