@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlgrid.constants import ERROR_PATTERN, ITEMS_PATTERN, WARNING_PATTERN
 
-# charsets tried in order for logs that are not valid UTF-8
-DEFAULT_CHARSETS = ["UTF-8", "ISO-8859-1"]
+# charsets tried in order
+DEFAULT_CHARSETS = ("UTF-8", "ISO-8859-1")
+# what a text doesn't hold: control characters but tab, line ends, form feed and escape
+_CONTROL = r"[\x00-\x08\x0E-\x1A\x1C-\x1F\x7F-\x9F]"
 
 
 def log_facts(logs: DataFrame) -> DataFrame:
@@ -36,23 +40,39 @@ def final_status(reported: Column, errors: Column, warnings: Column) -> Column:
             .otherwise(reported))
 
 
+def fits(content: Column, charset: str) -> Column:
+    """Whether bytes can be text of a charset. Every byte is a character of
+    ISO-8859-1, so there the control characters tell text from other bytes."""
+    if charset == "UTF-8":
+        return F.is_valid_utf8(content.cast("string"))
+    if charset == "US-ASCII":
+        return F.is_valid_utf8(content.cast("string")) & (F.octet_length(content) == F.char_length(content.cast("string")))
+    if charset == "ISO-8859-1":
+        return ~F.regexp_like(F.decode(content, "ISO-8859-1"), F.lit(_CONTROL))
+    raise ValueError(f"charset {charset} can't be checked without an error on other bytes; known: UTF-8, US-ASCII, ISO-8859-1")
+
+
+def choose_charset(content: Column, charsets: Sequence[str]) -> Column:
+    """The first charset that fits; NULL if none does."""
+    return F.coalesce(*[F.when(fits(content, c), F.lit(c)) for c in charsets])
+
+
+def decoded(content: Column, charset: Column, charsets: Sequence[str]) -> Column:
+    """The text of bytes in the chosen charset; NULL without one. A single
+    charset given is taken as it is, malformed bytes replaced."""
+    if tuple(charsets) == ("UTF-8",):
+        return F.make_valid_utf8(content.cast("string"))
+    text = F.when(F.lit(False), F.lit(None).cast("string"))
+    for c in charsets:
+        text = text.when(charset == c, content.cast("string") if c in ("UTF-8", "US-ASCII") else F.decode(content, c))
+    return text
+
+
 def decode_logs(blobs: DataFrame, content_col: str = "content",
-                charsets: list[str] | None = None) -> DataFrame:
-    """Choose each log's charset: UTF-8 when valid, else the first listed
-    charset that round-trips the bytes losslessly; none fits → NULL text
-    (no facts, the job still finishes). Native expressions, no per-row
-    detector library."""
+                charsets: Sequence[str] | None = None) -> DataFrame:
+    """Choose each log's charset, the first listed one that fits its bytes;
+    none fits → NULL text (no facts, the job still finishes). Native
+    expressions, no per-row detector library."""
     cs = charsets or DEFAULT_CHARSETS
-    b = F.col(content_col)
-    choice = F.when(F.lit(False), F.lit(None).cast("string"))
-    for c in cs:
-        if c.upper() in ("UTF-8", "UTF8"):
-            fits = F.is_valid_utf8(b)
-        else:
-            fits = F.encode(F.decode(b, c), c) == b
-        choice = choice.when(fits, F.lit(c))
-    out = blobs.withColumn("charset", choice)
-    text = F.when(F.lit(False), F.lit(None).cast("string"))
-    for c in cs:
-        text = text.when(F.col("charset") == c, F.decode(b, c))
-    return out.withColumn("text", text)
+    out = blobs.withColumn("charset", choose_charset(F.col(content_col), cs))
+    return out.withColumn("text", decoded(F.col(content_col), F.col("charset"), cs))

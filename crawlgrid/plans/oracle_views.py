@@ -148,7 +148,7 @@ SELECT 'project_' || (doc_id % 7) AS project, 'spider_' || (doc_id % 97) AS spid
          || CASE WHEN n_chars % 7 = 0 THEN '' ELSE ',' END
          || CASE WHEN n_chars % 5 = 0 THEN chr(10) || ' ''log_count/ERROR'': ' || (n_chars % 3) || ',' ELSE '' END
          || CASE WHEN n_chars % 3 = 0 THEN chr(10) || ' ''log_count/WARNING'': ' || (n_chars % 4) || ',' ELSE '' END
-         || chr(10) || ' ''log_count/INFO'': 7}}' AS text
+         || chr(10) || ' ''log_count/INFO'': 7}}' AS text, doc_id, lang
 FROM documents"""
 
 VIEWS["v_logs"] = """

@@ -21,25 +21,43 @@ def _t(spark, sf):
 
 
 # ---------------------------------------------------------------- files
-@register("S3_read_job_logs", "SELECT project, spider, job_id, line_no, line FROM v_logs")
-def q_s3(spark, sf):
-    t = _t(spark, sf)
+# French logs are written in ISO-8859-1, every 13th starts with bytes of no charset
+_LOG_FILES_SQL = """read_logs AS (
+  SELECT l.project, l.spider, l.job_id, l.line_no, l.line,
+         CASE WHEN t.lang = 'fr' AND regexp_matches(t.text, '[^\\x00-\\x7F]') THEN 'ISO-8859-1' ELSE 'UTF-8' END AS charset
+  FROM v_logs l JOIN v_log_text t USING (job_id) WHERE t.doc_id % 13 <> 5
+  UNION ALL
+  SELECT project, spider, job_id, 1, NULL, NULL FROM v_log_text WHERE doc_id % 13 = 5 AND text IS NOT NULL)"""
+
+
+def _job_logs(spark, sf):
+    content = F.when(F.col("doc_id") % 13 == 5, F.concat(F.unhex(F.lit("FF0081")), F.encode("text", "UTF-8")))
+    content = content.when(F.col("lang") == "fr", F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     root = scratch_dir(spark, "job-logs")
-    S.write_job_files(t.log_text, root, "text", "logs")
-    return S.read_job_logs(spark, root, glob="part-*").withColumn("line_no", F.col("line_no").cast("int"))
+    logs = _t(spark, sf).log_text.where(F.col("text").isNotNull())
+    S.write_job_files(logs.withColumn("content", content), root, "content", "logs")
+    return S.read_job_logs(spark, root)
+
+
+@register("S3_read_job_logs", f"WITH {_LOG_FILES_SQL} SELECT * FROM read_logs")
+def q_s3(spark, sf):
+    return _job_logs(spark, sf).withColumn("line_no", F.col("line_no").cast("int"))
 
 
 @register("S2_read_job_items", """
 SELECT project, spider, job_id, line_no, raw,
-       NOT (CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' ELSE FALSE END) AS bad
+       NOT (CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' ELSE FALSE END) AS bad,
+       CASE WHEN json_valid(raw) THEN TRY_CAST(json_extract(raw, '$.price') AS BIGINT) END AS price,
+       CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.ship.flag') END AS flag
 FROM v_items
 """)
 def q_s2(spark, sf):
     t = _t(spark, sf)
     root = scratch_dir(spark, "job-items")
     S.write_job_files(t.items, root, "raw", "items", order_col="line_no")
-    return (S.read_job_items(spark, root, glob="part-*")
-            .select("project", "spider", "job_id", F.col("line_no").cast("int").alias("line_no"), "raw", "bad"))
+    return S.read_job_items(spark, root).select(
+        "project", "spider", "job_id", F.col("line_no").cast("int").alias("line_no"), "raw", "bad",
+        F.try_variant_get("item", "$.price", "bigint").alias("price"), F.try_variant_get("item", "$.ship.flag", "string").alias("flag"))
 
 
 _PATHS_SQL = """
@@ -112,6 +130,16 @@ def q_i1(spark, sf):
     return L.log_facts(_t(spark, sf).logs)
 
 
+@register("I1_log_facts_of_files", f"""
+WITH {_FACTS}, {_LOG_FILES_SQL}
+SELECT job_id, CASE WHEN r.charset IS NOT NULL THEN items_count END AS items_count, CASE WHEN r.charset IS NOT NULL THEN errors END AS errors,
+       CASE WHEN r.charset IS NOT NULL THEN warnings END AS warnings
+FROM (SELECT job_id, any_value(charset) AS charset FROM read_logs GROUP BY 1) r JOIN facts USING (job_id)
+""")
+def q_i1f(spark, sf):
+    return L.log_facts(_job_logs(spark, sf))
+
+
 @register("I2_final_status", f"""
 WITH {_FACTS}
 SELECT c.completion_id, c.job_id, CASE c.status WHEN 'success' THEN 2 WHEN 'fail' THEN 3 END AS reported,

@@ -8,6 +8,7 @@ don't depend on where the feed is cut.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from crawlgrid.plans.q_functions import _d_field_match, _d_valid
 from crawlgrid.plans.registry import ORACLES, register
@@ -16,7 +17,7 @@ from crawlgrid.session import scratch_dir
 from crawlgrid.sources.adapters import DriverTables
 from crawlgrid.sources.files import write_job_files
 from crawlgrid.streaming import feeds, jobs, liveness
-from crawlgrid.streaming.runner import latest_per_key, replay, run_append, run_batches
+from crawlgrid.streaming.runner import replay, run_append, run_batches
 
 GAP = "6 hours"
 DELAY = "1 hour"
@@ -119,12 +120,25 @@ def q_x5(spark, sf):
 
 @register("X6_item_ingest_stream", "SELECT job_id, count(*) AS lines FROM v_items GROUP BY job_id")
 def q_x6(spark, sf):
-    st = _static(spark, sf)
-    store = scratch_dir(spark, "x6-store")
-    write_job_files(st.items, store, "raw", "items", order_col="line_no")
-    items = feeds.item_file_stream(spark, store, max_files=5000, glob="part-*")
-    out = run_batches(feeds.item_ingest_stream(items), "x6", lambda b, i: b, output_mode="update")
-    return latest_per_key(out, ["job_id"], ["lines"])
+    return feeds.ingested_counts(spark, _ingest(spark, sf)).select("job_id", "lines")
+
+
+@register("X6_ingested_items", """
+SELECT project, spider, job_id, line_no, raw, NOT (CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' ELSE FALSE END) AS bad,
+       CASE WHEN json_valid(raw) THEN TRY_CAST(json_extract(raw, '$.partkey') AS BIGINT) END AS partkey
+FROM v_items
+""")
+def q_x6i(spark, sf):
+    got = feeds.ingested_items(spark, _ingest(spark, sf))
+    return got.select("project", "spider", "job_id", F.col("line_no").cast("int").alias("line_no"), "raw", "bad",
+                      F.try_variant_get("item", "$.partkey", "bigint").alias("partkey"))
+
+
+def _ingest(spark, sf):
+    files, store = scratch_dir(spark, "x6-files"), scratch_dir(spark, "x6-store")
+    write_job_files(_static(spark, sf).items, files, "raw", "items", order_col="line_no")
+    run_batches(feeds.item_file_stream(spark, files, max_files=20_000), "x6", feeds.item_ingest(store))
+    return store
 
 
 @register("X7_completion_feed_stream")

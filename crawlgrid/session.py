@@ -14,6 +14,12 @@ SESSION_SQL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # map_concat overlays (parameters over defaults) keep the last key.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # job files are many and small: several hundred of them make one task, and
+    # listing their folders takes that many tasks at most
+    "spark.sql.files.openCostInBytes": str(256 << 10),
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
+    # of repeated keys of an item the last one holds, as in a map
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

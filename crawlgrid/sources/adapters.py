@@ -268,7 +268,7 @@ class DriverTables:
             F.concat(F.lit("project_"), _s(F.col("doc_id") % 7)).alias("project"),
             F.concat(F.lit("spider_"), _s(F.col("doc_id") % 97)).alias("spider"),
             job_id(F.col("doc_id") * 15).alias("job_id"),
-            F.concat(F.col("text"), stats).alias("text"))
+            F.concat(F.col("text"), stats).alias("text"), "doc_id", "lang")
 
     @cached_property
     def logs(self) -> DataFrame:

@@ -1,74 +1,125 @@
 """Job item / log files and package files.
 
-Line numbers are exact file order without a global sort and without a window
-over a whole job: the text scan tags each row with its split
-(``_metadata.file_path``, ``_metadata.file_block_start``) and a
-``monotonically_increasing_id`` (consecutive within a task); per split we
-count lines (one row per split), a prefix sum over each file's splits gives
-the split's first line, and a row's number is that plus its offset in the
-split. A 1 GB log of one job is numbered by all the tasks that scan it.
+Job files are many and mostly small, some up to 1 GB, and the reader is
+planned by bytes. Files of up to ``SMALL_FILE`` bytes come as whole files from
+the ``binaryFile`` source, which packs many of them into a task; their lines
+are numbered by exploding them where they lie, without a shuffle. Longer ones
+come from the text source, which splits them by byte ranges at line ends;
+each range counts its lines, a prefix sum over a file's ranges gives each
+one's first line, and a row's number is that plus its place in the range. So
+a 1 GB log of one job is numbered by all the tasks that scan it. Which source
+reads a file is decided by the listing alone: both filter on the length
+before anything is opened.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crawlgrid.functions.text import version_key
+from crawlgrid.operators.logs import DEFAULT_CHARSETS, choose_charset, decoded, fits
+
+SMALL_FILE = 8 << 20
 
-# --- fixed values: storage layouts (v1, v2) and this library's own store ---
+# --- fixed values: storage layouts (v1, v2) ---
 _V1 = r"(?:^|/)(items|logs)/([^/]+)/([^/]+)/([^/]+)\.(jl|log)$"
 _V2 = r"(?:^|/)projects/(\d+)/spiders/([^/]+)/jobs/([^/]+)/(items\.jl|job\.log)$"
-_STORE = r"(?:^|/)kind=(items|logs)/project=([^/]+)/spider=([^/]+)/job=([^/]+)/[^/]+$"
 _PKG_V1 = r"(?:^|/)eggs/([^/]+)/([^/]+)\.egg$"
 _PKG_V2 = r"(?:^|/)projects/(\d+)/eggs/([^/]+)\.egg$"
 
 
 def job_file_index(paths: DataFrame, path_col: str = "path") -> DataFrame:
     """Layout, kind, project, spider, job id (or package version) of a
-    path. v1 and v2 are the crawl server's layouts; 'store' is the layout
-    ``write_job_files`` produces. Unknown paths get NULL layout."""
+    path in one of the crawl server's two layouts. Unknown paths get NULL layout."""
     p = F.col(path_col)
 
     def x(pat, i):
         return F.regexp_extract(p, pat, i)
 
-    is_v1, is_v2, is_st = (F.regexp_like(p, F.lit(_V1)), F.regexp_like(p, F.lit(_V2)),
-                           F.regexp_like(p, F.lit(_STORE)))
+    is_v1, is_v2 = F.regexp_like(p, F.lit(_V1)), F.regexp_like(p, F.lit(_V2))
     is_p1, is_p2 = F.regexp_like(p, F.lit(_PKG_V1)), F.regexp_like(p, F.lit(_PKG_V2))
-    layout = (F.when(is_v1 | is_p1, "v1").when(is_v2 | is_p2, "v2").when(is_st, "store"))
+    layout = (F.when(is_v1 | is_p1, "v1").when(is_v2 | is_p2, "v2"))
     kind = (F.when(is_v1, F.when(x(_V1, 1) == "items", "items").otherwise("log"))
             .when(is_v2, F.when(x(_V2, 4) == "items.jl", "items").otherwise("log"))
-            .when(is_st, F.when(x(_STORE, 1) == "items", "items").otherwise("log"))
             .when(is_p1 | is_p2, "package"))
-    project = (F.when(is_v1, x(_V1, 2)).when(is_v2, x(_V2, 1)).when(is_st, x(_STORE, 2))
+    project = (F.when(is_v1, x(_V1, 2)).when(is_v2, x(_V2, 1))
                .when(is_p1, x(_PKG_V1, 1)).when(is_p2, x(_PKG_V2, 1)))
-    spider = F.when(is_v1, x(_V1, 3)).when(is_v2, x(_V2, 2)).when(is_st, x(_STORE, 3))
-    job = F.when(is_v1, x(_V1, 4)).when(is_v2, x(_V2, 3)).when(is_st, x(_STORE, 4))
+    spider = F.when(is_v1, x(_V1, 3)).when(is_v2, x(_V2, 2))
+    job = F.when(is_v1, x(_V1, 4)).when(is_v2, x(_V2, 3))
     version = F.when(is_p1, x(_PKG_V1, 2)).when(is_p2, x(_PKG_V2, 2))
     return paths.select("*", layout.alias("layout"), kind.alias("kind"), project.alias("project"),
                         spider.alias("spider"), job.alias("job_id"), version.alias("version"))
 
 
-def read_lines(spark: SparkSession, paths, glob: str | None = None) -> DataFrame:
+def whole_files(spark: SparkSession, paths, glob: str | None = None, most: int = SMALL_FILE) -> DataFrame:
+    """(path, content) of the files of up to ``most`` bytes; the length filter is
+    pushed into the listing."""
+    options = {"pathGlobFilter": glob} if glob else {}
+    return (spark.read.format("binaryFile").options(recursiveFileLookup="true", **options).load(paths)
+            .where(F.col("length") <= most).select("path", "content"))
+
+
+def split_lines(text: Column) -> Column:
+    """The lines of a whole text: only '\\n' ends a line, the last may lack it."""
+    parts = F.split(text, "\n", -1)
+    return F.slice(parts, F.lit(1), F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0))
+
+
+def whole_lines(files: DataFrame) -> DataFrame:
+    """(path, line_no, line) of whole files (path, content) in UTF-8."""
+    rows = files.select("path", F.posexplode(split_lines(F.make_valid_utf8(F.col("content").cast("string")))).alias("_pos", "line"))
+    return rows.select("path", (F.col("_pos") + 1).cast("long").alias("line_no"), "line")
+
+
+def _plain_path(file_path: Column) -> Column:
+    """``_metadata.file_path`` is percent-encoded, the path column of ``binaryFile`` isn't."""
+    return F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+
+
+def long_lines(spark: SparkSession, paths, glob: str | None = None, least: int = SMALL_FILE,
+               charsets: Sequence[str] = ("UTF-8",)) -> DataFrame:
+    """(path, line_no, line, charset) of the files of more than ``least`` bytes.
+    The charset is chosen per file, the first that fits all its lines; where
+    none does, the file gives one row without a line."""
+    options = {"pathGlobFilter": glob} if glob else {}
+    df = spark.read.options(lineSep="\n", recursiveFileLookup="true", **options).text(paths)
+    df = df.where(F.col("_metadata.file_size") > least).select(
+        F.col("value").cast("binary").alias("_raw"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_mid"))
+    splits = df.groupBy("_file", "_split").agg(
+        F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"), *[F.bool_and(fits(F.col("_raw"), c)).alias(f"_fits{k}") for k, c in enumerate(charsets)])
+    whole = Window.partitionBy("_file")
+    earlier = whole.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    good = [F.bool_and(f"_fits{k}").over(whole) for k in range(len(charsets))]
+    splits = splits.select(F.col("_file").alias("_f"), F.col("_split").alias("_s"), "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+                           F.coalesce(*[F.when(g, F.lit(c)) for g, c in zip(good, charsets)]).alias("charset"))
+    met = df.join(splits, (F.col("_file") == F.col("_f")) & (F.col("_split") == F.col("_s")))
+    number = (F.col("_before") + F.col("_mid") - F.col("_first") + 1).cast("long")
+    return (met.withColumn("line_no", number).where(F.col("charset").isNotNull() | (F.col("line_no") == 1))
+            .select(_plain_path(F.col("_file")).alias("path"), "line_no", decoded(F.col("_raw"), F.col("charset"), charsets).alias("line"), "charset"))
+
+
+def read_lines(spark: SparkSession, paths, glob: str | None = None, charsets: Sequence[str] | None = None,
+               small_file: int = SMALL_FILE) -> DataFrame:
     """Every line of every file under ``paths`` with its exact 1-based line
-    number in its file: (path, line_no, line). Only '\\n' ends a line."""
-    r = spark.read.option("lineSep", "\n")
-    if glob:
-        r = r.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    df = r.text(paths)
-    df = df.select(F.col("value").alias("line"),
-                   F.col("_metadata.file_path").alias("path"),
-                   F.col("_metadata.file_block_start").alias("_split"),
-                   F.monotonically_increasing_id().alias("_mid"))
-    splits = (df.groupBy("path", "_split")
-              .agg(F.min("_mid").alias("_first_mid"), F.count(F.lit(1)).alias("_n")))
-    w = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    return (df.join(splits.select("path", "_split", "_first_mid", "_before"), ["path", "_split"])
-            .select("path", (F.col("_before") + F.col("_mid") - F.col("_first_mid") + 1).cast("long").alias("line_no"),
-                    "line"))
+    number in its file: (path, line_no, line). Only '\\n' ends a line.
+
+    Without ``charsets`` the text is UTF-8, malformed bytes replaced. With
+    them each file is decoded as a whole with the first that fits (I3) and
+    ``charset`` is returned, too; a file that none fits gives one row with a
+    NULL line, so that its job isn't lost."""
+    files = whole_files(spark, paths, glob, small_file)
+    if charsets is None:
+        return whole_lines(files).unionByName(long_lines(spark, paths, glob, small_file).drop("charset"))
+    files = files.withColumn("charset", choose_charset(F.col("content"), charsets))
+    lines = F.coalesce(split_lines(decoded(F.col("content"), F.col("charset"), charsets)), F.array(F.lit(None).cast("string")))
+    rows = files.select("path", "charset", F.posexplode(lines).alias("_pos", "line"))
+    small = rows.select("path", (F.col("_pos") + 1).cast("long").alias("line_no"), "line", "charset")
+    return small.unionByName(long_lines(spark, paths, glob, small_file, charsets))
 
 
 LINE_END = "__line_end__"
@@ -77,42 +128,50 @@ LINE_END = "__line_end__"
 def item_object(raw: Column) -> Column:
     """The object on an item line as a map (nested values as JSON text); NULL
     unless the whole line is one strict JSON object. The parser stops at the
-    end of the first value it reads, so the line is put inside an object
-    whose last field it must leave in place: text or a second object behind
-    the first breaks it. Single quotes are no JSON."""
-    whole = F.from_json(F.concat(F.lit('{"v":'), raw, F.lit(f',"{LINE_END}":1}}')),
-                        f"v map<string,string>, {LINE_END} int", {"allowSingleQuotes": "false"})
-    return F.when(whole[LINE_END] == 1, whole["v"])
+    end of the first value it reads, so the line is put into an array whose
+    second and last element it must leave in place: text, a second object or
+    further elements behind the first break that. Single quotes are no JSON."""
+    both = F.from_json(F.concat(F.lit("["), raw, F.lit(f',{{"{LINE_END}":1}}]')), "array<map<string,string>>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    return F.when((F.size(both) == 2) & (F.get(both, F.lit(1))[LINE_END] == "1"), F.get(both, F.lit(0)))
+
+
+def item_variant(raw: Column) -> Column:
+    """The object on an item line as VARIANT: numbers, booleans, nulls and nesting
+    keep their types; NULL unless the whole line is one strict JSON object."""
+    both = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{LINE_END}"]')))
+    whole = (F.try_variant_get(both, "$[1]", "string") == LINE_END) & F.try_variant_get(both, "$[2]", "variant").isNull()
+    return F.when(whole & F.regexp_like(raw, F.lit(r"^[ \t\r]*\{")), F.try_variant_get(both, "$[0]", "variant"))
 
 
 def parse_items(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
-    """Parse item lines: ``item`` map and ``bad`` for lines that are blank, not
-    strict JSON, or not a JSON object."""
-    item = item_object(F.col(raw_col))
-    return lines.withColumn("item", item).withColumn("bad", item.isNull())
+    """Parse item lines: ``item`` (VARIANT) and ``bad`` for lines that are blank,
+    not strict JSON, or not a JSON object."""
+    return lines.withColumn("item", item_variant(F.col(raw_col))).withColumn("bad", F.col("item").isNull())
 
 
-def read_job_items(spark: SparkSession, root: str, glob: str = "*.jl", fmt: str = "text") -> DataFrame:
-    """Every item line of every job under ``root`` with its parsed object;
-    malformed lines are kept with ``bad = true``.
+def read_job_items(spark: SparkSession, root, glob: str = "*.jl", fmt: str = "text", small_file: int = SMALL_FILE) -> DataFrame:
+    """Every item line of every job under ``root`` (a path or several) with
+    its parsed object; malformed lines are kept with ``bad = true``.
 
-    ``fmt='text'``: raw JSON-lines files in the crawl server's layouts (or this
-    library's text store), numbered exactly by ``read_lines``.
-    ``fmt='store'``: the parquet store written by ``write_job_data`` (W1),
-    which already carries job_id and line_no.
+    ``fmt='text'``: raw JSON-lines files in the crawl server's layouts, numbered
+    exactly by ``read_lines``. ``fmt='store'``: the parquet store written by
+    ``write_job_data`` (W1), which already carries job_id and line_no.
     """
     if fmt == "store":
         lines = spark.read.parquet(root).select("project", "spider", "job_id", "line_no", "raw")
     else:
-        lines = job_file_index(read_lines(spark, root, glob)).where(F.col("kind") == "items").select(
+        lines = job_file_index(read_lines(spark, root, glob, small_file=small_file)).where(F.col("kind") == "items").select(
             "project", "spider", "job_id", "line_no", F.col("line").alias("raw"))
     return parse_items(lines)
 
 
-def read_job_logs(spark: SparkSession, root: str, glob: str = "*.log") -> DataFrame:
-    """S3: every log line of every job under ``root``, in order."""
-    lines = job_file_index(read_lines(spark, root, glob))
-    return lines.where(F.col("kind") == "log").select("project", "spider", "job_id", "line_no", "line")
+def read_job_logs(spark: SparkSession, root, glob: str = "*.log", charsets: Sequence[str] = DEFAULT_CHARSETS,
+                  small_file: int = SMALL_FILE) -> DataFrame:
+    """S3 (+ I3): every log line of every job under ``root``, in order, each file
+    decoded with the first of ``charsets`` that fits it (``charset``). A log
+    that none fits is one row with a NULL line: no facts, but the job stays."""
+    lines = job_file_index(read_lines(spark, root, glob, charsets, small_file))
+    return lines.where(F.col("kind") == "log").select("project", "spider", "job_id", "line_no", "line", "charset")
 
 
 def package_versions(file_index: DataFrame) -> DataFrame:
@@ -128,15 +187,79 @@ def package_versions(file_index: DataFrame) -> DataFrame:
             .orderBy("project", version_key("version"), "version"))
 
 
-def write_job_files(df: DataFrame, root: str, text_col: str, kind: str, order_col: str | None = None) -> None:
-    """Write one text file per job under ``root`` in this library's store
-    layout (``kind=/project=/spider=/job=``), lines in ``order_col`` order.
-    A job's file is written by one task (one file per job is the layout);
-    rows are sorted so each task keeps one file open."""
+def write_job_files(df: DataFrame, root: str, content_col: str, kind: str, order_col: str | None = None) -> DataFrame:
+    """Write one file per job under ``root`` in the crawl server's first layout
+    (``items/<project>/<spider>/<job>.jl``, ``logs/...log``): a folder a
+    spider, not a job. Rows are lines (text, in ``order_col`` order) or, if
+    ``content_col`` is binary, bytes that are written as they are. Returns the
+    manifest (path, lines, bytes), which is also kept under ``root``.
+
+    A job's rows meet in one task, which streams them to the file in batches;
+    it is written under a hidden name and then moved, so a repeated task
+    leaves the same file. ``root`` may be on any file system Arrow knows."""
+    folder, ending = {"items": ("items", ".jl"), "logs": ("logs", ".log")}[kind]
     order = [order_col] if order_col else []
-    (df.select(F.lit(kind).alias("kind"), "project", "spider", F.col("job_id").alias("job"), text_col, *order)
-     .repartition("kind", "project", "spider", "job")
-     .sortWithinPartitions("kind", "project", "spider", "job", *order)
-     .drop(*order)
-     .write.mode("overwrite").partitionBy("kind", "project", "spider", "job")
-     .option("lineSep", "\n").text(root))
+    binary = df.schema[content_col].dataType.typeName() == "binary"
+    rows = (df.select("project", "spider", "job_id", F.coalesce(F.col(content_col).cast("binary"), F.lit(b"")).alias("data"), *order)
+            .repartition("project", "spider", "job_id").sortWithinPartitions("project", "spider", "job_id", *order)
+            .select(F.concat_ws("/", F.lit(folder), "project", "spider").alias("folder"), F.concat("job_id", F.lit(ending)).alias("name"), "data"))
+
+    def run(batches: Iterator) -> Iterator:
+        import uuid
+
+        import pyarrow as pa
+
+        store, base = _file_system(root)
+        state = {"key": None, "out": None, "part": None, "lines": 0, "bytes": 0}
+        done: list[tuple[str, int, int]] = []
+
+        def close() -> None:
+            if state["key"] is not None:
+                state["out"].close()
+                path = "/".join(state["key"])
+                store.move(state["part"], f"{base}/{path}")
+                done.append((path, state["lines"], state["bytes"]))
+
+        def opened(key: tuple[str, str]) -> None:
+            close()
+            place = f"{base}/{key[0]}"
+            store.create_dir(place, recursive=True)
+            part = f"{place}/.{key[1]}.{uuid.uuid4().hex}"
+            state.update(key=key, out=store.open_output_stream(part), part=part, lines=0, bytes=0)
+
+        def manifest() -> pa.RecordBatch:
+            got = [pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.int64(), pa.int64()))]
+            done.clear()
+            return pa.RecordBatch.from_arrays(got, names=["path", "lines", "bytes"])
+
+        for batch in batches:
+            for key0, key1, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key0, key1) != state["key"]:
+                    opened((key0, key1))
+                data = data if binary else data + b"\n"
+                state["out"].write(data)
+                state["lines"] += 1
+                state["bytes"] += len(data)
+            if len(done) > 1000:
+                yield manifest()
+        close()
+        if done:
+            yield manifest()
+
+    path = root.rstrip("/") + f"/_manifest-{kind}"
+    rows.mapInArrow(run, "path string, lines long, bytes long").write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _file_system(root: str):
+    """(Arrow file system, path in it) of a path or URI."""
+    import re
+
+    from pyarrow import fs
+
+    if re.match(r"^file:/+", root):
+        root = re.sub(r"^file:/+", "/", root)
+    if "://" in root:
+        store, base = fs.FileSystem.from_uri(root)
+        return store, base.rstrip("/")
+    return fs.LocalFileSystem(), root.rstrip("/")

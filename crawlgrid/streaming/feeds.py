@@ -1,7 +1,8 @@
-"""X4 cron fires per micro-batch, X6 item ingest counts, X7 completion feed / alerts."""
+"""X4 cron fires per micro-batch, X6 item ingest, X7 completion feed / alerts."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from crawlgrid.functions.cron import cron_fires
 from crawlgrid.operators.joins import fireable_triggers
 from crawlgrid.operators.sinks import completion_feed, failed_job_alerts
-from crawlgrid.sources.files import job_file_index
+from crawlgrid.sources.files import SMALL_FILE, job_file_index, long_lines, parse_items, whole_lines
 
 
 def cron_fire_batches(triggers: DataFrame, spiders: DataFrame, projects: DataFrame, ends: str,
@@ -43,17 +44,55 @@ def cron_fire_batches(triggers: DataFrame, spiders: DataFrame, projects: DataFra
 
 
 def item_file_stream(spark: SparkSession, root: str, max_files: int, glob: str = "*.jl") -> DataFrame:
-    """X6 source: arriving item files under ``root`` as (job_id, raw), the job
-    taken from the file's path."""
-    lines = (spark.readStream.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-             .option("maxFilesPerTrigger", max_files).text(root)
-             .select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("path")))
-    return job_file_index(lines).where(F.col("kind") == "items").select("job_id", "raw")
+    """X6 source: the item files that arrive under ``root``, at most ``max_files``
+    a micro-batch, as (path, length, content)."""
+    return (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+            .option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files)
+            .load(root).select("path", "length", "content"))
+
+
+def item_ingest(store: str, small_file: int = SMALL_FILE) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function with two sinks under ``store``, the items of
+    a micro-batch's files (read as S2 does: small files whole, from the batch,
+    longer ones split by bytes) and each file's counts. A batch writes its own
+    partition of both, so a replayed batch replaces what it wrote; nothing is
+    kept in the stream's state. Spark's file sources pass over empty files, so
+    such a job has neither items nor a count."""
+    keys = ["project", "spider", "job_id"]
+
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        spark, here = batch.sparkSession, f"batch_id={batch_id}"
+        # lengths and paths only: contents aren't read for this; max_files at most
+        long = [r.path for r in batch.where(F.col("length") > small_file).select("path").collect()]
+        lines = whole_lines(batch.where(F.col("length") <= small_file))
+        if long:
+            escaped = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in long]
+            lines = lines.unionByName(long_lines(spark, escaped, least=small_file).drop("charset"))
+        items = parse_items(job_file_index(lines).where(F.col("kind") == "items").select(*keys, "line_no", F.col("line").alias("raw")))
+        items.drop("item").write.mode("overwrite").parquet(f"{store}/items/{here}")
+        (spark.read.parquet(f"{store}/items/{here}").groupBy(*keys)
+         .agg(F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("bad_lines"))
+         .write.mode("overwrite").parquet(f"{store}/counts/{here}"))
+    return fn
+
+
+_COUNTS = "project string, spider string, job_id string, lines long, bad_lines long, batch_id long"
+_ITEMS = "project string, spider string, job_id string, line_no long, raw string, bad boolean, batch_id long"
+
+
+def ingested_counts(spark: SparkSession, store: str) -> DataFrame:
+    """(project, spider, job_id, lines, bad_lines, batch_id) of each job's latest file."""
+    got = spark.read.schema(_COUNTS).option("basePath", f"{store}/counts").parquet(f"{store}/counts")
+    last = F.max_by(F.struct("lines", "bad_lines", "batch_id"), "batch_id")
+    return got.groupBy("project", "spider", "job_id").agg(last.alias("_l")).select("project", "spider", "job_id", "_l.*")
 
 
-def item_ingest_stream(items: DataFrame) -> DataFrame:
-    """Arriving item files → lines per job, kept up to date (update mode)."""
-    return items.groupBy("job_id").agg(F.count(F.lit(1)).alias("lines"))
+def ingested_items(spark: SparkSession, store: str) -> DataFrame:
+    """The items of each job's latest file, parsed as in S2: a file that came
+    again replaces the earlier one, as an upload does."""
+    got = spark.read.schema(_ITEMS).option("basePath", f"{store}/items").parquet(f"{store}/items")
+    keys = ["project", "spider", "job_id", "batch_id"]
+    return parse_items(got.join(ingested_counts(spark, store).select(*keys), keys, "left_semi").drop("batch_id", "bad"))
 
 
 def completion_feed_stream(finished: DataFrame, spiders: DataFrame, projects: DataFrame,

@@ -3,6 +3,7 @@
 import datetime as dt
 
 from crawlgrid.session import scratch_dir
+from crawlgrid.sources import files
 from crawlgrid.streaming import feeds, jobs, liveness
 from crawlgrid.streaming.runner import run_append, run_batches
 
@@ -111,10 +112,41 @@ def test_adoption_is_kept(spark):
             (3, "j", "other node"), (4, "x", "job unknown"), (6, "o", "other node"), (7, "w", "not running")]
 
 
+def ingested(spark, store):
+    items = sorted((r.job_id, r.line_no, r.raw, r.bad) for r in feeds.ingested_items(spark, store).collect())
+    counts = {r.job_id: (r.lines, r.bad_lines) for r in feeds.ingested_counts(spark, store).collect()}
+    return items, counts
+
+
 def test_item_files_arrive(spark, tmp_path):
+    """Items and counts equal the batch reader's, whatever the micro-batches and the files' lengths."""
     folder = tmp_path / "items" / "proj" / "spid"
     folder.mkdir(parents=True)
     for k in range(3):
-        (folder / f"job{k}.jl").write_text('{"a": 1}\n' * (k + 1))
-    got = run_batches(feeds.item_ingest_stream(feeds.item_file_stream(spark, str(tmp_path), 1)), "t", lambda b, i: b, "update")
-    assert sorted((r.job_id, r.lines) for r in got.collect()) == [("job0", 1), ("job1", 2), ("job2", 3)]
+        (folder / f"job{k}.jl").write_text('{"a": 1}\n' * (k + 1) + "bad")
+    (folder / "none.jl").write_text("")
+    want = sorted((r.job_id, r.line_no, r.raw, r.bad) for r in files.read_job_items(spark, str(tmp_path)).collect())
+    assert len(want) == 9
+    for most, small in ((1, 10**6), (100, 10**6), (2, 15)):
+        store = scratch_dir(spark, "ingest")
+        run_batches(feeds.item_file_stream(spark, str(tmp_path), most), "t", feeds.item_ingest(store, small))
+        assert ingested(spark, store) == (want, {"job0": (2, 1), "job1": (3, 1), "job2": (4, 1)})
+
+
+def test_replayed_ingest_batch_changes_nothing(spark, tmp_path):
+    folder = tmp_path / "items" / "proj" / "spid"
+    folder.mkdir(parents=True)
+    (folder / "a.jl").write_text('{"a": 1}\n{"a": 2}\n')
+    (folder / "b.jl").write_text('{"b": 1}\n')
+    store = scratch_dir(spark, "ingest")
+    sink = feeds.item_ingest(store)
+    batch = lambda name: spark.read.format("binaryFile").load(str(folder / name)).select("path", "length", "content")
+    sink(batch("a.jl"), 0)
+    sink(batch("b.jl"), 1)
+    once = ingested(spark, store)
+    sink(batch("b.jl"), 1)
+    sink(batch("a.jl"), 0)
+    assert ingested(spark, store) == once == ([("a", 1, '{"a": 1}', False), ("a", 2, '{"a": 2}', False), ("b", 1, '{"b": 1}', False)], {"a": (2, 0), "b": (1, 0)})
+    (folder / "a.jl").write_text('{"a": 3}\n')  # the job's file comes again
+    sink(batch("a.jl"), 2)
+    assert ingested(spark, store) == ([("a", 1, '{"a": 3}', False), ("b", 1, '{"b": 1}', False)], {"a": (1, 0), "b": (1, 0)})
