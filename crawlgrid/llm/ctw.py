@@ -306,7 +306,7 @@ def reply(left: pa.Table, right: pa.Table) -> pa.Table:
     bs, keys, counts = received(left, 2)
     if keys:
         grams, total = summed(np.concatenate(keys), np.concatenate(counts))
-        log = log_probabilities(grams, total, above).astype(np.float32)
+        log = log_probabilities(grams, total, above)
         rows += [(b, part, 2, pack(log[np.searchsorted(grams, k)])) for b, k in zip(bs, keys)]
     return X.blobs(rows)
 
@@ -320,7 +320,7 @@ def scores(table: pa.Table, answer: pa.Table, parts: int) -> list:
         n, v = np.frombuffer(raw, np.int64, 2).tolist()
         total[got.word_cut[p]:got.word_cut[p + 1]] = np.frombuffer(raw, np.int64, offset=16)
     for p, data in X.answers(answer, 2):
-        log[got.order[got.gram_cut[p]:got.gram_cut[p + 1]]] = np.frombuffer(unpack(data), np.float32)
+        log[got.order[got.gram_cut[p]:got.gram_cut[p + 1]]] = np.frombuffer(unpack(data), np.float64)
     cols: list[list[np.ndarray]] = [[], [], [], [], []]
     for low, offs, rows, hashes, _ in got.slices():
         m = len(offs) - 1
@@ -342,7 +342,7 @@ def score(docs: DataFrame, hold_out: int = 10, id_col: str = "doc_id", text_col:
     are not learned from. ``score`` is log10 of the text's probability."""
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % hold_out == 0
     docs = docs.select(id_col, text_col, *carry).withColumn("held_out", held)
-    spread, parts = X.bucketed(docs, id_col, text_col, (*carry, "held_out")), X.key_parts(docs)
+    spread, parts = X.bucketed(docs, id_col, text_col, (*carry, "held_out"))
     sent = X.to_parts(spread, lambda b, t: send(b, t, parts))
     top = sent.groupBy("part").applyInArrow(tops, TOP)
     pairs = top.where("kind = 1").select("part", "c", "data")

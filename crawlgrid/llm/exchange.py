@@ -21,25 +21,24 @@ from pyspark.sql import types as T
 
 from .textbuf import give_back
 
-# To each shuffle partition. A bucket or key partition is handled in one piece,
-# and each bucket sends each key partition one row, so there are neither too
-# few of them for memory nor so many that the packed rows become small.
-BUCKETS = 2
-KEY_PARTS = 1
+# A bucket or key partition is handled in one piece, and each bucket sends each
+# key partition one row: their number follows the input's bytes, whatever the
+# number of shuffle partitions, so that neither memory nor the packed rows grow.
+BUCKET_BYTES = 5 << 20
+PARTS_PER_BUCKET = 0.5
+LEAST_BUCKETS = 8
 LAST = np.iinfo(np.int64).max  # stands for a null id: never smaller than another
 BLOB = "b int, part int, kind int, data binary"
 BLOB_ARROW = pa.schema([("b", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
-    """(b, id, text, r) with ``carry`` columns in the struct r."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * BUCKETS
+def bucketed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """(b, id, text, r) with ``carry`` columns in the struct r, and the number of
+    key partitions. The texts' bytes are counted first."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    n = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(F.col(id_col), *carry).alias("r"))
-    return df.withColumn("b", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
-
-
-def key_parts(docs: DataFrame) -> int:
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * KEY_PARTS
+    return df.withColumn("b", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")), max(1, int(n * PARTS_PER_BUCKET))
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:

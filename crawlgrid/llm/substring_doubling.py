@@ -195,7 +195,8 @@ def dedup(docs: DataFrame, n: int = WINDOW_WORDS, id_col: str = "doc_id", text_c
     """(id, carry..., n_words, kept, spans) for each row: the words that stay,
     joined by one blank, and the maximal removed runs of words."""
     # keys are short and come in several rounds: fewer, fuller packed rows
-    spread, parts = X.bucketed(docs, id_col, text_col, carry), max(1, X.key_parts(docs) // 2)
+    spread, parts = X.bucketed(docs, id_col, text_col, carry)
+    parts = max(1, parts // 2)
     answer, before = None, None
     for level in levels(n):
         if answer is None:

@@ -248,7 +248,7 @@ def dedup(docs: DataFrame, n: int = STRING_BYTES, id_col: str = "doc_id", text_c
     """(id, carry..., n_bytes, kept, spans) for each row: the bytes that stay
     and the maximal removed runs. With ``whole_characters`` a UTF-8 character
     that loses a byte goes whole, so that what is kept is text."""
-    spread, parts = X.bucketed(docs, id_col, text_col, carry), X.key_parts(docs)
+    spread, parts = X.bucketed(docs, id_col, text_col, carry)
     shared = X.to_buckets(X.to_parts(spread, lambda b, t: anchors(b, t, n, parts)), X.shared_keys)
     bits = X.to_buckets(X.to_parts(spread, lambda b, t, a: fragments(b, t, a, n, parts), shared), lambda t: settle(t, n))
     return X.finish(spread, shared.unionByName(bits), lambda t, a: kept(t, a, n, parts, whole_characters),
