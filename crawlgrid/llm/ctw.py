@@ -102,21 +102,24 @@ def strings(low: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class Shelf:
-    """Distinct words and byte strings of a bucket with their training counts."""
+    """Distinct words and byte strings of a bucket with their training counts;
+    with ``keep`` also where in the texts they stand, slice by slice."""
 
-    def __init__(self, table: pa.Table, parts: int):
+    def __init__(self, table: pa.Table, parts: int, keep: bool = False):
         self.buf, self.offs = buffer_of(table.column("text"))
         held = pc.struct_field(table.column("r").combine_chunks(), "held_out")
         self.train = ~np.asarray(held.fill_null(True).to_numpy(zero_copy_only=False), bool)
         got: list[list[np.ndarray]] = [[], [], [], []]
+        self.kept: list[tuple[np.ndarray, ...]] = []
         for low, offs, rows, hashes, train in self.slices():
-            k, c = np.unique(hashes, return_inverse=True)
-            got[0].append(k)
-            got[1].append(np.bincount(c, train[rows], len(k)).astype(np.int64))
-            g = strings(low, offs)
-            k, c = np.unique(g, return_inverse=True)
-            got[2].append(k)
-            got[3].append(np.bincount(c, np.repeat(train, np.diff(offs) + 1), len(k)).astype(np.int64))
+            words_, w = np.unique(hashes, return_inverse=True)
+            got[0].append(words_)
+            got[1].append(np.bincount(w, train[rows], len(words_)).astype(np.int64))
+            grams, g = np.unique(strings(low, offs), return_inverse=True)
+            got[2].append(grams)
+            got[3].append(np.bincount(g, np.repeat(train, np.diff(offs) + 1), len(grams)).astype(np.int64))
+            if keep:
+                self.kept.append((offs, rows, words_, w.astype(np.int32), grams, g.astype(np.int32)))
         z = np.zeros(0, np.int64)
         cat = [np.concatenate(x) if x else z for x in got]
         self.words, self.word_counts = summed(cat[0].astype(np.uint64), cat[1])
@@ -312,7 +315,7 @@ def reply(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def scores(table: pa.Table, answer: pa.Table, parts: int) -> list:
-    got = Shelf(table, parts)
+    got = Shelf(table, parts, keep=True)
     total, log = np.empty(len(got.words), np.int64), np.empty(len(got.grams))
     n = v = 0
     for p, data in X.answers(answer, 1):
@@ -322,14 +325,13 @@ def scores(table: pa.Table, answer: pa.Table, parts: int) -> list:
     for p, data in X.answers(answer, 2):
         log[got.order[got.gram_cut[p]:got.gram_cut[p + 1]]] = np.frombuffer(unpack(data), np.float64)
     cols: list[list[np.ndarray]] = [[], [], [], [], []]
-    for low, offs, rows, hashes, _ in got.slices():
+    for offs, rows, words_, w, grams, g in got.kept:
         m = len(offs) - 1
-        c = total[np.searchsorted(got.words, hashes)]
+        c = total[np.searchsorted(got.words, words_)][w]
         count = np.bincount(rows, minlength=m)
-        k, inverse = np.unique(strings(low, offs), return_inverse=True)
         mark = np.repeat(np.arange(m), np.diff(offs) + 1)
         parts_ = (count, np.bincount(rows, c > 0, m), np.bincount(rows, np.log10(c + ADD), m) - count * np.log10(n + ADD * (v + 1)),
-                  np.bincount(mark, log[np.searchsorted(got.grams, k)][inverse], m), np.diff(offs))
+                  np.bincount(mark, log[np.searchsorted(got.grams, grams)][g], m), np.diff(offs))
         for col, x in zip(cols, parts_):
             col.append(x)
     n_tokens, known, base, score, size = (np.concatenate(x) for x in cols)
