@@ -48,13 +48,18 @@ def _quote(v: Column) -> Column:
     return e
 
 
+def _unquote(v: Column) -> Column:
+    """``+`` and valid escapes decoded; a ``%`` that begins none stays as it is."""
+    return F.url_decode(F.regexp_replace(v, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def canonical_query(query: Column) -> Column:
     """Sorted ``key=quote(value)`` pairs joined by '&' (blank values kept)."""
     pairs = F.filter(F.split(F.coalesce(query, F.lit("")), "&", -1), lambda p: p != "")
     kv = F.transform(pairs, lambda p: F.struct(
-        F.url_decode(F.substring_index(p, "=", 1)).alias("k"),
+        _unquote(F.substring_index(p, "=", 1)).alias("k"),
         F.when(F.instr(p, "=") > 0,
-               F.url_decode(F.substring(p, F.instr(p, "=") + 1, 1 << 30))).otherwise(F.lit("")).alias("v")))
+               _unquote(F.substring(p, F.instr(p, "=") + 1, 1 << 30))).otherwise(F.lit("")).alias("v")))
     srt = F.array_sort(kv)
     return F.array_join(F.transform(srt, lambda x: F.concat(x["k"], F.lit("="), _quote(x["v"]))), "&")
 

@@ -60,10 +60,10 @@ def snowflake_assign(df: DataFrame, ts_col: str, order_col: str, worker: int = 1
                 + F.col("_off") + F.col("_bl")).alias("_start"))
     # sequence inside a ms: skew-safe numbering (a ms may hold a third of all rows)
     d = row_number_within(d, ["_ms"], [order_col], out="_rn")
-    slot = F.col("_start") + F.col("_rn") - 1
-    sid = (F.shiftleft(F.floor(slot / PER_MS).cast("long") - SNOWFLAKE_EPOCH_MS, TS_SHIFT)
+    slot = (F.col("_start") + F.col("_rn") - 1).cast("long")
+    sid = (F.shiftleft(F.shiftright(slot, SEQ) - SNOWFLAKE_EPOCH_MS, TS_SHIFT)
            .bitwiseOR(F.lit(datacenter << DC_SHIFT).cast("long"))
            .bitwiseOR(F.lit(worker << WORKER_SHIFT).cast("long"))
-           .bitwiseOR((slot % PER_MS).cast("long")))
+           .bitwiseOR(slot.bitwiseAND(F.lit(PER_MS - 1).cast("long"))))
     return (d.join(starts, "_ms")
             .withColumn(out, sid.cast("long")).drop("_ms", "_start", "_rn"))

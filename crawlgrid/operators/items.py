@@ -146,17 +146,6 @@ def quote_plus(s: Column) -> Column:
     return F.replace(F.replace(e, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def form_encode(payload: DataFrame) -> DataFrame:
-    """The POST body of each batch: ``key=v1&key=v2&...`` per key (sorted),
-    percent-encoded, keys in order."""
-    pairs = payload.select("job_id", "batch_no", "key", F.array_join(
-        F.transform("values", lambda v: F.concat(quote_plus(F.col("key")), F.lit("="), quote_plus(v))), "&"
-    ).alias("_enc"))
-    return pairs.groupBy("job_id", "batch_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "_enc"))), lambda x: x["_enc"]), "&")
-        .alias("body"))
-
-
 def _named_entities() -> dict[str, str]:
     """HTML's named references, as the standard library lists them."""
     from html.entities import html5
@@ -185,8 +174,10 @@ def unescape(s: Column) -> Column:
 def page_items(pages: DataFrame) -> DataFrame:
     """(url, title) per page: the text of the head's first <title> (what
     ``/html/head/title/text()`` yields), character references decoded; NULL
-    without one. A <title> in the body (of a drawing, say) doesn't count."""
-    head = F.regexp_replace("html", r"(?is)(</head\s*>|<body[\s>]).*", "")
+    without one. A <title> in the body (of a drawing, say), in a comment, a
+    script or a style doesn't count."""
+    hidden = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+    head = F.regexp_replace(F.regexp_replace("html", hidden, ""), r"(?is)(</head\s*>|<body[\s>]).*", "")
     found = r"(?is)<title[^>]*>(.*?)</title\s*>"
     title = F.when(F.regexp_like(head, F.lit(found)), unescape(F.regexp_extract(head, found, 1)))
     return pages.select("page_id", "url", title.alias("title"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlgrid.functions.cron import valid_patterns
 from crawlgrid.functions.text import split_clean
 from crawlgrid.operators.aggregates import dedupe_eav
+from crawlgrid.sources.files import item_variant
 
 _TS = "timestamp_ntz"
 
@@ -154,18 +155,25 @@ def requirements(value: Column) -> Column:
     return F.when(is_list, F.coalesce(F.from_json(value, "array<string>"), F.array().cast("array<string>"))).otherwise(split_clean(value, ";"))
 
 
-def figure(text: Column, job_spider_name: Column, parameters: Column) -> Column:
-    """the job's run figure: stored JSON (or empty), spider := the job's
-    spider name, parameters (``settings`` first if non-empty, else
-    ``spider_parameters``) overlaid by the spider's parameter rows,
-    requirements as a list, or split on ';'. Plugin settings and plugins are
-    JSON text ('{}' and '[]' when missing). Unparseable JSON counts as empty."""
-    f = F.from_json(text, FIGURE_SCHEMA)
+def stored_figure(text: Column) -> Column:
+    """A figure's JSON as a struct; NULL unless it is one strict JSON object.
+    Put it into a column of its own: it is parsed for each row once then."""
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    return F.when(item_variant(text).isNotNull(), F.from_json(text, FIGURE_SCHEMA, strict))
+
+
+def figure(stored: Column, spider_name: Column, parameters: Column) -> Column:
+    """the run figure from a stored one (``stored_figure``; NULL counts as
+    empty): spider := the spider's name, parameters (``settings`` first if
+    non-empty, else ``spider_parameters``) overlaid by the spider's parameter
+    rows, requirements as a list, or split on ';'. Plugin settings and plugins
+    are JSON text ('{}' and '[]' when missing)."""
+    f = stored
     empty = F.create_map().cast("map<string,string>")
-    stored = F.when(F.size(f["settings"]) > 0, f["settings"]).otherwise(F.coalesce(f["spider_parameters"], empty))
-    params = F.map_concat(F.coalesce(stored, empty), F.coalesce(parameters, empty))
+    given = F.when(F.size(f["settings"]) > 0, f["settings"]).otherwise(F.coalesce(f["spider_parameters"], empty))
+    params = F.map_concat(F.coalesce(given, empty), F.coalesce(parameters, empty))
     return F.struct(
-        job_spider_name.alias("spider"),
+        spider_name.alias("spider"),
         f["project_name"].alias("project_name"),
         requirements(f["extra_requirements"]).alias("extra_requirements"),
         params.alias("spider_parameters"),
@@ -177,12 +185,17 @@ def figure(text: Column, job_spider_name: Column, parameters: Column) -> Column:
         f["output"].alias("output"))
 
 
+def _first_figures(figures: DataFrame) -> DataFrame:
+    """(spider_id, _stored) of the figure that holds for each spider, parsed."""
+    first = dedupe_eav(figures.withColumn("_k", F.lit("figure")), "spider_id", "_k", "text")
+    return first.select("spider_id", stored_figure(F.col("text")).alias("_stored"))
+
+
 def spider_figures(spiders: DataFrame, parameters: DataFrame, figures: DataFrame) -> DataFrame:
     """F11 for every stored figure: the run figure of its spider."""
     s = spiders.select(F.col("id").alias("_sid"), F.col("name").alias("_sname"))
-    fg = dedupe_eav(figures.withColumn("_k", F.lit("figure")), "spider_id", "_k", "text").select("spider_id", "text")
-    j = fg.join(params_map(parameters), "spider_id", "left").join(s, F.col("spider_id") == F.col("_sid"))
-    return j.select("spider_id", figure(F.col("text"), F.col("_sname"), F.col("params")).alias("figure"))
+    j = _first_figures(figures).join(params_map(parameters), "spider_id", "left").join(s, F.col("spider_id") == F.col("_sid"))
+    return j.select("spider_id", figure(F.col("_stored"), F.col("_sname"), F.col("params")).alias("figure"))
 
 
 def params_map(parameters: DataFrame) -> DataFrame:
@@ -208,13 +221,12 @@ def job_payload(jobs: DataFrame, spiders: DataFrame, projects: DataFrame, settin
     # the jobs are shuffled once
     sp = s.join(req, F.col("_sid") == F.col("_rsid"), "left").join(pm, F.col("_sid") == F.col("_psid"), "left")
     if figures is not None:
-        fg = dedupe_eav(figures.withColumn("_k", F.lit("figure")), "spider_id", "_k", "text").select(
-            F.col("spider_id").alias("_fsid"), "text")
-        sp = sp.join(fg, F.col("_sid") == F.col("_fsid"), "left")
-        ftext = F.col("text")
+        sp = sp.join(_first_figures(figures).withColumnRenamed("spider_id", "_fsid"), F.col("_sid") == F.col("_fsid"), "left")
     else:
-        ftext = F.lit(None).cast("string")
-    sp = sp.join(p, F.col("_spid") == p._pid)
+        sp = sp.withColumn("_stored", F.from_json(F.lit(None).cast("string"), FIGURE_SCHEMA))
+    # the figure depends on the spider alone, but for the name that the job gives it
+    sp = sp.withColumn("_figure", figure(F.col("_stored"), F.lit(None).cast("string"), F.col("params")))
+    sp = sp.select("_sid", "_spid", "extra_requirements", "params", "_figure").join(p, F.col("_spid") == p._pid)
     j = jobs.join(sp, jobs.spider_id == F.col("_sid"))
     empty = F.create_map().cast("map<string,string>")
     job_params = F.from_json(F.col("settings"), "spider_parameters map<string,string>")["spider_parameters"]
@@ -222,7 +234,7 @@ def job_payload(jobs: DataFrame, spiders: DataFrame, projects: DataFrame, settin
         F.col("id").alias("task_id"), "spider_id", "spider_name", "project_name", "version",
         F.coalesce("extra_requirements", F.array().cast("array<string>")).alias("extra_requirements"),
         F.map_concat(F.coalesce("params", empty), F.coalesce(job_params, empty)).alias("spider_parameters"),
-        figure(ftext, F.col("spider_name"), F.col("params")).alias("figure"))
+        F.col("_figure").withField("spider", F.col("spider_name")).alias("figure"))
 
 
 def spider_jobs_with_webhook(history: DataFrame, webhook_jobs: DataFrame, job_status: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from crawlgrid.constants import (CANCEL, DEFAULT_JOB_TIMEOUT, FAIL, KILL_GRACE,
                                  RUNNING, SESSION_GUARD, STOPPING, UPDATE_GRACE)
 from crawlgrid.operators.aggregates import dedupe_eav
 from crawlgrid.operators.ranking import row_number_within
+from crawlgrid.sources.files import json_variant
 
 NTZ = "timestamp_ntz"
 
@@ -327,20 +328,31 @@ def add_webhook_jobs(webhook_jobs: DataFrame, finished: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- L15 settings form
+def _last(rows: DataFrame, key: str, order_col: str) -> DataFrame:
+    """The row of highest ``order_col`` of each key, by an aggregate."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order_col).alias("_r")).select("_r.*")
+
+
 FORM_KEYS = ["concurrency", "timeout", "webhook_payload", "webhook_batch_size", "tag", "extra_requirements"]
 
 
 def settings_upsert(settings: DataFrame, parameters: DataFrame, figures: DataFrame,
-                    forms: DataFrame) -> dict[str, DataFrame]:
-    """Apply submitted settings forms.
+                    forms: DataFrame, order_col: str = "form_id") -> dict[str, DataFrame]:
+    """Apply submitted settings forms, one after the other by ``order_col``:
+    of a spider's forms the last one holds, and of its figures the last that
+    is valid.
 
     Per form spider and key the first existing row (lowest id) is updated,
     else a row is added: concurrency '1' and timeout '3600' when missing,
     webhook fields '' when missing, tag / requirements stripped with blank →
     NULL. Parameters are replaced wholesale: keys trimmed, blank keys
     dropped, the last value of a repeated key wins. A figure is stored only
-    if its JSON parses. New ids are max(id) + a deterministic offset.
+    if its text is one JSON value. New ids are max(id) + a deterministic offset.
     """
+    valid = forms.where(F.col("figure_json").isNotNull() & json_variant(F.col("figure_json")).isNotNull())
+    fj = valid.groupBy("spider_id").agg(F.max_by("figure_json", order_col).alias("_text"))
+    forms = _last(forms, "spider_id", order_col)
+
     def blank_null(c):
         v = F.trim(F.col(c))
         return F.when(v == "", F.lit(None)).otherwise(v)
@@ -377,10 +389,6 @@ def settings_upsert(settings: DataFrame, parameters: DataFrame, figures: DataFra
     new_params = (parameters.join(forms.select("spider_id"), "spider_id", "left_anti")
                   .unionByName(kv.select((max_pid + 1 + F.col("spider_id") * width + F.col("_pos")).alias("id"),
                                          "spider_id", "parameter_key", "value")))
-    # figure: only valid JSON is stored
-    fj = forms.where(F.col("figure_json").isNotNull() & (F.col("figure_json") != "")
-                     & F.from_json("figure_json", "map<string,string>").isNotNull()
-                     ).select("spider_id", F.col("figure_json").alias("_text"))
     ffirst = figures.groupBy("spider_id").agg(F.min("id").alias("id"))
     max_fid = figures.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
     fj = fj.join(ffirst, "spider_id", "left").withColumn("id", F.coalesce("id", max_fid + 1 + F.col("spider_id")))
@@ -396,9 +404,11 @@ def webhook_urls(settings: DataFrame, spider_ids: DataFrame) -> DataFrame:
     return url.join(spider_ids.select("spider_id"), "spider_id", "left_semi").select("spider_id", F.col("value").alias("payload_url"))
 
 
-def put_webhook_urls(settings: DataFrame, urls: DataFrame) -> DataFrame:
-    """L15 put: (spider_id, payload_url) into the spider's first webhook row,
-    or a new one (id: the highest + 1 + spider id)."""
+def put_webhook_urls(settings: DataFrame, urls: DataFrame, order_col: str = "put_id") -> DataFrame:
+    """L15 put: (put_id, spider_id, payload_url) into the spider's first webhook
+    row, or a new one (id: the highest + 1 + spider id). Of several puts of a
+    spider the last one by ``order_col`` holds."""
+    urls = _last(urls, "spider_id", order_col)
     first = settings.where(F.col("setting_key") == "webhook_payload").groupBy("spider_id").agg(F.min("id").alias("_first"))
     top = settings.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
     u = urls.join(first, "spider_id", "left").select(

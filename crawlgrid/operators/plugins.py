@@ -3,9 +3,10 @@ validation, and user-registered setting operations."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgrid.functions.text import plugin_bool
@@ -64,6 +65,41 @@ def register_setting_op(name: str, fn: Callable[[DataFrame], DataFrame]) -> None
     _CUSTOM_OPS[name] = fn
 
 
+_PLUGINS: dict[str, str] = {}
+STEPS = 1 << 20  # operations that one execution can give
+
+
+def register_plugin(spark: SparkSession, name: str, execute: Callable[[dict], Iterable[tuple]]) -> None:
+    """Register a plugin's ``execute(parameters)``: from the parameters of one
+    spider (a dict of strings) it gives the setting operations in order, as
+    (op, name, key, value, value_type). It becomes a Python table function."""
+    @F.udtf(returnType="step int, op string, name string, key string, value string, value_type string")
+    class Execute:
+        def eval(self, parameters):
+            for step, operation in enumerate(execute(dict(parameters or {}))):
+                yield (step, *operation)
+
+    _PLUGINS[name] = "plugin_" + re.sub(r"\W", "_", name)
+    spark.udtf.register(_PLUGINS[name], Execute)
+
+
+def plugin_operations(enabled: DataFrame) -> DataFrame:
+    """(spider_id, pos, plugin, parameters) of the plugins that spiders have
+    enabled → their setting operations, for ``apply_setting_ops``. Each
+    plugin's table function is joined laterally to its own rows; operations
+    keep the order of ``pos``, then that in which they came. Plugins that
+    aren't registered give none."""
+    spark, out = enabled.sparkSession, None
+    for name, function in _PLUGINS.items():
+        rows = spark.sql(f"""
+            SELECT e.spider_id, CAST(e.pos AS BIGINT) * {STEPS} + o.step AS pos, o.op, o.name, o.key, o.value, o.value_type
+            FROM {{mine}} e, LATERAL {function}(e.parameters) o""", mine=enabled.where(F.col("plugin") == name))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no plugin is registered")
+    return out
+
+
 def apply_setting_ops(ops: DataFrame, custom_ops: dict | None = None) -> DataFrame:
     """D3: ordered setting operations per spider → the final settings:
     ``set_var(name, value)`` and ``set_dict(name, key, value)``; the last

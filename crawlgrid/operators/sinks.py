@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlgrid.constants import FAIL, FAIL_MAIL_BODY, FAIL_MAIL_SUBJECT
 from crawlgrid.functions.text import job_path, package_path
 from crawlgrid.operators.aggregates import dedupe_eav
+from crawlgrid.sources.catalog import FOREIGN_KEYS, parents_first, primary_key
 
 
 def write_job_data(items: DataFrame, root: str, mode: str = "overwrite") -> str:
@@ -43,6 +44,39 @@ def restore_merge(current: DataFrame, snapshot: DataFrame, pk: list[str]) -> Dat
     return current.join(snapshot.select(*pk), pk, "left_anti").unionByName(snapshot)
 
 
+def restore_catalog(current: dict[str, DataFrame], snapshot: dict[str, DataFrame], root: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """W3 over a whole backup: every table of ``snapshot`` merged into
+    ``current`` and written under ``root``, parents before children.
+
+    A snapshot row whose foreign key names no row of the parent as restored
+    (or as it is in ``current``, if the parent isn't in the backup) is not
+    written but reported, and so are the rows that refer to it; NULL refers to
+    nothing. Returns the restored tables and the report (table, key, column,
+    value), a row for each missing reference. The parents' keys are unique, so
+    each check is an equijoin that keeps the row count."""
+    spark = next(iter(snapshot.values())).sparkSession
+    restored, report = dict(current), None
+    for name in parents_first(snapshot):
+        key, rows = primary_key(name), snapshot[name]
+        refers = {c: p for c, p in FOREIGN_KEYS.get(name, {}).items() if c in rows.columns and p in restored}
+        marked = rows
+        for column, parent in refers.items():
+            ids = restored[parent].select(F.col(primary_key(parent)).alias(f"_has_{column}")).distinct()
+            marked = marked.join(ids, marked[column] == ids[f"_has_{column}"], "left")
+        missing = [F.when(F.col(c).isNotNull() & F.col(f"_has_{c}").isNull(), F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))) for c in refers]
+        marked = marked.select(*rows.columns, F.filter(F.array(*missing) if missing else F.array().cast("array<struct<column:string,value:string>>"),
+                                                       lambda m: m.isNotNull()).alias("_missing"))
+        marked.write.mode("overwrite").parquet(f"{root}/_checked/{name}")
+        marked = spark.read.parquet(f"{root}/_checked/{name}")
+        good = marked.where(F.size("_missing") == 0).drop("_missing")
+        whole = restore_merge(current[name], good, [key]) if name in current else good
+        whole.write.mode("overwrite").parquet(f"{root}/{name}")
+        restored[name] = spark.read.parquet(f"{root}/{name}")
+        orphans = marked.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"), F.inline("_missing"))
+        report = orphans if report is None else report.unionByName(orphans)
+    return restored, report
+
+
 def completion_feed(finished: DataFrame, spiders: DataFrame, projects: DataFrame,
                     settings: DataFrame) -> DataFrame:
     """One webhook post per finished job whose spider has a non-empty

@@ -247,7 +247,7 @@ SELECT c_custkey AS id, c_custkey AS spider_id,
 FROM customer"""
 
 VIEWS["v_forms"] = """
-SELECT c_custkey AS spider_id,
+SELECT c_custkey AS form_id, c_custkey AS spider_id,
        CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 3 + 1 AS VARCHAR) END AS concurrency,
        CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(60 * (c_custkey % 10) AS VARCHAR) END AS timeout,
        CASE WHEN c_custkey % 2 = 0 THEN 'http://new.example/' || c_custkey END AS webhook_payload,
@@ -258,7 +258,11 @@ SELECT c_custkey AS spider_id,
        [' nation ', '', 'segment', 'nation'] AS param_keys,
        [CAST(c_nationkey AS VARCHAR), 'x', c_mktsegment, 'N' || c_nationkey] AS param_values,
        CASE WHEN c_custkey % 5 = 0 THEN '{"spider": "f"}' WHEN c_custkey % 5 = 1 THEN '{bad' END AS figure_json
-FROM customer"""
+FROM customer
+UNION ALL
+SELECT 1000000000 + c_custkey, c_custkey, '9', NULL, CASE WHEN c_custkey % 20 = 4 THEN 'http://again.example/' || c_custkey END, NULL,
+       ' again', '', ['b', ' b'], ['1', '2'], CASE WHEN c_custkey % 20 = 4 THEN '[1, {"x": 2}]' ELSE '{"a": 1} x' END
+FROM customer WHERE c_custkey % 10 = 4 OR c_custkey % 10 = 0"""
 
 VIEWS["v_plugin_descriptors"] = """
 SELECT p_partkey AS plugin_id,

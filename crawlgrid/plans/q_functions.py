@@ -286,7 +286,8 @@ def _d_pad(xor_word: int) -> str:
 WITH e AS (SELECT event_id AS request_id, 'ak' || (user_id * 10) AS k,
                   CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END AS method,
                   '/api/spiders/' || user_id AS path,
-                  'type=' || event_type || '&a=x y&k=' || json_extract_string(props, '$.k') AS query,
+                  'type=' || event_type || '&a=x y&k=' || json_extract_string(props, '$.k')
+                    || CASE WHEN event_id % 3 = 0 THEN '&b=%zz%41%4' ELSE '' END AS query,
                   encode(props) AS body FROM events),
 kb AS (SELECT app_key, enabled,
               CASE WHEN octet_length(encode(app_secret)) > 64 THEN unhex(sha256(encode(app_secret)))
@@ -329,7 +330,8 @@ def q_f17(spark, sf):
         F.col("event_id").alias("request_id"), key.alias("_k"),
         F.when(F.col("event_type").isin("purchase", "signup"), "POST").otherwise("GET").alias("method"),
         F.concat(F.lit("/api/spiders/"), F.col("user_id").cast("string")).alias("path"),
-        F.concat(F.lit("type="), F.col("event_type"), F.lit("&a=x y&k="), F.get_json_object("props", "$.k")).alias("query"),
+        F.concat(F.lit("type="), F.col("event_type"), F.lit("&a=x y&k="), F.get_json_object("props", "$.k"),
+                 F.when(F.col("event_id") % 3 == 0, "&b=%zz%41%4").otherwise("")).alias("query"),
         F.encode("props", "UTF-8").alias("body"))
     keys = t.user_keys.select(F.col("app_key").alias("_k"), *[c.alias(n) for c, n in
                               zip(audit.hmac_pads(F.col("app_secret")), ["_i", "_o"])])

@@ -384,13 +384,14 @@ def q_l14a(spark, sf):
 
 # ---------------------------------------------------------------- L15
 _FORM_SQL = """
+lf AS (SELECT * FROM v_forms QUALIFY row_number() OVER (PARTITION BY spider_id ORDER BY form_id DESC) = 1),
 vals AS (
-  SELECT spider_id, 0 AS k_no, 'concurrency' AS setting_key, coalesce(concurrency, '1') AS value FROM v_forms
-  UNION ALL SELECT spider_id, 1, 'timeout', coalesce(timeout, '3600') FROM v_forms
-  UNION ALL SELECT spider_id, 2, 'webhook_payload', coalesce(webhook_payload, '') FROM v_forms
-  UNION ALL SELECT spider_id, 3, 'webhook_batch_size', coalesce(webhook_batch_size, '') FROM v_forms
-  UNION ALL SELECT spider_id, 4, 'tag', nullif(trim(tag), '') FROM v_forms
-  UNION ALL SELECT spider_id, 5, 'extra_requirements', nullif(trim(extra_requirements), '') FROM v_forms),
+  SELECT spider_id, 0 AS k_no, 'concurrency' AS setting_key, coalesce(concurrency, '1') AS value FROM lf
+  UNION ALL SELECT spider_id, 1, 'timeout', coalesce(timeout, '3600') FROM lf
+  UNION ALL SELECT spider_id, 2, 'webhook_payload', coalesce(webhook_payload, '') FROM lf
+  UNION ALL SELECT spider_id, 3, 'webhook_batch_size', coalesce(webhook_batch_size, '') FROM lf
+  UNION ALL SELECT spider_id, 4, 'tag', nullif(trim(tag), '') FROM lf
+  UNION ALL SELECT spider_id, 5, 'extra_requirements', nullif(trim(extra_requirements), '') FROM lf),
 first AS (SELECT spider_id, setting_key, min(id) AS fid FROM v_settings GROUP BY 1, 2),
 upd AS (SELECT coalesce(f.fid, (SELECT coalesce(max(id), 0) FROM v_settings) + 1 + v.spider_id * 6 + v.k_no) AS id,
                v.spider_id, v.setting_key, v.value, f.fid IS NULL AS is_new
@@ -409,13 +410,14 @@ def q_l15s(spark, sf):
 
 
 @register("L15_parameters", """
-WITH kv AS (SELECT spider_id, trim(param_keys[i]) AS parameter_key, param_values[i] AS value, i - 1 AS pos
-            FROM (SELECT *, generate_subscripts(param_keys, 1) AS i FROM v_forms)),
+WITH lf AS (SELECT * FROM v_forms QUALIFY row_number() OVER (PARTITION BY spider_id ORDER BY form_id DESC) = 1),
+kv AS (SELECT spider_id, trim(param_keys[i]) AS parameter_key, param_values[i] AS value, i - 1 AS pos
+            FROM (SELECT *, generate_subscripts(param_keys, 1) AS i FROM lf)),
 last AS (SELECT spider_id, parameter_key, arg_max(value, pos) AS value, min(pos) AS p0 FROM kv
          WHERE parameter_key <> '' GROUP BY 1, 2)
 SELECT * FROM v_parameters WHERE spider_id NOT IN (SELECT spider_id FROM v_forms)
 UNION ALL
-SELECT (SELECT coalesce(max(id), 0) FROM v_parameters) + 1 + spider_id * (SELECT coalesce(max(len(param_keys)), 0) + 1 FROM v_forms) + p0, spider_id, parameter_key, value
+SELECT (SELECT coalesce(max(id), 0) FROM v_parameters) + 1 + spider_id * (SELECT coalesce(max(len(param_keys)), 0) + 1 FROM lf) + p0, spider_id, parameter_key, value
 FROM last
 """)
 def q_l15p(spark, sf):
@@ -424,9 +426,8 @@ def q_l15p(spark, sf):
 
 
 @register("L15_figures", """
-WITH fj AS (SELECT spider_id, figure_json FROM v_forms
-            WHERE figure_json IS NOT NULL AND figure_json <> ''
-              AND CASE WHEN json_valid(figure_json) THEN json_type(figure_json) = 'OBJECT' ELSE FALSE END),
+WITH fj AS (SELECT spider_id, arg_max(figure_json, form_id) AS figure_json FROM v_forms
+            WHERE figure_json IS NOT NULL AND json_valid(figure_json) GROUP BY 1),
 ff AS (SELECT spider_id, min(id) AS fid FROM v_figures GROUP BY 1),
 up AS (SELECT coalesce(ff.fid, (SELECT coalesce(max(id), 0) FROM v_figures) + 1 + fj.spider_id) AS id,
               fj.spider_id, fj.figure_json AS text FROM fj LEFT JOIN ff ON ff.spider_id = fj.spider_id)
@@ -448,7 +449,7 @@ def q_l15g(spark, sf):
 
 
 @register("L15_webhook_put", """
-WITH u AS (SELECT spider_id, webhook_payload AS url FROM v_forms WHERE webhook_payload IS NOT NULL),
+WITH u AS (SELECT spider_id, arg_max(webhook_payload, form_id) AS url FROM v_forms WHERE webhook_payload IS NOT NULL GROUP BY 1),
 f AS (SELECT spider_id, min(id) AS fid FROM v_settings WHERE setting_key = 'webhook_payload' GROUP BY 1),
 n AS (SELECT coalesce(f.fid, (SELECT coalesce(max(id), 0) FROM v_settings) + 1 + u.spider_id) AS id, u.spider_id,
              'webhook_payload' AS setting_key, u.url AS value FROM u LEFT JOIN f ON f.spider_id = u.spider_id)
@@ -456,7 +457,7 @@ SELECT * FROM v_settings WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * F
 """)
 def q_l15u(spark, sf):
     t = _t(spark, sf)
-    urls = t.forms.where(F.col("webhook_payload").isNotNull()).select("spider_id", F.col("webhook_payload").alias("payload_url"))
+    urls = t.forms.where(F.col("webhook_payload").isNotNull()).select(F.col("form_id").alias("put_id"), "spider_id", F.col("webhook_payload").alias("payload_url"))
     return L.put_webhook_urls(t.settings, urls)
 
 

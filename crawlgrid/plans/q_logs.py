@@ -106,6 +106,23 @@ def q_s5(spark, sf):
     return S.package_versions(S.job_file_index(_paths(_t(spark, sf))))
 
 
+# packages are archives built from ``part``; every 7th is cut short, every 5th says no version
+@register("S5_package_files", """
+SELECT 'p' || k.project_id || '-' || k.id AS project, regexp_replace(k.egg_version, '[^a-zA-Z0-9_-]', '_', 'g') AS version,
+       CASE WHEN k.id % 7 <> 0 AND k.id % 5 <> 0 THEN k.egg_version END AS info_version, TRUE AS same_bytes
+FROM v_packages k
+""")
+def q_s5_files(spark, sf):
+    root = scratch_dir(spark, "packages")
+    packages = _t(spark, sf).packages.select(
+        F.concat(F.lit("p"), F.col("project_id").cast("string"), F.lit("-"), F.col("id").cast("string")).alias("project"),
+        F.regexp_replace("egg_version", "[^a-zA-Z0-9_-]", "_").alias("version"),
+        F.when(F.col("id") % 5 != 0, F.col("egg_version")).alias("says"), (F.col("id") % 7 == 0).alias("damaged"))
+    written = S.write_packages(packages, root)
+    got = S.read_packages(spark, root).join(written.select(F.col("project").alias("_p"), F.col("checksum").alias("_sum")), F.col("project") == F.col("_p"))
+    return got.select("project", "version", "info_version", (F.col("checksum") == F.col("_sum")).alias("same_bytes"))
+
+
 @register("W1_write_job_data", "SELECT project, spider, job_id, line_no, raw FROM v_items")
 def q_w1(spark, sf):
     t = _t(spark, sf)
@@ -267,4 +284,7 @@ SELECT page_id, url,
 FROM pages
 """)
 def q_i10(spark, sf):
-    return I.page_items(_t(spark, sf).raw("pages"))
+    pages = _t(spark, sf).raw("pages")
+    # titles that aren't the page's, in a comment and in a script
+    odd = F.regexp_replace("html", "(?i)<title", '<!-- <title>c</title> --><script>"<title>s</title>"</script><title')
+    return I.page_items(pages.withColumn("html", F.when(F.col("page_id") % 9 == 0, odd).otherwise(F.col("html"))))

@@ -99,3 +99,27 @@ def set_env(ops):
 def q_d5(spark, sf):
     D.register_setting_op("set_env", set_env)
     return D.apply_setting_ops(_t(spark, sf).setting_ops)
+
+
+def _execute(parameters):
+    """The plugin of the query below: a parameter's value, and an entry for it if it's enabled."""
+    yield "set_var", "SIZE", None, parameters["SIZE"], "int"
+    if parameters["ENABLED"] == "true":
+        yield "set_dict", "ITEM_PIPELINES", "kind." + parameters["KIND"], parameters["SIZE"], "int"
+        yield "set_var", "SIZE", None, str(int(parameters["SIZE"]) + 1), "int"
+    yield "set_var", "KIND", None, parameters["KIND"], "string"
+
+
+@register("D5_plugin_execute", """
+WITH p AS (SELECT p_partkey AS spider_id, p_size AS size, lower(p_type) AS kind, p_partkey % 3 = 0 AS enabled FROM part)
+SELECT spider_id, 'var' AS kind, 'SIZE' AS name, NULL AS key, CAST(size + CASE WHEN enabled THEN 1 ELSE 0 END AS VARCHAR) AS value FROM p
+UNION ALL SELECT spider_id, 'var', 'KIND', NULL, '"' || kind || '"' FROM p
+UNION ALL SELECT spider_id, 'dict', 'ITEM_PIPELINES', 'kind.' || kind, CAST(size AS VARCHAR) FROM p WHERE enabled
+""")
+def q_d5_execute(spark, sf):
+    D.register_plugin(spark, "variants", _execute)
+    p = _t(spark, sf).raw("part")
+    parameters = F.create_map(F.lit("SIZE"), F.col("p_size").cast("string"), F.lit("KIND"), F.lower("p_type"),
+                              F.lit("ENABLED"), (F.col("p_partkey") % 3 == 0).cast("string"))
+    enabled = p.select(F.col("p_partkey").alias("spider_id"), F.lit(1).alias("pos"), F.lit("variants").alias("plugin"), parameters.alias("parameters"))
+    return D.apply_setting_ops(D.plugin_operations(enabled))

@@ -11,7 +11,7 @@ from crawlgrid.plans import catalog_tables as C
 from crawlgrid.plans.registry import register
 from crawlgrid.session import scratch_dir
 from crawlgrid.sources.adapters import DriverTables
-from crawlgrid.sources.catalog import SCHEMAS
+from crawlgrid.sources.catalog import FOREIGN_KEYS, SCHEMAS, parents_first, primary_key, read_catalog, write_catalog
 
 SNAPSHOT_TABLES = [n for n in SCHEMAS if n not in C.NOT_IN_BACKUP]
 
@@ -50,6 +50,42 @@ def q_w3(spark, sf):
     return W.restore_merge(t.nodes, _node_snapshot(t), ["id"])
 
 
+# The backup lacks project 3, so its spiders are orphans, and so is all that refers to them.
+def _restore_sql():
+    source = {n: f"({C.SQL[n]})" if n in C.SQL else f"v_{C.VIEW_OF[n]}" for n in SNAPSHOT_TABLES}
+    parts, out = [], []
+    for n in parents_first(SNAPSHOT_TABLES):
+        key, cut = primary_key(n), " WHERE id <> 3" if n == "projects" else ""
+        parts.append(f"snap_{n} AS (SELECT * FROM {source[n]} q{cut})")
+        bad = " OR ".join(f"({c} IS NOT NULL AND {c} NOT IN (SELECT {primary_key(p)} FROM ok_{p}))"
+                          for c, p in FOREIGN_KEYS.get(n, {}).items() if p in source and c in _filled(n)) or "FALSE"
+        parts.append(f"ok_{n} AS (SELECT * FROM snap_{n} WHERE NOT ({bad}))")
+        out.append(f"SELECT '{n}' AS \"table\", (SELECT count(*) FROM ok_{n}) AS rows, (SELECT count(*) FROM snap_{n} WHERE {bad}) AS orphans")
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(out)
+
+
+def _filled(name):
+    from crawlgrid.plans.q_reads import _VIEW_COLUMNS
+    return C.columns(_VIEW_COLUMNS, name)
+
+
+@register("W3_restore_catalog", _restore_sql())
+def q_w3_all(spark, sf):
+    root = scratch_dir(spark, "restore")
+    tables = C.tables(_t(spark, sf))
+    write_catalog({n: tables[n] for n in SNAPSHOT_TABLES}, f"{root}/backup")
+    backup = read_catalog(spark, f"{root}/backup", SNAPSHOT_TABLES)
+    backup["projects"] = backup["projects"].where("id <> 3")
+    current = {n: df.limit(0) for n, df in backup.items()}
+    restored, report = W.restore_catalog(current, backup, f"{root}/restored")
+    orphans = report.groupBy("table", "key").agg(F.lit(1)).groupBy("table").agg(F.count(F.lit(1)).alias("orphans"))
+    counts = None
+    for n in SNAPSHOT_TABLES:
+        c = restored[n].agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("rows"))
+        counts = c if counts is None else counts.unionByName(c)
+    return counts.join(orphans, "table", "left").select("table", "rows", F.coalesce("orphans", F.lit(0)).cast("long").alias("orphans"))
+
+
 @register("W4_completion_feed", """
 WITH hook AS (SELECT spider_id, arg_min(value, id) AS url FROM v_settings
               WHERE setting_key = 'webhook_payload' GROUP BY 1)

@@ -17,11 +17,12 @@ from crawlgrid.session import scratch_dir
 from crawlgrid.sources.adapters import DriverTables
 from crawlgrid.sources.files import write_job_files
 from crawlgrid.streaming import feeds, jobs, liveness
-from crawlgrid.streaming.runner import replay, run_append, run_batches
+from crawlgrid.streaming.runner import StreamCounts, arriving, replay, run_append, run_batches
 
 GAP = "6 hours"
 DELAY = "1 hour"
 JITTER = 1800      # seconds out of order, within the delay
+FOREVER = 400 * 86_400   # the static queue never loses a settled job
 
 
 def _static(spark, sf):
@@ -98,9 +99,12 @@ dd AS (SELECT okv.*, d FROM okv, days
 hh AS (SELECT dd.*, h FROM dd, range(0, 24) r(h) WHERE {_d_field_match("p[2]", "hour", "h")}),
 mm AS (SELECT hh.*, m FROM hh, range(0, 60) r(m) WHERE {_d_field_match("p[1]", "minute", "m")}),
 f AS (SELECT id, spider_id, CAST(d AS TIMESTAMP) + to_minutes(h * 60 + m) AS fire_time FROM mm)
-SELECT md5(CAST(id AS VARCHAR) || '@' || CAST(fire_time AS VARCHAR)) AS job_id, id AS trigger_id, spider_id,
-       fire_time, 0 AS status
-FROM f WHERE fire_time >= (SELECT a FROM span) AND fire_time < (SELECT b FROM span)
+SELECT md5(CAST(f.id AS VARCHAR) || '@' || CAST(fire_time AS VARCHAR)) AS id, f.spider_id, 1 AS slot, p.name AS project_name,
+       s.name AS spider_name, fire_time, CAST(NULL AS TIMESTAMP) AS start_time, CAST(NULL AS BIGINT) AS node_id, 0 AS status,
+       fire_time AS update_time, CAST(NULL AS INTEGER) AS pid, tag.tag, CAST(NULL AS VARCHAR) AS settings
+FROM f JOIN v_spiders s ON s.id = f.spider_id JOIN v_projects p ON p.id = s.project_id
+LEFT JOIN (SELECT spider_id, arg_min(value, id) AS tag FROM v_settings WHERE setting_key = 'tag' GROUP BY 1) tag ON tag.spider_id = f.spider_id
+WHERE fire_time >= (SELECT a FROM span) AND fire_time < (SELECT b FROM span)
 """
 
 
@@ -108,14 +112,15 @@ FROM f WHERE fire_time >= (SELECT a FROM span) AND fire_time < (SELECT b FROM sp
 def q_x4(spark, sf):
     st = _static(spark, sf)
     clock = replay(st.raw("events").select("ts"), "ts")
-    out = run_batches(clock, "x4", feeds.cron_fire_batches(st.triggers, st.spiders, st.projects, scratch_dir(spark, "x4-ends")))
+    out = run_batches(clock, "x4", feeds.cron_fire_batches(st.triggers, st.spiders, st.projects, st.settings, scratch_dir(spark, "x4-ends")))
     return out.drop("batch_id")
 
 
 @register("X5_completion_stream")
 def q_x5(spark, sf):
     st = _static(spark, sf)
-    return run_append(jobs.completion_stream(replay(st.completions, "ts"), st.queue), "x5")
+    reports = replay(st.completions, "ts", jitter_seconds=JITTER)
+    return run_append(jobs.completion_stream(reports, st.queue, DELAY, keep_seconds=FOREVER), "x5")
 
 
 @register("X6_item_ingest_stream", "SELECT job_id, count(*) AS lines FROM v_items GROUP BY job_id")
@@ -158,7 +163,26 @@ def q_x7b(spark, sf):
 @register("X8_running_report_stream")
 def q_x8(spark, sf):
     st = _static(spark, sf)
-    return run_append(jobs.running_report_stream(replay(st.reports, "ts"), st.queue), "x8")
+    reports = replay(st.reports, "ts", jitter_seconds=JITTER)
+    return run_append(jobs.running_report_stream(reports, st.queue, DELAY, keep_seconds=FOREVER), "x8")
+
+
+# beats of some nodes come at the end, behind the watermark that the others left
+@register("X2_late_rows", f"""
+SELECT 'x2-late' AS stream, count(*) AS rows,
+       count(*) FILTER (WHERE node_id % 10 = 3 AND date_trunc('millisecond', ts) <= date_trunc('millisecond',
+         (SELECT max(ts) FROM v_beats WHERE node_id % 10 <> 3)) - INTERVAL {DELAY}) AS late
+FROM v_beats
+""")
+def q_x2_late(spark, sf):
+    beats = _static(spark, sf).beats
+    punctual = beats.where("node_id % 10 <> 3")
+    last = F.col("ts") == punctual.agg(F.max("ts").alias("ts")).select("ts").scalar()
+    # the latest come by themselves: a batch is held against the mark that the one before began with
+    feed = arriving(punctual.where(~last), punctual.where(last), punctual.limit(0), beats.where("node_id % 10 = 3"))
+    with StreamCounts(spark) as counts:
+        run_append(liveness.node_state_stream(feed, 6 * 3600, DELAY), "x2-late")
+    return spark.createDataFrame([("x2-late", counts.rows["x2-late"], counts.late["x2-late"])], "stream string, rows long, late long")
 
 
 def _reuse(target: str, source: str):
@@ -177,10 +201,15 @@ SELECT * FROM (
          ON q.id = c.job_id AND (c.node_id IS NULL OR c.node_id = q.node_id)
   CROSS JOIN LATERAL (SELECT CASE WHEN c.status NOT IN ('success', 'fail') THEN 'invalid status'
                                   WHEN q.id IS NULL THEN 'job not found' END AS reason) r)
-WHERE accepted QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, completion_id) = 1""")
+WHERE accepted AND date_trunc('millisecond', ts) < (SELECT date_trunc('millisecond', max(ts)) FROM v_completions) - INTERVAL 1 HOUR
+QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, completion_id) = 1""")
     _reuse("X7_completion_feed_stream", "W4_completion_feed")
     _reuse("X7_alert_stream", "W5_failed_job_alerts")
-    _reuse("X8_running_report_stream", "J5_kill_list")
+    # reports of jobs without an owner wait for the watermark
+    ORACLES["X8_running_report_stream"] = ORACLES["J5_kill_list"].replace(
+        "LEFT JOIN ad ON ad.job_id = r.job_id)", """LEFT JOIN ad ON ad.job_id = r.job_id
+  WHERE q.id IS NULL OR q.node_id IS NOT NULL
+     OR date_trunc('millisecond', r.ts) < (SELECT date_trunc('millisecond', max(ts)) FROM v_reports) - INTERVAL 1 HOUR)""")
 
 
 _link_oracles()

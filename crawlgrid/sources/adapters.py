@@ -428,12 +428,12 @@ class DriverTables:
 
     @cached_property
     def forms(self) -> DataFrame:
-        """Submitted spider settings forms, one per spider."""
+        """Submitted spider settings forms; some spiders get a second one later."""
         c = self.raw("customer")
         k = F.col("c_custkey")
         nk = _s("c_nationkey")
-        return c.select(
-            k.alias("spider_id"),
+        first = c.select(
+            k.alias("form_id"), k.alias("spider_id"),
             F.when(k % 5 == 0, F.lit(None)).otherwise(_s(k % 3 + 1)).alias("concurrency"),
             F.when(k % 7 == 0, F.lit(None)).otherwise(_s(60 * (k % 10))).alias("timeout"),
             F.when(k % 2 == 0, F.concat(F.lit("http://new.example/"), _s(k))).alias("webhook_payload"),
@@ -444,6 +444,14 @@ class DriverTables:
             F.array(F.lit(" nation "), F.lit(""), F.lit("segment"), F.lit("nation")).alias("param_keys"),
             F.array(nk, F.lit("x"), F.col("c_mktsegment"), F.concat(F.lit("N"), nk)).alias("param_values"),
             F.when(k % 5 == 0, F.lit('{"spider": "f"}')).when(k % 5 == 1, F.lit("{bad")).alias("figure_json"))
+        none = F.lit(None).cast("string")
+        again = c.where((k % 10 == 4) | (k % 10 == 0)).select(
+            (k + 1_000_000_000).alias("form_id"), k.alias("spider_id"), F.lit("9").alias("concurrency"), none.alias("timeout"),
+            F.when(k % 20 == 4, F.concat(F.lit("http://again.example/"), _s(k))).alias("webhook_payload"), none.alias("webhook_batch_size"),
+            F.lit(" again").alias("tag"), F.lit("").alias("extra_requirements"),
+            F.array(F.lit("b"), F.lit(" b")).alias("param_keys"), F.array(F.lit("1"), F.lit("2")).alias("param_values"),
+            F.when(k % 20 == 4, '[1, {"x": 2}]').otherwise('{"a": 1} x').alias("figure_json"))
+        return first.unionByName(again)
 
     @cached_property
     def plugin_descriptors(self) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from graphlib import TopologicalSorter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +55,38 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+# --- fixed values: primary keys other than id, and what refers to which table's id
+PRIMARY_KEYS = {"project_package": "project_id"}
+FOREIGN_KEYS: dict[str, dict[str, str]] = {
+    "user_keys": {"user_id": "user"},
+    "projects": {"owner_id": "user"},
+    "project_package": {"project_id": "projects"},
+    "packages": {"project_id": "projects"},
+    "spiders": {"project_id": "projects"},
+    "triggers": {"spider_id": "spiders"},
+    "spider_execution_queue": {"spider_id": "spiders", "status": "job_status"},
+    "nodes": {"node_key_id": "node_keys"},
+    "nodesessions": {"node_id": "nodes"},
+    "job_history": {"spider_id": "spiders", "status": "job_status"},
+    "webhook_jobs": {"job_id": "job_history", "spider_id": "spiders", "status": "job_status"},
+    "spider_settings": {"spider_id": "spiders"},
+    "spider_parameters": {"spider_id": "spiders"},
+    "spider_figure": {"spider_id": "spiders"},
+    "sys_spiderpluginparameters": {"plugin_id": "sys_spiderplugins"},
+}
+
+
+def primary_key(table: str) -> str:
+    return PRIMARY_KEYS.get(table, "id")
+
+
+def parents_first(tables: Iterable[str]) -> list[str]:
+    """The tables in an order in which each comes after those it refers to."""
+    left = set(tables)
+    known = {t: {p for p in FOREIGN_KEYS.get(t, {}).values() if p != t} & left for t in left}
+    return list(TopologicalSorter({t: sorted(known[t]) for t in sorted(left)}).static_order())
+
+
 def job_status(spark: SparkSession) -> DataFrame:
     """The fixed six-row status table; safe to broadcast (size is constant)."""
     return F.broadcast(spark.createDataFrame(JOB_STATUS_ROWS, "id int, name string, desc string"))

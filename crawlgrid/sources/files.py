@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crawlgrid.functions.text import version_key
+from crawlgrid.functions.audit import package_checksum
+from crawlgrid.functions.text import package_info_version, version_key
 from crawlgrid.operators.logs import DEFAULT_CHARSETS, choose_charset, decoded, fits
 
 SMALL_FILE = 8 << 20
@@ -135,12 +136,17 @@ def item_object(raw: Column) -> Column:
     return F.when((F.size(both) == 2) & (F.get(both, F.lit(1))[LINE_END] == "1"), F.get(both, F.lit(0)))
 
 
+def json_variant(raw: Column) -> Column:
+    """A text as VARIANT; NULL unless all of it is one strict JSON value."""
+    both = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{LINE_END}"]')))
+    whole = (F.try_variant_get(both, "$[1]", "string") == LINE_END) & F.try_variant_get(both, "$[2]", "variant").isNull()
+    return F.when(whole, F.try_variant_get(both, "$[0]", "variant"))
+
+
 def item_variant(raw: Column) -> Column:
     """The object on an item line as VARIANT: numbers, booleans, nulls and nesting
     keep their types; NULL unless the whole line is one strict JSON object."""
-    both = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(f',"{LINE_END}"]')))
-    whole = (F.try_variant_get(both, "$[1]", "string") == LINE_END) & F.try_variant_get(both, "$[2]", "variant").isNull()
-    return F.when(whole & F.regexp_like(raw, F.lit(r"^[ \t\r]*\{")), F.try_variant_get(both, "$[0]", "variant"))
+    return F.when(F.regexp_like(raw, F.lit(r"^[ \t\r\n]*\{")), json_variant(raw))
 
 
 def parse_items(lines: DataFrame, raw_col: str = "raw") -> DataFrame:
@@ -187,6 +193,46 @@ def package_versions(file_index: DataFrame) -> DataFrame:
             .orderBy("project", version_key("version"), "version"))
 
 
+PKG_INFO = "EGG-INFO/PKG-INFO"
+PACKAGE_BATCH = 8  # package files that a Python worker holds at once
+
+
+def _member(content: bytes, name: str) -> bytes | None:
+    """A member of a zip archive, found by its central directory; NULL if the
+    archive is damaged or lacks it."""
+    import io
+    import zipfile
+
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            return archive.read(name)
+    except (zipfile.BadZipFile, KeyError, EOFError, OSError, RuntimeError, ValueError, NotImplementedError):
+        return None
+
+
+def read_packages(spark: SparkSession, root: str, glob: str = "*.egg") -> DataFrame:
+    """F10, F16, S5 on package files: (path, layout, project, version as the file
+    is named, length, checksum of the bytes, info_version as the archive's
+    metadata says; NULL where the archive can't be read or doesn't say). The
+    bytes are hashed on the JVM; only a member's text leaves the Python worker."""
+    files = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup="true").load(root)
+    named = files.select("path", "length", package_checksum("content").alias("checksum"), "content")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, PACKAGE_BATCH):
+                batch = whole.slice(at, PACKAGE_BATCH)
+                info = [_member(x.as_buffer().to_pybytes(), PKG_INFO) if x.is_valid else None for x in batch.column(3)]
+                text = [None if x is None else x.decode("utf-8", "replace") for x in info]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(text, pa.string())], names=["path", "length", "checksum", "info"])
+
+    read = named.mapInArrow(run, "path string, length long, checksum string, info string")
+    return job_file_index(read).where(F.col("kind") == "package").select(
+        "path", "layout", "project", "version", "length", "checksum", package_info_version("info").alias("info_version"))
+
+
 def write_job_files(df: DataFrame, root: str, content_col: str, kind: str, order_col: str | None = None) -> DataFrame:
     """Write one file per job under ``root`` in the crawl server's first layout
     (``items/<project>/<spider>/<job>.jl``, ``logs/...log``): a folder a
@@ -251,6 +297,39 @@ def write_job_files(df: DataFrame, root: str, content_col: str, kind: str, order
     return df.sparkSession.read.parquet(path)
 
 
+def write_packages(packages: DataFrame, root: str) -> DataFrame:
+    """Build and write a package archive for each row (project, version, says:
+    the version its metadata gives or NULL, damaged: cut short) in the crawl
+    server's first layout; (project, version, checksum) of what was written."""
+    def run(batches: Iterator) -> Iterator:
+        import hashlib
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        store, base = _file_system(root)
+        for batch in batches:
+            sums = []
+            for r in batch.to_pylist():
+                info = "Metadata-Version: 1.1\nName: x\n" + (f"Version: {r['says']}\n" if r["says"] is not None else "")
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                    for name, text in ((PKG_INFO, info), ("spiders/__init__.py", ""), ("EGG-INFO/not-zip-safe", "\n")):
+                        archive.writestr(zipfile.ZipInfo(name), text)
+                data = out.getvalue()[:40] if r["damaged"] else out.getvalue()
+                store.create_dir(f"{base}/eggs/{r['project']}", recursive=True)
+                with store.open_output_stream(f"{base}/eggs/{r['project']}/{r['version']}.egg") as f:
+                    f.write(data)
+                sums.append(hashlib.sha1(data).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums)], names=["project", "version", "checksum"])
+
+    path = root.rstrip("/") + "/_manifest-packages"
+    (packages.select("project", "version", "says", "damaged").mapInArrow(run, "project string, version string, checksum string")
+     .write.mode("overwrite").parquet(path))
+    return packages.sparkSession.read.parquet(path)
+
+
 def _file_system(root: str):
     """(Arrow file system, path in it) of a path or URI."""
     import re

@@ -10,36 +10,39 @@ from pyspark.sql import functions as F
 
 from crawlgrid.functions.cron import cron_fires
 from crawlgrid.operators.joins import fireable_triggers
+from crawlgrid.operators.lifecycle import enqueue
 from crawlgrid.operators.sinks import completion_feed, failed_job_alerts
 from crawlgrid.sources.files import SMALL_FILE, job_file_index, long_lines, parse_items, whole_lines
 
 
-def cron_fire_batches(triggers: DataFrame, spiders: DataFrame, projects: DataFrame, ends: str,
+def cron_fire_batches(triggers: DataFrame, spiders: DataFrame, projects: DataFrame, settings: DataFrame, ends: str,
                       clock_col: str = "ts") -> Callable[[DataFrame, int], DataFrame]:
     """For each micro-batch of a clock stream, the fires of every fireable
     trigger (F2) from the end of the batch before to this batch's last tick,
-    as pending-job rows whose id is md5(trigger, fire minute), so a replayed
-    batch enqueues the same ids. The first batch begins at its first tick. A
-    batch's end is kept durably in the folder ``ends`` by batch id; ticks
-    older than the last end fire nothing. Spans are scalars; triggers stay a
-    table."""
+    enqueued (L1): full queue rows, fired at their minute. The id is the md5 of
+    trigger and fire minute, so a replayed batch enqueues the same ids, and a
+    sink that replaces the batch's partition is an upsert. The first batch
+    begins at its first tick. Each batch leaves one pointer in the folder
+    ``ends``, its end, and reads that of the batch before; ticks older than it
+    fire nothing. Spans are scalars; triggers, spiders and settings stay
+    tables."""
     ok = fireable_triggers(triggers, spiders, projects).where(F.col("reason").isNull()).select(
         F.col("trigger_id").alias("id"), "spider_id", "cron_pattern")
 
-    def fn(batch: DataFrame, batch_id: int) -> DataFrame:
+    def fn(batch: DataFrame, batch_id: int) -> DataFrame | None:
         first, last = batch.agg(F.min(clock_col), F.max(clock_col)).first()
         spark = batch.sparkSession
-        before = spark.read.parquet(ends).where(F.col("batch_id") < batch_id).agg(F.max("end")).first()[0] if batch_id else None
+        before = spark.read.parquet(f"{ends}/batch_id={batch_id - 1}").first()[0] if batch_id else None
         begin = before or first
-        end = max(x for x in (before, last) if x is not None) if before or last else None
+        end = max((x for x in (before, last) if x is not None), default=None)
         (spark.range(1).select(F.lit(end).cast("timestamp_ntz").alias("end"))
-         .write.mode("overwrite").parquet(f"{ends}/batch_id={batch_id}"))
+         .coalesce(1).write.mode("overwrite").parquet(f"{ends}/batch_id={batch_id}"))
         if begin is None:
             return None
-        fires = cron_fires(ok, str(begin), str(end))
-        return fires.select(
-            F.md5(F.concat_ws("@", F.col("id").cast("string"), F.col("fire_time").cast("string"))).alias("job_id"),
-            F.col("id").alias("trigger_id"), "spider_id", "fire_time", F.lit(0).alias("status"))
+        fires = cron_fires(ok, str(begin), str(end)).select(
+            F.concat_ws("@", F.col("id").cast("string"), F.col("fire_time").cast("string")).alias("req_key"), "spider_id",
+            F.lit(None).cast("string").alias("settings"), F.col("fire_time").alias("_at"))
+        return enqueue(fires, spiders, projects, settings, F.col("_at"))
     return fn
 
 

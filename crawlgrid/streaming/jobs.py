@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from crawlgrid.constants import DEFAULT_JOB_TIMEOUT, KILL_GRACE, UPDATE_GRACE
 from crawlgrid.operators.aggregates import dedupe_eav
 from crawlgrid.operators.lookup import completable
-from crawlgrid.streaming.runner import EVENT_TIME, event_time
+from crawlgrid.streaming.runner import EVENT_TIME, event_time, millis, timed_state
 
 ACTIONS_OUT = "job_id string, action string, at timestamp"
-JOB_STATE = ("phase int, start_ms long, update_ms long, timeout_s long, stopped_ms long, "
-             "pending array<long>, pending_start array<int>")
 IDLE, RUNNING, STOPPING = 0, 1, 2
 
 
@@ -28,109 +27,215 @@ def job_events(queue: DataFrame) -> DataFrame:
         F.col("id").alias("job_id"), "spider_id", "e.kind", "e.ts")
 
 
+class JobTimeouts(StatefulProcessor):
+    """Events wait as entries of a map until the watermark has passed them and are
+    then taken in order of time, deadlines between them. A job has few times
+    at which anything can fall due: those after its events, whose timers are
+    set when the events arrive."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getMapState("events", "ms long, is_start boolean", "timeout_ms long")
+        self.job = handle.getValueState("job", "phase int, start long, last long, timeout_ms long, stopped long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for ms, kind, timeout in zip(millis(frame[EVENT_TIME]).tolist(), frame["kind"], frame["timeout_s"]):
+                is_start, timeout = kind == "start", int(timeout) * 1000
+                self.events.updateValue((ms, is_start), (timeout,))
+                after = (0, UPDATE_GRACE * 1000, KILL_GRACE * 1000, timeout) if is_start else (0, UPDATE_GRACE * 1000)
+                for x in set(after):
+                    self.handle.registerTimer(ms + max(x, 0) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs() - 1
+        phase, start, last, timeout, stopped = self.job.get() if self.job.exists() else (IDLE, 0, 0, 0, 0)
+        rows = []
+
+        def due():
+            if phase == RUNNING:
+                stop_at, requeue_at = start + timeout, last + UPDATE_GRACE * 1000
+                return (stop_at, "stop") if stop_at <= requeue_at else (requeue_at, "requeue")
+            return (max(stopped, start + KILL_GRACE * 1000), "fail") if phase == STOPPING else None
+
+        def act():
+            nonlocal phase, stopped
+            moment, action = due()
+            rows.append((action, moment))
+            phase, stopped = (STOPPING, moment) if action == "stop" else (IDLE, 0)
+
+        while (d := due()) and d[0] < at:
+            act()
+        for is_start in (True, False):
+            if self.events.containsKey((at, is_start)):
+                (given,) = self.events.getValue((at, is_start))
+                self.events.removeKey((at, is_start))
+                if phase == RUNNING:
+                    last = at
+                elif phase == IDLE and is_start:
+                    phase, start, last, timeout = RUNNING, at, at, given
+        while (d := due()) and d[0] <= at:
+            act()
+        if phase == IDLE:
+            self.job.clear()
+        else:
+            self.job.update((phase, start, last, timeout, stopped))
+        if rows:
+            yield pd.DataFrame({"job_id": [key[0]] * len(rows), "action": [a for a, _ in rows], "at": pd.to_datetime([t for _, t in rows], unit="ms")})
+
+    def close(self) -> None:
+        pass
+
+
 def job_timeout_stream(events: DataFrame, settings: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """The L7 sweep driven by event-time timers instead of polling.
 
     A running job is stopped at start + timeout, or requeued once more than
     60 s have passed since its last update, whichever is first; a stopped job
     is failed 120 s after its start (at the stop, if that is later). Events
-    wait in the state until the watermark passes them and are then taken in
-    order of time, deadlines between them, so the actions don't depend on how
-    the feed is cut into micro-batches. Updates of a job that isn't running
-    (stopping, requeued, not started) change nothing. ``settings`` is static
-    (stream-static join for the timeout setting).
+    are taken in order of time once the watermark has passed them, so the
+    actions don't depend on how the feed is cut into micro-batches. Updates of
+    a job that isn't running (stopping, requeued, not started) change nothing.
+    ``settings`` is static (stream-static join for the timeout setting).
     """
     to = (dedupe_eav(settings.where(F.col("setting_key") == "timeout"), "spider_id", "setting_key")
           .select("spider_id", F.trim("value").try_cast("long").alias("timeout_s")))
     e = (event_time(events, "ts", delay).join(to, "spider_id", "left")
          .select("job_id", "kind", EVENT_TIME,
                  F.coalesce("timeout_s", F.lit(DEFAULT_JOB_TIMEOUT)).alias("timeout_s")))
-
-    def step(key, frames, state):
-        job_id, mark = key[0], state.getCurrentWatermarkMs()
-        phase, start, last, timeout_s, stopped, times, starts = state.get if state.exists else (IDLE, 0, 0, 0, 0, [], [])
-        pending = list(zip(times or [], starts or []))
-        if not state.hasTimedOut:
-            pdf = pd.concat(list(frames))
-            ms = pdf[EVENT_TIME].astype("datetime64[ns]").astype("int64").to_numpy() // 1_000_000
-            pending = sorted(pending + [(int(t), int(k == "start")) for t, k in zip(ms, pdf["kind"])], key=lambda x: (x[0], -x[1]))
-            timeout_s = int(pdf["timeout_s"].iloc[0])
-
-        def deadline():
-            if phase == RUNNING:
-                stop_at, requeue_at = start + timeout_s * 1000, last + UPDATE_GRACE * 1000
-                return (stop_at, "stop") if stop_at <= requeue_at else (requeue_at, "requeue")
-            return (max(stopped, start + KILL_GRACE * 1000), "fail") if phase == STOPPING else None
-
-        rows, k = [], 0
-        while True:
-            due = deadline()
-            if k < len(pending) and pending[k][0] < mark and (due is None or pending[k][0] <= due[0]):
-                at, is_start = pending[k]
-                k += 1
-                if phase == RUNNING:
-                    last = at
-                elif phase == IDLE and is_start:
-                    phase, start, last = RUNNING, at, at
-            elif due is not None and due[0] < mark:
-                rows.append((due[1], due[0]))
-                phase, stopped = (STOPPING, due[0]) if due[1] == "stop" else (IDLE, 0)
-            else:
-                break
-        pending = pending[k:]
-        if phase == IDLE and not pending:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((phase, start, last, timeout_s, stopped, [t for t, _ in pending], [s for _, s in pending]))
-            state.setTimeoutTimestamp(max(mark, min([t for t, _ in pending[:1]] + ([due[0]] if due else []))))
-        if rows:
-            yield pd.DataFrame({"job_id": [job_id] * len(rows), "action": [a for a, _ in rows],
-                                "at": pd.to_datetime([t for _, t in rows], unit="ms")})
-
-    return (e.groupBy("job_id")
-            .applyInPandasWithState(step, ACTIONS_OUT, JOB_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return (timed_state(e, "job_id", JobTimeouts(), ACTIONS_OUT)
             .select("job_id", "action", F.col("at").cast("timestamp_ntz").alias("at")))
 
 
-def completion_stream(completions: DataFrame, queue: DataFrame) -> DataFrame:
+class FirstReports(StatefulProcessor):
+    """Of each key the row of least (ts, tie), given out once the watermark has
+    passed it: no earlier one can arrive then. A mark that the key is settled
+    stays for ``keep_ms`` more and goes with its timer."""
+
+    def __init__(self, schema, tie: str, keep_ms: int):
+        self.schema, self.tie, self.keep_ms = schema, tie, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", self.schema)
+        self.settled = handle.getValueState("settled", "ms long")
+
+    def _rank(self, row) -> tuple:
+        return row[self.schema.names.index("ts")], row[self.schema.names.index(self.tie)]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.settled.exists():
+            return iter(())
+        held = tuple(self.best.get()) if self.best.exists() else None
+        best = held
+        for frame in rows:
+            frame = frame.sort_values(["ts", self.tie]).head(1).astype(object)
+            row = tuple(None if pd.isna(x) else x for x in frame.iloc[0][self.schema.names])
+            best = row if best is None or self._rank(row) < self._rank(best) else best
+        if best is not held:
+            self.best.update(best)
+            ms = int(millis(pd.Series([self._rank(best)[0]]))[0])
+            self.handle.registerTimer(ms + 1)
+            self.handle.registerTimer(ms + 1 + self.keep_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs() - 1
+        if self.settled.exists():
+            if at >= self.settled.get()[0] + self.keep_ms:
+                self.settled.clear()
+            return
+        if not self.best.exists():
+            return
+        best = tuple(self.best.get())
+        ms = int(millis(pd.Series([self._rank(best)[0]]))[0])
+        if ms <= at:
+            self.best.clear()
+            self.settled.update((ms,))
+            yield pd.DataFrame([best], columns=self.schema.names)
+
+    def close(self) -> None:
+        pass
+
+
+KEEP = 7 * 86_400  # seconds that a settled job is remembered
+
+
+def completion_stream(completions: DataFrame, queue: DataFrame, delay: str = "1 hour", keep_seconds: int = KEEP) -> DataFrame:
     """Accept each job's first valid completion. Reports are checked
     against the static queue first (P5), so one from a wrong node or with an
-    invalid status doesn't use up the job; then the first accepted one of a
-    job wins (by time, then id, within a micro-batch), and later ones find
-    the job gone. The state is one mark for each finished job."""
-    ok = completable(completions, queue).where("accepted")
-    schema = ok.schema
-
-    def step(key, frames, state):
-        rows = pd.concat(list(frames))
-        if not state.exists:
-            state.update((True,))
-            yield rows.sort_values(["ts", "completion_id"]).head(1)
+    invalid status doesn't use up the job; of the valid ones the earliest (by
+    time, then id) wins, whatever the order in which they come: it is accepted
+    when the watermark has passed it. A mark keeps further reports out for
+    ``keep_seconds`` after it; by then the job has left the queue, so that
+    the state holds the jobs of that time only."""
+    ok = completable(event_time(completions, "ts", delay), queue).where("accepted")
+    schema = ok.drop(EVENT_TIME).schema
+    out = timed_state(ok, "job_id", FirstReports(schema, "completion_id", keep_seconds * 1000), schema)
+    return out.select(*schema.names)
+
+
+class Adoptions(StatefulProcessor):
+    """A job without an owner is adopted by its first reporter. Reports wait as
+    entries of a map until the watermark has passed them; the owner is
+    forgotten ``keep_ms`` after the job's last report."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.reports = handle.getMapState("reports", "ms long", "rows array<struct<us:long,node_id:long,running:boolean>>")
+        self.owner = handle.getValueState("owner", "node_id long, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new: dict[int, list] = {}
+        for frame in rows:
+            us = frame["ts"].astype("datetime64[us]").astype("int64")
+            for u, node, status in zip(us.tolist(), frame["node_id"], frame["status"]):
+                new.setdefault(u // 1000, []).append((u, int(node), bool(status == 1)))
+        for ms, got in new.items():
+            if self.reports.containsKey((ms,)):
+                got = [tuple(r) for r in self.reports.getValue((ms,))[0]] + got
+            self.reports.updateValue((ms,), (got,))
+            self.handle.registerTimer(ms + 1)
+            self.handle.registerTimer(ms + 1 + self.keep_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs() - 1
+        owner, last = self.owner.get() if self.owner.exists() else (None, None)
+        if not self.reports.containsKey((at,)):
+            if last is not None and at >= last + self.keep_ms:
+                self.owner.clear()
+            return
+        rows = []
+        for _, node, running in sorted(tuple(r) for r in self.reports.getValue((at,))[0]):
+            owner = node if owner is None else owner
+            reason = "other node" if node != owner else "" if running else "not running"
+            if reason:
+                rows.append((node, key[0], reason))
+        self.reports.removeKey((at,))
+        self.owner.update((owner, at))
+        if rows:
+            yield pd.DataFrame(rows, columns=["node_id", "job_id", "reason"])
 
-    return ok.groupBy("job_id").applyInPandasWithState(step, schema, "done boolean", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def running_report_stream(reports: DataFrame, queue: DataFrame) -> DataFrame:
+def running_report_stream(reports: DataFrame, queue: DataFrame, delay: str = "1 hour", keep_seconds: int = KEEP) -> DataFrame:
     """The J5 kill list of running-job reports as they arrive. A job of the
     queue without an owner is adopted by its first reporter (by time, then
-    node, within a micro-batch); the adoption is kept in the state, so later
-    batches see it. Reports of owned or unknown jobs need no state."""
+    node): its reports are judged once the watermark has passed them, so the
+    order in which they come doesn't matter; the adoption is kept for
+    ``keep_seconds`` after the job's last report. Reports of owned or unknown
+    jobs need no state and are judged at once."""
     q = queue.select(F.col("id").alias("job_id"), F.col("node_id").alias("_owner"), F.col("status").alias("_status"))
-    j = reports.join(q, "job_id", "left")
-    out = "node_id long, job_id string, reason string"
-
-    def step(key, frames, state):
-        rows = pd.concat(list(frames)).sort_values(["ts", "node_id"])
-        if not state.exists:
-            state.update((int(rows["node_id"].iloc[0]),))
-        other = rows["node_id"].to_numpy() != state.get[0]
-        idle = rows["_status"].to_numpy() != 1
-        reason = np.where(other, "other node", np.where(idle, "not running", ""))
-        yield pd.DataFrame({"node_id": rows["node_id"], "job_id": rows["job_id"], "reason": reason})[reason != ""]
-
-    adopted = (j.where(F.col("_status").isNotNull() & F.col("_owner").isNull()).groupBy("job_id")
-               .applyInPandasWithState(step, out, "owner long", "append", GroupStateTimeout.NoTimeout))
+    j = event_time(reports, "ts", delay).join(q, "job_id", "left")
+    free = j.where(F.col("_status").isNotNull() & F.col("_owner").isNull()).select("job_id", "node_id", "ts", F.col("_status").alias("status"), EVENT_TIME)
+    adopted = timed_state(free, "job_id", Adoptions(keep_seconds * 1000), "node_id long, job_id string, reason string")
     reason = (F.when(F.col("_status").isNull(), F.lit("job unknown"))
               .when(F.col("_owner") != F.col("node_id"), F.lit("other node"))
               .when(F.col("_status") != 1, F.lit("not running")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from crawlgrid.streaming.runner import EVENT_TIME, event_time
+from crawlgrid.streaming.runner import EVENT_TIME, event_time, millis, timed_state
 
 
 def node_liveness_stream(beats: DataFrame, gap: str = "60 seconds", delay: str = "1 hour") -> DataFrame:
@@ -24,51 +25,60 @@ def node_liveness_stream(beats: DataFrame, gap: str = "60 seconds", delay: str =
 
 
 STATE_OUT = "node_id long, event string, at timestamp"
-STATE_SCHEMA = "last_ms long, pending array<long>"
 
 
-def node_state_stream(beats: DataFrame, gap_seconds: int = 60, delay: str = "1 hour") -> DataFrame:
-    """Online / offline transition events per node.
+class NodeStates(StatefulProcessor):
+    """Beats wait as entries of a map until the watermark has passed them; an
+    entry is written and removed alone, however many wait. On its arrival a
+    beat sets the timers of itself and of the silence that may follow it (no
+    timer is set while timers fire: it would wait for the next batch). The
+    node's own state is its last beat."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.beats = handle.getMapState("beats", "ms long", "n int")
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times = sorted({ms for frame in rows for ms in millis(frame[EVENT_TIME]).tolist()})
+        for ms, following in zip(times, [*times[1:], None]):
+            if not self.beats.containsKey((ms,)):
+                self.beats.updateValue((ms,), (1,))
+                self.handle.registerTimer(ms + 1)
+                if following is None or following - ms >= self.gap_ms:
+                    self.handle.registerTimer(ms + self.gap_ms + 1)
+        return iter(())
 
-    The state holds the last beat and the beats that the watermark hasn't
-    passed yet. Beats are taken in order of time once it has (no earlier one
-    can arrive then), so the result doesn't depend on how the feed is cut
-    into micro-batches. A node goes offline at last beat + gap; a beat at
-    that very time or later opens a new period."""
-    gap_ms = gap_seconds * 1000
-
-    def step(key, frames, state):
-        node_id, mark = key[0], state.getCurrentWatermarkMs()
-        last, held = state.get if state.exists else (None, [])
-        beats_ms = np.array(held or [], dtype="int64")
-        if not state.hasTimedOut:
-            t = pd.concat(list(frames))[EVENT_TIME]
-            beats_ms = np.sort(np.concatenate([beats_ms, t.astype("datetime64[ns]").astype("int64").to_numpy() // 1_000_000]))
-        now, later = beats_ms[beats_ms < mark], beats_ms[beats_ms >= mark]
-        online, offline = now[:0], now[:0]
-        if len(now):
-            first = last is None
-            before = np.concatenate([[now[0] if first else last], now[:-1]])
-            new = now - before >= gap_ms
-            offline = before[new] + gap_ms
-            new[0] |= first
-            online = now[new]
-            last = int(now[-1])
-        if last is not None and last + gap_ms < mark:
-            offline = np.append(offline, last + gap_ms)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs() - 1
+        last = self.last.get()[0] if self.last.exists() else None
+        events = []
+        if last is not None and at >= last + self.gap_ms:
+            events.append(("offline", last + self.gap_ms))
             last = None
-        if last is None and not len(later):
-            if state.exists:
-                state.remove()
-        else:
-            state.update((last, [int(x) for x in later]))
-            due = [int(later[0])] if len(later) else []
-            state.setTimeoutTimestamp(max(mark, min(due + ([last + gap_ms] if last is not None else []))))
-        if len(online) or len(offline):
-            yield pd.DataFrame({"node_id": node_id, "event": ["offline"] * len(offline) + ["online"] * len(online),
-                                "at": pd.to_datetime(np.concatenate([offline, online]), unit="ms")})
+            self.last.clear()
+        if self.beats.containsKey((at,)):
+            self.beats.removeKey((at,))
+            if last is None:
+                events.append(("online", at))
+            self.last.update((at,))
+        if events:
+            yield pd.DataFrame({"node_id": [key[0]] * len(events), "event": [e for e, _ in events], "at": pd.to_datetime([t for _, t in events], unit="ms")})
+
+    def close(self) -> None:
+        pass
+
+
+def node_state_stream(beats: DataFrame, gap_seconds: int = 60, delay: str = "1 hour") -> DataFrame:
+    """Online / offline transition events per node.
 
+    Beats are taken in order of time once the watermark has passed them (no
+    earlier one can arrive then), so the result doesn't depend on how the feed
+    is cut into micro-batches. A node goes offline at last beat + gap; a beat
+    at that very time or later opens a new period."""
     b = event_time(beats, "ts", delay).select("node_id", EVENT_TIME)
-    return (b.groupBy("node_id")
-            .applyInPandasWithState(step, STATE_OUT, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    return (timed_state(b, "node_id", NodeStates(gap_seconds * 1000), STATE_OUT)
             .select("node_id", "event", F.col("at").cast("timestamp_ntz").alias("at")))

@@ -9,21 +9,83 @@ Sinks are idempotent per batch id: file sinks are exactly-once, and the
 
 from __future__ import annotations
 
+import time
+from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from crawlgrid.session import scratch_dir
 
 EVENT_TIME = "event_time"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_time(df: DataFrame, col: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Watermarked event-time column. Watermarks need TIMESTAMP (not NTZ); the
     session time zone is UTC, so the cast keeps wall-clock values."""
-    return df.withColumn(EVENT_TIME, F.col(col).cast("timestamp")).withWatermark(EVENT_TIME, delay)
+    return df.withColumn(EVENT_TIME, F.col(col).cast("timestamp")).withWatermark(EVENT_TIME, delay).observe(
+        "arrived", F.count(F.lit(1)).alias("rows"), F.min(EVENT_TIME).alias("earliest"), F.max(EVENT_TIME).alias("latest"))
+
+
+def millis(times: pd.Series) -> np.ndarray:
+    return times.astype("datetime64[ns]").astype("int64").to_numpy() // 1_000_000
+
+
+def timed_state(df: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """Keyed state with event-time timers on RocksDB, which keeps large state on
+    disk and writes changed entries alone."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", "eventTime")
+
+
+class StreamCounts(StreamingQueryListener):
+    """Rows read, rows that came behind the watermark and were dropped, rows in
+    the state and rows written to it by each batch, by query name; kept up to
+    date while the queries run.
+
+    Use as a context manager: the counts stand when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.rows, self.late, self.state, self.updated, self.observed = Counter(), Counter(), {}, {}, {}
+        self._running: set[str] = set()
+
+    def __enter__(self) -> StreamCounts:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        for _ in range(600):  # the events of a query come one after the other
+            if not self._running:
+                break
+            time.sleep(0.1)
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        self._running.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows[p.name] += p.numInputRows
+        self.late[p.name] += sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        self.state[p.name] = sum(o.numRowsTotal for o in p.stateOperators)
+        self.updated.setdefault(p.name, []).append(sum(o.numRowsUpdated for o in p.stateOperators))
+        for metric, row in p.observedMetrics.items():
+            self.observed.setdefault(p.name, []).append((p.batchId, metric, row.asDict()))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._running.discard(str(event.runId))
 
 
 def run_append(stream: DataFrame, name: str, trigger_once: bool = True) -> DataFrame:
@@ -31,7 +93,7 @@ def run_append(stream: DataFrame, name: str, trigger_once: bool = True) -> DataF
     spark = stream.sparkSession
     root = scratch_dir(spark, f"stream-{name}")
     w = (stream.writeStream.outputMode("append").format("parquet")
-         .option("path", root + "/out").option("checkpointLocation", root + "/checkpoint"))
+         .queryName(name).option("path", root + "/out").option("checkpointLocation", root + "/checkpoint"))
     q = (w.trigger(availableNow=True) if trigger_once else w).start()
     q.awaitTermination()
     return spark.read.parquet(root + "/out")
@@ -53,7 +115,7 @@ def run_batches(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], Dat
             (res.withColumn("batch_id", F.lit(batch_id).cast("long"))
              .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}"))
 
-    q = (stream.writeStream.outputMode(output_mode).foreachBatch(sink)
+    q = (stream.writeStream.queryName(name).outputMode(output_mode).foreachBatch(sink)
          .option("checkpointLocation", root + "/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     try:
@@ -92,3 +154,11 @@ def replay(df: DataFrame, time_col: str, parts: int = 4, jitter_seconds: int = 0
         part = keyed.where(low & high) if k else keyed.where(F.col("_at").isNull() | high)
         part.select(*cols).repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def arriving(*parts: DataFrame) -> DataFrame:
+    """A stream of tables that arrive one after the other, a micro-batch each."""
+    spark, path = parts[0].sparkSession, scratch_dir(parts[0].sparkSession, "feed")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)

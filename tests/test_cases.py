@@ -176,7 +176,7 @@ def test_batches_of_one(spark):
     assert rows(b, "batch_no", "rows", "delivered") == [(0, 1, True), (1, 1, True), (2, 1, True)]
     p = I.batch_payload(items, sizes)
     assert rows(p, "batch_no", "key", "values") == [(0, "a", ["1"]), (1, "a", ["2"]), (2, "a", ["3"])]
-    body = I.form_encode(p).where("batch_no = 0").collect()[0].body
+    body = I.form_bodies(items, sizes).where("batch_no = 0").collect()[0].body
     assert body == "a=1"
 
 
@@ -275,7 +275,7 @@ def test_error_count_zero_still_fails(spark):
 # ---------------------------------------------------------------- figure, plugins
 def test_figure_defaults(spark):
     jobs = spark.createDataFrame([(None, "sp")], "text string, name string")
-    f = jobs.select(J.figure(F.col("text"), F.col("name"), F.lit(None).cast("map<string,string>")).alias("f")).first().f
+    f = jobs.select(J.figure(J.stored_figure(F.col("text")), F.col("name"), F.lit(None).cast("map<string,string>")).alias("f")).first().f
     assert f.extra_requirements == [] and f.spider_parameters == {} and f.project_name is None and f.spider == "sp"
 
 
@@ -361,8 +361,8 @@ def test_long_keys_stay_distinct(spark):
 
 
 def test_seventy_parameters_get_their_own_ids(spark):
-    forms = spark.createDataFrame([(s, None, None, None, None, None, None, [f"k{i}" for i in range(70)], ["v"] * 70, None) for s in (1, 2)],
-                                  "spider_id long, concurrency string, timeout string, webhook_payload string, webhook_batch_size string, "
+    forms = spark.createDataFrame([(s, s, None, None, None, None, None, None, [f"k{i}" for i in range(70)], ["v"] * 70, None) for s in (1, 2)],
+                                  "form_id long, spider_id long, concurrency string, timeout string, webhook_payload string, webhook_batch_size string, "
                                   "tag string, extra_requirements string, param_keys array<string>, param_values array<string>, figure_json string")
     empty = lambda s: spark.createDataFrame([], s)
     got = L.settings_upsert(empty(SETTINGS), empty("id long, spider_id long, parameter_key string, value string"),

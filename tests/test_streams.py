@@ -2,10 +2,15 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from crawlgrid.functions.cron import cron_fires
+from crawlgrid.operators.lifecycle import enqueue
 from crawlgrid.session import scratch_dir
 from crawlgrid.sources import files
+from crawlgrid.sources.catalog import SCHEMAS
 from crawlgrid.streaming import feeds, jobs, liveness
-from crawlgrid.streaming.runner import run_append, run_batches
+from crawlgrid.streaming.runner import StreamCounts, run_append, run_batches
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -81,10 +86,22 @@ def test_cron_fires_between_batches(spark):
     projects = spark.createDataFrame([(1, "p")], "id long, name string")
     ticks = [[("00:00:00",), ("00:10:00",)], [("00:20:00",), ("00:30:00",)], [("00:15:00",)], [("00:31:00",)]]
     clock = feed(spark, "ts timestamp_ntz", *[[(at(c),) for (c,) in b] for b in ticks])
-    out = run_batches(clock, "t", feeds.cron_fire_batches(triggers, spiders, projects, scratch_dir(spark, "ends")))
+    settings = spark.createDataFrame([(1, 1, "tag", "t")], SETTINGS)
+    ends = scratch_dir(spark, "ends")
+    fn = feeds.cron_fire_batches(triggers, spiders, projects, settings, ends)
+    out = run_batches(clock, "t", fn)
     fires = sorted(r.fire_time for r in out.collect())
     assert fires == [at(f"00:{m:02d}:00") for m in range(0, 31, 5)]
-    assert out.select("job_id").distinct().count() == len(fires)
+    assert out.select("id").distinct().count() == len(fires)
+    assert out.drop("batch_id").columns == [f.name for f in SCHEMAS["spider_execution_queue"].fields]
+    assert {(r.tag, r.status, r.project_name, r.spider_name, r.update_time == r.fire_time) for r in out.collect()} == {("t", 0, "p", "s", True)}
+    # fired in one go: F2, then L1
+    requests = cron_fires(triggers, "2024-01-01 00:00:00", "2024-01-01 00:31:00").select(
+        F.concat_ws("@", F.col("id").cast("string"), F.col("fire_time").cast("string")).alias("req_key"), "spider_id", F.lit(None).alias("settings"))
+    assert {r.id for r in enqueue(requests, spiders, projects, settings, "2024-01-01").collect()} == {r.id for r in out.collect()}
+    # batch 1 again: its own ids
+    again = fn(spark.createDataFrame([(at(c),) for (c,) in ticks[1]], "ts timestamp_ntz"), 1)
+    assert {r.id for r in again.collect()} == {r.id for r in out.where("batch_id = 1").collect()}
 
 
 QUEUE = "id string, node_id long, status int"
@@ -92,26 +109,81 @@ REPORT = "completion_id long, job_id string, node_id long, status string, ts tim
 
 
 def test_first_valid_completion_wins(spark):
-    queue = spark.createDataFrame([("j", 5, 1), ("k", 5, 1)], QUEUE)
+    queue = spark.createDataFrame([("j", 5, 1), ("k", 5, 1), ("late", 5, 1), ("end", 5, 1)], QUEUE)
     batches = [[(1, "j", 6, "success", at("01:00:00")), (2, "k", 5, "nonsense", at("01:00:00"))],
                [(3, "j", 5, "success", at("01:00:30")), (4, "j", 5, "fail", at("01:00:31"))],
-               [(5, "j", 5, "fail", at("05:00:00")), (6, "k", 5, "fail", at("05:00:00"))]]
-    for cut in (batches, [sum(batches, [])]):
+               [(5, "j", 5, "fail", at("01:20:00")), (6, "k", 5, "fail", at("01:30:00"))],
+               [(7, "k", 5, "success", at("01:29:59")), (8, "j", 5, "fail", at("01:00:30"))],  # out of order
+               [(9, "end", 5, "success", at("23:00:00"))], [(11, "end", 5, "fail", at("23:00:01"))], [(10, "late", 5, "success", at("21:59:00"))]]
+    for cut in (batches, [sum(batches[:4], []), *batches[4:]], [batches[3], *batches[:3], *batches[4:]]):
         got = run_append(jobs.completion_stream(feed(spark, REPORT, *cut), queue), "t").collect()
-        assert sorted((r.completion_id, r.status_code) for r in got) == [(3, 2), (6, 3)]
+        assert sorted((r.completion_id, r.status_code) for r in got) == [(3, 2), (7, 2)]  # the batch operator's answer
+
+
+def test_settled_jobs_leave_the_state(spark):
+    queue = spark.createDataFrame([(f"j{k}", 5, 1) for k in range(30)], QUEUE)
+    batches = [[(10 * h + k, f"j{10 * h + k}", 5, "success", at(f"0{3 * h + 1}:00:00")) for k in range(10)] for h in range(3)]
+    batches += [[(99, "j0", 5, "fail", at("20:00:00"))]]
+    state = []
+    for keep in (1800, 30 * 86_400):
+        with StreamCounts(spark) as counts:
+            got = run_append(jobs.completion_stream(feed(spark, REPORT, *batches), queue, keep_seconds=keep), "t5").collect()
+        state.append(counts.state["t5"])
+        assert {r.completion_id for r in got} == set(range(30))
+    assert state[0] <= 4 < 30 <= state[1]  # the last report alone; every job ever settled
 
 
 def test_adoption_is_kept(spark):
-    queue = spark.createDataFrame([("j", None, 1), ("o", 5, 1), ("w", None, 0)], QUEUE)
+    queue = spark.createDataFrame([("j", None, 1), ("o", 5, 1), ("w", None, 0), ("end", None, 1)], QUEUE)
     rep = "node_id long, job_id string, ts timestamp_ntz"
     batches = [[(2, "j", at("01:00:00")), (5, "o", at("01:00:00"))], [(3, "j", at("01:01:00")), (4, "x", at("01:01:00"))],
                [(2, "j", at("01:02:00")), (6, "o", at("01:02:00")), (7, "w", at("01:03:00"))]]
-    for cut in (batches, [sum(batches, [])]):
-        got = run_append(jobs.running_report_stream(feed(spark, rep, *cut), queue), "t").collect()
+    end = [(9, "end", at("23:00:00"))]
+    for cut in (batches, [sum(batches, [])], batches[::-1]):
+        got = run_append(jobs.running_report_stream(feed(spark, rep, *cut, end), queue), "t").collect()
         assert sorted((r.node_id, r.job_id, r.reason) for r in got) == [
             (3, "j", "other node"), (4, "x", "job unknown"), (6, "o", "other node"), (7, "w", "not running")]
 
 
+def test_adoptions_are_forgotten(spark):
+    queue = spark.createDataFrame([("j", None, 1), ("end", None, 1)], QUEUE)
+    rep = "node_id long, job_id string, ts timestamp_ntz"
+    cut = [[(2, "j", at("01:00:00"))], [(3, "j", at("05:00:00"))], [(9, "end", at("20:00:00"))], [(9, "end", at("23:00:00"))]]
+    for keep, want in ((3600, []), (86_400, [3])):
+        with StreamCounts(spark) as counts:
+            got = run_append(jobs.running_report_stream(feed(spark, rep, *cut), queue, keep_seconds=keep), "t8").collect()
+        assert [r.node_id for r in got] == want
+        assert counts.late["t8"] == 0
+
+
+def test_late_rows_are_counted(spark):
+    # a batch's rows are held against the watermark that the batch before it began with
+    beats = [[(1, at("05:00:00")), (1, at("04:10:00"))], [(1, at("05:00:01"))], [(1, at("04:30:00")), (2, at("03:59:00")), (1, at("01:00:00"))],
+             [(3, at("23:00:00"))], [(3, at("23:00:01"))], [(3, at("10:00:00"))]]
+    for stream in (lambda f: liveness.node_state_stream(f, 60, "1 hour"), lambda f: liveness.node_liveness_stream(f, "60 seconds", "1 hour")):
+        with StreamCounts(spark) as counts:
+            run_append(stream(feed(spark, BEAT, *beats)), "late")
+        assert counts.late["late"] == 3 and counts.rows["late"] == 9
+        seen = [m for _, name, m in counts.observed["late"] if name == "arrived"]
+        assert sum(m["rows"] for m in seen) == 9 and min(m["earliest"] for m in seen if m["earliest"]).hour == 1
+    events = [[("j", 1, "start", at("05:00:00"))], [("o", 1, "update", at("05:00:01"))], [("j", 1, "update", at("05:00:30")), ("k", 1, "start", at("04:00:00"))], [LAST]]
+    settings = spark.createDataFrame([(1, 1, "timeout", "30")], SETTINGS)
+    with StreamCounts(spark) as counts:
+        run_append(jobs.job_timeout_stream(feed(spark, EVENT, *events), settings, "10 minutes"), "late3")
+    assert counts.late["late3"] == 1
+
+
+def test_waiting_beats_are_not_rewritten(spark):
+    """A node with very many beats that wait: each batch writes its own only."""
+    n, cut = 4_000, []
+    for k in range(4):
+        cut.append([(1, T0 + dt.timedelta(milliseconds=100 * (k * n // 4 + i))) for i in range(n // 4)])
+    with StreamCounts(spark) as counts:
+        got = run_append(liveness.node_state_stream(feed(spark, BEAT, *cut, [END]), 60, "1 hour"), "many").collect()
+    assert sorted((r.event, r.at) for r in got if r.node_id == 1) == [("offline", cut[-1][-1][1] + dt.timedelta(seconds=60)), ("online", T0)]
+    assert counts.updated["many"][0] <= 2.1 * n / 4 and max(counts.updated["many"][1:4]) <= 2.1 * n / 4
+
+
 def ingested(spark, store):
     items = sorted((r.job_id, r.line_no, r.raw, r.bad) for r in feeds.ingested_items(spark, store).collect())
     counts = {r.job_id: (r.lines, r.bad_lines) for r in feeds.ingested_counts(spark, store).collect()}
