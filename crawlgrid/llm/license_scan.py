@@ -1,16 +1,17 @@
 """License notices found by conditional compression.
 
-A text that holds a cue is searched whole, as one sequence of words. A block
-starts at any template word, wherever its line began or ends, and is as long
-as the template may need; where enough of its words are the template's, it is
-compared word by word, and the wording is near if the missing and extra words
-are within ``TOLERANCE`` of the template's length. The longest stretch of near
-wording at a start, and nothing else of its line, is compressed by zstandard,
-alone and with each template as raw dictionary: the nearer the wording, the
-smaller the second size. The near template with the greatest reduction is the
-finding. Both sides are compressed as lower-case words, so that line breaks
-and comment marks don't matter. The search goes on at the word behind a
-finding; no number of findings, templates or lines is capped.
+A text that holds a cue is searched whole, as one sequence of words. A
+candidate block starts at any template word, wherever its line began or ends,
+is as long as the template, and has enough of its words (a cheap count of
+words, in any order, that leaves out no near wording). Each block is
+compressed by zstandard, alone and with the template as raw dictionary; the
+templates are ranked by the bytes that this saves, and the winners are
+confirmed in this order by the exact wording: the first whose missing and
+extra words are within ``TOLERANCE`` of the template's length is the finding.
+``size_reduction`` is the share saved on the finding's own words. All is
+compressed as lower-case words, so that line breaks and comment marks don't
+matter. The search goes on at the word behind a finding; no number of
+findings, templates or lines is capped.
 
 One row for each finding. Null and empty texts have none; repeated rows are
 searched each by itself.
@@ -23,7 +24,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textbuf import returning
+
 # Short notices as their licenses (or their stewards) word them.
 TEMPLATES = {
     "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -46,11 +49,18 @@ TEMPLATES = {
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MIT": "Released under the MIT License.",
+    "MIT-terms": "Distributed under the terms of the MIT license.",
+    "MIT-warranty": "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-CUE = r"(?i)licen[sc]e|permission|redistribution|copyright|public\W+domain|SPDX"
+# fixed values: identifiers that a line "SPDX-License-Identifier: ..." may name
+IDENTIFIERS = ("AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+               "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later",
+               "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+TEMPLATES.update({f"SPDX-{name}": f"SPDX-License-Identifier: {name}" for name in IDENTIFIERS})
+CUE = r"(?i)licen[sc]e|permission|redistribution|copyright|warrant|public\W+domain|SPDX"
 LEVEL = 3
 TOLERANCE = 0.1
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -75,11 +85,22 @@ class Scanner:
         self.member = {k: np.array([*(w in c for w in self.number), False]) for k, c in self.counts.items()}
         self.cue = re.compile(CUE)
 
+    def saved(self, words: Sequence[str], name: str) -> tuple[int, int]:
+        """(bytes that the template saves, bytes without it) of compressed words."""
+        raw = " ".join(words).encode()
+        size = len(self.alone.compress(raw))
+        return size - len(self.with_template[name].compress(raw)), size
+
     def reductions(self, window: str) -> list[tuple[float, str]]:
         """Share of the window's compressed size that each template saves, the most first."""
-        raw = " ".join(word_list(window)).encode()
-        size = len(self.alone.compress(raw))
-        return sorted(((1 - len(c.compress(raw)) / size, k) for k, c in self.with_template.items()), key=lambda x: (-x[0], -len(self.wording[x[1]]), x[1]))
+        words = word_list(window)
+        shares = [(name, *self.saved(words, name)) for name in self.wording]
+        return sorted(((n / size, name) for name, n, size in shares), key=lambda x: (-x[0], -len(self.wording[x[1]]), x[1]))
+
+    def ranked(self, words: list[str], s: int, names: Iterable[str]) -> list[str]:
+        """The templates of a block's start by the bytes they save on their block, most first."""
+        saved = {name: self.saved(words[s:s + len(self.wording[name])], name)[0] for name in names}
+        return sorted((n for n in saved if saved[n] > 0), key=lambda n: (-saved[n], -len(self.wording[n]), n))
 
     def wording_gap(self, words: list[str], name: str) -> tuple[int, int, int] | None:
         """(missing, extra, end) of the template in the words from their start on."""
@@ -116,25 +137,23 @@ class Scanner:
         for s in sorted(starts):
             if s < free:
                 continue
-            near = later.pop(s, {})
-            for name in starts[s]:
-                block = words[s:s + self.room[name]]
-                if (self.counts[name] & Counter(block)).total() < self.least[name]:
-                    continue
-                gap = self.wording_gap(block, name)
-                if not gap or gap[0] + gap[1] > TOLERANCE * len(self.wording[name]):
+            known = later.pop(s, {})  # near wording that an earlier block met here
+            for name in self.ranked(words, s, {*starts[s], *known}):
+                found, gap = known.get(name), self.wording_gap(words[s:s + self.room[name]], name)
+                if gap and gap[0] + gap[1] <= TOLERANCE * len(self.wording[name]):
+                    missing, extra, end = gap
+                    lead = end - extra - (len(self.wording[name]) - missing)
+                    if lead:  # begins at a later start, which is tried by itself
+                        later.setdefault(s + lead, {}).setdefault(name, (missing, extra, end - lead))
+                    else:
+                        found = gap
+                if not found:
                     continue
-                missing, extra, end = gap
-                lead = end - extra - (len(self.wording[name]) - missing)
-                if lead:  # begins at a later start, which is tried by itself
-                    later.setdefault(s + lead, {}).setdefault(name, (missing, extra, end - lead))
-                else:
-                    near[name] = gap
-            if near:
-                saved, name = next(x for x in self.reductions(" ".join(words[s:s + max(g[2] for g in near.values())])) if x[1] in near)
-                missing, extra, end = near[name]
-                yield line[s], line[s + end - 1], name, saved, missing, extra
+                missing, extra, end = found
+                n, size = self.saved(words[s:s + end], name)
+                yield line[s], line[s + end - 1], name, n / size, missing, extra
                 free = s + end
+                break
 
 
 FOUND = "first_line long, last_line long, license string, size_reduction double, missing_words long, extra_words long"
@@ -158,4 +177,4 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, text_col: st
                     rows.append(found)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=schema.names)
 
-    return df.mapInArrow(run, schema).select("r.*", *extra.names)
+    return df.mapInArrow(returning(run), schema).select("r.*", *extra.names)

@@ -1,6 +1,7 @@
 """Tokenizer, archives, vectors, licenses, classifier and pipeline, awkward rows included."""
 
 import base64
+import difflib
 import gzip
 import math
 import random
@@ -212,6 +213,54 @@ def test_license_notices_wrapped_anywhere(spark, mark):
     assert [r.license for r in license_scan.scan(corpus.frame(spark, [(1, last)])).collect()] == ["Unlicense"]
 
 
+def brute_licenses(text):
+    """Every template at every word, ranked by what it saves, the first of near wording taken."""
+    tool, words, out, s = license_scan.Scanner(license_scan.TEMPLATES), license_scan.word_list(text), [], 0
+    while s < len(words):
+        step = 1
+        for name in tool.ranked(words, s, license_scan.TEMPLATES):
+            template, block = tool.wording[name], words[s:s + tool.room[name]]
+            runs = [m for m in difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
+            if not runs or runs[0].b:
+                continue
+            same, end = sum(m.size for m in runs), runs[-1].b + runs[-1].size
+            if len(template) - same + end - same <= license_scan.TOLERANCE * len(template):
+                out.append((name, s, len(template) - same, end - same))
+                step = end
+                break
+        s += step
+    return out
+
+
+def test_license_scan_against_every_place():
+    r = random.Random(12)
+    names = list(license_scan.TEMPLATES)
+    prose = ["the", "license", "software", "of", "warranty", "and", "river", "copyright", "under", "permission", "4.0", "MIT"]
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            parts += r.choices(prose, k=r.randint(0, 25))
+            notice = license_scan.TEMPLATES[r.choice(names)].split()
+            for _ in range(r.choice([0, 0, 1, 2, 5])):  # some stay near, some don't
+                k = r.randrange(len(notice))
+                notice[k:k + r.randint(0, 1)] = r.choices(prose, k=r.randint(0, 1))
+                notice = notice or ["x"]
+            parts += notice
+        text = " license " + " ".join(parts)
+        got = [(name, missing, extra) for _, _, name, _, missing, extra in license_scan.Scanner(license_scan.TEMPLATES).scan(text)]
+        assert got == [(name, missing, extra) for name, _, missing, extra in brute_licenses(text)], text
+
+
+@pytest.mark.parametrize("text, name", [
+    ("# SPDX-License-Identifier: MIT", "SPDX-MIT"), ("/* SPDX-License-Identifier: GPL-2.0-or-later */ int x;", "SPDX-GPL-2.0-or-later"),
+    ("Distributed under the terms of the MIT license.", "MIT-terms"),
+    ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\n"
+     "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "MIT-warranty")])
+def test_license_identifiers_and_warranty(text, name):
+    assert [n for _, _, n in found_in(text)] == [name]
+    assert found_in("SPDX-License-Identifier: of no known license") == []
+
+
 def test_license_reduction_ranks_the_own_template_first():
     tool = license_scan.Scanner(license_scan.TEMPLATES)
     for name, text in license_scan.TEMPLATES.items():
