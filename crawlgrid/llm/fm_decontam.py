@@ -12,8 +12,8 @@ once; occurrences are located by walking to a sampled position and merged to
 removal spans.
 
 The benchmark is the stated query set: it is read in blocks of at most
-``BLOCK_BYTES`` of text, each of which is sent to the tasks and searched in
-all documents; documents aren't shuffled. Null texts have no words and items
+``BLOCK_BYTES`` of text, one after the other, each of which is sent to the
+tasks and searched in all documents; texts aren't shuffled. Null texts have no words and items
 without words have no windows; repeated rows are kept and each judged by
 itself. Items of the same id count once; an item with a null id marks words
 but cannot be named, so it isn't listed.
@@ -22,6 +22,7 @@ but cannot be named, so it isn't listed.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbuf import ALNUM, LOWER, buffer_of, hashed_words, ragged, returning, runs, slices
+from crawlgrid.session import scratch_dir
+
+from .textbuf import ALNUM, LOWER, buffer_of, hashed_words, prefix, ragged, returning, runs, slices, window_hash
 
 WINDOW_WORDS = 13
 BLOCK_BYTES = 8 << 20
@@ -118,25 +121,36 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of one block of benchmark items, as symbols."""
+    """The windows of one block of benchmark items, as symbols; of each window
+    the items that have it (by place in ``texts``), one window after the other."""
 
-    def __init__(self, texts: list[str | None], n: int):
+    def __init__(self, texts: Sequence[str | None], n: int):
         buf, offs = buffer_of(pa.array(texts, pa.large_string()))
         _, _, rows, hashes = hashed_words(buf, offs, ALNUM, fold=LOWER)
         self.vocab, symbols = np.unique(hashes, return_inverse=True)
         symbols = symbols + 2
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item in range(len(texts)):
-            a, b = np.searchsorted(rows, (item, item + 1))
-            seq = symbols[a:b].tolist()
-            for k in range(max(1, len(seq) - n + 1) if seq else 0):
-                found.setdefault(tuple(seq[k:k + n]), set()).add(item)
-        self.lens = np.array([len(w) for w in found], np.int64)
-        self.windows = np.zeros((len(found), n), np.int64)
-        for k, w in enumerate(found):
-            self.windows[k, n - len(w):] = w
-        self.items = [sorted(x) for x in found.values()]
-        self.shortest = int(self.lens.min()) if len(found) else 0
+        count = np.bincount(rows, minlength=len(texts))
+        stop = np.cumsum(count)
+        at = np.arange(len(rows))
+        # every place with n words of its item behind it; else the item's begin
+        at = at[(at + n <= stop[rows]) | (at == (stop - count)[rows])] if len(at) else at
+        size = np.minimum(n, stop[rows[at]] - at)
+        key = window_hash(prefix(hashes), at, at + size)
+        order = np.lexsort((rows[at], key))
+        key, owner = key[order], rows[at][order]
+        new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
+        keep = new | np.concatenate(([True], owner[1:] != owner[:-1])) if len(key) else new  # an item counts once
+        first = order[new]
+        self.lens = size[first]
+        place = at[first, None] + np.arange(n) - (n - self.lens[:, None])
+        self.windows = np.where(np.arange(n) >= n - self.lens[:, None], symbols[np.maximum(place, 0)] if len(symbols) else 0, 0)
+        window = np.cumsum(new) - 1
+        self.owners = owner[keep]
+        self.owner_cut = np.concatenate(([0], np.cumsum(np.bincount(window[keep], minlength=len(first)))))
+        self.shortest = int(self.lens.min()) if len(first) else 0
+
+    def items(self, window: int) -> list[int]:
+        return self.owners[self.owner_cut[window]:self.owner_cut[window + 1]].tolist()
 
     def scan(self, buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]], set[int]]]:
         """(row, words, merged word spans, items) of the rows; words only where nothing occurs."""
@@ -174,61 +188,103 @@ class Phrases:
                     row = int(row_at[s])
                     spans.setdefault(row, []).append((int(s - row - base[row]), int(e - row - base[row])))
                 for row, w in np.unique(np.stack((rows[first], which)), axis=1).T.tolist():
-                    items.setdefault(row, set()).update(self.items[w])
+                    items.setdefault(row, set()).update(self.items(w))
         for row in range(n_rows):
             yield row, int(count[row]), spans.get(row, []), items.get(row, set())
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+SPANS = "array<struct<start:long,end:long>>"
+FOUND = f"n_words long, spans {SPANS}, item_ids array<long>"
+SPAN_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
 
+@dataclass
+class Block:
+    """Items of the benchmark. A worker builds the windows when it first needs
+    them; what travels is the items' text, ``BLOCK_BYTES`` at most."""
+    ids: list[int | None]
+    texts: list[str | None]
+    n: int
+    phrases: Phrases | None = None
 
-RESULT = "n_words long, spans array<struct<start:long,end:long>>, item_ids array<long>, n_items long"
+    def scan(self, texts: pa.Array) -> Iterator[tuple[int, list, list[int]]]:
+        """(words, merged spans, named items) of each text."""
+        if self.phrases is None:
+            self.phrases = Phrases(self.texts, self.n)
+        _, offs = buffer_of(texts)
+        for i, j in slices(offs):
+            for _, count, spans, items in self.phrases.scan(*buffer_of(texts.slice(i, j - i))):
+                yield count, [{"start": s, "end": e} for s, e in spans], sorted({self.ids[x] for x in items if self.ids[x] is not None})
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """For each row: ``carry`` columns, the text's number of words, merged spans
-    of word positions inside occurrences, and the items that occur."""
+    of word positions inside occurrences, and the items that occur.
+
+    A benchmark of several blocks is searched block by block: only one is held
+    at a time, and what it finds is written to the shared folder by the text's
+    digest (equal texts have equal spans), to be joined to the rows at the end."""
+    spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    inner = T.StructType([T.StructField("r", docs.select(*carry).schema), T.StructField("t", docs.select(text_col).schema[0].dataType)])
-    out = docs.select(F.struct(*carry).alias("r"), F.col(text_col).alias("t"))
-    for k in range(blocks):
+
+    def block(k: int) -> Block:
         # by id and text, so that one id's many items don't make a block large
         part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
         items = part.collect()
-        out = _scan_block(out, inner, Phrases([r.text for r in items], n), [r.item_id for r in items], k == 0, k == blocks - 1)
-    return out.select("r.*", "n_words", "spans", "item_ids", "n_items")
+        return Block([r.item_id for r in items], [r.text for r in items], n)
+
+    rows = docs.select(F.struct(*carry).alias("r"), F.col(text_col).alias("t"))
+    if blocks == 1:
+        return _all_rows(rows, block(0)).select("r.*", "n_words", "spans", "item_ids", F.size("item_ids").cast("long").alias("n_items"))
+    folder, key = scratch_dir(spark, "decontamination"), F.sha2(F.coalesce("t", F.lit("")), 256).alias("key")
+    _all_rows(rows.select(F.struct("r", key).alias("r"), "t"), block(0)).write.parquet(f"{folder}/rows")
+    for k in range(1, blocks):
+        _hits(rows.select(key, "t"), block(k)).dropDuplicates(["key"]).write.parquet(f"{folder}/hits/block={k}")
+    more = (spark.read.parquet(f"{folder}/hits").groupBy("key")
+            .agg(F.flatten(F.collect_list("spans")).alias("more_spans"), F.flatten(F.collect_list("item_ids")).alias("more_items")))
+    more.write.parquet(f"{folder}/more")  # so that the join can split a text that many rows share
+    base = spark.read.parquet(f"{folder}/rows").select("r.r", "r.key", "n_words", "spans", "item_ids")
+    met = base.join(spark.read.parquet(f"{folder}/more"), "key", "left")
+    spans = F.concat("spans", F.coalesce("more_spans", F.array().cast(SPANS)))
+    items = F.array_sort(F.array_distinct(F.concat("item_ids", F.coalesce("more_items", F.array().cast("array<long>")))))
+    return met.select("r.*", "n_words", merged(spans).alias("spans"), items.alias("item_ids"), F.size(items).cast("long").alias("n_items"))
+
+
+def merged(spans: F.Column) -> F.Column:
+    """Spans that meet or overlap made one, ascending."""
+    last = lambda a: F.element_at(a, -1)
+    joined = lambda a, s: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"))))
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS),
+                       lambda a, s: F.when((F.size(a) > 0) & (s["start"] <= F.get(a, F.size(a) - 1)["end"]), joined(a, s)).otherwise(F.concat(a, F.array(s))))
+
+
+def _all_rows(rows: DataFrame, block: Block) -> DataFrame:
+    """(r, t) -> r and FOUND of every row."""
+    schema = T.StructType([rows.schema.fields[0], *T._parse_datatype_string(FOUND).fields])
+    shared = rows.sparkSession.sparkContext.broadcast(block)  # BLOCK_BYTES at most
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = list(zip(*shared.value.scan(batch.column(1)))) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(got, (pa.int64(), SPAN_ARROW, pa.list_(pa.int64()))))], names=schema.names)
+
+    return rows.mapInArrow(returning(run), schema)
 
-def _scan_block(df: DataFrame, inner: T.StructType, phrases: Phrases, ids: list[int | None], first: bool, last: bool) -> DataFrame:
-    extra = T._parse_datatype_string(RESULT)
-    schema = T.StructType([*(inner.fields[:1] if last else inner.fields), *extra.fields])
-    kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.int64()), pa.int64()]
+
+def _hits(rows: DataFrame, block: Block) -> DataFrame:
+    """(key, t) -> key, spans and items of the texts in which something occurs."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offs = buffer_of(batch.column(1))
-            for i, j in slices(offs):
-                cols = [[], [], [], []]
-                for row, count, spans, items in phrases.scan(*buffer_of(batch.column(1).slice(i, j - i))):
-                    named = {ids[x] for x in items if ids[x] is not None}
-                    if not first:
-                        spans = merged(spans + [(s["start"], s["end"]) for s in batch.column(3)[i + row].as_py()])
-                        named |= set(batch.column(4)[i + row].as_py())
-                    for c, v in zip(cols, (count, [{"start": s, "end": e} for s, e in spans], sorted(named), len(named))):
-                        c.append(v)
-                keep = [batch.column(c).slice(i, j - i) for c in range(1 if last else 2)]
-                yield pa.RecordBatch.from_arrays(keep + [pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.name for f in schema.fields])
-
-    return df.mapInArrow(returning(run), schema)
+            hit = [(k, spans, items) for k, (_, spans, items) in enumerate(shared.value.scan(batch.column(1))) if spans]
+            at, spans, items = zip(*hit) if hit else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(spans, SPAN_ARROW), pa.array(items, pa.list_(pa.int64()))],
+                                             names=["key", "spans", "item_ids"])
+
+    return rows.mapInArrow(returning(run), f"key string, spans {SPANS}, item_ids array<long>")
 
 
 def verdicts(found: DataFrame) -> DataFrame:

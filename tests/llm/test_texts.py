@@ -84,7 +84,7 @@ def test_slices_meet(monkeypatch):
 ITEMS = [(1, ROWS[0][1]), (2, "abc de"), (3, ""), (4, None), (5, " ".join(["Ünïcode ﷺ 😀"] * 9)), (None, ROWS[20][1]), (10, ROWS[3][1]), (10, ROWS[4][1]), (11, ROWS[0][1])]
 
 
-@pytest.mark.parametrize("block", [8 << 20, 300])
+@pytest.mark.parametrize("block", [8 << 20, 300, 100])
 def test_decontamination(spark, docs, empty, block, monkeypatch):
     monkeypatch.setattr(fm_decontam, "BLOCK_BYTES", block)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
