@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .textbuf import LOWER, SPACED, buffer_of, hashed_words, mix64, slices
+from .textbuf import LOWER, SLICE_BYTES, SPACED, buffer_of, hashed_words, mix64, slices
 
 DEPTH = 5
 END = 0xFF  # no UTF-8 text has this byte: end of text, and what lies before its start
@@ -101,6 +101,19 @@ def strings(low: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return g[own[DEPTH:]]
 
 
+def string_pieces(low: np.ndarray, offs: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, byte string) of each byte and end; one long text in pieces of
+    ``size`` bytes, each read with the context before it."""
+    if len(offs) > 2 or len(low) <= size:
+        yield np.repeat(np.arange(len(offs) - 1), np.diff(offs) + 1), strings(low, offs)
+        return
+    for a in range(0, len(low), size):
+        b, before = min(a + size, len(low)), min(a, DEPTH)
+        got = strings(low[a - before:b], np.array([0, b - a + before]))[before:]
+        got = got if b == len(low) else got[:-1]
+        yield np.zeros(len(got), np.int64), got
+
+
 class Shelf:
     """Distinct words and byte strings of a bucket with their training counts;
     with ``keep`` also where in the texts they stand, slice by slice."""
@@ -115,15 +128,22 @@ class Shelf:
             words_, w = np.unique(hashes, return_inverse=True)
             got[0].append(words_)
             got[1].append(np.bincount(w, train[rows], len(words_)).astype(np.int64))
-            grams, g = np.unique(strings(low, offs), return_inverse=True)
-            got[2].append(grams)
-            got[3].append(np.bincount(g, np.repeat(train, np.diff(offs) + 1), len(grams)).astype(np.int64))
+            pieces = []
+            for mark, g in string_pieces(low, offs, SLICE_BYTES // 2):
+                grams, g = np.unique(g, return_inverse=True)
+                got[2].append(grams)
+                got[3].append(np.bincount(g, train[mark], len(grams)).astype(np.int64))
+                if keep:
+                    pieces.append((mark.astype(np.int32), grams, g.astype(np.int32)))
             if keep:
-                self.kept.append((offs, rows, words_, w.astype(np.int32), grams, g.astype(np.int32)))
+                self.kept.append((offs, rows, words_, w.astype(np.int32), pieces))
         z = np.zeros(0, np.int64)
-        cat = [np.concatenate(x) if x else z for x in got]
-        self.words, self.word_counts = summed(cat[0].astype(np.uint64), cat[1])
-        self.grams, self.gram_counts = summed(cat[2].astype(np.uint64), cat[3])
+        def whole(kind: type) -> np.ndarray:
+            slices_ = got.pop(0)  # each list goes before the next one is joined
+            return np.concatenate(slices_).astype(kind, copy=False) if slices_ else z.astype(kind)
+
+        self.words, self.word_counts = summed(whole(np.uint64), whole(np.int64))
+        self.grams, self.gram_counts = summed(whole(np.uint64), whole(np.int64))
         part = X.part_of(mix64(self.grams >> np.uint64(8) & np.uint64(0xFFFF)), parts)
         self.order = np.argsort(part, kind="stable")  # ascending strings in each partition
         self.gram_cut = np.searchsorted(part[self.order], np.arange(parts + 1))
@@ -325,13 +345,13 @@ def scores(table: pa.Table, answer: pa.Table, parts: int) -> list:
     for p, data in X.answers(answer, 2):
         log[got.order[got.gram_cut[p]:got.gram_cut[p + 1]]] = np.frombuffer(unpack(data), np.float64)
     cols: list[list[np.ndarray]] = [[], [], [], [], []]
-    for offs, rows, words_, w, grams, g in got.kept:
+    for offs, rows, words_, w, pieces in got.kept:
         m = len(offs) - 1
         c = total[np.searchsorted(got.words, words_)][w]
         count = np.bincount(rows, minlength=m)
-        mark = np.repeat(np.arange(m), np.diff(offs) + 1)
+        logs = sum(np.bincount(mark, log[np.searchsorted(got.grams, grams)][g], m) for mark, grams, g in pieces)
         parts_ = (count, np.bincount(rows, c > 0, m), np.bincount(rows, np.log10(c + ADD), m) - count * np.log10(n + ADD * (v + 1)),
-                  np.bincount(mark, log[np.searchsorted(got.grams, grams)][g], m), np.diff(offs))
+                  logs, np.diff(offs))
         for col, x in zip(cols, parts_):
             col.append(x)
     n_tokens, known, base, score, size = (np.concatenate(x) for x in cols)
