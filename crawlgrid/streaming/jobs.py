@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType
 
 from crawlgrid.constants import DEFAULT_JOB_TIMEOUT, KILL_GRACE, UPDATE_GRACE
 from crawlgrid.operators.aggregates import dedupe_eav
@@ -121,6 +122,13 @@ class FirstReports(StatefulProcessor):
         self.best = handle.getValueState("best", self.schema)
         self.settled = handle.getValueState("settled", "ms long")
 
+    @staticmethod
+    def _plain(value, kind):
+        """pandas keeps integers beside nulls as floats; the state wants its own types."""
+        if pd.isna(value):
+            return None
+        return int(value) if isinstance(kind, IntegralType) else value
+
     def _rank(self, row) -> tuple:
         return row[self.schema.names.index("ts")], row[self.schema.names.index(self.tie)]
 
@@ -131,7 +139,7 @@ class FirstReports(StatefulProcessor):
         best = held
         for frame in rows:
             frame = frame.sort_values(["ts", self.tie]).head(1).astype(object)
-            row = tuple(None if pd.isna(x) else x for x in frame.iloc[0][self.schema.names])
+            row = tuple(self._plain(frame.iloc[0][f.name], f.dataType) for f in self.schema.fields)
             best = row if best is None or self._rank(row) < self._rank(best) else best
         if best is not held:
             self.best.update(best)
@@ -153,7 +161,7 @@ class FirstReports(StatefulProcessor):
         if ms <= at:
             self.best.clear()
             self.settled.update((ms,))
-            yield pd.DataFrame([best], columns=self.schema.names)
+            yield pd.DataFrame([best], columns=self.schema.names, dtype=object)
 
     def close(self) -> None:
         pass

@@ -113,11 +113,11 @@ def test_first_valid_completion_wins(spark):
     batches = [[(1, "j", 6, "success", at("01:00:00")), (2, "k", 5, "nonsense", at("01:00:00"))],
                [(3, "j", 5, "success", at("01:00:30")), (4, "j", 5, "fail", at("01:00:31"))],
                [(5, "j", 5, "fail", at("01:20:00")), (6, "k", 5, "fail", at("01:30:00"))],
-               [(7, "k", 5, "success", at("01:29:59")), (8, "j", 5, "fail", at("01:00:30"))],  # out of order
+               [(7, "k", None, "success", at("01:29:59")), (8, "j", 5, "fail", at("01:00:30"))],  # out of order
                [(9, "end", 5, "success", at("23:00:00"))], [(11, "end", 5, "fail", at("23:00:01"))], [(10, "late", 5, "success", at("21:59:00"))]]
     for cut in (batches, [sum(batches[:4], []), *batches[4:]], [batches[3], *batches[:3], *batches[4:]]):
         got = run_append(jobs.completion_stream(feed(spark, REPORT, *cut), queue), "t").collect()
-        assert sorted((r.completion_id, r.status_code) for r in got) == [(3, 2), (7, 2)]  # the batch operator's answer
+        assert sorted((r.completion_id, r.node_id, r.status_code) for r in got) == [(3, 5, 2), (7, None, 2)]  # the batch operator's answer
 
 
 def test_settled_jobs_leave_the_state(spark):
