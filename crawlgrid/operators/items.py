@@ -84,8 +84,15 @@ def item_batches(items: DataFrame, sizes: DataFrame, memory_limit: int | None =
     """
     lines = annotate_lines(items, sizes)
     stats = lines.groupBy("job_id", "batch_no").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
-    fail = first_failures(lines, memory_limit)
+        F.count(F.lit(1)).alias("rows"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"),
+        F.min(F.when(F.col("_item").isNull(), F.col("line_no"))).alias("_bad_line"))
+    if memory_limit is None:
+        # the least bad line of a job's batches; all columns are kept in the
+        # struct, so that both readers of the aggregate share its shuffle
+        worst = F.min_by(F.struct("batch_no", F.lit(True).alias("_bad"), "rows", "first_line", "last_line"), "_bad_line")
+        fail = stats.groupBy("job_id").agg(F.count("_bad_line").alias("_n"), worst.alias("_f")).where("_n > 0").drop("_n")
+    else:
+        fail = first_failures(lines, memory_limit)
     over_msg = F.lit(MEMORY_LIMIT_LOG % memory_limit if memory_limit is not None else "")
     return (stats.join(fail, "job_id", "left").select(
         "job_id", "batch_no", "rows", "first_line", "last_line",
