@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from crawlgrid.llm import bpe, license_scan, quality, subspace_join, suffix_refine, warc
+from crawlgrid.llm import bpe, license_scan, quality, queries, subspace_join, suffix_refine, warc
 from crawlgrid.session import scratch_dir
 
 from . import brute, corpus
@@ -314,6 +314,45 @@ def test_quality_whole_texts_in_slices(monkeypatch):
     assert np.allclose(whole, single)
 
 
+def brute_quality(text, model):
+    """The mean weight of a text's words and 3-5-byte strings, one after the other."""
+    data = (text or "").encode()
+    plain = bytes(b if quality.SPACED[b] else 32 for b in data)
+    found = [m.group() for m in brute.re.finditer(rb"[^ ]+", plain)]
+    for n in quality.NGRAMS:  # a string may begin with the blank before its word
+        found += [plain[i:i + n] for i in range(len(plain) - n + 1) if b" " not in plain[i + 1:i + n]]
+    shift = np.uint64(64 - quality.BUCKETS.bit_length() + 1)
+    total = 0.0
+    for x in found:
+        values = quality.BYTE_VALUES[np.frombuffer(x, np.uint8)]
+        total += model.weights[int(quality.window_hash(quality.prefix(values), np.array([0]), np.array([len(x)]))[0] >> shift)]
+    return 1 / (1 + math.exp(-(total / max(len(found), 1) + model.bias)))
+
+
+def test_quality_scores_against_plain_python(monkeypatch):
+    model = quality.Model(np.random.default_rng(0).standard_normal(quality.BUCKETS).astype(np.float32), 0.1)
+    rows = [t for _, t in ROWS if not t or len(t) < 3000]
+    want = [brute_quality(t, model) for t in rows]
+    for size in (quality.PIECE_BYTES, 40, 7):  # cutting a text changes no feature
+        monkeypatch.setattr(quality, "PIECE_BYTES", size)
+        assert model.scores(*quality.buffer_of(pa.array(rows))) == pytest.approx(want, rel=1e-5)
+
+
+def test_quality_query(spark, sf_dir):
+    folder, rows, _ = sf_dir
+    got = queries.op9(spark, folder).collect()
+    assert len(got) == len(rows)
+    model = quality.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(d, []).append(t)
+    for r in got:
+        assert r.held_out == (brute.zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0)
+        assert r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
+        if all(len(t or "") < 3000 for t in texts[r.doc_id]):
+            assert any(r.score == pytest.approx(brute_quality(t, model), rel=1e-4) for t in texts[r.doc_id])
+
+
 @pytest.fixture(scope="module")
 def sf_dir(spark):
     """Tables of a small corpus; contaminated rows and near copies among them."""
