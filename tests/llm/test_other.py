@@ -440,7 +440,7 @@ def test_queries_match_their_sql(spark):
     from crawlgrid.llm.registry import ORACLES, QUERIES
     from crawlgrid.plans.compare import compare, duck_connect
 
-    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 11))}
+    assert {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{k}" for k in range(1, 14))}
     assert QUERIES.items() <= E.queries().items()
     con = duck_connect(SMALL)
     for name, sql in ORACLES.items():
