@@ -175,7 +175,7 @@ def test_late_rows_are_counted(spark):
 
 def test_waiting_beats_are_not_rewritten(spark):
     """A node with very many beats that wait: each batch writes its own only."""
-    n, cut = 4_000, []
+    n, cut = 1_200, []
     for k in range(4):
         cut.append([(1, T0 + dt.timedelta(milliseconds=100 * (k * n // 4 + i))) for i in range(n // 4)])
     with StreamCounts(spark) as counts:
