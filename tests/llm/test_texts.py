@@ -5,6 +5,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,27 @@ def test_long_texts_take_little_memory(monkeypatch):
     assert (chosen_path.shingle_sets(buf, offs, 5)[0] == got["jaccard"]).all()
     assert (ctw.Shelf(table, 4).grams == got["tree"]).all()
     assert list(phrases.scan(buf, offs)) == got["decontamination"]
+
+
+def test_fragments_are_told_apart_by_their_bytes(monkeypatch):
+    """Fragments around one anchor whose second hashes are equal, their bytes not."""
+    from crawlgrid.llm import exchange
+    strong = suffix_refine.window_hash
+    monkeypatch.setattr(suffix_refine, "window_hash", lambda pre, s, e, which=0: strong(pre, s, e, which) & np.uint64(2**64 - 1 if which == 0 else 0))
+    r = random.Random(1)
+    word = lambda k: "".join(r.choice("abcdef") for _ in range(k))
+    common = word(40)
+    rows = [(i % 17, word(r.randint(0, 40)) + common + r.choice(["", word(3), "qrst" * 9]) + word(r.randint(0, 40))) for i in range(60)]
+    buckets = [pa.table({"id": [d for d, _ in part], "text": [t for _, t in part]}) for part in (rows[::2], rows[1::2])]
+    by = lambda blobs, key: {k: blobs.filter(pc.equal(blobs[key], k)) for k in set(blobs[key].to_pylist())}
+    keys = exchange.blobs([x for b, t in enumerate(buckets) for x in suffix_refine.anchors(b, t, 50, 1)])
+    shared = by(exchange.shared_keys(keys), "b")
+    sent = exchange.blobs([x for b, t in enumerate(buckets) for x in suffix_refine.fragments(b, t, shared[b], 50, 1)])
+    bits = by(suffix_refine.settle(sent, 50), "b")
+    got = []
+    for b, t in enumerate(buckets):
+        t = t.take(list(range(len(t)))[::-1])  # the order of a bucket's rows doesn't matter
+        sizes, left, spans = suffix_refine.kept(t, pa.concat_tables([shared[b], bits[b]]), 50, 1, False)
+        got += [(d, n, sum(s["end"] - s["start"] for s in x), len(x), brute.sha(k)) for d, n, k, x in zip(t["id"].to_pylist(), sizes.to_pylist(), left.to_pylist(), spans.to_pylist())]
+    want = brute.repeated_bytes(rows)
+    assert ordered(got) == ordered(want) and sum(w[2] > 0 for w in want) > 5
