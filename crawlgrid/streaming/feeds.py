@@ -12,7 +12,7 @@ from crawlgrid.functions.cron import cron_fires
 from crawlgrid.operators.joins import fireable_triggers
 from crawlgrid.operators.lifecycle import enqueue
 from crawlgrid.operators.sinks import completion_feed, failed_job_alerts
-from crawlgrid.sources.files import SMALL_FILE, job_file_index, long_lines, parse_items, whole_lines
+from crawlgrid.sources.files import SMALL_FILE, job_file_index, long_lines, pack_folder, parse_items, whole_lines
 
 
 def cron_fire_batches(triggers: DataFrame, spiders: DataFrame, projects: DataFrame, settings: DataFrame, ends: str,
@@ -46,12 +46,18 @@ def cron_fire_batches(triggers: DataFrame, spiders: DataFrame, projects: DataFra
     return fn
 
 
-def item_file_stream(spark: SparkSession, root: str, max_files: int, glob: str = "*.jl") -> DataFrame:
+def item_file_stream(spark: SparkSession, root: str, max_files: int, glob: str = "*.jl", max_packs: int | None = None) -> DataFrame:
     """X6 source: the item files that arrive under ``root``, at most ``max_files``
-    a micro-batch, as (path, length, content)."""
-    return (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    a micro-batch, as (path, length, content); with ``max_packs`` also the
+    files in packs, of at most that many packs a micro-batch."""
+    files = (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
             .option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files)
             .load(root).select("path", "length", "content"))
+    if max_packs is None:
+        return files
+    packs = (spark.readStream.schema("path string, lines long, length long, content binary").option("maxFilesPerTrigger", max_packs)
+             .parquet(pack_folder(root, "items")).where(F.col("content").isNotNull()).select("path", "length", "content"))
+    return files.unionByName(packs)
 
 
 def item_ingest(store: str, small_file: int = SMALL_FILE) -> Callable[[DataFrame, int], None]:
@@ -72,7 +78,7 @@ def item_ingest(store: str, small_file: int = SMALL_FILE) -> Callable[[DataFrame
             escaped = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in long]
             lines = lines.unionByName(long_lines(spark, escaped, least=small_file).drop("charset"))
         items = parse_items(job_file_index(lines).where(F.col("kind") == "items").select(*keys, "line_no", F.col("line").alias("raw")))
-        items.drop("item").write.mode("overwrite").parquet(f"{store}/items/{here}")
+        items.drop("item").write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/items/{here}")
         (spark.read.parquet(f"{store}/items/{here}").groupBy(*keys)
          .agg(F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("bad_lines"))
          .write.mode("overwrite").parquet(f"{store}/counts/{here}"))
