@@ -9,6 +9,8 @@ timestamp string or a Column (e.g. a scalar subquery) and replaces every
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +44,13 @@ def _replace(df: DataFrame, **cols: Column) -> DataFrame:
 
 # ---------------------------------------------------------------- L1-L8 jobs
 def enqueue(requests: DataFrame, spiders: DataFrame, projects: DataFrame, settings: DataFrame,
-            as_of) -> DataFrame:
+            as_of, expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """L1: (req_key, spider_id, settings JSON or NULL) requests → pending queue
     rows. The id is md5 of the request key, so a retried batch yields the same
-    ids instead of duplicates. The tag is copied from the spider's setting."""
+    ids instead of duplicates. The tag is copied from the spider's setting.
+
+    ``expand`` makes several keyed requests of each one that has met its
+    spider (the fires of a trigger), so that these aren't shuffled for it."""
     tag = dedupe_eav(settings.where(F.col("setting_key") == "tag"), "spider_id", "setting_key").select(
         F.col("spider_id").alias("_tsid"), F.col("value").alias("tag"))
     s = spiders.select(F.col("id").alias("_sid"), F.col("project_id").alias("_spid"), F.col("name").alias("spider_name"))
@@ -54,6 +59,8 @@ def enqueue(requests: DataFrame, spiders: DataFrame, projects: DataFrame, settin
     # one row per spider first; the requests are shuffled once
     sp = s.join(tag, F.col("_sid") == F.col("_tsid"), "left").join(p, F.col("_spid") == p._pid)
     j = requests.join(sp, requests.spider_id == sp._sid)
+    if expand is not None:
+        j = expand(j)
     return j.select(
         F.md5(F.col("req_key").cast("string")).alias("id"), "spider_id", F.lit(1).alias("slot"),
         "project_name", "spider_name", now.alias("fire_time"), F.lit(None).cast(NTZ).alias("start_time"),
