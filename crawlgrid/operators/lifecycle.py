@@ -358,31 +358,31 @@ def settings_upsert(settings: DataFrame, parameters: DataFrame, figures: DataFra
     """
     valid = forms.where(F.col("figure_json").isNotNull() & json_variant(F.col("figure_json")).isNotNull())
     fj = valid.groupBy("spider_id").agg(F.max_by("figure_json", order_col).alias("_text"))
-    forms = _last(forms, "spider_id", order_col)
+    given = _last(forms.select("spider_id", order_col, *FORM_KEYS), "spider_id", order_col)
+    forms = _last(forms.select("spider_id", order_col, "param_keys", "param_values"), "spider_id", order_col)
 
     def blank_null(c):
         v = F.trim(F.col(c))
         return F.when(v == "", F.lit(None)).otherwise(v)
 
-    vals = forms.select("spider_id", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k_no"), F.lit(k).alias("setting_key"), v.cast("string").alias("value"))
+    # a spider's first rows side by side, so that forms meet them before they become a row a key
+    kept = settings.where(F.col("setting_key").isin(*FORM_KEYS)).groupBy(F.col("spider_id").alias("_sid")).agg(
+        *[F.min(F.when(F.col("setting_key") == k, F.col("id"))).alias(f"_first{i}") for i, k in enumerate(FORM_KEYS)])
+    vals = given.join(kept, F.col("spider_id") == F.col("_sid"), "left").select("spider_id", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("k_no"), F.lit(k).alias("setting_key"), v.cast("string").alias("value"), F.col(f"_first{i}").alias("_first_id"))
         for i, (k, v) in enumerate([
             ("concurrency", F.coalesce("concurrency", F.lit("1"))),
             ("timeout", F.coalesce("timeout", F.lit("3600"))),
             ("webhook_payload", F.coalesce("webhook_payload", F.lit(""))),
             ("webhook_batch_size", F.coalesce("webhook_batch_size", F.lit(""))),
             ("tag", blank_null("tag")),
-            ("extra_requirements", blank_null("extra_requirements"))])])).alias("f")).select("spider_id", "f.*")
-    first = (settings.groupBy("spider_id", "setting_key").agg(F.min("id").alias("_first_id")))
+            ("extra_requirements", blank_null("extra_requirements"))])])))
     max_sid = settings.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    v = vals.join(first, ["spider_id", "setting_key"], "left").withColumn(
-        "id", F.coalesce("_first_id", max_sid + 1 + F.col("spider_id") * len(FORM_KEYS) + F.col("k_no")))
-    upd = v.select("id", F.col("value").alias("_new"))
+    v = vals.withColumn("id", F.coalesce("_first_id", max_sid + 1 + F.col("spider_id") * len(FORM_KEYS) + F.col("k_no")))
+    upd = v.select("id", F.col("value").alias("_new"), F.lit(True).alias("_hit"))
     # a matched row gets the form value even when that value is NULL
-    matched = settings.join(upd, "id", "left_semi")
-    new_settings = (settings.join(upd, "id", "left_anti")
-                    .unionByName(matched.drop("value").join(upd.withColumnRenamed("_new", "value"), "id")
-                                 .select(*settings.columns))
+    new_settings = (settings.join(upd, "id", "left").withColumn("value", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("value")))
+                    .select(*settings.columns)
                     .unionByName(v.where(F.col("_first_id").isNull()).select(*settings.columns)))
     # parameters: replaced wholesale for the form spiders
     kv = forms.select("spider_id", F.posexplode(F.arrays_zip("param_keys", "param_values")).alias("pos", "kv"))

@@ -94,3 +94,21 @@ def test_variant_and_map_agree(spark):
     raw = json.dumps({"a": 1, "b": {"c": [1, None]}, "d": "x"})
     r = spark.createDataFrame([(raw,)], "raw string").select(S.item_object(F.col("raw")).alias("m"), S.item_variant(F.col("raw")).alias("v")).first()
     assert r.m == {"a": "1", "b": '{"c":[1,null]}', "d": "x"} and r.v.toPython() == json.loads(raw)
+
+
+def test_settings_forms_take_few_joins(spark):
+    """Each table of the form's settings is met once."""
+    from crawlgrid.operators.lifecycle import FORM_KEYS, settings_upsert
+    settings = spark.createDataFrame([(1, 1, "tag", "a"), (2, 1, "tag", "b"), (3, 1, "color", "c"), (4, 2, "timeout", "9"), (5, 3, "tag", "x")],
+                                     "id long, spider_id long, setting_key string, value string")
+    forms = spark.createDataFrame([(1, 1, *([None] * 6)), (2, 1, "2", None, "u", None, " t ", ""), (3, 2, *([None] * 6))],
+                                  "form_id long, spider_id long, " + ", ".join(f"{k} string" for k in FORM_KEYS)).selectExpr(
+        "*", "array('k') AS param_keys", "array('v') AS param_values", "CAST(NULL AS STRING) AS figure_json")
+    parameters = spark.createDataFrame([(1, 1, "k", "v")], "id long, spider_id long, parameter_key string, value string")
+    figures = spark.createDataFrame([(1, 1, "{}")], "id long, spider_id long, text string")
+    got = settings_upsert(settings, parameters, figures, forms)["settings"]
+    rows = {(r.spider_id, r.setting_key, r.id if r.id < 6 else None): r.value for r in got.collect()}
+    assert rows == {(1, "tag", 1): "t", (1, "tag", 2): "b", (1, "color", 3): "c", (3, "tag", 5): "x", (2, "timeout", 4): "3600",
+                    (1, "concurrency", None): "2", (1, "timeout", None): "3600", (1, "webhook_payload", None): "u", (1, "webhook_batch_size", None): "", (1, "extra_requirements", None): None,
+                    (2, "concurrency", None): "1", (2, "webhook_payload", None): "", (2, "webhook_batch_size", None): "", (2, "tag", None): None, (2, "extra_requirements", None): None}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Left") <= 3
