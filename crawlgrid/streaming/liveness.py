@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from crawlgrid.streaming.runner import EVENT_TIME, event_time, millis, timed_state
+from crawlgrid.streaming.runner import EVENT_TIME, Waiting, event_time, millis, timed_state
 
 
 def node_liveness_stream(beats: DataFrame, gap: str = "60 seconds", delay: str = "1 hour") -> DataFrame:
@@ -28,43 +28,51 @@ STATE_OUT = "node_id long, event string, at timestamp"
 
 
 class NodeStates(StatefulProcessor):
-    """Beats wait as entries of a map until the watermark has passed them; an
-    entry is written and removed alone, however many wait. On its arrival a
-    beat sets the timers of itself and of the silence that may follow it (no
-    timer is set while timers fire: it would wait for the next batch). The
-    node's own state is its last beat."""
+    """Beats wait until the watermark has passed them; all that it has passed are
+    taken at once. The node's own state is its last beat, if it is online, the
+    time of its timer, the next at which there is something to do, and where
+    its beats wait."""
 
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.beats = handle.getMapState("beats", "ms long", "n int")
-        self.last = handle.getValueState("last", "ms long")
+        self.beats = Waiting(handle)
+        self.node = handle.getValueState("node", "last long, timer long, entries array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times = sorted({ms for frame in rows for ms in millis(frame[EVENT_TIME]).tolist()})
-        for ms, following in zip(times, [*times[1:], None]):
-            if not self.beats.containsKey((ms,)):
-                self.beats.updateValue((ms,), (1,))
-                self.handle.registerTimer(ms + 1)
-                if following is None or following - ms >= self.gap_ms:
-                    self.handle.registerTimer(ms + self.gap_ms + 1)
+        last, timer, entries = self.node.get() or (None, None, [])
+        if timer is None or times[0] + 1 < timer:
+            timer = times[0] + 1
+            self.handle.registerTimer(timer)
+        self.node.update((last, timer, self.beats.put(entries, times)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs() - 1
-        last = self.last.get()[0] if self.last.exists() else None
+        last, timer, entries = self.node.get() or (None, None, [])
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
+            return  # an earlier one took its place
+        mark = max(timer, timerValues.getCurrentWatermarkInMs())
+        due, entries = self.beats.take(entries, mark)
         events = []
-        if last is not None and at >= last + self.gap_ms:
-            events.append(("offline", last + self.gap_ms))
-            last = None
-            self.last.clear()
-        if self.beats.containsKey((at,)):
-            self.beats.removeKey((at,))
+        for at in due:
+            if last is not None and at >= last + self.gap_ms:
+                events.append(("offline", last + self.gap_ms))
+                last = None
             if last is None:
                 events.append(("online", at))
-            self.last.update((at,))
+            last = at
+        if last is not None and last + self.gap_ms < mark:
+            events.append(("offline", last + self.gap_ms))
+            last = None
+        waits = [*entries, *([] if last is None else [last + self.gap_ms])]
+        if waits:  # at the mark or later, so due in a later batch
+            self.handle.registerTimer(min(waits) + 1)
+            self.node.update((last, min(waits) + 1, entries))
+        else:
+            self.node.clear()
         if events:
             yield pd.DataFrame({"node_id": [key[0]] * len(events), "event": [e for e, _ in events], "at": pd.to_datetime([t for _, t in events], unit="ms")})
 
