@@ -222,3 +222,63 @@ def test_replayed_ingest_batch_changes_nothing(spark, tmp_path):
     (folder / "a.jl").write_text('{"a": 3}\n')  # the job's file comes again
     sink(batch("a.jl"), 2)
     assert ingested(spark, store) == ([("a", 1, '{"a": 3}', False), ("b", 1, '{"b": 1}', False)], {"a": (1, 0), "b": (1, 0)})
+
+
+def test_packed_item_files_arrive(spark, tmp_path):
+    items = spark.range(60).select(F.lit("p").alias("project"), F.lit("s").alias("spider"), F.concat(F.lit("j"), (F.col("id") % 20).cast("string")).alias("job_id"),
+                                   F.col("id").alias("k"), F.when(F.col("id") == 5, F.repeat(F.lit("x"), files.PACKED_FILE)).otherwise(F.lit('{"a": 1}')).alias("raw"))
+    files.write_job_files(items, str(tmp_path), "raw", "items", order_col="k", packed=True)
+    assert [f.name for f in tmp_path.rglob("*.jl")] == ["j5.jl"]
+    want = sorted((r.job_id, r.line_no, r.raw, r.bad) for r in files.read_job_items(spark, str(tmp_path), fmt="packed").collect())
+    store = scratch_dir(spark, "ingest")
+    run_batches(feeds.item_file_stream(spark, str(tmp_path), 100, max_packs=1), "t", feeds.item_ingest(store))
+    items, counts = ingested(spark, store)
+    assert items == want and len(want) == 60
+    assert counts == {f"j{k}": (3, int(k == 5)) for k in range(20)}
+
+
+def test_a_batch_of_beats_is_one_entry(spark):
+    """Beats that arrive together wait together: state rows follow nodes and batches, not beats."""
+    cut = [[(1, T0 + dt.timedelta(seconds=7200 * b + 30 * i)) for i in range(100)] for b in range(2)]
+    with StreamCounts(spark) as counts:
+        got = run_append(liveness.node_state_stream(feed(spark, BEAT, *cut, [END]), 60, "1 hour"), "chunks").collect()
+    assert sorted(r.event for r in got if r.node_id == 1) == ["offline", "offline", "online", "online"]
+    assert max(counts.updated["chunks"][:2]) <= 10
+
+
+def test_jobs_share_state_rows(spark, monkeypatch):
+    """Very many jobs are handled by the bucket, with each job's own result."""
+    from crawlgrid.streaming import runner
+    monkeypatch.setattr(runner, "BUCKETS", 4)
+    settings = spark.createDataFrame([(1, 1, "timeout", "30")], SETTINGS)
+    jobs_ = [(f"j{k}", 1 + k % 2, "start", at("01:00:00") + dt.timedelta(seconds=k)) for k in range(60)]
+    with StreamCounts(spark) as counts:
+        got = run_append(jobs.job_timeout_stream(feed(spark, EVENT, jobs_[:30], jobs_[30:], [LAST]), settings, "10 minutes"), "shared").collect()
+    want = []
+    for job, spider, _, t in jobs_:
+        want += [(job, "stop", t + dt.timedelta(seconds=30)), (job, "fail", t + dt.timedelta(seconds=120))] if spider == 1 else [(job, "requeue", t + dt.timedelta(seconds=60))]
+    assert sorted((r.job_id, r.action, r.at) for r in got) == sorted(want)
+    assert max(counts.updated["shared"]) <= 4
+    queue = spark.createDataFrame([(f"j{k}", 5, 1) for k in range(40)], QUEUE)
+    reports = [(k + 100 * t, f"j{k}", 5, "success", at(f"0{1 + t}:00:00")) for t in (1, 0) for k in range(40)]
+    with StreamCounts(spark) as counts:
+        got = run_append(jobs.completion_stream(feed(spark, REPORT, reports, [(999, "j0", 5, "fail", at("23:00:00"))]), queue), "shared5").collect()
+    assert sorted(r.completion_id for r in got) == list(range(40))
+    assert max(counts.updated["shared5"]) <= 4
+
+
+def test_triggers_meet_their_spiders_before_they_fire(spark):
+    spiders = spark.createDataFrame([(1, 1, "s"), (2, 1, "t")], "id long, project_id long, name string")
+    projects = spark.createDataFrame([(1, "p")], "id long, name string")
+    settings = spark.createDataFrame([(1, 1, "tag", "t")], SETTINGS)
+    requests = spark.createDataFrame([("a", 1, None), ("b", 2, None)], "req_key string, spider_id long, settings string")
+    met = []
+
+    def twice(j):
+        met.append(set(j.columns))
+        return j.withColumn("n", F.explode(F.array(F.lit("1"), F.lit("2")))).withColumn("req_key", F.concat("req_key", "n"))
+
+    got = enqueue(requests, spiders, projects, settings, "2024-01-01", twice)
+    plain = spark.createDataFrame([(k + n, s, None) for k, s in (("a", 1), ("b", 2)) for n in "12"], requests.schema)
+    assert sorted(map(str, got.collect())) == sorted(map(str, enqueue(plain, spiders, projects, settings, "2024-01-01").collect()))
+    assert {"spider_name", "project_name", "tag"} <= met[0]
