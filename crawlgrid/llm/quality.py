@@ -77,6 +77,30 @@ class Model:
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
 
 
+def bags(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, shares) of each row's features, counted PIECE_BYTES at once, also
+    within a row; cut as in ``Model.scores``, which changes no feature."""
+    for i, j in slices(offs, PIECE_BYTES):
+        part, rows = buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
+        at, row_of = pieces(part, rows, SPACED, PIECE_BYTES)
+        key = count = np.zeros(0, np.int64)
+        for a, z in slices(at, PIECE_BYTES):
+            if at[z] == at[a]:
+                continue
+            cut = at[a:z + 1] - at[a]
+            place, bucket = map(np.concatenate, zip(*features(part[at[a]:at[z]], cut)))
+            row = row_of[a + np.searchsorted(cut, place, "right") - 1]
+            got = np.unique(row * BUCKETS + bucket, return_counts=True)
+            if len(key):  # what the earlier pieces of a long row have, too, is added up
+                both, back = np.unique(np.concatenate((key, got[0])), return_inverse=True)
+                got = both, np.bincount(back, np.concatenate((count, got[1]))).astype(np.int64)
+            key, count = got
+        ends = np.searchsorted(key, np.arange(j - i + 1) * BUCKETS)
+        for a, z in zip(ends[:-1], ends[1:]):
+            c = count[a:z].astype(np.float32)
+            yield (key[a:z] % BUCKETS).astype(np.int32), c / max(c.sum(), 1)
+
+
 def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Bucket weights and bias from (buckets, shares) of each text."""
     rng = np.random.default_rng(7)
@@ -116,19 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, hold_out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, marks = [], []
         for batch in batches:
-            buf, offs = buffer_of(batch.column(0))
             marks += batch.column(1).to_pylist()
-            for i, j in slices(offs):
-                part, at = buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
-                got = list(features(part, at)) if len(part) else []
-                place = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int64)
-                bucket = np.concatenate([g[1] for g in got]) if got else place
-                row = np.searchsorted(at, place, "right") - 1
-                key, count = np.unique(row * BUCKETS + bucket, return_counts=True)
-                cut = np.searchsorted(key, np.arange(j - i + 1) * BUCKETS)
-                for a, b in zip(cut[:-1], cut[1:]):
-                    c = count[a:b].astype(np.float32)
-                    texts.append(((key[a:b] % BUCKETS).astype(np.int32), c / max(c.sum(), 1)))
+            texts += bags(*buffer_of(batch.column(0)))
         if texts:
             weights, bias = train(texts, np.array(marks))
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], names=["weights", "bias"])

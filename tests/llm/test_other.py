@@ -5,6 +5,7 @@ import difflib
 import gzip
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
@@ -338,6 +339,36 @@ def test_quality_scores_against_plain_python(monkeypatch):
         assert model.scores(*quality.buffer_of(pa.array(rows))) == pytest.approx(want, rel=1e-5)
 
 
+def test_quality_training_features_whatever_the_piece(monkeypatch):
+    """The training task's features are the same, however texts are cut."""
+    texts = [*(t for _, t in ROWS), "ab " * 500 + "x" * 700 + " ab\tab", None, ""]
+    buf, offs = quality.buffer_of(pa.array(texts))
+    want = []
+    for a, z in zip(offs[:-1], offs[1:]):
+        found = [b for _, b in quality.features(buf[a:z], np.array([0, z - a]))] if z > a else [np.zeros(0, np.int64)]
+        key, count = np.unique(np.concatenate(found), return_counts=True)
+        want.append((key.tolist(), (count.astype(np.float32) / np.float32(max(count.sum(), 1))).tolist()))
+    for size in (quality.PIECE_BYTES, 1000, 40, 7):
+        monkeypatch.setattr(quality, "PIECE_BYTES", size)
+        assert [(k.tolist(), c.tolist()) for k, c in quality.bags(buf, offs)] == want
+
+
+@pytest.mark.parametrize("n", [1, 1000])
+def test_quality_training_features_take_little_memory(n):
+    """3 MB of texts, one long or many: scratch arrays are those of one piece
+    (over 400 MB when rows of 2 MB, or a whole long text, were hashed at once)."""
+    r = random.Random(n)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 9))) for _ in range(5000)]
+    buf, offs = quality.buffer_of(pa.array([" ".join(r.choices(vocab, k=500_000 // n)) for _ in range(n)]))
+    assert len(buf) > 2_500_000
+    tracemalloc.start()
+    got = list(quality.bags(buf, offs))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == n
+    assert peak - sum(a.nbytes + b.nbytes for a, b in got) < 1e8
+
+
 def test_quality_query(spark, sf_dir):
     folder, rows, _ = sf_dir
     got = queries.op9(spark, folder).collect()

@@ -83,6 +83,18 @@ def test_slices_meet(monkeypatch):
     assert np.array_equal(np.repeat(a[2], a[1] - a[0]), np.repeat(b[2], b[1] - b[0]))
 
 
+def test_windows_of_a_bucket_take_little_memory():
+    """3 MB of text, runs of windows slice by slice: slices of 256 KB."""
+    r = random.Random(3)
+    buf, offs = textbuf.buffer_of(pa.array(["".join(r.choices("abcdefgh ", k=3000)) for _ in range(1000)]))
+    tracemalloc.start()
+    n = sum(len(a[0]) for a in suffix_refine.anchored(buf, offs, 50, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1000
+    assert peak < 5e7
+
+
 ITEMS = [(1, ROWS[0][1]), (2, "abc de"), (3, ""), (4, None), (5, " ".join(["Ünïcode ﷺ 😀"] * 9)), (None, ROWS[20][1]), (10, ROWS[3][1]), (10, ROWS[4][1]), (11, ROWS[0][1])]
 
 
