@@ -4,7 +4,9 @@ import base64
 import difflib
 import gzip
 import math
+import os
 import random
+import threading
 import tracemalloc
 
 import numpy as np
@@ -162,6 +164,61 @@ def test_subspace_join(spark, monkeypatch):
     assert subspace_join.join(none.limit(0)).count() == 0
 
 
+
+def test_subspace_join_stores_each_vector_once(spark, monkeypatch):
+    """Disk follows the vectors, not the pairs of tiles: over 30 times the input when each pair of tiles had its copy."""
+    monkeypatch.setattr(subspace_join, "TILE", 64)
+    monkeypatch.setattr(subspace_join, "STRIP", 32)
+    r = np.random.default_rng(4)
+    points = r.standard_normal((1500, 64)).astype(np.float32)
+    points[1000:1200] = points[:200] + r.standard_normal((200, 64)).astype(np.float32) * r.choice([0.1, 0.3, 0.45, 0.55], (200, 1)).astype(np.float32)
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(points)], "vec_id long, embedding array<float>").repartition(4)
+
+    folders = [spark.conf.get("spark.checkpoint.dir"), *(d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())]
+    used, done = [], threading.Event()
+
+    def watch():  # while it runs, as Spark removes what is no longer needed
+        while not done.is_set():
+            used.append(sum(size(d, n) for f in folders for d, _, names in os.walk(f) for n in names))
+            done.wait(0.02)
+
+    def size(folder, name):
+        try:
+            return os.path.getsize(f"{folder}/{name}")
+        except OSError:
+            return 0
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = ordered([tuple(x) for x in subspace_join.join(rows).collect()])
+    finally:
+        done.set()
+        watcher.join()
+    assert max(used) - used[0] < 8 * points.nbytes
+    unit = points.astype(float) / np.linalg.norm(points.astype(float), axis=1)[:, None]
+    pairs = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1)).tolist()
+    assert 80 < len(pairs) < 190
+    root = brute.components(range(1500), pairs)
+    degree = np.bincount(np.ravel(pairs), minlength=1500).tolist()
+    assert got == [(k, degree[k], root[k]) for k in range(1500)]
+
+
+def test_subspace_join_tiles(monkeypatch):
+    """Cells have about as many points each, also of dense regions and of points that repeat; each pair of tiles meets once."""
+    monkeypatch.setattr(subspace_join, "STRIP", 8)
+    r = np.random.default_rng(5)
+    points = np.concatenate((r.standard_normal((600, 5)), r.standard_normal((600, 5)) * 1e-3, np.zeros((600, 5)))).astype(np.float32)
+    cell = subspace_join.locate(subspace_join.cells(points[::3], 12), points)
+    assert np.bincount(cell[:1200]).max() < 300 and len(np.unique(cell)) > 6
+    assert sorted(subspace_join.in_strips(points[:100])) == list(range(100))
+    same = subspace_join.cells(np.ones((100, 3), np.float32), 4)
+    assert subspace_join.locate(same, points[:, :3]).tolist() == [0] * 1800
+    for n in (1, 2, 5, 8):
+        meets = np.array([subspace_join.partners(i, n) for i in range(n)])
+        assert (meets | meets.T).all() and not (meets & meets.T & ~np.eye(n, dtype=bool)).any()
+
+
 def test_license_scan(spark, docs, empty):
     mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0-header"]
     words = gpl.split()
