@@ -10,6 +10,8 @@ from crawlgrid.functions.text import job_path, package_path
 from crawlgrid.operators.aggregates import dedupe_eav
 from crawlgrid.sources.catalog import FOREIGN_KEYS, parents_first, primary_key
 
+FEW_KEYS = 100_000  # that a driver and each task hold
+
 
 def write_job_data(items: DataFrame, root: str, mode: str = "overwrite") -> str:
     """Store item (or log) lines by project and spider, sorted by job and
@@ -38,10 +40,19 @@ def snapshot_catalog(tables: dict[str, DataFrame], path: str, names: list[str] |
     return spark.createDataFrame(counts, "table string, rows long")
 
 
-def restore_merge(current: DataFrame, snapshot: DataFrame, pk: list[str]) -> DataFrame:
+def keys_to_join(keys: DataFrame, rows: int) -> DataFrame:
+    """Keys to look up in: broadcast if they are few, sorted and merged if not.
+    Spark would choose by the size of their files, of which compression leaves
+    little: some MB of ids are hundreds of MB in the driver."""
+    return F.broadcast(keys) if rows <= FEW_KEYS else keys.hint("merge")
+
+
+def restore_merge(current: DataFrame, snapshot: DataFrame, pk: list[str], rows: int | None = None) -> DataFrame:
     """Merge a snapshot into a table by primary key: snapshot rows replace
-    or add, current rows without a snapshot twin stay."""
-    return current.join(snapshot.select(*pk), pk, "left_anti").unionByName(snapshot)
+    or add, current rows without a snapshot twin stay. ``rows``: at least as
+    many as the snapshot has, if known."""
+    keys = snapshot.select(*pk)
+    return current.join(keys if rows is None else keys_to_join(keys, rows), pk, "left_anti").unionByName(snapshot)
 
 
 def restore_catalog(current: dict[str, DataFrame], snapshot: dict[str, DataFrame], root: str) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -53,15 +64,18 @@ def restore_catalog(current: dict[str, DataFrame], snapshot: dict[str, DataFrame
     written but reported, and so are the rows that refer to it; NULL refers to
     nothing. Returns the restored tables and the report (table, key, column,
     value), a row for each missing reference. The parents' keys are unique, so
-    each check is an equijoin that keeps the row count."""
+    each check is an equijoin that keeps the row count; what is joined with is
+    counted first."""
     spark = next(iter(snapshot.values())).sparkSession
-    restored, report = dict(current), None
+    restored, report, counts = dict(current), None, {}
     for name in parents_first(snapshot):
         key, rows = primary_key(name), snapshot[name]
         refers = {c: p for c, p in FOREIGN_KEYS.get(name, {}).items() if c in rows.columns and p in restored}
         marked = rows
         for column, parent in refers.items():
-            ids = restored[parent].select(F.col(primary_key(parent)).alias(f"_has_{column}")).distinct()
+            if parent not in counts:
+                counts[parent] = restored[parent].count()
+            ids = keys_to_join(restored[parent].select(F.col(primary_key(parent)).alias(f"_has_{column}")).distinct(), counts[parent])
             marked = marked.join(ids, marked[column] == ids[f"_has_{column}"], "left")
         missing = [F.when(F.col(c).isNotNull() & F.col(f"_has_{c}").isNull(), F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))) for c in refers]
         marked = marked.select(*rows.columns, F.filter(F.array(*missing) if missing else F.array().cast("array<struct<column:string,value:string>>"),
@@ -69,9 +83,10 @@ def restore_catalog(current: dict[str, DataFrame], snapshot: dict[str, DataFrame
         marked.write.mode("overwrite").parquet(f"{root}/_checked/{name}")
         marked = spark.read.parquet(f"{root}/_checked/{name}")
         good = marked.where(F.size("_missing") == 0).drop("_missing")
-        whole = restore_merge(current[name], good, [key]) if name in current else good
+        whole = restore_merge(current[name], good, [key], marked.count()) if name in current else good
         whole.write.mode("overwrite").parquet(f"{root}/{name}")
         restored[name] = spark.read.parquet(f"{root}/{name}")
+        counts.pop(name, None)
         orphans = marked.select(F.lit(name).alias("table"), F.col(key).cast("string").alias("key"), F.inline("_missing"))
         report = orphans if report is None else report.unionByName(orphans)
     return restored, report

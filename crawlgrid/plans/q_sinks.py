@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlgrid.functions.text import job_path
@@ -79,11 +82,12 @@ def q_w3_all(spark, sf):
     current = {n: df.limit(0) for n, df in backup.items()}
     restored, report = W.restore_catalog(current, backup, f"{root}/restored")
     orphans = report.groupBy("table", "key").agg(F.lit(1)).groupBy("table").agg(F.count(F.lit(1)).alias("orphans"))
-    counts = None
-    for n in SNAPSHOT_TABLES:
-        c = restored[n].agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("rows"))
-        counts = c if counts is None else counts.unionByName(c)
-    return counts.join(orphans, "table", "left").select("table", "rows", F.coalesce("orphans", F.lit(0)).cast("long").alias("orphans"))
+    # one aggregate over all tables: one for each would be a plan that takes a driver's memory
+    rows = reduce(DataFrame.union, [restored[n].select(F.lit(n).alias("table")) for n in SNAPSHOT_TABLES])
+    rows = rows.groupBy("table").agg(F.count(F.lit(1)).alias("rows"))
+    names = spark.createDataFrame([(n,) for n in SNAPSHOT_TABLES], "table string not null")
+    counted = names.join(F.broadcast(rows), "table", "left").join(F.broadcast(orphans), "table", "left")  # a row for each table
+    return counted.select("table", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("rows", "orphans")])
 
 
 @register("W4_completion_feed", """

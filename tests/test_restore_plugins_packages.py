@@ -41,6 +41,30 @@ def test_restore_reports_orphans(spark, tmp_path):
     assert report.count() == 4 and again["triggers"].count() == 2
 
 
+
+def test_restore_broadcasts_few_keys_only(spark, tmp_path):
+    """The files of many ids are small, but not what a driver would hold of them."""
+    n = W.FEW_KEYS + 20_000 if hasattr(W, "FEW_KEYS") else 120_000
+    schema = {t: C.SCHEMAS[t].fieldNames() for t in ("spiders", "triggers", "job_history")}
+
+    def rows(table, key, **columns):
+        return spark.range(n).select(*(columns.get(c, key if c == "id" else F.lit(None)).cast(C.SCHEMAS[table][c].dataType).alias(c) for c in schema[table]))
+
+    k = F.col("id")
+    snapshot = {"spiders": rows("spiders", k), "triggers": rows("triggers", k, spider_id=k + 7), "job_history": rows("job_history", k, spider_id=F.when(k % 2 == 0, k - 3))}
+    current = {"spiders": rows("spiders", k + n - 5), "triggers": rows("triggers", k * 3), "job_history": rows("job_history", k)}
+    kept = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")
+    try:
+        restored, report = W.restore_catalog(current, snapshot, str(tmp_path))
+        counts = {t: restored[t].count() for t in snapshot}
+        assert sorted(tuple(r) for r in report.select("table", "key", "value").collect()) == sorted([("job_history", "0", "-3"), ("job_history", "2", "-1")])
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", kept)
+    # spiders n-5 to 2n-6 were there before, so all that triggers name are found
+    assert counts == {"spiders": 2 * n - 5, "triggers": n + sum(1 for x in range(n) if x * 3 >= n), "job_history": n}
+
+
 def plugin():
     def split_variants(parameters):  # local, so that it travels to the workers by value
         if parameters.get("ENABLED") != "True":
